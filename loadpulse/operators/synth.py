@@ -1,0 +1,69 @@
+"""Synthetic series for trying out caches and charts without a run."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..sources.tables import fixed_table
+
+_JITTER_STEPS = 1_000_000
+
+
+def curves(spark: SparkSession) -> DataFrame:
+    """Latency and failure curves: one row per prefix, intensity, action and step."""
+    rows = []
+    for prefix, (read_base, write_base) in K.BASE_LATENCY.items():
+        writes = K.REPLICA_WRITE_DECLINE if prefix == "sqlrep" else K.WRITE_DECLINE
+        for action, base, declines in (
+            ("read", read_base, K.READ_DECLINE), ("write", write_base, writes),
+        ):
+            for intensity, decline in declines.items():
+                failure = K.FAILURE[prefix][intensity]
+                rows += [
+                    (prefix, intensity, action, base, step, decline[step], failure[step])
+                    for step in range(len(decline))
+                ]
+    return fixed_table(spark, rows, {
+        "prefix": "STRING", "intensity": "INT", "query_action": "STRING", "base": "DOUBLE",
+        "step": "INT", "decline": "INT", "failure_percent": "FLOAT",
+    })
+
+
+def synthetic_series(
+    seeds: DataFrame, start: float, jitter: int | None = None
+) -> DataFrame:
+    """Both actions' curves for every instance, pattern, intensity and seed.
+
+    Latency is the base where the curve's multiplier is 0, and base times
+    multiplier elsewhere.  ``jitter`` multiplies it by a draw from [0, 0.2) that
+    depends on the row and on ``jitter`` alone; a draw of 0 leaves it unchanged.
+    ``timestamp`` is ``start`` plus the step, in seconds.
+    """
+    spark = seeds.sparkSession
+    digits = F.sequence(F.lit(1), F.lit(3))
+    runs = (
+        seeds.select(F.col("seed").cast("string").alias("seed"))
+        .withColumn("prefix", F.explode(F.array(*[F.lit(p) for p in K.KEY_PREFIX.values()])))
+        .withColumn("db_size", F.explode(digits))
+        .withColumn("read_pattern", F.explode(digits))
+        .withColumn("write_pattern", F.explode(digits))
+        .withColumn("intensity", F.explode(digits))
+    )
+    latency = F.when(F.col("decline") == 0, F.col("base")).otherwise(
+        F.col("decline") * F.col("base"))
+    if jitter is not None:
+        hashed = F.xxhash64(F.lit(jitter), "seed", "prefix", "db_size", "read_pattern",
+                            "write_pattern", "intensity", "step", "query_action")
+        draw = F.pmod(hashed, F.lit(_JITTER_STEPS)) / _JITTER_STEPS * 0.2
+        latency = F.when(draw > 0, latency * draw).otherwise(latency)
+    return runs.join(curves(spark), ["prefix", "intensity"]).select(
+        F.concat_ws("-", "prefix", "db_size", "intensity").alias("key"),
+        F.concat_ws("-", "read_pattern", "write_pattern").alias("pattern"),
+        "seed",
+        "query_action",
+        latency.alias("average_latency"),
+        "failure_percent",
+        (F.lit(float(start)) + F.col("step")).alias("timestamp"),
+    )
