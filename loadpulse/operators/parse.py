@@ -10,48 +10,77 @@ from .. import constants as K
 from .. import schemas
 from ..functions import timing
 
-# Fields are read as text first: a field that is absent (null text) can then be
-# told from one whose text does not fit its type.
+_RECORDS = T.ArrayType(schemas.TRANSACTION)
+# The same records with every field as text: a field that is absent (null text)
+# can then be told from one whose text does not fit its type.
 _TEXT_RECORD = T.StructType(
     [T.StructField(f.name, T.StringType()) for f in schemas.TRANSACTION.fields]
 )
 _NUMBERS = [f.name for f in schemas.TRANSACTION.fields if isinstance(f.dataType, T.DoubleType)]
 _KEYS = ["job_id", "operation"]
+_MAY_BE_ABSENT = ["workload_id"]
 
 
-def _items(data: Column) -> Column:
-    """The array of a message, or null if the text is not one JSON array.
+def _array_of(schema: T.ArrayType) -> Column:
+    """The array of a message, or null if its text is not one JSON array.
 
     The JSON reader also takes a bare object and ignores text after the array,
     hence the look at both ends.
     """
-    text = F.btrim(data, F.lit(" \t\r\n"))
-    items = F.from_json(data, T.ArrayType(_TEXT_RECORD))
-    return F.when(text.startswith("[") & text.endswith("]"), items)
-
-
-def _typed(item: str) -> tuple[dict[str, Column], Column]:
-    """Typed columns of a text record, and whether the record is unusable."""
-    field = {name: F.col(f"{item}.{name}") for name in _TEXT_RECORD.fieldNames()}
-    number = {name: field[name].try_cast("double") for name in _NUMBERS}
-    flag = F.lower(field["success"])
-
-    misfit = [field[name].isNotNull() & number[name].isNull() for name in _NUMBERS]
-    misfit.append(field["success"].isNotNull() & ~flag.isin("true", "false"))
-    misfit += [field[name].isNull() for name in _KEYS]
-    unusable = F.lit(False)
-    for condition in misfit:
-        unusable = unusable | condition
-
-    columns = {}
-    for name in _TEXT_RECORD.fieldNames():
-        if name in number:
-            columns[name] = F.coalesce(number[name], F.lit(0.0))
+    def bracketed(text: Column) -> Column:
+        return text.startswith("[") & text.endswith("]")
+
+    # Trimming walks the whole text, so it is left to texts that need it.
+    trimmed = F.btrim("data", F.lit(" \t\r\n"))
+    return F.when(bracketed(F.col("data")) | bracketed(trimmed), F.from_json("data", schema))
+
+
+def _doubtful(items: Column) -> Column:
+    """Whether a message has a record that reading by type alone cannot settle."""
+    needed = [n for n in schemas.TRANSACTION.fieldNames() if n not in _MAY_BE_ABSENT]
+
+    def incomplete(record: Column) -> Column:
+        missing = record.isNull()
+        for name in needed:
+            missing = missing | record[name].isNull()
+        return missing
+
+    return F.coalesce(F.exists(items, incomplete), F.lit(True))
+
+
+def _usable(record: Column) -> Column:
+    """Whether a text record has its keys and no field of a wrong type."""
+    usable = record.isNotNull()
+    for name in _KEYS:
+        usable = usable & record[name].isNotNull()
+    for name in _NUMBERS:
+        usable = usable & (record[name].isNull() | record[name].try_cast("double").isNotNull())
+    success = record["success"]
+    return usable & (success.isNull() | F.lower(success).isin("true", "false"))
+
+
+def _typed(record: Column) -> Column:
+    """A usable text record by type: an absent number is 0, an absent success false."""
+    columns = []
+    for name in schemas.TRANSACTION.fieldNames():
+        column = record[name]
+        if name in _NUMBERS:
+            column = F.coalesce(column.try_cast("double"), F.lit(0.0))
         elif name == "success":
-            columns[name] = F.coalesce(flag == "true", F.lit(False))
-        else:
-            columns[name] = field[name]
-    return columns, unusable
+            column = F.coalesce(F.lower(column) == "true", F.lit(False))
+        columns.append(column.alias(name))
+    return F.struct(*columns)
+
+
+def _with_items(messages: DataFrame) -> DataFrame:
+    """Messages with their typed ``items`` and, for doubtful ones, ``texts``.
+
+    Reading by type is the fast path; the second reading happens only for the
+    messages that need it.
+    """
+    read = messages.select("publish_time", "data", _array_of(_RECORDS).alias("items"))
+    return read.withColumn("doubtful", _doubtful(F.col("items"))).withColumn(
+        "texts", F.when(F.col("doubtful"), _array_of(T.ArrayType(_TEXT_RECORD))))
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
@@ -61,11 +90,14 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     a field of the wrong type, or without job or operation, is left out here and
     shows up in ``quarantine``; its neighbours in the array are not affected.
     """
-    columns, unusable = _typed("item")
+    repaired = F.transform(F.filter("texts", _usable), _typed)
+    records = F.when(F.col("doubtful"), repaired).otherwise(F.col("items"))
+    # The outer form keeps messages without records for a moment.  The plain form
+    # has the optimizer test the array's size below, which reads every text twice.
     return (
-        messages.select("publish_time", F.explode(_items(F.col("data"))).alias("item"))
-        .where(~unusable)
-        .select("publish_time", *[c.alias(name) for name, c in columns.items()])
+        _with_items(messages).select("publish_time", records.alias("records"))
+        .select("publish_time", F.inline_outer("records"))
+        .where(F.col("job_id").isNotNull())
     )
 
 
@@ -75,19 +107,20 @@ def quarantine(messages: DataFrame) -> DataFrame:
     A message that is no JSON array is one row with its whole text; an unusable
     record is one row with the record's text.
     """
-    _, unusable = _typed("item")
-    items = _items(F.col("data"))
+    unreadable = F.col("doubtful") & F.col("texts").isNull()
+    nothing = F.array(F.lit(None).cast(_TEXT_RECORD))
+    rejected = F.when(unreadable, nothing).otherwise(
+        F.filter("texts", lambda record: ~_usable(record)))
     return (
-        messages.select(
-            "publish_time", "data", items.isNull().alias("unreadable"),
-            # An unreadable message goes through as a single empty place.
-            F.explode(F.coalesce(items, F.array(F.lit(None).cast(_TEXT_RECORD)))).alias("item"),
-        )
-        .where(F.col("unreadable") | unusable)
+        _with_items(messages)
+        .select("publish_time", "data", unreadable.alias("unreadable"), rejected.alias("rejected"))
+        .select("publish_time", "data", "unreadable",
+                F.posexplode_outer("rejected").alias("place", "record"))
+        .where(F.col("place").isNotNull())
         .select(
             "publish_time",
             F.when(F.col("unreadable"), F.col("data"))
-             .otherwise(F.coalesce(F.to_json("item"), F.lit("null"))).alias("payload"),
+             .otherwise(F.coalesce(F.to_json("record"), F.lit("null"))).alias("payload"),
             F.when(F.col("unreadable"), "message").otherwise("record").alias("rejected"),
         )
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +51,12 @@ def promote_to_stage(
 
 
 def _cache_or_empty(spark: SparkSession, path: str) -> DataFrame:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if files.exists(hadoop_path):
+    try:
         return stores.read_cached_series(spark, path)
-    return spark.createDataFrame([], stores._CACHE_SCHEMA)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], stores.CACHE)
 
 
 def with_seed(rows: DataFrame, seed: object) -> DataFrame:

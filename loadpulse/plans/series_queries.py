@@ -12,7 +12,7 @@ from ..sources import stores
 from ..streaming import jobs as streaming
 from .ingest_queries import stream_of_messages
 from .registry import query, rounded
-from .views import NOW, SERIES_WIDTH, STRICT_Z, Tables, series_check
+from .views import SERIES_WIDTH, STRICT_Z, Tables, series_check
 
 _SERIES = ('job_id, query_action, round(average_latency, 9) as average_latency, '
            'failure_percent, "timestamp"')
@@ -75,20 +75,14 @@ def run_throughput(t: Tables):
 
 # --- stored series -----------------------------------------------------------
 
-def _stored_series(t: Tables):
-    path = new_location(t.spark, "series")
-    stores.append_partitioned(t.series, path, stores.SERIES_PARTITIONS)
-    return sources.read_series(t.spark, path)
-
-
 @query("series_scan", check=f"select {_SERIES} from series")
 def series_scan(t: Tables):
-    return rounded(_stored_series(t), "average_latency")
+    return rounded(t.stored_series, "average_latency")
 
 
 def _staged(t: Tables) -> str:
     """A staging cache after a promotion with the strict limit and then the usual one."""
-    series = _stored_series(t)
+    series = t.stored_series
     path = new_location(t.spark, "staged")
     for verdicts in (t.strict_verdicts(series), t.verdicts(series)):
         promote.promote_to_stage(t.spark, series, verdicts, path)
@@ -188,12 +182,12 @@ def _z_columns(df):
 
 @query("series_zscores", check=_z_check(False))
 def series_zscores(t: Tables):
-    return _z_columns(quality.series_zscores(t.series))
+    return _z_columns(quality.series_zscores(t.stored_series))
 
 
 @query("series_zscores_ignore_nan", check=_z_check(True))
 def series_zscores_ignore_nan(t: Tables):
-    return _z_columns(quality.series_zscores(t.series, ignore_nan=True))
+    return _z_columns(quality.series_zscores(t.stored_series, ignore_nan=True))
 
 
 def _outlier_check(limit: float, ignore_nan: bool) -> str:
@@ -202,22 +196,22 @@ def _outlier_check(limit: float, ignore_nan: bool) -> str:
 
 @query("series_outliers", check=_outlier_check(K.Z_SCORE_LIMIT, False))
 def series_outliers(t: Tables):
-    return _z_columns(quality.series_outliers(t.series))
+    return _z_columns(quality.series_outliers(t.stored_series))
 
 
 @query("series_outliers_strict", check=_outlier_check(STRICT_Z, True))
 def series_outliers_strict(t: Tables):
-    return _z_columns(quality.series_outliers(t.series, STRICT_Z, ignore_nan=True))
+    return _z_columns(quality.series_outliers(t.stored_series, STRICT_Z, ignore_nan=True))
 
 
 @query("validate_series", check="select * from verdicts")
 def validate_series(t: Tables):
-    return t.verdicts()
+    return t.verdicts(t.series)
 
 
 @query("validate_series_strict", check="select * from strict_verdicts")
 def validate_series_strict(t: Tables):
-    return t.strict_verdicts()
+    return t.strict_verdicts(t.series)
 
 
 @query("batch_verdict", check="""
@@ -226,8 +220,8 @@ def validate_series_strict(t: Tables):
     select bool_and(passed) as passed, 'strict' as gate from strict_verdicts
 """)
 def batch_verdict(t: Tables):
-    usual = quality.batch_verdict(t.verdicts()).withColumn("gate", F.lit("usual"))
-    strict = quality.batch_verdict(t.strict_verdicts()).withColumn("gate", F.lit("strict"))
+    usual = quality.batch_verdict(t.verdicts(t.stored_series)).withColumn("gate", F.lit("usual"))
+    strict = quality.batch_verdict(t.strict_verdicts(t.stored_series)).withColumn("gate", F.lit("strict"))
     return usual.unionByName(strict)
 
 
@@ -238,7 +232,7 @@ def batch_verdict(t: Tables):
     from verdicts where passed group by key, pattern
 """)
 def first_wins_promotion(t: Tables):
-    return promote.first_wins(t.verdicts())
+    return promote.first_wins(t.verdicts(t.series))
 
 
 @query("not_already_cached", check="""
@@ -248,7 +242,7 @@ def first_wins_promotion(t: Tables):
 """)
 def not_already_cached(t: Tables):
     located = quality.located_jobs(t.jobs)
-    return promote.not_already_cached(located, t.strict_locations).select(
+    return promote.not_already_cached(located, t.strict_locations(t.series)).select(
         "job_id", "key", "pattern")
 
 
@@ -262,7 +256,7 @@ def not_already_cached(t: Tables):
                         and x.pattern = r || '-' || w)
 """)
 def missing_runs(t: Tables):
-    return promote.missing_runs(t.spark, t.strict_locations)
+    return promote.missing_runs(t.spark, t.strict_locations(t.series))
 
 
 _FIRST_RUN_CHECK = """
@@ -351,7 +345,7 @@ def expand_run_requests(t: Tables):
       on a.key = h.key and a.pattern = h.pattern
 """)
 def cached_lookup(t: Tables):
-    cached = t.series.join(t.strict_locations, "job_id")
+    cached = t.stored_series.join(t.strict_locations(t.stored_series), "job_id")
     return requests.cached_lookup(t.view("run_requests"), cached)
 
 
@@ -401,7 +395,7 @@ _POINTS = """
     from {_POINTS}
 """)
 def chart_series(t: Tables):
-    return rounded(charts.chart_series(t.series, ["job_id"]), "y", digits=6)
+    return rounded(charts.chart_series(t.stored_series, ["job_id"]), "y", digits=6)
 
 
 # --- streams -----------------------------------------------------------------

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import schemas, sources
 from ..operators import ids, parse, promote, quality, windows, workload
+from ..session import new_location
+from ..sources import stores
 from ..sources.tables import values_text
 
 NOW = 1_700_005_000
@@ -306,14 +308,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def given_stream(self, name: str) -> DataFrame:
-        """A given table as a stream of its files."""
-        path = f"{self.folder}/{name}.parquet"
-        reader = self.spark.readStream.schema(self.given(name).schema)
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if files.getFileStatus(where).isDirectory():
-            return reader.parquet(path)
-        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        """A given table, be it one file or a folder of files, as a stream of its files."""
+        # A stream's path must be a folder unless it is a pattern; this pattern
+        # matches the one name.
+        pattern = f"{self.folder}/{name[:-1]}[{name[-1]}].parquet"
+        return self.spark.readStream.schema(self.given(name).schema).parquet(pattern)
 
     def view(self, name: str, **inputs: DataFrame) -> DataFrame:
         """A shared view; ``inputs`` replace given tables or other views."""
@@ -358,8 +357,16 @@ class Tables:
 
     @cached_property
     def series(self) -> DataFrame:
+        """The series straight from the messages, for queries that read it once."""
         return windows.windowed_latency_failure(self.records, SERIES_WIDTH)
 
+    @cached_property
+    def stored_series(self) -> DataFrame:
+        """The series as its job stores it, for queries that read it more than once."""
+        path = new_location(self.spark, "series")
+        stores.append_partitioned(self.series, path, stores.SERIES_PARTITIONS)
+        return sources.read_series(self.spark, path)
+
     # --- jobs, verdicts, cache -----------------------------------------------
 
     @cached_property
@@ -370,17 +377,15 @@ class Tables:
     def job_list(self) -> DataFrame:
         return self.view("job_list", jobs=self.jobs)
 
-    def verdicts(self, series: DataFrame | None = None, **options) -> DataFrame:
-        series = self.series if series is None else series
+    def verdicts(self, series: DataFrame, **options) -> DataFrame:
         return quality.validate_series(series, self.jobs, self.job_list, **options)
 
-    def strict_verdicts(self, series: DataFrame | None = None) -> DataFrame:
+    def strict_verdicts(self, series: DataFrame) -> DataFrame:
         return self.verdicts(series, z_limit=STRICT_Z, ignore_nan=True)
 
-    @cached_property
-    def strict_locations(self) -> DataFrame:
-        """Locations a promotion with the strict limit has filled."""
-        return promote.first_wins(self.strict_verdicts())
+    def strict_locations(self, series: DataFrame) -> DataFrame:
+        """Locations a promotion with the strict limit has filled, with their job."""
+        return promote.first_wins(self.strict_verdicts(series))
 
     # --- pictures --------------------------------------------------------------
 

@@ -17,7 +17,7 @@ SERIES_PARTITIONS = ["job_id"]
 CACHE_PARTITIONS = ["key", "pattern"]
 RESOURCE_PARTITIONS = ["database_type", "database_size"]
 
-_CACHE_SCHEMA = T.StructType(
+CACHE = T.StructType(
     [T.StructField("key", T.StringType()), T.StructField("pattern", T.StringType())]
     + schemas.SERIES.fields
     + [T.StructField("seed", T.StringType())]
@@ -44,7 +44,7 @@ def read_cached_series(
     spark: SparkSession, path: str, key: str | None = None, pattern: str | None = None
 ) -> DataFrame:
     """The rows of a cache, or those of one location in it."""
-    cached = spark.read.schema(_CACHE_SCHEMA).parquet(path)
+    cached = spark.read.schema(CACHE).parquet(path)
     if key is not None:
         cached = cached.where(F.col("key") == key)
     if pattern is not None:
