@@ -1,0 +1,165 @@
+import json
+import math
+from collections import defaultdict
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from conftest import T0_MS
+from loadpulse.operators import parse, windows
+
+# Fixed values: (operation, transaction start, transaction end) of three messages
+# published 0, 6 and 12 seconds after T0, and the series they must give.
+MESSAGES = {
+    0: [
+        ("write", 1219110.80930547, 1219110.810471273),
+        ("read", 1219110.802201267, 1219110.804397151),
+        ("write", 1219110.804718464, 1219110.806886593),
+        ("read", 1219110.812978694, 1219110.816987723),
+        ("read", 1219110.81897456, 1219110.820711101),
+        ("read", 1219110.820799422, 1219110.822552412),
+        ("read", 1219110.824886913, 1219110.825233627),
+        ("read", 1219110.829457245, 1219110.829868906),
+        ("write", 1219110.833480902, 1219110.833838753),
+        ("read", 1219110.837086874, 1219110.837416985),
+        ("read", 1219110.841866135, 1219110.842263966),
+        ("read", 1219110.845590623, 1219110.845949925),
+        ("read", 1219110.849459986, 1219110.849797437),
+        ("read", 1219110.85317578, 1219110.85363494),
+        ("read", 1219110.856807875, 1219110.857228336),
+    ],
+    6: [
+        ("write", 1219110.845590623, 1219110.845949925),
+        ("read", 1219110.849459986, 1219110.849797437),
+        ("write", 1219110.85317578, 1219110.85363494),
+        ("read", 1219110.856807875, 1219110.857228336),
+    ],
+    12: [
+        ("read", 1219110.845590623, 1219110.845949925),
+        ("read", 1219110.849459986, 1219110.849797437),
+        ("read", 1219110.85317578, 1219110.85363494),
+        ("write", 1219110.856807875, 1219110.857228336),
+    ],
+}
+GOLDEN = {
+    (0, "read"): 0.0010630946101931233,
+    (0, "write"): 0.0012305943916241329,
+    (6, "read"): 0.000378955970518291,
+    (6, "write"): 0.00040923093911260366,
+    (12, "read"): 0.0003853042920430501,
+    (12, "write"): 0.00042046094313263893,
+}
+
+
+def golden_pairs():
+    return [
+        (second, json.dumps([
+            dict(job_id="run-1", workload_id="pod-1", operation=op, success=True,
+                 connection_start=a, connection_end=b, transaction_start=a, transaction_end=b)
+            for op, a, b in rows]))
+        for second, rows in MESSAGES.items()
+    ]
+
+
+def assert_golden(rows):
+    got = {((r.timestamp - T0_MS + 1) // 1000 - 1, r.query_action): r for r in rows}
+    assert set(got) == set(GOLDEN)
+    for key, latency in GOLDEN.items():
+        assert got[key].average_latency == pytest.approx(latency, rel=1e-9)
+        assert got[key].failure_percent == 0.0
+        assert got[key].job_id == "run-1"
+        assert got[key].timestamp == T0_MS + key[0] * 1000 + 999
+
+
+def test_golden_series(make_messages):
+    records = parse.parse_messages(make_messages(*golden_pairs()))
+    assert_golden(windows.windowed_latency_failure(records).collect())
+
+
+def test_golden_series_does_not_depend_on_partitioning(make_messages):
+    records = parse.parse_messages(make_messages(*golden_pairs())).repartition(7)
+    assert_golden(windows.windowed_latency_failure(records).collect())
+
+
+def test_a_window_of_failures_has_no_latency(make_records):
+    records = make_records((0, "j", "read", False, 1.0, 2.0), (0, "j", "read", False, 1.0, 2.0))
+    row = windows.windowed_latency_failure(records).first()
+    assert math.isnan(row.average_latency) and row.failure_percent == 100.0
+    row = windows.windowed_latency_failure(records, when_all_failed="null").first()
+    assert row.average_latency is None
+
+
+def test_failure_percent_is_single_precision(make_records, spark):
+    records = make_records(*[(0, "j", "read", ok, 1.0, 2.0) for ok in (True, False, True)])
+    df = windows.windowed_latency_failure(records)
+    assert dict(df.dtypes)["failure_percent"] == "float"
+    assert df.select(F.col("failure_percent").cast("string")).first()[0] == "33.333336"
+
+
+def test_latency_is_averaged_over_successes_only(make_records):
+    records = make_records((0.1, "j", "read", True, 1.0, 2.0), (0.2, "j", "read", True, 1.0, 4.0),
+                           (0.3, "j", "read", False, 1.0, 90.0))
+    assert windows.windowed_latency_failure(records).first().average_latency == 2.0
+
+
+def test_windows_end_before_the_next_begins(make_records):
+    records = make_records((0.999999, "j", "read", True, 1.0, 2.0), (1.0, "j", "read", True, 1.0, 2.0))
+    stamps = sorted(r.timestamp for r in windows.windowed_latency_failure(records).collect())
+    assert stamps == [T0_MS + 999, T0_MS + 1999]
+
+
+def prototype_pairs():
+    def obj(start, begin, end, stop, ok, load):
+        return json.dumps(dict(connection_start=start, transaction_start=begin, transaction_end=end,
+                               connection_end=stop, success=ok, database_type="cloud_sql",
+                               transaction_type="read", load_id=load))
+    return [(0, obj(0, 1, 2, 4, True, 1)), (2, obj(0, 3, 6, 8, False, 2)),
+            (8, obj(0, 1, 2, 4, True, 3))]
+
+
+def test_golden_prototype(make_messages):
+    df = windows.sql_windowed_latency(parse.parse_objects(make_messages(*prototype_pairs())))
+    assert {n: t for n, t in df.dtypes if t == "float"} == {
+        "average_latency": "float", "failure_percent": "float"}
+    got = sorted((r.timestamp, r.query_action, r.average_latency, r.failure_percent)
+                 for r in df.collect())
+    assert got == [(1582617604999, "read", 6.0, 0.5), (1582617609999, "read", 4.0, 0.0)]
+
+
+def test_throughput(make_records):
+    records = make_records((0, "j", "read", True, 10.0, 11.0), (1, "j", "write", False, 12.0, 14.0),
+                           (0, "k", "read", True, 5.0, 5.0))
+    got = {r.job_id: (r.transactions, r.elapsed, r.per_second)
+           for r in windows.run_throughput(records).collect()}
+    assert got == {"j": (2, 4.0, 0.5), "k": (1, 0.0, None)}
+
+
+transaction = st.tuples(
+    st.integers(0, 5000).map(lambda ms: ms / 1000), st.sampled_from(["a", "b-c"]),
+    st.sampled_from(["read", "write"]), st.booleans(),
+    st.integers(0, 64).map(float), st.integers(0, 64).map(float))
+
+
+@settings(max_examples=8, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(transaction, min_size=1, max_size=40))
+def test_series_equals_a_plain_loop(make_records, rows):
+    groups = defaultdict(list)
+    for second, job, op, ok, a, b in rows:
+        groups[(job, op, int(second * 1000) // 1000)].append((ok, b - a))
+    expected = {}
+    for (job, op, second), members in groups.items():
+        good = [d for ok, d in members if ok]
+        expected[(job, op, T0_MS + second * 1000 + 999)] = (
+            sum(good) / len(good) if good else None, len(members) - len(good), len(members))
+    got = windows.windowed_latency_failure(make_records(*rows)).collect()
+    assert {(r.job_id, r.query_action, r.timestamp) for r in got} == set(expected)
+    for r in got:
+        latency, failed, total = expected[(r.job_id, r.query_action, r.timestamp)]
+        if latency is None:
+            assert math.isnan(r.average_latency)
+        else:
+            assert r.average_latency == pytest.approx(latency)
+        assert r.failure_percent == pytest.approx(100 * failed / total, rel=1e-6)
