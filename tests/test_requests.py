@@ -1,0 +1,116 @@
+import pytest
+from pyspark.sql import functions as F
+
+from loadpulse import functions as fn
+from loadpulse.operators import requests
+
+FIELDS = ["request_id", "mode", "read_pattern", "write_pattern", "intensity", "db_type", "db_size",
+          "sql_size", "sql_rep_size", "spanner_size"]
+
+
+@pytest.fixture
+def run_requests(spark):
+    rows = [
+        ("f", "fail", "1", "3", None, None, None, None, None, None),
+        ("r", "run", "2", "2", "3", None, None, "1", "3", "2"),
+        ("s", "single", "1", "2", "1", "3", "2", None, None, None),
+        ("s-type", "single", "1", "2", "1", "4", "2", None, None, None),
+        ("s-size", "single", "1", "2", "1", "1", "0", None, None, None),
+        ("s-text", "single", "1", "2", "high", "1", "1", None, None, None),
+        ("r-part", "run", "2", "2", "3", None, None, "1", None, "2"),
+        ("other", "cached", "1", "1", "1", "1", "1", "1", "1", "1"),
+    ]
+    return spark.createDataFrame(rows, ", ".join(f"{f} string" for f in FIELDS))
+
+
+def test_rules_and_the_first_one_broken(run_requests):
+    got = {r.request_id: (r.accepted, r.first_failed_rule)
+           for r in requests.job_request_flags(run_requests).collect()}
+    assert got == {
+        "f": (True, None), "r": (True, None), "s": (True, None), "s-type": (False, "type_ok"),
+        "s-size": (False, "size_ok"), "s-text": (False, "integers"),
+        "r-part": (False, "complete"), "other": (False, "complete")}
+
+
+def test_expansion_into_jobs(run_requests):
+    jobs = requests.expand_run_requests(run_requests)
+    got = sorted((r.request_id, r.slot, r.db_type, r.db_size, r.read_intensity, r.write_intensity,
+                  r.read_pattern, r.write_pattern) for r in jobs.collect())
+    assert got == [("f", 0, 1, 1, 3, 3, 1, 3), ("r", 0, 1, 1, 3, 3, 2, 2), ("r", 1, 2, 3, 3, 3, 2, 2),
+                   ("r", 2, 3, 2, 3, 3, 2, 2), ("s", 0, 3, 2, 1, 1, 1, 2)]
+    assert jobs.select("job_id").distinct().count() == 5
+
+
+def test_cached_locations(run_requests):
+    got = sorted(tuple(r) for r in requests.cached_locations(run_requests).collect())
+    assert got == [("f", "sql-1-3", "1-3"), ("r", "spanner-2-3", "2-2"), ("r", "sql-1-3", "2-2"),
+                   ("r", "sqlrep-3-3", "2-2")]
+
+
+def test_cached_lookup(spark, run_requests):
+    cached = spark.createDataFrame(
+        [("sql-1-3", "1-3", 5), ("sql-1-3", "1-3", 9), ("sql-9-9", "1-1", 7)],
+        "key string, pattern string, timestamp bigint")
+    got = {(r.request_id, r.key): (r.cached_rows, r.first_timestamp, r.last_timestamp)
+           for r in requests.cached_lookup(run_requests, cached).collect()}
+    assert got[("f", "sql-1-3")] == (2, 5, 9)
+    assert got[("r", "sql-1-3")] == (0, None, None)
+    assert requests.cached_series_for(run_requests, cached).count() == 2
+
+
+REGISTRY = "database_type int, database_size int, resource_id string, connection_string string, replica_ip string"
+
+
+@pytest.mark.parametrize("row,rule", [
+    ((1, 1, "p:r:i-1", "10.0.0.1", None), None),
+    ((2, 1, "p:r:i-1", "10.0.0.1", "10.0.0.2"), None),
+    ((3, 3, "inst-1", "inst-1", None), None),
+    ((1, 1, "p", None, None), "complete"),
+    ((4, 1, "p", "10.0.0.1", None), "type_ok"),
+    ((1, 0, "p", "10.0.0.1", None), "size_ok"),
+    ((1, 1, "Upper", "10.0.0.1", None), "resource_id_ok"),
+    ((1, 1, "a_b", "10.0.0.1", None), "resource_id_ok"),
+    ((1, 1, "p", "host", None), "connection_ok"),
+    ((1, 1, "p", "10.0.0.1/host", None), None),      # only the start is looked at
+    ((3, 1, "p", "10.0.0.1", None), "connection_ok"),
+    ((2, 1, "p", "10.0.0.1", None), "replica_ok"),
+    ((4, 0, "Upper", "host", None), "type_ok"),      # the first of several
+])
+def test_registration_rules(spark, row, rule):
+    got = requests.resource_quality_flags(spark.createDataFrame([row], REGISTRY)).first()
+    assert (got.first_failed_rule, got.accepted) == (rule, rule is None)
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("c")).first().c
+
+
+@pytest.mark.parametrize("db_type,key", [(1, "sql-2-3"), (2, "sqlrep-2-3"), (3, "spanner-2-3"), (4, None)])
+def test_keys(spark, db_type, key):
+    assert one(spark, fn.db_key(F.lit(db_type), F.lit(2), F.lit(3))) == key
+
+
+@pytest.mark.parametrize("key,parts", [
+    ("sqlrep-10-3", ("sqlrep", 2, 10, 3)), ("other-1-2", ("other", -1, 1, 2)),
+    ("sql-1", (None, None, None, None)), ("SQL-1-2", (None, None, None, None)),
+    ("sql-99999999999-1", ("sql", 1, None, 1)),
+])
+def test_parsing_keys(spark, key, parts):
+    assert tuple(one(spark, fn.parse_db_key(F.lit(key)))) == parts
+
+
+@pytest.mark.parametrize("intensity,pods", [(0, 0), (1, 1), (2, 6), (3, 12), (4, 4), (-1, -1)])
+def test_pods(spark, intensity, pods):
+    assert one(spark, fn.intensity_multiplier(F.lit(intensity))) == pods
+
+
+@pytest.mark.parametrize("prefix,size,name", [
+    ("sql", 1, "p:r:load-sm1"), ("sqlrep", 2, "p:r:load-med1-r"), ("spanner", 3, "load-lrg1"),
+    ("sql", 4, None), ("other", 1, None)])
+def test_resource_names(spark, prefix, size, name):
+    assert one(spark, fn.resource_name(F.lit(prefix), F.lit(size), "p", "r", "load")) == name
+
+
+@pytest.mark.parametrize("name,size", [("load-sm1", 1), ("load-med2", 2), ("x-lrg1-r", 3), ("load", -1)])
+def test_size_in_a_name(spark, name, size):
+    assert one(spark, fn.size_from_name(F.lit(name))) == size
