@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from .. import schemas
 from ..functions import timing
+from ..session import new_location
 
 _RECORDS = T.ArrayType(schemas.TRANSACTION)
 # The same records with every field as text: a field that is absent (null text)
@@ -169,26 +170,50 @@ def batch_messages(
 
     An interval with more than ``max_records`` records becomes several messages of
     about that size, so no task has to hold a whole interval; every record is in
-    exactly one message.  Copies of a record are counted before the first shuffle
-    and dealt out in pieces, which keeps a much repeated record from ending up in
-    one message.
+    exactly one message.  Record counts per interval are taken first and stored:
+    without crowded intervals, which is the rule, the records are shuffled once.
     """
     fields = schemas.TRANSACTION.fieldNames()
-    slot = F.window("publish_time", interval)["start"].alias("interval_start")
-    copies = (
-        records.select(slot, F.struct(*fields).alias("record"))
-        .groupBy("interval_start", "record").agg(F.count("*").alias("copies"))
+    slotted = records.select(
+        F.window("publish_time", interval)["start"].alias("interval_start"),
+        F.struct(*fields).alias("record"),
     )
-    crowded = (
-        copies.groupBy("interval_start").agg(F.sum("copies").alias("total"))
+    spark = records.sparkSession
+    path = new_location(spark, "crowded")
+    (slotted.groupBy("interval_start").agg(F.count("*").alias("total"))
         .where(F.col("total") > max_records)
         .select("interval_start", F.ceil(F.col("total") / max_records).alias("messages"))
-    )
-    pieces = (
-        copies.join(crowded, "interval_start", "left")
-        .withColumn("messages", F.coalesce("messages", F.lit(1)))
-        .withColumn("piece", F.explode(F.sequence(
-            F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / max_records))))
+        .write.parquet(path))
+    crowded = spark.read.parquet(path)
+
+    def message(records_of_group: Column) -> list[Column]:
+        return [F.col("interval_start").alias("publish_time"),
+                F.to_json(F.sort_array(records_of_group)).alias("data")]
+
+    if crowded.isEmpty():
+        return slotted.groupBy("interval_start").agg(
+            F.collect_list("record").alias("records")).select(*message(F.col("records")))
+
+    calm = slotted.join(crowded, "interval_start", "left_anti").groupBy("interval_start").agg(
+        F.collect_list("record").alias("records"))
+    split = _dealt_out(slotted.join(crowded, "interval_start"), max_records).groupBy(
+        "interval_start", "part").agg(
+            F.flatten(F.collect_list(F.array_repeat("record", F.col("times")))).alias("records"))
+    return calm.select(*message(F.col("records"))).unionByName(
+        split.select(*message(F.col("records"))))
+
+
+def _dealt_out(slotted: DataFrame, max_records: int) -> DataFrame:
+    """Records of crowded intervals with the ``part`` of the interval they go to.
+
+    Copies of a record are counted before they are shuffled and dealt out in
+    pieces, so that a much repeated record does not end up in one message.
+    """
+    copies = slotted.groupBy("interval_start", "messages", "record").agg(
+        F.count("*").alias("copies"))
+    last_piece = F.floor((F.col("copies") - 1) / max_records)
+    return (
+        copies.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last_piece)))
         .select(
             "interval_start", "record",
             F.pmod(F.xxhash64("record", "piece"), F.col("messages")).alias("part"),
@@ -196,15 +221,6 @@ def batch_messages(
              .cast("int").alias("times"),
         )
     )
-    return (
-        pieces.groupBy("interval_start", "part")
-        .agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("record", F.col("times")))))
-              .alias("records"))
-        .select(
-            F.col("interval_start").alias("publish_time"),
-            F.to_json("records").alias("data"),
-        )
-    )
 
 
 def compose_key(records: DataFrame) -> DataFrame:

@@ -341,7 +341,7 @@ class Tables:
         return (
             self.txn.groupBy(F.expr("event_id div 20").alias("message_id"))
             .agg(F.max("publish_time").alias("publish_time"),
-                 F.to_json(F.array_sort(F.collect_list(record))).alias("data"))
+                 F.to_json(F.sort_array(F.collect_list(record))).alias("data"))
             .select("publish_time", "data")
         )
 
