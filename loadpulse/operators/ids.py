@@ -11,10 +11,13 @@ _ROW_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id: the row's
 
 
 def with_dense_ids(
-    df: DataFrame, order_by: list[str], id_column: str = "id", first: int | Column = 1
+    df: DataFrame, order_by: list[str], id_column: str = "id", first: int | Column = 1,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Number the rows ``first, first + 1, ...`` in the order of ``order_by``.
 
+    ``keep`` names the columns to carry along (all by default).
+
     The rows are range-partitioned by the whole ordering, so a value that
     repeats is spread as long as the ordering tells its rows apart.  Each row's
     id is the size of the ranges before it plus its place in its own range.
@@ -23,10 +26,10 @@ def with_dense_ids(
     """
     spark = df.sparkSession
     path = new_location(spark, "ranged")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
     (df.repartitionByRange(*order_by)
        .sortWithinPartitions(*order_by)
-       .withColumn("_range", F.spark_partition_id())
-       .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
+       .select(*(keep or df.columns), F.spark_partition_id().alias("_range"), place.alias("_place"))
        .write.parquet(path))
     ranged = spark.read.parquet(path)
 

@@ -106,7 +106,7 @@ def pictures_append(pictures: DataFrame, inserts: DataFrame, order_by: list[str]
     ``inserts`` has the five code columns and whatever ``order_by`` names.
     """
     next_id = pictures.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next")).scalar()
-    numbered = with_dense_ids(inserts, order_by, "id", next_id)
+    numbered = with_dense_ids(inserts, order_by, "id", next_id, keep=CHANGEABLE)
     return pictures.unionByName(numbered.select(*pictures.columns))
 
 

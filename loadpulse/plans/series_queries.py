@@ -10,7 +10,7 @@ from ..operators import charts, parse, promote, quality, requests, windows
 from ..session import new_location
 from ..sources import stores
 from ..streaming import jobs as streaming
-from .ingest_queries import stream_of_messages
+from .ingest_queries import damaged_messages, stream_of_messages
 from .registry import query, rounded
 from .views import SERIES_WIDTH, STRICT_Z, Tables, series_check
 
@@ -444,19 +444,21 @@ def stream_sql_windowed_latency(t: Tables):
 
 
 @query("stream_parse_quarantine", check="""
-    select 'record' as kind, count(*) as n from txn
-    union all select 'reject' as kind, 0 as n
+    select case when event_id % 5 < 2 then 'message' when event_id % 5 = 2 then 'record'
+                else 'accepted' end as outcome, job_id, epoch_us(publish_time) as publish_us
+    from (select event_id, publish_time, case when event_id % 5 > 2 then job_id end as job_id
+          from txn)
 """)
 def stream_parse_quarantine(t: Tables):
     good, bad = new_location(t.spark, "records"), new_location(t.spark, "rejects")
+    messages = damaged_messages(t, t.given_stream("events"))
     streaming.start_parse_with_quarantine(
-        stream_of_messages(t), good, bad, new_location(t.spark, "progress")).awaitTermination()
-
-    def counted(path: str, kind: str):
-        return t.spark.read.parquet(path).agg(F.count("*").alias("n")).select(
-            F.lit(kind).alias("kind"), "n")
-
-    return counted(good, "record").unionByName(counted(bad, "reject"))
+        messages, good, bad, new_location(t.spark, "progress")).awaitTermination()
+    at = F.unix_micros("publish_time").alias("publish_us")
+    accepted = t.spark.read.parquet(good).select(F.lit("accepted").alias("outcome"), "job_id", at)
+    rejected = t.spark.read.parquet(bad).select(
+        F.col("rejected").alias("outcome"), F.lit(None).cast("string").alias("job_id"), at)
+    return accepted.unionByName(rejected)
 
 
 @query("stream_lease_sweep", check="""

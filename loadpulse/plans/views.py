@@ -396,7 +396,8 @@ class Tables:
 
     @cached_property
     def pictures(self) -> DataFrame:
-        numbered = ids.with_dense_ids(self.view("picture_rows"), _PICTURE_ORDER)
+        numbered = ids.with_dense_ids(
+            self.view("picture_rows"), _PICTURE_ORDER, keep=workload.CHANGEABLE)
         return numbered.select("id", *workload.CHANGEABLE)
 
     def dimension(self, name: str) -> DataFrame:
