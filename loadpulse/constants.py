@@ -95,8 +95,8 @@ BASE_LATENCY = {
     "spanner": (0.002, 0.01),
 }
 
-# Latency multipliers over ten steps, per intensity.  Reads share one set;
-# writes of "sql" and "spanner" share another.
+# Latency multipliers over ten steps, per intensity.  All types share the reads;
+# the types without a replica share the writes.
 READ_DECLINE = {
     1: [0, 0, 0, 0, 0, 0, 0, 0, 1, 2],
     2: [0, 0, 0, 0, 0, 1, 1, 2, 3, 4],

@@ -12,7 +12,7 @@ from ..sources import stores
 from ..streaming import jobs as streaming
 from .ingest_queries import damaged_messages, stream_of_messages
 from .registry import query, rounded
-from .views import SERIES_WIDTH, STRICT_Z, Tables, series_check
+from .views import SERIES_WIDTH, SERIES_WIDTH_US, STRICT_Z, Tables, series_check
 
 _SERIES = ('job_id, query_action, round(average_latency, 9) as average_latency, '
            'failure_percent, "timestamp"')
@@ -417,6 +417,48 @@ def stream_windowed_latency_failure(t: Tables):
     return rounded(_sunk(t, series), "average_latency")
 
 
+def _in_turns(t: Tables, parts: list, delay: str):
+    """A stream that stops after each part of its messages and goes on with the next."""
+    topic, path = new_location(t.spark, "topic"), new_location(t.spark, "stream")
+    progress = new_location(t.spark, "progress")
+    for part in parts:
+        part.write.mode("append").parquet(topic)
+        series = streaming.stream_windowed_latency_failure(
+            sources.stream_messages(t.spark, topic), SERIES_WIDTH, delay)
+        streaming.start_series_sink(series, path, progress).awaitTermination()
+    return sources.read_series(t.spark, path)
+
+
+_DELAY_US = 10 * 86_400 * 1_000_000
+_ON_TIME = f"""
+    (select * from txn where event_id % 2 = 0
+     or (epoch_us(publish_time) // {SERIES_WIDTH_US} + 1) * {SERIES_WIDTH_US}
+        > (select max(epoch_us(publish_time)) - {_DELAY_US} from txn where event_id % 2 = 0))
+"""
+
+
+# Every other transaction arrives after all the rest: those whose window has been
+# closed by then, ten days behind the newest, are late and dropped.
+@query("stream_watermark", check=f"""
+    select {_SERIES} from ({series_check(_ON_TIME, SERIES_WIDTH_US)})
+    where "timestamp" + 1 <= (select (max(epoch_us(publish_time)) - {_DELAY_US}) // 1000 from txn)
+""")
+def stream_watermark(t: Tables):
+    first = F.pmod("event_id", F.lit(2)) == 0
+    parts = [sources.messages_from_records(t.txn.where(first)),
+             sources.messages_from_records(t.txn.where(~first))]
+    return rounded(_in_turns(t, parts, "10 days"), "average_latency")
+
+
+# A message without records, one window after the last, closes every window.
+@query("stream_last_window", check=f"select {_SERIES} from series")
+def stream_last_window(t: Tables):
+    closing = t.messages.agg(
+        (F.max("publish_time") + F.expr(f"interval {SERIES_WIDTH}")).alias("publish_time")
+    ).withColumn("data", F.lit("[]"))
+    return rounded(_in_turns(t, [t.messages, closing], streaming.NO_DELAY), "average_latency")
+
+
 @query("series_sink", check=f"select {_SERIES} from series {_CLOSED}")
 def series_sink(t: Tables):
     series = streaming.stream_windowed_latency_failure(stream_of_messages(t), SERIES_WIDTH)

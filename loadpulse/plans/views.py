@@ -50,7 +50,7 @@ SHARED = {
                cast(event_id % 1000000 as int) + 1 + cast(floor(value) as int) as transaction_end,
                cast(event_id % 1000000 as int) + 2 + cast(floor(value) as int) as connection_end,
                event_type <> 'error' as success,
-               'cloud-sql' as database_type,
+               'database' as database_type,
                case when cast(get_json_object(props, '$.k') as int) % 3 = 0
                     then 'write' else 'read' end as transaction_type,
                cast(user_id as int) as load_id,

@@ -113,7 +113,7 @@ def test_windows_end_before_the_next_begins(make_records):
 def prototype_pairs():
     def obj(start, begin, end, stop, ok, load):
         return json.dumps(dict(connection_start=start, transaction_start=begin, transaction_end=end,
-                               connection_end=stop, success=ok, database_type="cloud_sql",
+                               connection_end=stop, success=ok, database_type="database",
                                transaction_type="read", load_id=load))
     return [(0, obj(0, 1, 2, 4, True, 1)), (2, obj(0, 3, 6, 8, False, 2)),
             (8, obj(0, 1, 2, 4, True, 3))]
