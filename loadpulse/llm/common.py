@@ -12,8 +12,6 @@ from ..session import new_location
 # Words are runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_TO_LOWER = str.maketrans(ASCII_UPPER, ASCII_UPPER.lower())
-_BREAKS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,15 +49,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def lower_ascii(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_TO_LOWER)
+def lower_words(text: str | None) -> list[bytes]:
+    """The words of a text with A-Z in lower case, as UTF-8.
 
-
-def words_of(text: str) -> list[str]:
-    """The words of a text, split at ASCII white space alone."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [w for w in text.translate(_BREAKS).split(" ") if w]
+    Methods of ``bytes`` know ASCII letters and ASCII white space only, which is what
+    is asked for here.
+    """
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def lower_ascii_column(text: Column) -> Column:

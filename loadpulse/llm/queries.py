@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing
+from . import chat, fingerprint, mixing, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,12 @@ def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_trees(chat.as_trees(turns.unionByName(trap))))
 
 
+@query()
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query(check=rf"""
     with sized as (
         select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as size,
