@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, simhash
+from . import chat, fingerprint, mixing, simhash, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,13 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from summed""")
 def op8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
+
+
+@query()
+def op9_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.read_documents(spark, tokens.write_tokens(table(spark, folder, "documents")))
+
+
+@query()
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
