@@ -41,11 +41,13 @@ WINDOW_WORDS, STRIDE_WORDS = 8, 2
 DICTIONARY_BYTES = 16_384
 TOXIC_BYTES = 16_384
 FRAGMENT = 5
+PREFIXES = range(4, 10)
 LEVEL = 3
 # Every third remainder is held out.
 FOLDS, HELD_OUT_FOLD = 3, 1
-_FRAGMENT_LIFT, _FRAGMENT_EVIDENCE = 8.0, 40.0
-_WORD_LIFT, _WORD_DOCS = 10.0, 3
+_FRAGMENT_LIFT, _FRAGMENT_EVIDENCE = 8.0, 20.0
+_WORD_LIFT, _WORD_DOCS = 10.0, 2
+_MARKS = b".,;:!?#$*\"'()-"
 _BATCH = 20_000
 
 
@@ -145,6 +147,7 @@ def _fragments(words: set[bytes]) -> set[bytes]:
     for word in words:
         padded = b" " + word + b" "
         found.update(padded[i:i + FRAGMENT] for i in range(max(1, len(padded) - FRAGMENT + 1)))
+        found.update(padded[:n] for n in PREFIXES if n < len(padded))
     return found
 
 
@@ -153,7 +156,7 @@ def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[b
     words_t, words_o, parts_t, parts_o = Counter(), Counter(), Counter(), Counter()
     for texts, words, parts in ((toxic, words_t, parts_t), (ordinary, words_o, parts_o)):
         for text in texts:
-            distinct = set(text)
+            distinct = {w.strip(_MARKS) for w in text}
             words.update(distinct)
             parts.update(_fragments(distinct))
     n1, n0 = max(len(toxic), 1), max(len(ordinary), 1)
