@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, simhash, tokens, toxicity
+from . import chat, fingerprint, mixing, private, simhash, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query()
+def op5_private(spark: SparkSession, folder: str) -> DataFrame:
+    return private.report(table(spark, folder, "documents"))
+
+
 @query(check=rf"""
     with sized as (
         select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as size,
