@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, private, simhash, tokens, toxicity
+from . import chat, decontaminate, fingerprint, mixing, private, simhash, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,11 @@ def op5_private(spark: SparkSession, folder: str) -> DataFrame:
     return private.report(table(spark, folder, "documents"))
 
 
+@query()
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query(check=rf"""
     with sized as (
         select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as size,
