@@ -37,71 +37,87 @@ from ..session import new_location
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 NO_ID = -(1 << 63)
-CACHE_ENTRIES = 1 << 20
+CACHE_ENTRIES = 1 << 19
 # Cutting before a space changes nothing unless white space is on both of its sides.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
-# Letters of these blocks and these marks are never in one piece of the tokenizer.
-_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]+)")
+# Words of these letters, these marks and single line breaks are pieces of their own
+# for the tokenizer, in this order and without space between them.
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[.,!?;:]"
+_PLAIN_PIECE = re.compile(rf"( ?{_LETTER}+)?( ?{_MARK}+)?(?:(\n)({_LETTER}+)({_MARK}+)?)?")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level tokenizer has for each byte: the byte's own if it
+    is printed, else the next one from 256 on."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+class _Pieces(dict):
+    """The packed ids of pieces of text, each worked out once while it is remembered.
+
+    Keys lack the ``prefix`` that all pieces here begin with.
+    """
+
+    _LETTERS = _byte_letters()
+
+    def __init__(self, tokenizer, kind: str, prefix: str, parts: dict[str, bytes]):
+        super().__init__()
+        self._tokenizer, self._kind, self._prefix, self._parts = tokenizer, kind, prefix, parts
+
+    def whole(self, text: str) -> bytes:
+        found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, dtype=self._kind).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        known = self._parts.get(part)
+        if known is None:
+            letters = part.encode().decode("latin-1").translate(self._LETTERS)
+            ids = [t.id for t in self._tokenizer.model.tokenize(letters)]
+            self._parts[part] = known = np.array(ids, dtype=self._kind).tobytes()
+        return known
+
+    def __missing__(self, piece: str) -> bytes:
+        text = self._prefix + piece
+        plain = _PLAIN_PIECE.fullmatch(text)
+        ids = b"".join([self._part(p) for p in plain.groups() if p]) if plain else self.whole(text)
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
-    """Encodes whole texts with a cache of pieces.
+    """Encodes whole texts, remembering pieces.
 
     A byte-level tokenizer of this kind splits a text before a space that follows
     something else than white space, so the ids of a text are those of its pieces in
     a row.  Texts for which that does not hold are encoded in one.
     """
 
+    _made: dict[tuple[str, str], Encoder] = {}
+
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
-        self._tokenizer = Tokenizer.from_file(path)
-        self._kind = kind
-        self._cache: dict[str, bytes] = {}
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self._kind).tobytes() for e in found]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Put pieces into the cache, words before their marks only once."""
-        if len(self._cache) + len(pieces) > CACHE_ENTRIES:
-            self._cache.clear()
-        cache, marked, plain = self._cache, [], []
-        for piece in pieces:
-            parts = _WORD_AND_MARKS.fullmatch(piece)
-            if parts:
-                marked.append((piece, parts[1], parts[2]))
-            else:
-                plain.append(piece)
-        known = set(plain)
-        for _, word, marks in marked:
-            known.update(p for p in (word, marks) if p not in cache)
-        new = list(known)
-        cache.update(zip(new, self._packed(new), strict=True))
-        for piece, word, marks in marked:
-            cache[piece] = cache[word] + cache[marks]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            if _UNSAFE.search(text):
-                split.append(None)
-                continue
-            head, *rest = text.split(" ")
-            split.append([head, *map(" ".__add__, rest)] if rest else [head])
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
-            if pieces is None:
-                out.append(self._packed([text])[0])
-                continue
-            missing = set(pieces).difference(self._cache)
-            if missing:
-                if len(self._cache) + len(missing) > CACHE_ENTRIES:
-                    missing = set(pieces)
-                self._learn(missing)
-            out.append(b"".join(map(self._cache.__getitem__, pieces)))
-        return out
+        tokenizer, self._parts = Tokenizer.from_file(path), {}
+        self._first = _Pieces(tokenizer, kind, "", self._parts)
+        self._rest = _Pieces(tokenizer, kind, " ", self._parts)
+
+    @classmethod
+    def of(cls, path: str, kind: str) -> Encoder:
+        """The encoder of this process, which keeps what it knows between tasks."""
+        if (path, kind) not in cls._made:
+            cls._made[path, kind] = cls(path, kind)
+        return cls._made[path, kind]
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, packed."""
+        for known in (self._first, self._rest, self._parts):
+            if len(known) > CACHE_ENTRIES:
+                known.clear()
+        if _UNSAFE.search(text):
+            return self._first.whole(text)
+        first, *rest = text.split(" ")
+        return self._first[first] + b"".join(map(self._rest.__getitem__, rest))
 
 
 # --- files ----------------------------------------------------------------------
@@ -164,7 +180,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _open(folder)
-        encoder, open_part, file, attempt = Encoder(path, kind), None, None, None
+        encoder, open_part, file, attempt = Encoder.of(path, kind), None, None, None
         lengths, ids = [], []
 
         def finished() -> pd.DataFrame:
@@ -184,7 +200,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
                     open_part, lengths, ids = int(part), [], []
                     attempt = posixpath.join(root, f"{_name(open_part)}.{uuid.uuid4().hex}")
                     file = store.open_output_stream(attempt)
-                packed = [ids_of + end for ids_of in encoder.encode(rows["text"].tolist())]
+                packed = [encoder.encode(text) + end for text in rows["text"]]
                 file.write(b"".join(packed))
                 lengths.append(np.fromiter(map(len, packed), dtype=np.int64) // step)
                 ids.append(rows["doc_id"].astype("Int64").fillna(NO_ID).to_numpy(dtype=np.int64))
