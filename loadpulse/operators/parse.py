@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from .. import constants as K
 from .. import schemas
 from ..functions import timing
-from ..session import new_location
 
 _RECORDS = T.ArrayType(schemas.TRANSACTION)
 # The same records with every field as text: a field that is absent (null text)
@@ -25,15 +24,12 @@ _MAY_BE_ABSENT = ["workload_id"]
 def _array_of(schema: T.ArrayType) -> Column:
     """The array of a message, or null if its text is not one JSON array.
 
-    The JSON reader also takes a bare object and ignores text after the array,
-    hence the look at both ends.
+    The JSON reader stops at the end of the first value, so text after an array would
+    go unseen.  The message is therefore read as the first of two elements: whatever
+    follows its array makes the whole unreadable or more than two.
     """
-    def bracketed(text: Column) -> Column:
-        return text.startswith("[") & text.endswith("]")
-
-    # Trimming walks the whole text, so it is left to texts that need it.
-    trimmed = F.btrim("data", F.lit(" \t\r\n"))
-    return F.when(bracketed(F.col("data")) | bracketed(trimmed), F.from_json("data", schema))
+    both = F.from_json(F.concat(F.lit("["), F.col("data"), F.lit(",[]]")), T.ArrayType(schema))
+    return F.when(F.size(both) == 2, both[0])
 
 
 def _doubtful(items: Column) -> Column:
@@ -57,7 +53,8 @@ def _usable(record: Column) -> Column:
     for name in _NUMBERS:
         usable = usable & (record[name].isNull() | record[name].try_cast("double").isNotNull())
     success = record["success"]
-    return usable & (success.isNull() | F.lower(success).isin("true", "false"))
+    return F.coalesce(
+        usable & (success.isNull() | F.lower(success).isin("true", "false")), F.lit(False))
 
 
 def _typed(record: Column) -> Column:
@@ -73,25 +70,33 @@ def _typed(record: Column) -> Column:
     return F.struct(*columns)
 
 
+def _element(text: Column) -> Column:
+    """One element of an array: its text, and its fields as text if it is an object."""
+    record = F.when(text.startswith("{"), F.from_json(text, _TEXT_RECORD))
+    return F.struct(text.alias("text"), record.alias("record"))
+
+
 def _with_items(messages: DataFrame) -> DataFrame:
-    """Messages with their typed ``items`` and, for doubtful ones, ``texts``.
+    """Messages with their typed ``items`` and, for doubtful ones, their ``elements``.
 
-    Reading by type is the fast path; the second reading happens only for the
-    messages that need it.
+    Reading by type is the fast path; the second reading, element by element, happens
+    only for the messages that need it.
     """
     read = messages.select("publish_time", "data", _array_of(_RECORDS).alias("items"))
-    return read.withColumn("doubtful", _doubtful(F.col("items"))).withColumn(
-        "texts", F.when(F.col("doubtful"), _array_of(T.ArrayType(_TEXT_RECORD))))
+    doubtful = read.withColumn("doubtful", _doubtful(F.col("items")))
+    elements = F.when(F.col("doubtful"), _array_of(T.ArrayType(T.StringType())))
+    return doubtful.withColumn("elements", F.transform(elements, _element))
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
     """One row per usable record; each inherits its message's publish time.
 
-    An absent number is 0 and an absent ``success`` is a failure.  A record with
-    a field of the wrong type, or without job or operation, is left out here and
-    shows up in ``quarantine``; its neighbours in the array are not affected.
+    An absent number is 0 and an absent ``success`` is a failure.  An element that is
+    no object, has a field of the wrong type, or lacks job or operation, is left out
+    here and shows up in ``quarantine``; its neighbours in the array are not affected.
     """
-    repaired = F.transform(F.filter("texts", _usable), _typed)
+    usable = F.filter("elements", lambda e: _usable(e["record"]))
+    repaired = F.transform(usable, lambda e: _typed(e["record"]))
     records = F.when(F.col("doubtful"), repaired).otherwise(F.col("items"))
     # The outer form keeps messages without records for a moment.  The plain form
     # has the optimizer test the array's size below, which reads every text twice.
@@ -106,42 +111,48 @@ def quarantine(messages: DataFrame) -> DataFrame:
     """What ``parse_messages`` leaves out, kept with the reason.
 
     A message that is no JSON array is one row with its whole text; an unusable
-    record is one row with the record's text.
+    element is one row with the element's text.
     """
-    unreadable = F.col("doubtful") & F.col("texts").isNull()
-    nothing = F.array(F.lit(None).cast(_TEXT_RECORD))
-    rejected = F.when(unreadable, nothing).otherwise(
-        F.filter("texts", lambda record: ~_usable(record)))
+    unreadable = F.col("doubtful") & F.col("elements").isNull()
+    whole = F.array(F.col("data"))
+    unusable = F.transform(F.filter("elements", lambda e: ~_usable(e["record"])),
+                           lambda e: F.coalesce(e["text"], F.lit("null")))
     return (
         _with_items(messages)
-        .select("publish_time", "data", unreadable.alias("unreadable"), rejected.alias("rejected"))
-        .select("publish_time", "data", "unreadable",
-                F.posexplode_outer("rejected").alias("place", "record"))
+        .select("publish_time", unreadable.alias("unreadable"),
+                F.when(unreadable, whole).otherwise(unusable).alias("rejected"))
+        .select("publish_time", "unreadable", F.posexplode_outer("rejected").alias("place", "payload"))
         .where(F.col("place").isNotNull())
-        .select(
-            "publish_time",
-            F.when(F.col("unreadable"), F.col("data"))
-             .otherwise(F.coalesce(F.to_json("record"), F.lit("null"))).alias("payload"),
-            F.when(F.col("unreadable"), "message").otherwise("record").alias("rejected"),
-        )
+        .select("publish_time", "payload",
+                F.when(F.col("unreadable"), "message").otherwise("record").alias("rejected"))
     )
 
 
+def _object_of(schema: T.StructType) -> Column:
+    """The object of a message, or null if its text is not one JSON object that has
+    every field of the schema with its type."""
+    both = F.from_json(F.concat(F.lit("["), F.col("data"), F.lit(",{}]")), T.ArrayType(schema))
+    record = both[0]
+    whole = (F.size(both) == 2) & record.isNotNull()
+    for name in schema.fieldNames():
+        whole = whole & record[name].isNotNull()
+    return F.when(whole, record)
+
+
 def parse_objects(
     messages: DataFrame, schema: T.StructType = schemas.PROTOTYPE_TRANSACTION, strict: bool = True
 ) -> DataFrame:
-    """One row per message that holds a single JSON object.
+    """One row per message that holds a single JSON object with all fields.
 
-    ``strict`` fails the job on text that does not fit the schema; otherwise such
-    messages are left out (and ``quarantine_objects`` keeps them).
+    ``strict`` fails the job on any other text; otherwise such messages are left out
+    (and ``quarantine_objects`` keeps them).
     """
+    record = _object_of(schema)
     if strict:
-        record = F.from_json("data", schema, {"mode": "FAILFAST"})
-        return messages.select("publish_time", record.alias("r")).select("publish_time", "r.*")
-    record = _object_or_corrupt(schema)
+        fault = F.raise_error(F.concat(F.lit("MALFORMED object: "), F.coalesce("data", F.lit("null"))))
+        record = F.coalesce(record, fault.cast(schema))
     return (
-        messages.select("publish_time", record.alias("r"))
-        .where(F.col("r").isNotNull() & F.col("r._corrupt").isNull())
+        messages.select("publish_time", record.alias("r")).where(F.col("r").isNotNull())
         .select("publish_time", *[f"r.{name}" for name in schema.fieldNames()])
     )
 
@@ -150,77 +161,26 @@ def quarantine_objects(
     messages: DataFrame, schema: T.StructType = schemas.PROTOTYPE_TRANSACTION
 ) -> DataFrame:
     """Messages that are not one JSON object of the schema."""
-    record = _object_or_corrupt(schema)
-    return (
-        messages.withColumn("r", record)
-        .where(F.col("r").isNull() | F.col("r._corrupt").isNotNull())
-        .select("publish_time", "data")
-    )
-
-
-def _object_or_corrupt(schema: T.StructType) -> Column:
-    marked = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
-    return F.from_json("data", marked, {"columnNameOfCorruptRecord": "_corrupt"})
+    return messages.where(_object_of(schema).isNull()).select("publish_time", "data")
 
 
 def batch_messages(
-    records: DataFrame, interval: str = K.PUBLISH_INTERVAL, max_records: int = 10_000
+    records: DataFrame, interval: str = K.PUBLISH_INTERVAL, parts: int = 1
 ) -> DataFrame:
-    """One JSON-array message per interval that has records.
+    """One JSON-array message per interval and publisher that has records.
 
-    An interval with more than ``max_records`` records becomes several messages of
-    about that size, so no task has to hold a whole interval; every record is in
-    exactly one message.  Record counts per interval are taken first and stored:
-    without crowded intervals, which is the rule, the records are shuffled once.
+    Publishers (``workload_id``) have queues of their own.  With ``parts`` every
+    interval of every publisher is dealt into so many messages alike, by a hash of the
+    record and the place where it is read, so copies are dealt out too.
     """
     fields = schemas.TRANSACTION.fieldNames()
+    place = F.lit(0) if parts == 1 else F.pmod(
+        F.xxhash64(*fields, F.monotonically_increasing_id()), F.lit(parts))
     slotted = records.select(
-        F.window("publish_time", interval)["start"].alias("interval_start"),
-        F.struct(*fields).alias("record"),
-    )
-    spark = records.sparkSession
-    path = new_location(spark, "crowded")
-    (slotted.groupBy("interval_start").agg(F.count("*").alias("total"))
-        .where(F.col("total") > max_records)
-        .select("interval_start", F.ceil(F.col("total") / max_records).alias("messages"))
-        .write.parquet(path))
-    crowded = spark.read.parquet(path)
-
-    def message(records_of_group: Column) -> list[Column]:
-        return [F.col("interval_start").alias("publish_time"),
-                F.to_json(F.sort_array(records_of_group)).alias("data")]
-
-    if crowded.isEmpty():
-        return slotted.groupBy("interval_start").agg(
-            F.collect_list("record").alias("records")).select(*message(F.col("records")))
-
-    calm = slotted.join(crowded, "interval_start", "left_anti").groupBy("interval_start").agg(
-        F.collect_list("record").alias("records"))
-    split = _dealt_out(slotted.join(crowded, "interval_start"), max_records).groupBy(
-        "interval_start", "part").agg(
-            F.flatten(F.collect_list(F.array_repeat("record", F.col("times")))).alias("records"))
-    return calm.select(*message(F.col("records"))).unionByName(
-        split.select(*message(F.col("records"))))
-
-
-def _dealt_out(slotted: DataFrame, max_records: int) -> DataFrame:
-    """Records of crowded intervals with the ``part`` of the interval they go to.
-
-    Copies of a record are counted before they are shuffled and dealt out in
-    pieces, so that a much repeated record does not end up in one message.
-    """
-    copies = slotted.groupBy("interval_start", "messages", "record").agg(
-        F.count("*").alias("copies"))
-    last_piece = F.floor((F.col("copies") - 1) / max_records)
-    return (
-        copies.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last_piece)))
-        .select(
-            "interval_start", "record",
-            F.pmod(F.xxhash64("record", "piece"), F.col("messages")).alias("part"),
-            F.least(F.lit(max_records), F.col("copies") - F.col("piece") * max_records)
-             .cast("int").alias("times"),
-        )
-    )
+        F.window("publish_time", interval)["start"].alias("publish_time"),
+        "workload_id", place.alias("part"), F.struct(*fields).alias("record"))
+    return slotted.groupBy("publish_time", "workload_id", "part").agg(
+        F.to_json(F.sort_array(F.collect_list("record"))).alias("data")).drop("part")
 
 
 def compose_key(records: DataFrame) -> DataFrame:

@@ -38,29 +38,21 @@ def windowed_latency_failure(
     )
 
 
-_PROTOTYPE_SQL = """
-    SELECT CAST(avg(latency) AS FLOAT) AS average_latency,
-           CAST(sum(CAST(failed AS FLOAT)) / count(1) AS FLOAT) AS failure_percent,
-           query_action,
-           unix_millis(w.end) - 1 AS timestamp
-    FROM (
-        SELECT window(publish_time, '{width}') AS w,
-               CAST(connection_end AS FLOAT) - CAST(connection_start AS FLOAT) AS latency,
-               CASE success WHEN true THEN 0 ELSE 1 END AS failed,
-               transaction_type AS query_action
-        FROM {{records}}
-    )
-    GROUP BY w, query_action
-"""
-
-
 def sql_windowed_latency(records: DataFrame, width: str = K.PROTOTYPE_WINDOW) -> DataFrame:
     """The SQL prototype's result per window and action.
 
     Averages connection time over all rows, and gives failures as a fraction of
     one under the name ``failure_percent``.
     """
-    return records.sparkSession.sql(_PROTOTYPE_SQL.format(width=width), records=records)
+    window = F.window("publish_time", width).alias("w")
+    return (
+        records.groupBy(window, F.col("transaction_type").alias("query_action"))
+        .agg(F.avg(timing.prototype_latency()).alias("latency"),
+             F.avg(timing.failure_flag(F.col("success"))).alias("failed"))
+        .select(F.col("latency").cast("float").alias("average_latency"),
+                F.col("failed").cast("float").alias("failure_percent"),
+                "query_action", timing.window_timestamp(F.col("w")).alias("timestamp"))
+    )
 
 
 def run_throughput(records: DataFrame) -> DataFrame:

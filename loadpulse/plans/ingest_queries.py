@@ -41,22 +41,19 @@ def txn_stream_source(t: Tables):
 @query("txn_batch_source", check="""
     select cast(epoch_us(max(publish_time)) as bigint) as publish_us,
            count(*) as records, count(*) filter (not success) as failures,
-           min(connection_start) as first_start, max(connection_start) as last_start
+           min(connection_start) as first_start, max(connection_end) as last_end,
+           round(sum(transaction_end - transaction_start), 6) as busy
     from txn_packed group by message_id
 """)
 def txn_batch_source(t: Tables):
     path = new_location(t.spark, "messages")
     t.packed_messages.write.parquet(path)
-    messages = sources.read_messages(t.spark, path)
-    records = F.from_json("data", "array<struct<success:boolean,connection_start:double>>")
-    starts = F.transform("r", lambda x: x["connection_start"])
-    return messages.select("publish_time", records.alias("r")).select(
-        F.unix_micros("publish_time").alias("publish_us"),
-        F.size("r").cast("bigint").alias("records"),
-        F.size(F.filter("r", lambda x: ~x["success"])).cast("bigint").alias("failures"),
-        F.array_min(starts).alias("first_start"),
-        F.array_max(starts).alias("last_start"),
-    )
+    records = parse.parse_messages(sources.read_messages(t.spark, path))
+    return records.groupBy(F.unix_micros("publish_time").alias("publish_us")).agg(
+        F.count("*").alias("records"),
+        F.count(F.when(~F.col("success"), 1)).alias("failures"),
+        F.min("connection_start").alias("first_start"), F.max("connection_end").alias("last_end"),
+        F.round(F.sum(fn.latency()), 6).alias("busy"))
 
 
 @query("parse_txn_array", check=_PACKED_CHECK)
@@ -64,29 +61,42 @@ def parse_txn_array(t: Tables):
     return _with_micros(parse.parse_messages(t.packed_messages))
 
 
+# What happens to a message's text on the way, by the remainder of its event's id.
+DAMAGE_KINDS = 10
+_DAMAGED_WHOLE, _DAMAGED_RECORD = (0, 1, 3, 4, 6, 7), (2, 5)
+OUTCOME_CHECK = f"""case when event_id % {DAMAGE_KINDS} in {_DAMAGED_WHOLE} then 'message'
+                         when event_id % {DAMAGE_KINDS} in {_DAMAGED_RECORD} then 'record' end"""
+
+
 def damaged_messages(t: Tables, events):
-    """Messages of one record each, three of five kinds damaged on the way.
+    """Messages of one record each, eight of ten kinds damaged on the way.
 
-    A text is cut short, or is a bare object, or has a number for ``success``.
+    A text is cut short, is a bare object, has a number for ``success``, has a second
+    array or other text behind it, has an element that is no object beside the record,
+    is empty, or null.
     """
     txn = t.view("txn", events=events)
     record = F.struct(*schemas.TRANSACTION.fieldNames())
-    whole = txn.select("publish_time", F.pmod("event_id", F.lit(5)).alias("kind"),
+    whole = txn.select("publish_time", F.pmod("event_id", F.lit(DAMAGE_KINDS)).alias("kind"),
                        F.to_json(F.array(record)).alias("data"))
+    inner = F.substr("data", F.lit(2), F.length("data") - 2)
     data = (
         F.when(F.col("kind") == 0, F.substr("data", F.lit(1), F.length("data") - 3))
-        .when(F.col("kind") == 1, F.substr("data", F.lit(2), F.length("data") - 2))
+        .when(F.col("kind") == 1, inner)
         .when(F.col("kind") == 2, F.regexp_replace("data", '"success":(true|false)', '"success":7'))
+        .when(F.col("kind") == 3, F.concat("data", "data"))
+        .when(F.col("kind") == 4, F.concat("data", F.lit(" x ]")))
+        .when(F.col("kind") == 5, F.concat(F.lit("["), inner, F.lit(",5]")))
+        .when(F.col("kind") == 6, F.lit(""))
+        .when(F.col("kind") == 7, F.lit(None).cast("string"))
         .otherwise(F.col("data"))
     )
     return whole.select("publish_time", data.alias("data"))
 
 
-@query("parse_txn_quarantine", check="""
-    select epoch_us(ts) as publish_us,
-           case when event_id % 5 = 2 then 'record'
-                when event_id % 5 < 2 then 'message' end as rejected
-    from events where event_id % 5 <= 2
+@query("parse_txn_quarantine", check=f"""
+    select epoch_us(ts) as publish_us, {OUTCOME_CHECK} as rejected
+    from events where event_id % {DAMAGE_KINDS} < 8
 """)
 def parse_txn_quarantine(t: Tables):
     return parse.quarantine(damaged_messages(t, t.given("events"))).select(
@@ -162,7 +172,7 @@ def timing_fallback(t: Tables):
 
 @query("batch_messages", check=f"""
     select {_RECORD}, epoch_us(publish_time) // 500000 * 500 as interval_ms,
-           count(*) over (partition by epoch_us(publish_time) // 500000) as in_message
+           count(*) over (partition by epoch_us(publish_time) // 500000, workload_id) as in_message
     from txn
 """)
 def batch_messages(t: Tables):

@@ -10,7 +10,7 @@ from ..operators import charts, parse, promote, quality, requests, windows
 from ..session import new_location
 from ..sources import stores
 from ..streaming import jobs as streaming
-from .ingest_queries import damaged_messages, stream_of_messages
+from .ingest_queries import DAMAGE_KINDS, OUTCOME_CHECK, damaged_messages, stream_of_messages
 from .registry import query, rounded
 from .views import SERIES_WIDTH, SERIES_WIDTH_US, STRICT_Z, Tables, series_check
 
@@ -485,11 +485,13 @@ def stream_sql_windowed_latency(t: Tables):
     return t.spark.read.schema(results.schema).parquet(path)
 
 
-@query("stream_parse_quarantine", check="""
-    select case when event_id % 5 < 2 then 'message' when event_id % 5 = 2 then 'record'
-                else 'accepted' end as outcome, job_id, epoch_us(publish_time) as publish_us
-    from (select event_id, publish_time, case when event_id % 5 > 2 then job_id end as job_id
-          from txn)
+@query("stream_parse_quarantine", check=f"""
+    select {OUTCOME_CHECK} as outcome, cast(null as varchar) as job_id,
+           epoch_us(publish_time) as publish_us
+    from txn where event_id % {DAMAGE_KINDS} < 8
+    union all
+    select 'accepted', job_id, epoch_us(publish_time) from txn
+    where event_id % {DAMAGE_KINDS} >= 8 or event_id % {DAMAGE_KINDS} = 5
 """)
 def stream_parse_quarantine(t: Tables):
     good, bad = new_location(t.spark, "records"), new_location(t.spark, "rejects")
@@ -516,11 +518,3 @@ def stream_lease_sweep(t: Tables):
     ).awaitTermination()
     # A resource stays in the sweep set until it is cleaned: take each once.
     return t.spark.read.parquet(path).drop("sweep").distinct()
-
-
-@query("console_sink")
-def console_sink(t: Tables):
-    results = streaming.stream_windowed_latency_failure(stream_of_messages(t), SERIES_WIDTH)
-    # The console shows a few rows of each batch; what comes back is the whole result.
-    streaming.start_console(results, new_location(t.spark, "progress")).awaitTermination()
-    return rounded(t.series, "average_latency")

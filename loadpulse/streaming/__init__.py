@@ -1,7 +1,6 @@
 from .jobs import (  # noqa: F401
     heartbeat,
     read_latest_series,
-    start_console,
     start_lease_sweep,
     start_parse_with_quarantine,
     start_series_sink,

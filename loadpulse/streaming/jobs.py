@@ -138,11 +138,3 @@ def start_lease_sweep(
         ticks.writeStream.foreachBatch(sweep)
         .option("checkpointLocation", checkpoint).trigger(**_trigger(interval)).start()
     )
-
-
-def start_console(series: DataFrame, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Print each result."""
-    return (
-        series.writeStream.format("console").outputMode("append").option("truncate", False)
-        .option("checkpointLocation", checkpoint).trigger(**_trigger(interval)).start()
-    )

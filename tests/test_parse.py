@@ -30,7 +30,7 @@ def test_every_record_of_an_array_is_a_row_with_the_message_time(make_messages):
 
 @pytest.mark.parametrize("text", [
     json.dumps(record()), "", "   ", '[{"job_id": "a"', "not json", None, "null", "7",
-    '[{"job_id": "a"}] and more', "[[1]]",
+    '[{"job_id": "a"}] and more', '[{"job_id": "a"}][{"job_id": "b"}]', "[1],[2]", "[1]]x[2]", '[],"b":[]',
 ])
 def test_unreadable_messages_give_no_records_and_one_reject(make_messages, text):
     messages = make_messages((0, text))
@@ -67,6 +67,24 @@ def test_a_bad_field_costs_only_its_own_record(make_messages):
     assert sorted(json.loads(r.payload)["job_id"] for r in rejects) == ["b", "c"]
 
 
+def test_an_element_that_is_no_object_costs_only_itself(make_messages):
+    good = json.dumps(record())
+    messages = make_messages((0, f"[{good},5]"), (1, f'["x",{good}]'), (2, f"[{good},[1],{good}]"),
+                             (3, f"[[{good}]]"))
+    assert parse.parse_messages(messages).count() == 4
+    rejects = parse.quarantine(messages).collect()
+    assert sorted(r.payload for r in rejects if r.publish_time.second < 3) == ["5", "[1]", "x"]
+    assert [r.rejected for r in rejects] == ["record"] * 4
+
+
+def test_text_behind_an_array_rejects_the_whole(make_messages):
+    good = json.dumps([record()])
+    for text in (good + good, good + " x ]", good + "," + good, good + ",[]"):
+        messages = make_messages((0, text))
+        assert parse.parse_messages(messages).count() == 0
+        assert [r.payload for r in parse.quarantine(messages).collect()] == [text]
+
+
 def test_records_without_job_or_operation_and_null_records_are_rejected(make_messages):
     text = json.dumps([record(job_id="absent"), record(operation="absent"), None, record()])
     messages = make_messages((0, text))
@@ -87,17 +105,27 @@ def test_records_and_rejects_add_up(make_messages):
     assert parse.quarantine(messages).count() == 2
 
 
-def test_objects_strict_and_lenient(make_messages):
-    good = json.dumps(dict(connection_start=0, transaction_start=1, transaction_end=2,
-                           connection_end=4, success=True, database_type="d",
-                           transaction_type="read", load_id=1))
-    messages = make_messages((0, good), (1, '{"connection_start": "x"}'), (2, "nothing"))
+GOOD_OBJECT = json.dumps(dict(connection_start=0, transaction_start=1, transaction_end=2,
+                              connection_end=4, success=True, database_type="d",
+                              transaction_type="read", load_id=1))
+BAD_OBJECTS = ['{"connection_start": "x"}', "nothing", "", None, "{}", GOOD_OBJECT + GOOD_OBJECT,
+               GOOD_OBJECT + " junk", f"[{GOOD_OBJECT}]", f"{GOOD_OBJECT},{GOOD_OBJECT}",
+               GOOD_OBJECT.replace(', "load_id": 1', "")]
+
+
+def test_lenient_objects_leave_out_what_is_not_one_whole_object(make_messages):
+    messages = make_messages((0, GOOD_OBJECT), *enumerate(BAD_OBJECTS, 1))
     lenient = parse.parse_objects(messages, strict=False).collect()
     assert [(r.connection_end, r.transaction_type) for r in lenient] == [(4, "read")]
-    assert sorted(r.data for r in parse.quarantine_objects(messages).collect()) == [
-        "nothing", '{"connection_start": "x"}']
-    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
-        parse.parse_objects(messages, strict=True).collect()
+    rejects = [r.data for r in parse.quarantine_objects(messages).collect()]
+    assert sorted(rejects, key=str) == sorted(BAD_OBJECTS, key=str)
+
+
+@pytest.mark.parametrize("text", BAD_OBJECTS)
+def test_strict_objects_fail_the_job(make_messages, text):
+    assert parse.parse_objects(make_messages((0, GOOD_OBJECT))).count() == 1
+    with pytest.raises(Exception, match="MALFORMED"):
+        parse.parse_objects(make_messages((0, text))).collect()
 
 
 def test_keys_split_at_the_first_dash(spark):
@@ -127,17 +155,20 @@ def test_one_message_per_interval(make_records):
     assert content(parsed) == content(records)
 
 
-def test_crowded_intervals_are_split_and_lose_nothing(make_records):
-    distinct = [(0.1, f"job-{i}", "read", True, float(i), i + 1.0) for i in range(300)]
-    copies = [(0.2, "copied", "write", True, 1.0, 2.0)] * 200
-    records = make_records(*distinct, *copies, (1.0, "a", "read", True, 1.0, 2.0))
-    messages = parse.batch_messages(records, max_records=50)
-    sizes = unpacked(messages).select("publish_time", "n").distinct().count()
-    assert sizes > 1
-    per_message = messages.select(F.size(F.from_json("data", "array<string>")).alias("n")).collect()
-    # The copies are dealt out: no message holds them all.
-    assert max(r.n for r in per_message) < 200
-    assert content(unpacked(messages)) == content(records)
+def test_publishers_have_messages_of_their_own(make_records):
+    records = make_records((0.1, "a", "read", True, 1.0, 2.0), (0.2, "b", "read", True, 1.0, 2.0))
+    records = records.withColumn("workload_id", F.col("job_id"))
+    assert parse.batch_messages(records).count() == 2
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_messages_do_not_depend_on_how_many_records_there_are(make_records, parts):
+    one = make_records((0.1, "a", "read", True, 1.0, 2.0))
+    for copies in (10_000, 10_001):
+        records = one.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("i")
+        messages = parse.batch_messages(records, parts=parts)
+        assert messages.count() == parts
+        assert unpacked(messages).count() == copies
 
 
 def test_latency_of_a_transaction_that_never_began(spark):

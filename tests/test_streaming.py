@@ -156,12 +156,3 @@ def test_heartbeat_closes_the_newest_window(spark, feed, folder):
     finally:
         query.stop()
     assert [r.timestamp for r in sources.read_series(spark, folder("series")).collect()] == [T0_MS + 999]
-
-
-def test_console(spark, feed, folder):
-    feed((0, message()))
-    feed(CLOSING)
-    query = streaming.start_console(
-        streaming.stream_windowed_latency_failure(feed.stream()), folder("progress"))
-    query.awaitTermination()
-    assert query.exception() is None
