@@ -86,48 +86,3 @@ ARTISTS = [
     (21, "Karson", 22),
     (22, "Yasmin", 71),
 ]
-
-# --- synthetic series ------------------------------------------------------
-# Base latency in seconds: (read, write) per key prefix.
-BASE_LATENCY = {
-    "sql": (0.0008, 0.001),
-    "sqlrep": (0.0008, 0.006),
-    "spanner": (0.002, 0.01),
-}
-
-# Latency multipliers over ten steps, per intensity.  All types share the reads;
-# the types without a replica share the writes.
-READ_DECLINE = {
-    1: [0, 0, 0, 0, 0, 0, 0, 0, 1, 2],
-    2: [0, 0, 0, 0, 0, 1, 1, 2, 3, 4],
-    3: [0, 0, 1, 1, 2, 3, 4, 4, 5, 7],
-}
-WRITE_DECLINE = {
-    1: [0, 0, 0, 0, 0, 0, 0, 1, 1, 2],
-    2: [0, 0, 0, 0, 1, 1, 2, 3, 4, 6],
-    3: [0, 1, 2, 2, 3, 4, 5, 7, 9, 10],
-}
-REPLICA_WRITE_DECLINE = {
-    1: [0, 0, 0, 0, 0, 1, 1, 1, 2, 2],
-    2: [0, 0, 1, 1, 2, 2, 3, 4, 6, 7],
-    3: [1, 2, 3, 4, 5, 5, 7, 9, 10, 10],
-}
-
-# Failure percentage over ten steps, per key prefix and intensity.
-FAILURE = {
-    "sql": {
-        1: [0, 0, 0, 0, 0, 0, 0, 0, 0, 5],
-        2: [0, 0, 0, 0, 0, 0, 0, 5, 5, 10],
-        3: [0, 0, 0, 0, 5, 5, 10, 20, 50, 100],
-    },
-    "sqlrep": {
-        1: [0, 0, 0, 0, 0, 0, 0, 5, 5, 10],
-        2: [0, 0, 0, 0, 0, 5, 10, 15, 25, 35],
-        3: [0, 0, 0, 5, 10, 15, 25, 35, 75, 100],
-    },
-    "spanner": {
-        1: [0, 0, 0, 0, 0, 0, 0, 0, 0, 0],
-        2: [0, 0, 0, 0, 0, 0, 0, 1, 3, 2],
-        3: [0, 0, 4, 2, 2, 5, 3, 4, 5, 4],
-    },
-}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import stores
+
 
 def series_ordered(series: DataFrame) -> DataFrame:
     """Series rows in time order, job by job."""
@@ -34,7 +36,7 @@ def chart_series(series: DataFrame, by: list[str], seed: object | None = None) -
                  F.col("failure_percent").cast("double").alias("y")),
     ))
     return (
-        wanted.join(start, by)
+        wanted.join(stores.stored(start, "starts"), by)
         .select(*by, ((F.col("timestamp") - F.col("start")) / 1000).alias("x"), points.alias("p"))
         .select(*by, "p.line", "x", "p.y")
     )

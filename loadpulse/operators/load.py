@@ -33,7 +33,7 @@ def load_segments(jobs: DataFrame, operation: str) -> DataFrame:
         jobs.select(
             "job_id",
             F.lit(operation).alias("operation"),
-            codes.intensity_multiplier(F.col("read_intensity")).alias("pods"),
+            codes.intensity_multiplier(F.col(f"{operation}_intensity")).alias("pods"),
             plan.alias("plan"),
         )
         .select("*", F.posexplode("plan").alias("segment", "s"))

@@ -151,10 +151,10 @@ def parse_objects(
     if strict:
         fault = F.raise_error(F.concat(F.lit("MALFORMED object: "), F.coalesce("data", F.lit("null"))))
         record = F.coalesce(record, fault.cast(schema))
-    return (
-        messages.select("publish_time", record.alias("r")).where(F.col("r").isNotNull())
-        .select("publish_time", *[f"r.{name}" for name in schema.fieldNames()])
-    )
+    # Unfolding first keeps the filter above a stream's watermark, so a message that is
+    # left out moves it all the same.
+    return messages.select("publish_time", F.inline_outer(F.array(record))).where(
+        F.col(schema.fieldNames()[0]).isNotNull())
 
 
 def quarantine_objects(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 POOL = ["database_type", "database_size"]
+CONNECTION = ["connection_string", "replica_ip"]
 EXPIRY_OF_NEW = -10  # seconds relative to now: a new resource counts as expired
 
 
@@ -42,9 +43,9 @@ def lease_candidate(resources: DataFrame) -> DataFrame:
     candidate, even if others are ready.  ``expiry`` is the one before leasing.
     """
     earliest = resources.groupBy(*POOL).agg(
-        F.min(F.struct("expiry", "resource_id", "status")).alias("first"))
+        F.min(F.struct("expiry", "resource_id", "status", *CONNECTION)).alias("first"))
     return earliest.where(F.col("first.status") == "ready").select(
-        *POOL, "first.resource_id", "first.expiry")
+        *POOL, "first.resource_id", "first.expiry", *[f"first.{name}" for name in CONNECTION])
 
 
 def pool_status(resources: DataFrame) -> DataFrame:

@@ -18,8 +18,13 @@ class SeedInUse(ValueError):
 
 
 def not_already_cached(candidates: DataFrame, cached: DataFrame) -> DataFrame:
-    """Candidates whose location is still empty."""
-    return candidates.join(cached.select(*LOCATION).distinct(), LOCATION, "left_anti")
+    """Candidates whose location is still empty.
+
+    The cache is asked about the candidates' locations only: these are few, so their
+    broadcast prunes its folders.
+    """
+    taken = cached.join(candidates.select(*LOCATION).distinct(), LOCATION, "left_semi")
+    return candidates.join(taken.select(*LOCATION).distinct(), LOCATION, "left_anti")
 
 
 def first_wins(verdicts: DataFrame) -> DataFrame:
@@ -32,7 +37,8 @@ def first_wins(verdicts: DataFrame) -> DataFrame:
 
 def promoted_rows(series: DataFrame, verdicts: DataFrame, cached: DataFrame) -> DataFrame:
     """The series rows to append to a cache: first passing job per empty location."""
-    winners = not_already_cached(first_wins(verdicts), cached)
+    candidates = stores.stored(first_wins(verdicts), "candidates")
+    winners = stores.stored(not_already_cached(candidates, cached), "winners")
     return series.join(winners, "job_id")
 
 
@@ -83,7 +89,7 @@ def promote_with_seed(spark: SparkSession, stage_path: str, live_path: str, seed
     live = _cache_or_empty(spark, live_path)
     if not seed_conflicts(staged, live, seed).isEmpty():
         raise SeedInUse(f"live cache already has rows with seed {seed}")
-    stores.append_partitioned(with_seed(staged, seed), live_path, stores.CACHE_PARTITIONS)
+    stores.append_partitioned(with_seed(staged, seed), live_path, stores.LIVE_CACHE_PARTITIONS)
 
 
 def all_locations(spark: SparkSession) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..sources import stores
 from ..functions import codes
 
 JOB_FIELDS = ["db_type", "db_size", "read_pattern", "write_pattern", "read_intensity"]
@@ -78,8 +79,9 @@ def _beyond(z: Column, limit: float) -> Column:
 def series_zscores(series: DataFrame, ignore_nan: bool = False) -> DataFrame:
     """Mean, population deviation and z-score of latency within each job.
 
-    One pass aggregates per job and joins back, so a job with most of the rows is
-    combined on the map side and never sorted in a single task.  With
+    One pass aggregates per job.  The moments are stored before they are joined back:
+    few are broadcast, and for many the join is of plain tables, so a job with most of
+    the rows is split by adaptive execution.  With
     ``ignore_nan`` rows without an average take no part instead of spoiling
     their job.
     """
@@ -87,7 +89,7 @@ def series_zscores(series: DataFrame, ignore_nan: bool = False) -> DataFrame:
     moments = series.groupBy("job_id").agg(
         F.avg(judged).alias("mean"), F.stddev_pop(judged).alias("deviation"))
     return (
-        series.join(moments, "job_id")
+        series.join(stores.stored(moments, "moments"), "job_id")
         .withColumn("z", F.coalesce(_z(judged, F.col("mean"), F.col("deviation")), _nan()))
     )
 

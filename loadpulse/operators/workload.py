@@ -85,19 +85,14 @@ def dimension_usage(
     )
 
 
-def random_codes(row_key: Column) -> dict[str, Column]:
-    """Foreign keys drawn uniformly from the seed dimensions.
+def text_id(kind: str, *key: Column) -> Column:
+    """A text id that depends on the row's own key, so it needs no numbering."""
+    return F.md5(F.concat_ws("|", F.lit(kind), *[k.cast("string") for k in key]))
 
-    The draws are digits of a hash of ``row_key``: a task that runs again draws
-    the same codes, whatever the partitioning.
-    """
-    digest = F.md5(row_key.cast("string"))
-    sizes = {"lineColor": len(K.COLORS), "fillColor": len(K.COLORS), "shape1": len(K.SHAPES),
-             "shape2": len(K.SHAPES), "artist": len(K.ARTISTS)}
-    return {
-        code: (F.conv(F.substring(digest, 1 + 6 * i, 6), 16, 10).cast("bigint") % size + 1).cast("int")
-        for i, (code, size) in enumerate(sizes.items())
-    }
+
+def with_text_ids(rows: DataFrame, kind: str, key: list[str]) -> DataFrame:
+    """Pictures under text ids made of ``key``."""
+    return rows.select(text_id(kind, *map(F.col, key)).alias("id"), *CHANGEABLE)
 
 
 def pictures_append(pictures: DataFrame, inserts: DataFrame, order_by: list[str]) -> DataFrame:

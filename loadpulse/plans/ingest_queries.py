@@ -193,14 +193,16 @@ def job_list_source(t: Tables):
 
 
 @query("jobs_scan", check="""
-    select job_id, db_type, db_size, read_pattern, write_pattern, read_intensity from jobs
+    select job_id, db_type, db_size, read_pattern, write_pattern, read_intensity,
+           write_intensity from jobs
 """)
 def jobs_scan(t: Tables):
     return t.jobs.drop("seq")
 
 
 @query("resources_scan", check="""
-    select resource_id, database_type, database_size, expiry, status from resources
+    select resource_id, database_type, database_size, expiry, status, connection_string, replica_ip
+    from resources
 """)
 def resources_scan(t: Tables):
     path = new_location(t.spark, "resources")

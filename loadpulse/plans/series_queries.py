@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .. import sources
+from .. import schemas, sources
 from ..operators import charts, parse, promote, quality, requests, windows
 from ..session import new_location
 from ..sources import stores
@@ -38,10 +38,8 @@ def windowed_latency_failure_packed(t: Tables):
     return rounded(windows.windowed_latency_failure(records, "1 minute"), "average_latency")
 
 
-def _prototype_check(width_us: int, closed_only: bool = False) -> str:
+def _prototype_check(width_us: int) -> str:
     slot = f"epoch_us(publish_time) // {width_us}"
-    closed = (f"having ({slot} + 1) * {width_us} <= (select max(epoch_us(ts)) from events)"
-              if closed_only else "")
     return f"""
         select cast(avg(cast(connection_end as float) - cast(connection_start as float)) as float)
                    as average_latency,
@@ -49,7 +47,7 @@ def _prototype_check(width_us: int, closed_only: bool = False) -> str:
                    as failure_percent,
                transaction_type as query_action,
                cast(({slot} + 1) * {width_us} // 1000 - 1 as bigint) as "timestamp"
-        from proto group by transaction_type, {slot} {closed}
+        from proto group by transaction_type, {slot}
     """
 
 
@@ -400,21 +398,37 @@ def chart_series(t: Tables):
 
 # --- streams -----------------------------------------------------------------
 
-# A window is emitted once the newest message is at or past its end.
-_CLOSED = 'where "timestamp" + 1 <= (select max(epoch_us(ts)) // 1000 from events)'
+def _run_and_close(t: Tables, data: str, start) -> None:
+    """Run a stream over all events, then go on with one message a day behind them,
+    which closes every window of up to a day.
 
+    ``start`` makes the query of a source of messages that is added to the events.
+    """
+    topic = new_location(t.spark, "topic")
+    t.spark.createDataFrame([], schemas.MESSAGE).write.parquet(topic)
+    start(sources.stream_messages(t.spark, topic)).awaitTermination()
+    t.given("events").agg(
+        (F.max("ts").cast("timestamp") + F.expr("interval 1 day")).alias("publish_time")
+    ).withColumn("data", F.lit(data)).write.mode("append").parquet(topic)
+    start(sources.stream_messages(t.spark, topic)).awaitTermination()
 
-def _sunk(t: Tables, series):
-    path = new_location(t.spark, "stream")
-    streaming.start_series_sink(series, path, new_location(t.spark, "progress")).awaitTermination()
-    return sources.read_series(t.spark, path)
+
+def _sunk(t: Tables, width: str):
+    path, progress = new_location(t.spark, "stream"), new_location(t.spark, "progress")
+
+    def start(last):
+        series = streaming.stream_windowed_latency_failure(
+            stream_of_messages(t).unionByName(last), width)
+        return streaming.start_series_sink(series, path, progress)
+
+    _run_and_close(t, "[]", start)
+    return rounded(sources.read_series(t.spark, path), "average_latency")
 
 
 @query("stream_windowed_latency_failure",
-       check=f"select {_SERIES} from ({series_check('txn', 1_000_000)}) {_CLOSED}")
+       check=f"select {_SERIES} from ({series_check('txn', 1_000_000)})")
 def stream_windowed_latency_failure(t: Tables):
-    series = streaming.stream_windowed_latency_failure(stream_of_messages(t))
-    return rounded(_sunk(t, series), "average_latency")
+    return _sunk(t, K.RESULT_WINDOW)
 
 
 def _in_turns(t: Tables, parts: list, delay: str):
@@ -459,10 +473,9 @@ def stream_last_window(t: Tables):
     return rounded(_in_turns(t, [t.messages, closing], streaming.NO_DELAY), "average_latency")
 
 
-@query("series_sink", check=f"select {_SERIES} from series {_CLOSED}")
+@query("series_sink", check=f"select {_SERIES} from series")
 def series_sink(t: Tables):
-    series = streaming.stream_windowed_latency_failure(stream_of_messages(t), SERIES_WIDTH)
-    return rounded(_sunk(t, series), "average_latency")
+    return _sunk(t, SERIES_WIDTH)
 
 
 @query("series_upsert_sink", check=f"select {_SERIES} from series")
@@ -474,15 +487,18 @@ def series_upsert_sink(t: Tables):
     return rounded(streaming.read_latest_series(t.spark, path), "average_latency")
 
 
-@query("stream_sql_windowed_latency", check=_prototype_check(5_000_000, closed_only=True))
+@query("stream_sql_windowed_latency", check=_prototype_check(5_000_000))
 def stream_sql_windowed_latency(t: Tables):
-    proto = t.view("proto", events=t.given_stream("events"))
-    results = streaming.stream_sql_windowed_latency(t.object_messages(proto))
-    path = new_location(t.spark, "stream")
-    query_ = results.writeStream.format("parquet").outputMode("append").option("path", path)
-    query_.option("checkpointLocation", new_location(t.spark, "progress")).trigger(
-        availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(results.schema).parquet(path)
+    path, progress = new_location(t.spark, "stream"), new_location(t.spark, "progress")
+
+    def start(last):
+        proto = t.view("proto", events=t.given_stream("events"))
+        results = streaming.stream_sql_windowed_latency(t.object_messages(proto).unionByName(last))
+        return (results.writeStream.format("parquet").outputMode("append").option("path", path)
+                .option("checkpointLocation", progress).trigger(availableNow=True).start())
+
+    _run_and_close(t, "{}", start)
+    return t.spark.read.parquet(path)
 
 
 @query("stream_parse_quarantine", check=f"""
@@ -506,8 +522,8 @@ def stream_parse_quarantine(t: Tables):
 
 
 @query("stream_lease_sweep", check="""
-    select resource_id, database_type, database_size, expiry, status from resources
-    where status = 'leased' and expiry < (select epoch_us(max(ts)) / 1000000.0 from events)
+    select resource_id, database_type, database_size, expiry, status, connection_string, replica_ip
+    from resources where status = 'leased' and expiry < (select epoch_us(max(ts)) / 1000000.0 from events)
 """)
 def stream_lease_sweep(t: Tables):
     path = new_location(t.spark, "sweeps")

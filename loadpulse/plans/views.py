@@ -67,6 +67,7 @@ SHARED = {
                cast(case when i = 11 then 1 else i % 3 + 1 end as int) as read_pattern,
                cast(case when i = 11 then 1 else (i div 4) % 3 + 1 end as int) as write_pattern,
                cast(case when i = 11 then 1 else i % 2 + 1 end as int) as read_intensity,
+               cast((i + 1) % 3 + 1 as int) as write_intensity,
                cast(case when i = 3 then null else 11 - i end as int) as seq
         from (select distinct user_id % 12 as i from {events}) u
     """,
@@ -92,6 +93,15 @@ SHARED = {
                          else o_custkey % 22 end + 1 as int) as val
         from {orders}
     """,
+    "picture_inserts": """
+        select o_orderkey,
+               cast(o_custkey % 6 + 1 as int) as lineColor,
+               cast(o_orderkey % 6 + 1 as int) as fillColor,
+               cast(o_custkey % 13 + 1 as int) as shape1,
+               cast(o_orderkey % 13 + 1 as int) as shape2,
+               cast(o_custkey % 22 + 1 as int) as artist
+        from {orders}
+    """,
     "write_kinds": """
         select 'insert' as kind from {lineitem}
         union all
@@ -105,7 +115,12 @@ SHARED = {
                cast((s_suppkey div 3) % 3 + 1 as int) as database_size,
                cast(1700000000 as double) + s_acctbal as expiry,
                case s_nationkey % 5 when 0 then 'ready' when 1 then 'ready' when 2 then 'leased'
-                    when 3 then 'cleaning' else 'down' end as status
+                    when 3 then 'cleaning' else 'down' end as status,
+               case when s_suppkey % 3 = 2 then concat('res-', cast(s_suppkey as string))
+                    else concat('10.0.', cast(s_suppkey % 250 as string), '.1') end
+                   as connection_string,
+               case when s_suppkey % 3 = 1
+                    then concat('10.1.', cast(s_suppkey % 250 as string), '.1') end as replica_ip
         from {supplier}
     """,
     "lease_log": """
@@ -120,7 +135,9 @@ SHARED = {
         select c_custkey as seq,
                concat('res-', cast(c_custkey div 2 as string)) as resource_id,
                cast((c_custkey div 2) % 3 + 1 as int) as database_type,
-               cast((c_custkey div 6) % 3 + 1 as int) as database_size
+               cast((c_custkey div 6) % 3 + 1 as int) as database_size,
+               concat('10.2.', cast(c_custkey % 250 as string), '.1') as connection_string,
+               case when (c_custkey div 2) % 3 = 1 then '10.3.0.1' end as replica_ip
         from {customer}
     """,
     "registry": """
@@ -312,7 +329,8 @@ class Tables:
         # A stream's path must be a folder unless it is a pattern; this pattern
         # matches the one name.
         pattern = f"{self.folder}/{name[:-1]}[{name[-1]}].parquet"
-        return self.spark.readStream.schema(self.given(name).schema).parquet(pattern)
+        return self.spark.readStream.schema(self.given(name).schema).option(
+            "maxFilesPerTrigger", sources.FILES_PER_BATCH).parquet(pattern)
 
     def view(self, name: str, **inputs: DataFrame) -> DataFrame:
         """A shared view; ``inputs`` replace given tables or other views."""

@@ -1,11 +1,11 @@
-"""The relational workload, the resource pool, planned load and synthetic series."""
+"""The relational workload, the resource pool and planned load."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import load, pool, synth, workload
+from ..operators import load, pool, workload
 from ..sources.tables import values_text
 from .registry import query, rounded
 from .views import NOW, Tables
@@ -69,23 +69,46 @@ def dimension_tables(t: Tables):
         t.picture_codes, t.dimension("colors"), t.dimension("shapes"), t.dimension("artists"))
 
 
-def _drawn(place: int, size: int) -> str:
-    digits = f"substring(md5(cast(o_orderkey as varchar)), {1 + 6 * place}, 6)"
-    return f"cast(cast('0x' || {digits} as bigint) % {size} + 1 as int)"
+_CODES = ", ".join(workload.CHANGEABLE)
 
 
 @query("pictures_append", check=f"""
     select * from pictures
     union all
-    select (select count(*) from lineitem) + row_number() over (order by o_orderkey) as id,
-           {_drawn(0, 6)}, {_drawn(1, 6)}, {_drawn(2, 13)}, {_drawn(3, 13)}, {_drawn(4, 22)}
-    from orders
+    select (select count(*) from lineitem) + row_number() over (order by o_orderkey) as id, {_CODES}
+    from picture_inserts
 """)
 def pictures_append(t: Tables):
-    key = F.col("o_orderkey")
-    inserts = t.given("orders").select(
-        "o_orderkey", *[c.alias(name) for name, c in workload.random_codes(key).items()])
-    return workload.pictures_append(t.pictures, inserts, ["o_orderkey"])
+    return workload.pictures_append(t.pictures, t.view("picture_inserts"), ["o_orderkey"])
+
+
+@query("pictures_append_text_id", check=f"""
+    select md5('line|' || l_orderkey || '|' || l_linenumber) as id, {_CODES} from picture_rows
+    union all
+    select md5('order|' || o_orderkey) as id, {_CODES} from picture_inserts
+""")
+def pictures_append_text_id(t: Tables):
+    pictures = workload.with_text_ids(t.view("picture_rows"), "line", ["l_orderkey", "l_linenumber"])
+    inserts = workload.with_text_ids(t.view("picture_inserts"), "order", ["o_orderkey"])
+    return pictures.unionByName(inserts)
+
+
+@query("pictures_apply_updates_text_id", check="""
+    with keyed as (select md5('line|' || l_orderkey || '|' || l_linenumber) as id,
+                          lineColor, fillColor, shape1, shape2, artist from picture_rows),
+         log as (select md5('line|' || id || '|1') as id, seq, col, val from picture_changes)
+    select p.id, """ + ", ".join(
+        f"coalesce(u.new_{c}, p.{c}) as {c}" for c in workload.CHANGEABLE) + """
+    from keyed p left join (
+        select id, """ + ", ".join(
+            f"arg_max(val, seq) filter (col = '{c}') as new_{c}" for c in workload.CHANGEABLE) + """
+        from log group by id) u on p.id = u.id
+""")
+def pictures_apply_updates_text_id(t: Tables):
+    pictures = workload.with_text_ids(t.view("picture_rows"), "line", ["l_orderkey", "l_linenumber"])
+    changes = t.view("picture_changes").withColumn(
+        "id", workload.text_id("line", F.col("id"), F.lit(1)))
+    return workload.pictures_apply_updates(pictures, changes)
 
 
 @query("pictures_apply_updates", check="""
@@ -123,7 +146,7 @@ def status_filters(t: Tables):
 
 
 @query("expired_leases", check=f"""
-    select resource_id, database_type, database_size, expiry, status from resources
+    select resource_id, database_type, database_size, expiry, status, connection_string, replica_ip from resources
     where status = 'leased' and expiry < {NOW}
 """)
 def expired_leases(t: Tables):
@@ -131,7 +154,7 @@ def expired_leases(t: Tables):
 
 
 @query("earliest_expiry_top1", check="""
-    select resource_id, database_type, database_size, expiry, status from resources
+    select resource_id, database_type, database_size, expiry, status, connection_string, replica_ip from resources
     order by expiry, resource_id limit 1
 """)
 def earliest_expiry_top1(t: Tables):
@@ -139,7 +162,7 @@ def earliest_expiry_top1(t: Tables):
 
 
 @query("lease_candidate", check="""
-    select database_type, database_size, resource_id, expiry
+    select database_type, database_size, resource_id, expiry, connection_string, replica_ip
     from (select *, row_number() over (partition by database_type, database_size
                                        order by expiry, resource_id) as n from resources)
     where n = 1 and status = 'ready'
@@ -162,7 +185,8 @@ def pool_status(t: Tables):
 
 @query("resource_state_after", check="""
     select r.resource_id, r.database_type, r.database_size,
-           coalesce(l.new_expiry, r.expiry) as expiry, coalesce(l.new_status, r.status) as status
+           coalesce(l.new_expiry, r.expiry) as expiry, coalesce(l.new_status, r.status) as status,
+           r.connection_string, r.replica_ip
     from resources r left join (
         select resource_id, arg_max(status, seq) as new_status,
                arg_max(expiry, seq) filter (status = 'leased') as new_expiry
@@ -170,11 +194,12 @@ def pool_status(t: Tables):
 """)
 def resource_state_after(t: Tables):
     return pool.resource_state_after(t.view("resources"), t.view("lease_log")).select(
-        "resource_id", "database_type", "database_size", "expiry", "status")
+        "resource_id", "database_type", "database_size", "expiry", "status", "connection_string",
+        "replica_ip")
 
 
 @query("register_resources", check=f"""
-    select q.seq, q.resource_id, q.database_type, q.database_size,
+    select q.seq, q.resource_id, q.database_type, q.database_size, q.connection_string, q.replica_ip,
            case when added then 'added' else 'already in pool' end as outcome,
            case when added then 'ready' end as status,
            case when added then ({NOW} - 10)::double end as expiry
@@ -188,7 +213,7 @@ def resource_state_after(t: Tables):
 def register_resources(t: Tables):
     outcome = pool.register_resources(t.view("resources"), t.view("registrations"), NOW)
     return outcome.select("seq", "resource_id", "database_type", "database_size", "outcome",
-                          "status", "expiry")
+                          "status", "expiry", "connection_string", "replica_ip")
 
 
 # --- planned load --------------------------------------------------------------
@@ -204,7 +229,8 @@ def _schedule_check(operation: str) -> str:
     return f"""
         select j.job_id, '{operation}' as operation, g.segment, cast(turn as int) as turn,
                round(g.start_second + g.turn * (1.0::double / g.qps), 9) as offset_seconds,
-               case read_intensity when 2 then 6 when 3 then 12 else read_intensity end as pods
+               case {operation}_intensity when 2 then 6 when 3 then 12
+                    else {operation}_intensity end as pods
         from (select pattern, segment, start_second, qps,
                      unnest(range(cast(seconds * qps as int))) as turn
               from (values {values_text(_SEGMENT_ROWS)})
@@ -237,34 +263,3 @@ def planned_reads_and_writes(t: Tables):
 """)
 def expected_vs_observed(t: Tables):
     return load.expected_vs_observed(t.jobs, t.records)
-
-
-# --- synthetic series ------------------------------------------------------------
-
-def _curve_rows() -> list[tuple]:
-    rows = []
-    for prefix, bases in K.BASE_LATENCY.items():
-        write = K.REPLICA_WRITE_DECLINE if prefix == "sqlrep" else K.WRITE_DECLINE
-        for action, base, decline in (("read", bases[0], K.READ_DECLINE),
-                                      ("write", bases[1], write)):
-            for intensity in decline:
-                for step, factor in enumerate(decline[intensity]):
-                    rows.append((prefix, intensity, action, step,
-                                 base * (factor or 1), K.FAILURE[prefix][intensity][step]))
-    return rows
-
-
-@query("synthetic_series", check=f"""
-    select c.prefix || '-' || s || '-' || c.intensity as key, r || '-' || w as pattern,
-           cast(p.s_suppkey as varchar) as seed, c.action as query_action,
-           round(c.latency::double, 9) as average_latency,
-           cast(c.failure as float) as failure_percent,
-           ({NOW} + c.step)::double as "timestamp"
-    from (select s_suppkey from supplier) p,
-         (select unnest([1, 2, 3]) as s) a, (select unnest([1, 2, 3]) as r) b,
-         (select unnest([1, 2, 3]) as w) d,
-         (values {values_text(_curve_rows())}) c(prefix, intensity, action, step, latency, failure)
-""")
-def synthetic_series(t: Tables):
-    seeds = t.given("supplier").select(F.col("s_suppkey").alias("seed"))
-    return rounded(synth.synthetic_series(seeds, NOW), "average_latency")

@@ -53,6 +53,7 @@ JOB = T.StructType([
     T.StructField("read_pattern", T.IntegerType()),
     T.StructField("write_pattern", T.IntegerType()),
     T.StructField("read_intensity", T.IntegerType()),
+    T.StructField("write_intensity", T.IntegerType()),
 ])
 
 RESOURCE = T.StructType([
@@ -61,6 +62,8 @@ RESOURCE = T.StructType([
     T.StructField("database_size", T.IntegerType()),
     T.StructField("expiry", T.DoubleType()),
     T.StructField("status", T.StringType()),
+    T.StructField("connection_string", T.StringType()),
+    T.StructField("replica_ip", T.StringType()),
 ])
 
 PICTURE = T.StructType([

@@ -1,4 +1,9 @@
-from .messages import messages_from_records, read_messages, stream_messages  # noqa: F401
+from .messages import (  # noqa: F401
+    FILES_PER_BATCH,
+    messages_from_records,
+    read_messages,
+    stream_messages,
+)
 from .stores import (  # noqa: F401
     append_partitioned,
     copy_series,

@@ -27,9 +27,15 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", **option
     reader = spark.read.format(fmt).options(**options)
     if fmt != "kafka":
         reader = reader.schema(schemas.MESSAGE)
+        if "maxFilesPerTrigger" not in options:
+            reader = reader.option("maxFilesPerTrigger", FILES_PER_BATCH)
     return _as_messages(reader.load(path) if path else reader.load(), fmt)
 
 
+# What a micro-batch of a file stream takes at most, unless its options say otherwise.
+FILES_PER_BATCH = 512
+
+
 def stream_messages(
     spark: SparkSession, path: str | None = None, fmt: str = "parquet", **options
 ) -> DataFrame:
@@ -37,6 +43,8 @@ def stream_messages(
     reader = spark.readStream.format(fmt).options(**options)
     if fmt != "kafka":
         reader = reader.schema(schemas.MESSAGE)
+        if "maxFilesPerTrigger" not in options:
+            reader = reader.option("maxFilesPerTrigger", FILES_PER_BATCH)
     return _as_messages(reader.load(path) if path else reader.load(), fmt)
 
 

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..session import new_location
 
 SERIES_PARTITIONS = ["job_id"]
 CACHE_PARTITIONS = ["key", "pattern"]
+LIVE_CACHE_PARTITIONS = ["key", "pattern", "seed"]
 RESOURCE_PARTITIONS = ["database_type", "database_size"]
 
 CACHE = T.StructType(
@@ -34,6 +36,14 @@ def append_partitioned(df: DataFrame, path: str, partitions: list[str]) -> None:
        .write.mode("append").partitionBy(*partitions).parquet(path))
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: its size is known to the planner, and a
+    join with it is one of plain tables, which adaptive execution can split."""
+    path = new_location(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_series(spark: SparkSession, path: str, job_id: str | None = None) -> DataFrame:
     """All window results below ``path``, or those of one job."""
     series = spark.read.schema(schemas.SERIES).parquet(path)

@@ -56,11 +56,13 @@ def start_series_sink(
 ) -> StreamingQuery:
     """Append each window result under its job, exactly once.
 
+    A batch's windows of one job, few as they are, go to one task and so to one file.
     The file sink's log and the checkpoint make a batch that runs again replace
     its own files, so (job, action, timestamp) stays unique.
     """
     return (
-        series.writeStream.format("parquet").outputMode("append").partitionBy("job_id")
+        series.repartition("job_id").writeStream.format("parquet").outputMode("append")
+        .partitionBy("job_id")
         .option("path", path).option("checkpointLocation", checkpoint)
         .trigger(**_trigger(interval)).start()
     )
@@ -103,14 +105,8 @@ def start_parse_with_quarantine(
     again, so neither loses nor repeats rows.
     """
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            parse.parse_messages(batch).write.mode("overwrite").parquet(
-                f"{records_path}/batch={number}")
-            parse.quarantine(batch).write.mode("overwrite").parquet(
-                f"{rejects_path}/batch={number}")
-        finally:
-            batch.unpersist()
+        parse.parse_messages(batch).write.mode("overwrite").parquet(f"{records_path}/batch={number}")
+        parse.quarantine(batch).write.mode("overwrite").parquet(f"{rejects_path}/batch={number}")
 
     return (
         messages.writeStream.foreachBatch(write)

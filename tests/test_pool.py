@@ -10,9 +10,9 @@ NOW = 1000.0
 @pytest.fixture
 def resources(spark):
     return spark.createDataFrame([
-        ("a", 1, 1, 990.0, "ready"), ("b", 1, 1, 980.0, "cleaning"), ("c", 1, 2, 999.0, "leased"),
-        ("d", 1, 2, 2000.0, "leased"), ("e", 2, 1, 500.0, "ready"), ("f", 2, 1, 500.0, "ready"),
-        ("g", 3, 3, 100.0, "down"), ("h", 2, 2, 1000.0, "leased"),
+        ("a", 1, 1, 990.0, "ready", "10.0.0.1", None), ("b", 1, 1, 980.0, "cleaning", "10.0.0.1", None), ("c", 1, 2, 999.0, "leased", "10.0.0.1", None),
+        ("d", 1, 2, 2000.0, "leased", "10.0.0.1", None), ("e", 2, 1, 500.0, "ready", "10.0.0.2", None), ("f", 2, 1, 500.0, "ready", "10.0.0.2", None),
+        ("g", 3, 3, 100.0, "down", "10.0.0.3", None), ("h", 2, 2, 1000.0, "leased", "10.0.0.2", None),
     ], schemas.RESOURCE)
 
 
@@ -23,7 +23,7 @@ def names(df):
 def test_only_the_earliest_of_a_pool_can_be_leased(resources):
     got = sorted(tuple(r) for r in pool.lease_candidate(resources).collect())
     # Pool (1,1) has a ready resource, but an earlier one is being cleaned.
-    assert got == [(2, 1, "e", 500.0)]
+    assert got == [(2, 1, "e", 500.0, "10.0.0.2", None)]
 
 
 def test_expired_means_before_now(resources):

@@ -123,8 +123,8 @@ def test_two_outputs_of_one_stream(spark, feed, folder):
 
 def test_sweep_uses_the_time_of_its_tick(spark, make_messages, folder):
     resources = spark.createDataFrame(
-        [("a", 1, 1, T0_MS / 1000 + 5, "leased"), ("b", 1, 1, T0_MS / 1000 + 50, "leased"),
-         ("c", 1, 1, 0.0, "ready")], schemas.RESOURCE)
+        [("a", 1, 1, T0_MS / 1000 + 5, "leased", "10.0.0.1", None), ("b", 1, 1, T0_MS / 1000 + 50, "leased", "10.0.0.2", None),
+         ("c", 1, 1, 0.0, "ready", "10.0.0.3", None)], schemas.RESOURCE)
     for second in (0, 10, 60):
         make_messages((second, "tick")).coalesce(1).write.mode("append").parquet(folder("ticks"))
         ticks = sources.stream_messages(spark, folder("ticks")).select(

@@ -52,8 +52,8 @@ def test_updates_last_one_wins_and_unknown_ids_do_nothing(spark, pictures):
 
 def test_append_continues_the_ids(spark, pictures):
     inserts = spark.range(100).select(
-        "id", *[c.alias(n) for n, c in workload.random_codes(F.col("id")).items()]
-    ).withColumnRenamed("id", "arrival")
+        F.col("id").alias("arrival"),
+        *[(F.col("id") % 6 + 1).cast("int").alias(code) for code in workload.CHANGEABLE])
     after = workload.pictures_append(pictures, inserts, ["arrival"])
     assert sorted(r.id for r in after.collect()) == list(range(1, 104))
     limits = after.agg(*[F.max(c).alias(c) for c in workload.CHANGEABLE],
@@ -69,16 +69,13 @@ def test_append_to_an_empty_table(spark):
     assert sorted(r.id for r in workload.pictures_append(empty, inserts, ["n"]).collect()) == [1, 2, 3]
 
 
-def test_random_codes_are_uniform_and_repeatable(spark):
-    keys = spark.range(60_000)
-    codes = keys.select("id", *[c.alias(n) for n, c in workload.random_codes(F.col("id")).items()])
-    for code, size in (("lineColor", 6), ("shape2", 13), ("artist", 22)):
-        counts = [r["count"] for r in codes.groupBy(code).count().collect()]
-        assert len(counts) == size
-        assert max(counts) < 1.15 * 60_000 / size and min(counts) > 0.85 * 60_000 / size
-    again = keys.repartition(13).select(
-        "id", *[c.alias(n) for n, c in workload.random_codes(F.col("id")).items()])
-    assert codes.exceptAll(again).isEmpty()
+def test_text_ids_depend_on_the_key_alone(spark):
+    rows = spark.range(50).select(
+        "id", (F.col("id") % 3).alias("line"), *[F.lit(1).alias(c) for c in workload.CHANGEABLE])
+    ids_ = {r.id for r in workload.with_text_ids(rows, "line", ["id", "line"]).collect()}
+    again = {r.id for r in workload.with_text_ids(rows.repartition(7), "line", ["id", "line"]).collect()}
+    other = {r.id for r in workload.with_text_ids(rows, "order", ["id", "line"]).collect()}
+    assert ids_ == again and len(ids_) == 50 and not ids_ & other
 
 
 def test_mix_reports_every_kind(spark):
