@@ -167,16 +167,16 @@ def with_copies(docs: DataFrame, planned: DataFrame, weight: str | None = None)
         "_copies", F.col("_copies") + F.when(sampled & (F.col("_wanted") > 0), 1).otherwise(0))
 
 
-def taken(docs: DataFrame, **options) -> DataFrame:
+def taken(docs: DataFrame, weight: str | None = None, **options) -> DataFrame:
     """What the mix takes of each document, in words."""
-    docs = docs.select("doc_id", "source", "text")
-    return with_copies(docs, plan(docs, **options)).select(
+    docs = docs.select("doc_id", "source", "text", *([weight] if weight else []))
+    return with_copies(docs, plan(docs, weight=weight, **options), weight).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weight: str | None = None, **options) -> DataFrame:
     """The mix itself: each document as many times as it is taken."""
-    copies = with_copies(docs, plan(docs, **options))
+    copies = with_copies(docs, plan(docs, weight=weight, **options), weight)
     return copies.withColumn("_time", F.explode(F.expr("array_repeat(1, cast(_copies as int))"))).select(
         *docs.columns)
