@@ -94,15 +94,14 @@ def pictures_append_text_id(t: Tables):
 
 
 @query("pictures_apply_updates_text_id", check="""
-    with keyed as (select md5('line|' || l_orderkey || '|' || l_linenumber) as id,
-                          lineColor, fillColor, shape1, shape2, artist from picture_rows),
-         log as (select md5('line|' || id || '|1') as id, seq, col, val from picture_changes)
     select p.id, """ + ", ".join(
         f"coalesce(u.new_{c}, p.{c}) as {c}" for c in workload.CHANGEABLE) + """
-    from keyed p left join (
+    from (select *, md5('line|' || l_orderkey || '|' || l_linenumber) as id from picture_rows) p
+    left join (
         select id, """ + ", ".join(
             f"arg_max(val, seq) filter (col = '{c}') as new_{c}" for c in workload.CHANGEABLE) + """
-        from log group by id) u on p.id = u.id
+        from (select md5('line|' || id || '|1') as id, seq, col, val from picture_changes)
+        group by id) u on p.id = u.id
 """)
 def pictures_apply_updates_text_id(t: Tables):
     pictures = workload.with_text_ids(t.view("picture_rows"), "line", ["l_orderkey", "l_linenumber"])
