@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +39,8 @@ THRESHOLD = 0.7
 TOXIC_DOCS, ORDINARY_DOCS, FIT_CHARS = 3000, 6000, 20_000
 WINDOW_WORDS, STRIDE_WORDS = 8, 2
 DICTIONARY_BYTES = 16_384
+# Ordinary documents of the sample whose windows the common segments are trained on.
+SEGMENT_DOCS = 600
 TOXIC_BYTES = 16_384
 FRAGMENT = 5
 PREFIXES = range(4, 10)
@@ -46,6 +48,7 @@ LEVEL = 3
 # Every third remainder is held out.
 FOLDS, HELD_OUT_FOLD = 3, 1
 _FRAGMENT_LIFT, _FRAGMENT_EVIDENCE = 8.0, 20.0
+_FRAGMENT_DOCS = 3
 _WORD_LIFT, _WORD_DOCS = 10.0, 2
 _MARKS = b".,;:!?#$*\"'()-"
 _BATCH = 20_000
@@ -95,7 +98,7 @@ class Compressors:
 
 # --- fit ------------------------------------------------------------------------
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, dict[int, int]]:
+def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """``text, toxic`` of a bounded sample of labelled rows that are not held out, and
     how many rows of each label there are in all."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
@@ -114,12 +117,13 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[pd.DataFrame, d
     # At most TOXIC_DOCS + ORDINARY_DOCS ids, and then as many texts of bounded length.
     texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(
-        F.min("text").alias("text")).toPandas().sort_values("doc_id")
+        F.min("text").alias("text"))
+    sample, _ = common.stored(sample, "toxicity-sample")
     common.discard(docs.sparkSession, at)
-    return sample[["text", "toxic"]], counts
+    return sample, counts
 
 
-def _without_copies(texts: list[list[bytes]]) -> list[list[bytes]]:
+def _without_copies(texts: Iterable[list[bytes]]) -> list[list[bytes]]:
     """Texts that share none of their smallest shingle hashes with an earlier one."""
     seen, kept = set(), []
     for words in texts:
@@ -153,12 +157,19 @@ def _fragments(words: set[bytes]) -> set[bytes]:
 
 def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
     """Words that mark toxic texts, the most frequent last."""
-    words_t, words_o, parts_t, parts_o = Counter(), Counter(), Counter(), Counter()
-    for texts, words, parts in ((toxic, words_t, parts_t), (ordinary, words_o, parts_o)):
-        for text in texts:
-            distinct = {w.strip(_MARKS) for w in text}
-            words.update(distinct)
-            parts.update(_fragments(distinct))
+    words_t, parts_t = Counter(), Counter()
+    for text in toxic:
+        distinct = {w.strip(_MARKS) for w in text}
+        words_t.update(distinct)
+        parts_t.update(_fragments(distinct))
+    # What is rarer in toxic texts cannot pass below, so it is not counted in others.
+    words_t = Counter({w: n for w, n in words_t.items() if n >= _WORD_DOCS})
+    parts_t = Counter({p: n for p, n in parts_t.items() if n >= _FRAGMENT_DOCS})
+    words_o, parts_o = Counter(), Counter()
+    for text in ordinary:
+        distinct = {w.strip(_MARKS) for w in text}
+        words_o.update(distinct & words_t.keys())
+        parts_o.update(_fragments(distinct) & parts_t.keys())
     n1, n0 = max(len(toxic), 1), max(len(ordinary), 1)
     marks = {p for p, n in parts_t.items() if n / n1 > _FRAGMENT_LIFT * (parts_o[p] + 0.5) / n0
              and _evidence(n, n1, parts_o[p], n0) > _FRAGMENT_EVIDENCE}
@@ -170,7 +181,7 @@ def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[b
 def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
     """The contents of the toxic and the ordinary dictionary, equally long."""
     shuffled = np.random.default_rng(0)
-    plain = [w for words in ordinary for w in windows(words)]
+    plain = [w for words in ordinary[:SEGMENT_DOCS] for w in windows(words)]
     plain = [plain[i] for i in shuffled.permutation(len(plain))[:4 * DICTIONARY_BYTES]]
     try:
         base = zstandard.train_dictionary(DICTIONARY_BYTES, plain).as_bytes()
@@ -206,8 +217,8 @@ def fit(sample: pd.DataFrame, counts: dict[int, int]) -> Model | None:
     texts = {k: sample["text"][sample["toxic"] == k].tolist() for k in (0, 1)}
     if min(len(texts[0]), len(texts[1])) < 3:
         return None
-    split = {k: [common.lower_words(t) for i, t in enumerate(v) if i % 3] for k, v in texts.items()}
-    toxic, ordinary = dictionaries(_without_copies(split[1]), _without_copies(split[0]))
+    toxic, ordinary = dictionaries(*(_without_copies(
+        common.lower_words(t) for i, t in enumerate(texts[k]) if i % 3) for k in (1, 0)))
     tool = Compressors(toxic, ordinary)
     rows, truth, weight = [], [], []
     for k, own in texts.items():
@@ -223,7 +234,20 @@ def fit(sample: pd.DataFrame, counts: dict[int, int]) -> Model | None:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    return fit(*training_sample(docs, labels))
+    """The model, fitted in one task: its input is the bounded sample."""
+    sample, counts = training_sample(docs, labels)
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"doc_id": [], "toxic": [], "text": []}), *batches])
+        model = fit(rows.sort_values("doc_id"), counts)
+        if model is not None:
+            yield pd.DataFrame([[model.toxic, model.ordinary, *map(list, model[2:])]],
+                               columns=["toxic", "ordinary", "weights", "centre", "scale"])
+
+    found = sample.repartition(1).mapInPandas(
+        fitted, "toxic binary, ordinary binary, weights array<double>, centre array<double>, "
+                "scale array<double>").collect()
+    return Model(*map(bytes, found[0][:2]), *map(tuple, found[0][2:])) if found else None
 
 
 # --- scoring --------------------------------------------------------------------
