@@ -81,7 +81,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 # --- links ----------------------------------------------------------------------
 
 def normalised(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    lower = F.lower(line)
+    return F.btrim(F.when(lower.rlike(r"\s\s|[\t\x0B\f\r]"), F.regexp_replace(lower, r"\s+", " "))
+                   .otherwise(lower))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -115,12 +117,8 @@ def _bands(lines: DataFrame) -> DataFrame:
     return lines.select("line_id", "line").mapInPandas(sign, "line_id bigint, band bigint")
 
 
-def linked(group: pd.DataFrame) -> pd.DataFrame:
+def _group_links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect the similar lines of a group, none of them twice."""
-    ids, lines = group["line_id"].to_numpy(), group["line"].tolist()
-    side = group["side"].to_numpy()
-    hashes, starts = shingle_hashes(lines)
-    sets = [np.unique(h) for h in np.split(hashes, starts[1:])]
     root = list(range(len(ids)))
 
     def top(i: int) -> int:
@@ -129,9 +127,8 @@ def linked(group: pd.DataFrame) -> pd.DataFrame:
             i = root[i]
         return i
 
-    out = []
-    across = side.min() != side.max()
-    for i in range(len(ids)):
+    out, across = [], side.min() != side.max()
+    for i in range(1, len(ids)):
         for j in range(i):
             if across and side[i] == side[j]:
                 continue
@@ -141,6 +138,34 @@ def linked(group: pd.DataFrame) -> pd.DataFrame:
             if similarity(sets[i], sets[j]) >= MIN_SIMILARITY:
                 root[top(i)] = top(j)
                 out.append((ids[i], ids[j]))
+    return out
+
+
+def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links within groups of rows that follow each other; many small groups at a time."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        cuts = _group_starts(rows)
+        yield _links_of(rows.iloc[:cuts[-1]], cuts[:-1])
+        rest = rows.iloc[cuts[-1]:]  # its group may go on
+    if rest is not None:
+        yield _links_of(rest, np.zeros(1, dtype=np.int64))
+
+
+def _group_starts(rows: pd.DataFrame) -> np.ndarray:
+    keys = rows[["band", "low", "high"]].to_numpy()
+    return np.r_[0, 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))]
+
+
+def _links_of(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    out: list[tuple[int, int]] = []
+    if len(rows):
+        ids, side = rows["line_id"].to_numpy(), rows["side"].to_numpy()
+        hashes, firsts = shingle_hashes(rows["line"].tolist())
+        sets = [np.unique(h) for h in np.split(hashes, firsts[1:])]
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            out += _group_links(ids[a:b], side[a:b], sets[a:b])
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -148,10 +173,10 @@ def links(lines: DataFrame) -> DataFrame:
     """``a, b``: verified links between distinct lines, enough to connect all that are
     similar and share a band."""
     bands, _ = common.stored(_bands(lines), "bands")
-    marks = [F.bit_xor(F.xxhash64("line_id", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
-    shared = bands.groupBy("band").agg(F.count("*").alias("n"), *marks).where("n > 1")
+    mark = F.bit_xor(F.xxhash64("line_id")).alias("mark")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n"), mark).where("n > 1")
     chosen, _ = common.stored(
-        shared.groupBy("n", "mark1", "mark2").agg(F.min("band").alias("band")).select("band", "n"),
+        shared.groupBy("n", "mark").agg(F.min("band").alias("band")).select("band", "n"),
         "shared-bands")
     members = bands.join(chosen, "band")
     blocks = F.ceil(F.col("n") / BLOCK_LINES).cast("int")
@@ -165,7 +190,9 @@ def links(lines: DataFrame) -> DataFrame:
                 (F.col("own") <= F.col("other")).cast("int").alias("side"))
     )
     texts = dealt.join(lines.select("line_id", "line"), "line_id")
-    return texts.groupBy("band", "low", "high").applyInPandas(linked, "a bigint, b bigint").distinct()
+    group = ["band", "low", "high"]
+    return texts.repartition(*group).sortWithinPartitions(*group).mapInPandas(
+        linked, "a bigint, b bigint").distinct()
 
 
 # --- decisions ------------------------------------------------------------------
