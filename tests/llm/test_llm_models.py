@@ -181,6 +181,37 @@ def test_planted_items_are_found_and_clean_documents_left(spark, make_docs):
         r_.doc_id for r_ in docs.collect()} - {d for d, _ in expected}
 
 
+@pytest.mark.parametrize("n_items", [200, 500])
+def test_recall_is_that_of_all_pairs(spark, make_docs, n_items):
+    r = random.Random(n_items)
+    vocabulary = ["".join(r.choice("abcdefghilmnorst") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+
+    def some(n):  # frequent and rare words
+        return [vocabulary[int(3000 * r.random() ** 2)] for _ in range(n)]
+
+    items = [some(r.randint(15, 59)) for _ in range(n_items)]
+    texts = [some(r.randint(50, 200)) for _ in range(100)]
+    for n, item in enumerate(items):
+        share, kept = [(0, 0), (0.3, 0), (0.48, max(4, len(item) // 4))][n % 3]
+        leak = list(item)
+        for at in r.sample(range(len(item) - kept), int(share * len(item))):
+            leak[at] = some(1)[0]
+        texts.append([*some(r.randint(0, 60)), *leak, *some(r.randint(0, 60))])
+    expected = set()
+    for d, words in enumerate(texts):
+        own = [w.encode() for w in words]
+        for i, item in enumerate(items):
+            plain = [w.encode() for w in item]
+            share = decontaminate.common_length(plain, own) / len(plain)
+            answer = " ".join(item[-max(4, len(item) // 4):])
+            if share >= 0.7 or share >= 0.5 and f" {answer} " in f" {' '.join(words)} ":
+                expected.add((d, i))
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    found = {(x.doc_id, x.item_id) for x in
+             decontaminate.matches(make_docs(*map(" ".join, texts)), benchmark).collect()}
+    assert len(expected) >= n_items and found == expected
+
+
 def test_decontamination_of_nothing(spark, make_docs):
     benchmark = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
     assert decontaminate.matches(make_docs("x").where("false"), benchmark).count() == 0
