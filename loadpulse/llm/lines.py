@@ -9,6 +9,9 @@ gives at most one link less than it has members.  Large groups are dealt into bl
 and compared block by block, so no task holds a whole one.  Connected components then
 keep one line each, the first by document and place.
 
+A changed inner letter breaks ``SHINGLE_CHARS`` shingles, so with four characters lines
+of 39 and more stay similar, and long lines of different words do not become so.
+
 With ten bands of four rows a pair at similarity 0.8 is a candidate with probability
 0.995, and at 0.9 with more than 0.9999.
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-SHINGLE_CHARS = 9
+SHINGLE_CHARS = 4
 BANDS, ROWS = 10, 4
 MIN_SIMILARITY = 0.8
 BLOCK_LINES = 512

@@ -194,6 +194,19 @@ def test_large_groups_are_compared_block_by_block(make_docs, monkeypatch):
     assert got == set(range(1, 31))
 
 
+def test_one_changed_letter_links_short_lines(make_docs):
+    r, texts = random.Random(12), []
+    for size in range(39, 91):
+        line = [r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)]
+        other = list(line)
+        other[r.randrange(4, size - 4)] = "7"
+        texts += ["".join(line), "".join(other)]
+    got = {row.doc_id: row.n_removed for row in lines.report(make_docs(*texts)).collect()}
+    # A pair at 0.8 to 0.9 shares a band with probability 0.995 or more.
+    assert not any(got[i] for i in range(0, len(texts), 2))
+    assert sum(got[i] for i in range(1, len(texts), 2)) >= len(texts) // 2 - 1
+
+
 def test_no_lines(make_docs):
     assert lines.report(make_docs("x").where("false")).count() == 0
 
