@@ -1,5 +1,5 @@
 import sys
-from datetime import datetime, timedelta, timezone
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
@@ -7,9 +7,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from loadpulse.session import build_session  # noqa: E402
-
-T0 = datetime(2020, 2, 25, 8, 0, 0, tzinfo=timezone.utc)
-T0_MS = 1582617600000
+from message_times import T0  # noqa: E402
 
 
 @pytest.fixture(scope="session")

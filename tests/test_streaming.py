@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import T0_MS
+from message_times import T0_MS
 from loadpulse import schemas, sources
 from loadpulse.operators import parse, pool, windows
 from loadpulse.streaming import jobs as streaming

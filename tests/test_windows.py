@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import T0_MS
+from message_times import T0_MS
 from loadpulse.operators import parse, windows
 
 # Fixed values: (operation, transaction start, transaction end) of three messages
