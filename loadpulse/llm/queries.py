@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, lines, lm, mixing, private, simhash, tokens, toxicity
-from .common import table
+from . import (
+    chat,
+    decontaminate,
+    fingerprint,
+    lines,
+    lm,
+    mixing,
+    prefixes,
+    private,
+    simhash,
+    tokens,
+    toxicity,
+)
+from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -138,3 +150,9 @@ def op9_tokens(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op13_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts, _ = stored(prefixes.prefix_counts(table(spark, folder, "documents")), "prefix-counts")
+    return prefixes.limited(counts)
