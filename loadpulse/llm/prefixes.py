@@ -33,77 +33,124 @@ from . import common
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 SPACE = "▁"
-# What a task remembers: stretches of at most so many code points, and pairs of pieces.
-CACHE_ENTRIES, CACHED_CHARS = 1 << 17, 40
+# A task remembers so many stretches of at most so many code points (together some
+# 60 MB), a process so many pairs of pieces (some 50 MB).
+CACHE_ENTRIES, CACHED_CHARS = 1 << 18, 40
+PAIR_ENTRIES = 1 << 19
 COLUMNS = "doc_id bigint, n_chars bigint, n_bytes bigint, n_tokens bigint, steps binary"
 
 _STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
 _PROBE = "  a ﬁ\tÅx "
 
 
-class PrefixCounter(dict):
-    """Maps a stretch of text to its steps, working them out where they are not known."""
+class _Pieces:
+    """The pieces of a model, where they occur in a text, and which stay apart."""
+
+    _made: dict[str, _Pieces] = {}
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
-        super().__init__()
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self._scores = {
             model.id_to_piece(i): model.get_score(i) for i in range(len(model))
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))
         }
-        self._longest = max(map(len, self._scores))
-        self._pairs: dict[tuple[str, str], bool] = {}
         if model.normalize(_PROBE) != SPACE + _PROBE.replace(" ", SPACE):
             raise ValueError(f"{path} rewrites texts before it encodes them")
         if any(SPACE in p.lstrip(SPACE) or any(c not in self._scores for c in p) for p in self._scores):
             raise ValueError(f"{path} has pieces across spaces or of signs without a piece")
+        # Piece 0 stands for no piece: the start of a text, or bytes, which never merge.
+        self.texts = ["", *self._scores]
+        self._found = ahocorasick.Automaton()
+        for number, piece in enumerate(self.texts[1:], 1):
+            self._found.add_word(piece, (len(piece), number))
+        self._found.make_automaton()
+        self._apart: dict[int, bool] = {}
+
+    @classmethod
+    def of(cls, path: str) -> _Pieces:
+        """The pieces of this process.  It keeps, of a bounded number of pairs, what it
+        knows of them between tasks."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
 
     def _merged(self, text: str) -> list[str]:
         """The pieces of a text by merging: the best pair first, the left one of equals."""
-        pieces = list(text)
-        while True:
-            best, at = None, 0
-            for i in range(len(pieces) - 1):
-                score = self._scores.get(pieces[i] + pieces[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                return pieces
+        pieces, score = list(text), self._scores.get
+        none = float("-inf")
+        pairs = [score(a + b, none) for a, b in zip(pieces, pieces[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == none:
+                break
+            at = pairs.index(best)
             pieces[at:at + 2] = [pieces[at] + pieces[at + 1]]
-
-    def _apart(self, before: str, piece: str) -> bool:
-        """Whether a piece stays as it is behind another one, or at the start of a text."""
-        known = self._pairs.get((before, piece))
-        if known is None:
-            if len(self._pairs) >= CACHE_ENTRIES:
-                self._pairs.clear()
-            known = self._merged(before + piece) == ([before, piece] if before else [piece])
-            self._pairs[before, piece] = known
-        return known
-
-    def counts(self, text: str) -> list[int]:
-        """The tokens of every prefix of a stretch, the empty one first."""
-        scores, counts, last, barrier = self._scores, [0], [""], 0
-        for end, sign in enumerate(text, 1):
-            if sign not in scores:
-                # Its bytes never merge: what follows is encoded as if nothing were before.
-                counts.append(counts[-1] + len(sign.encode()))
-                last.append("")
-                barrier = end
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(pieces[at - 1] + pieces[at], none)
+            if at < len(pairs):
+                pairs[at] = score(pieces[at] + pieces[at + 1], none)
+        return pieces
+
+    def _stay(self, before: int, piece: int) -> bool:
+        """Whether a piece stays as it is behind another one, or behind none."""
+        if len(self._apart) >= PAIR_ENTRIES:
+            self._apart.clear()
+        left, right = self.texts[before], self.texts[piece]
+        stay = self._merged(left + right) == ([left, right] if before else [right])
+        self._apart[before * len(self.texts) + piece] = stay
+        return stay
+
+    def steps(self, text: str) -> bytes:
+        """The steps of a stretch, worked out from its start."""
+        counts, last, steps = [0], [0], []
+        apart, many, barrier, settled = self._apart, len(self.texts), 0, 0
+
+        def bytes_until(place: int) -> None:
+            # Signs without a piece: what follows is encoded as if nothing were before.
+            nonlocal barrier, settled
+            while settled < place:
+                width = len(text[settled].encode())
+                counts.append(counts[-1] + width)
+                last.append(0)
+                steps.append(width)
+                settled += 1
+                barrier = settled
+
+        # All pieces that end at a place, the longest first: exactly one of them is last.
+        for at, (size, piece) in self._found.iter(text):
+            if at < settled:
+                continue
+            if at > settled:
+                bytes_until(at)
+            start = at + 1 - size
+            if start < barrier:
                 continue
-            for start in range(max(barrier, end - self._longest), end):
-                piece = text[start:end]
-                if piece in scores and self._apart(last[start], piece):
-                    break
-            else:
-                raise AssertionError(f"no last piece for {text[barrier:end]!r}")
-            counts.append(counts[start] + 1)
-            last.append(piece)
-        return counts
+            before = last[start]
+            stay = apart.get(before * many + piece)
+            if stay is None:
+                stay = self._stay(before, piece)
+            if stay:
+                count = counts[start] + 1
+                steps.append((count - counts[-1]) & 255)
+                counts.append(count)
+                last.append(piece)
+                settled += 1
+        bytes_until(len(text))
+        return bytes(steps)
+
+
+class PrefixCounter(dict):
+    """Maps a stretch of text to its steps, working them out where they are not known."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self._pieces = _Pieces.of(path)
 
     def __missing__(self, stretch: str) -> bytes:
-        steps = np.diff(self.counts(stretch)).astype(np.int8).tobytes()
+        steps = self._pieces.steps(stretch)
         if len(stretch) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
