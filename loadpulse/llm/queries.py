@@ -19,6 +19,7 @@ from . import (
     simhash,
     tokens,
     toxicity,
+    variants,
 )
 from .common import stored, table
 
@@ -152,6 +153,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query()
+def op11_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
 @query()
 def op13_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts, _ = stored(prefixes.prefix_counts(table(spark, folder, "documents")), "prefix-counts")
