@@ -19,6 +19,7 @@ from . import (
     simhash,
     tokens,
     toxicity,
+    trie,
     variants,
 )
 from .common import stored, table
@@ -158,6 +159,64 @@ def op11_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(table(spark, folder, "documents"))
 
 
+# The CRC-32 of a number's digits, bit by bit.
+_CRC32 = """
+    xor(list_reduce(list_prepend(4294967295::bigint,
+            list_transform(string_split({0}::varchar, ''), lambda x: ascii(x)::bigint)),
+        lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+            lambda a, b: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end)),
+        4294967295)"""
+
+
+@query(check=rf"""
+    with turns as (
+        select conv_id, row_number() over (partition by conv_id order by turn nulls first,
+                   coalesce(role, ''), coalesce(text, '')) as place,
+               coalesce(role, '') as role, coalesce(text, '') as text
+        from conversations where conv_id is not null),
+    convs as (
+        select conv_id, conv_id - conv_id % 20 as base, {_CRC32.format('conv_id')} % 4 as h
+        from (select distinct conv_id from turns)),
+    built as (
+        select c.conv_id, t.place, t.role, t.text from convs c
+        join turns t on t.conv_id = c.base and t.place <= c.h
+        union all
+        select c.conv_id, t.place, t.role, t.text from convs c
+        join turns t on t.conv_id = c.conv_id and t.place > c.h),
+    deep as (
+        select *, row_number() over (partition by conv_id order by place) as depth from built),
+    named as (
+        select conv_id, depth, len(regexp_extract_all(text, '{_WORD}')) as words,
+               sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+                      over (partition by conv_id order by depth)) as key
+        from deep),
+    pathed as (
+        select conv_id, 0 as depth, 0 as words, '' as key, null as parent from convs
+        union all
+        select conv_id, depth, words, key,
+               coalesce(lag(key) over (partition by conv_id order by depth), '') from named),
+    placed as (
+        select *, depth = max(depth) over (partition by conv_id) as ends from pathed),
+    nodes as (
+        select key, any_value(parent) as parent, any_value(depth) as depth, min(conv_id) as conv_id,
+               count(*) as n_convs, any_value(words) as words,
+               coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as ended
+        from placed group by key),
+    counted as (
+        select n.*, (select count(*) from nodes c where c.parent = n.key) as n_children from nodes n),
+    subtrees as (
+        select p.key, count(*) filter (c.n_children = 0) as n_leaves,
+               sum((c.n_convs - 1) * c.words) as saved_tokens
+        from counted c join placed p on p.conv_id = c.conv_id and p.depth <= c.depth
+        group by p.key)
+    select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs,
+           n.n_children, s.n_leaves, cast(s.saved_tokens as bigint) as saved_tokens,
+           sha256(n.ended) as ends_sha256
+    from counted n join subtrees s on s.key = n.key left join nodes p on p.key = n.parent""")
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.trie(table(spark, folder, "conversations"))
+
+
 @query()
 def op13_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts, _ = stored(prefixes.prefix_counts(table(spark, folder, "documents")), "prefix-counts")
