@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,15 +23,25 @@ _KEYS = ["job_id", "operation"]
 _MAY_BE_ABSENT = ["workload_id"]
 
 
-def _array_of(schema: T.ArrayType) -> Column:
+def _array_of(schema: T.ArrayType, closing: str, closes: Callable[[Column], Column]) -> Column:
     """The array of a message, or null if its text is not one JSON array.
 
     The JSON reader stops at the end of the first value, so text after an array would
-    go unseen.  The message is therefore read as the first of two elements: whatever
-    follows its array makes the whole unreadable or more than two.
+    go unseen.  The message is therefore read as the first of two elements, and the
+    second one holds the text's own SHA-256 (in ``closing``, where ``%s`` stands).  A
+    text can bring elements of its own, but not that one: if the second of two elements
+    has it (``closes``), the first one is the whole text.
     """
-    both = F.from_json(F.concat(F.lit("["), F.col("data"), F.lit(",[]]")), T.ArrayType(schema))
-    return F.when(F.size(both) == 2, both[0])
+    before, after = closing.split("%s")
+    wrapped = F.concat(F.lit("["), F.col("data"), F.lit("," + before), _digest(), F.lit(after + "]"))
+    both = F.from_json(wrapped, T.ArrayType(schema))
+    # A variable of a lambda: the text is read once, however often the result is used.
+    return F.transform(F.array(both), lambda b: F.when(
+        (F.size(b) == 2) & (closes(b[1]) == _digest()), b[0]))[0]
+
+
+def _digest() -> Column:
+    return F.sha2("data", 256)
 
 
 def _doubtful(items: Column) -> Column:
@@ -82,9 +94,11 @@ def _with_items(messages: DataFrame) -> DataFrame:
     Reading by type is the fast path; the second reading, element by element, happens
     only for the messages that need it.
     """
-    read = messages.select("publish_time", "data", _array_of(_RECORDS).alias("items"))
+    typed = _array_of(_RECORDS, '[{"job_id":"%s"}]', lambda last: F.get(last, F.lit(0))["job_id"])
+    read = messages.select("publish_time", "data", typed.alias("items"))
     doubtful = read.withColumn("doubtful", _doubtful(F.col("items")))
-    elements = F.when(F.col("doubtful"), _array_of(T.ArrayType(T.StringType())))
+    elements = F.when(F.col("doubtful"),
+                      _array_of(T.ArrayType(T.StringType()), '["%s"]', lambda last: F.get(last, F.lit(0))))
     return doubtful.withColumn("elements", F.transform(elements, _element))
 
 
@@ -128,15 +142,80 @@ def quarantine(messages: DataFrame) -> DataFrame:
     )
 
 
-def _object_of(schema: T.StructType) -> Column:
-    """The object of a message, or null if its text is not one JSON object that has
-    every field of the schema with its type."""
-    both = F.from_json(F.concat(F.lit("["), F.col("data"), F.lit(",{}]")), T.ArrayType(schema))
-    record = both[0]
-    whole = (F.size(both) == 2) & record.isNotNull()
-    for name in schema.fieldNames():
-        whole = whole & record[name].isNotNull()
-    return F.when(whole, record)
+ACCEPTED, BAD_RECORD, BAD_MESSAGE = "accepted", "record", "message"
+
+
+def split_messages(
+    messages: DataFrame, read: Observation | None = None, kept: Observation | None = None
+) -> DataFrame:
+    """What ``parse_messages`` and ``quarantine`` give, from one reading of each text.
+
+    A row per element: ``publish_time``, the ``outcome`` (accepted, or why it was not),
+    the typed ``record`` of an accepted one and the ``payload`` of another.  ``read``
+    observes messages and their elements before they are unfolded (an unreadable
+    message is one), ``kept`` the rows of each outcome: their sums must agree.
+    """
+    def row(outcome: str, record: Column | None = None, payload: Column | None = None) -> Column:
+        record = F.lit(None).cast(schemas.TRANSACTION) if record is None else record
+        payload = F.lit(None).cast("string") if payload is None else payload
+        return F.struct(F.lit(outcome).alias("outcome"), record.alias("record"), payload.alias("payload"))
+
+    unreadable = F.col("doubtful") & F.col("elements").isNull()
+    each = F.transform("elements", lambda e: F.when(_usable(e["record"]), row(ACCEPTED, _typed(e["record"])))
+                       .otherwise(row(BAD_RECORD, payload=F.coalesce(e["text"], F.lit("null")))))
+    rows = (
+        F.when(unreadable, F.array(row(BAD_MESSAGE, payload=F.col("data"))))
+        .when(F.col("doubtful"), each)
+        .otherwise(F.transform("items", lambda r: row(ACCEPTED, r)))
+    )
+    held = F.when(unreadable, 1).when(F.col("doubtful"), F.size("elements")).otherwise(F.size("items"))
+    found = _with_items(messages).select("publish_time", held.alias("held"), rows.alias("rows"))
+    if read is not None:
+        found = found.observe(read, F.count("*").alias("messages"),
+                              F.coalesce(F.sum("held"), F.lit(0)).alias("elements"))
+    found = found.select("publish_time", F.inline_outer("rows")).where(F.col("outcome").isNotNull())
+    if kept is not None:
+        found = found.observe(kept, *[
+            F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in (ACCEPTED, BAD_RECORD, BAD_MESSAGE)])
+    return found
+
+
+def accepted_records(split: DataFrame) -> DataFrame:
+    """The records of a split, as ``parse_messages`` gives them."""
+    return split.where(F.col("outcome") == ACCEPTED).select("publish_time", "record.*")
+
+
+def rejected_payloads(split: DataFrame) -> DataFrame:
+    """The rejects of a split, as ``quarantine`` gives them."""
+    return split.where(F.col("outcome") != ACCEPTED).select(
+        "publish_time", "payload", F.col("outcome").alias("rejected"))
+
+
+# The name of the field that closes an object's text; records of the schema lack it.
+_CLOSING = "text_sha256"
+
+
+def _with_object(messages: DataFrame, schema: T.StructType) -> DataFrame:
+    """Messages with their object as ``record``: null if the text is not one JSON object
+    that has every field of the schema with its type.
+
+    The text is read once, as the first of two elements like an array's (see
+    ``_array_of``).
+    """
+    if _CLOSING in schema.fieldNames():
+        raise ValueError(f"a record may not have a field {_CLOSING}")
+    closed = T.StructType([*schema.fields, T.StructField(_CLOSING, T.StringType())])
+    wrapped = F.concat(F.lit("["), F.col("data"), F.lit(f',{{"{_CLOSING}":"'), _digest(), F.lit('"}]'))
+    both = F.from_json(wrapped, T.ArrayType(closed))
+
+    def whole(b: Column) -> Column:
+        fits = (F.size(b) == 2) & (b[1][_CLOSING] == _digest())
+        for name in schema.fieldNames():
+            fits = fits & b[0][name].isNotNull()
+        return F.when(fits, F.struct(*[b[0][name].alias(name) for name in schema.fieldNames()]))
+
+    return messages.select(
+        "publish_time", "data", F.transform(F.array(both), whole)[0].alias("record"))
 
 
 def parse_objects(
@@ -147,13 +226,13 @@ def parse_objects(
     ``strict`` fails the job on any other text; otherwise such messages are left out
     (and ``quarantine_objects`` keeps them).
     """
-    record = _object_of(schema)
+    read = _with_object(messages, schema)
     if strict:
         fault = F.raise_error(F.concat(F.lit("MALFORMED object: "), F.coalesce("data", F.lit("null"))))
-        record = F.coalesce(record, fault.cast(schema))
+        read = read.withColumn("record", F.coalesce("record", fault.cast(schema)))
     # Unfolding first keeps the filter above a stream's watermark, so a message that is
     # left out moves it all the same.
-    return messages.select("publish_time", F.inline_outer(F.array(record))).where(
+    return read.select("publish_time", F.inline_outer(F.array("record"))).where(
         F.col(schema.fieldNames()[0]).isNotNull())
 
 
@@ -161,7 +240,10 @@ def quarantine_objects(
     messages: DataFrame, schema: T.StructType = schemas.PROTOTYPE_TRANSACTION
 ) -> DataFrame:
     """Messages that are not one JSON object of the schema."""
-    return messages.where(_object_of(schema).isNull()).select("publish_time", "data")
+    tested = F.struct(F.col("record").isNull().alias("rejected"), "data")
+    # Unfolded, the test is a column: as a filter the optimizer would read the text again.
+    return _with_object(messages, schema).select(
+        "publish_time", F.inline_outer(F.array(tested))).where("rejected").select("publish_time", "data")
 
 
 def batch_messages(

@@ -31,11 +31,10 @@ def stream_of_messages(t: Tables):
 
 @query("txn_stream_source", check=_TXN_CHECK)
 def txn_stream_source(t: Tables):
-    path, rejects = new_location(t.spark, "records"), new_location(t.spark, "rejects")
+    path = new_location(t.spark, "records")
     streaming.start_parse_with_quarantine(
-        stream_of_messages(t), path, rejects, new_location(t.spark, "progress"),
-    ).awaitTermination()
-    return _with_micros(t.spark.read.parquet(path))
+        stream_of_messages(t), path, new_location(t.spark, "progress")).awaitTermination()
+    return _with_micros(parse.accepted_records(streaming.read_split(t.spark, path)))
 
 
 @query("txn_batch_source", check="""
@@ -62,18 +61,20 @@ def parse_txn_array(t: Tables):
 
 
 # What happens to a message's text on the way, by the remainder of its event's id.
-DAMAGE_KINDS = 10
-_DAMAGED_WHOLE, _DAMAGED_RECORD = (0, 1, 3, 4, 6, 7), (2, 5)
+DAMAGE_KINDS = 13
+_DAMAGED_WHOLE, _DAMAGED_RECORD = (0, 1, 3, 4, 6, 7, 10, 11, 12), (2, 5)
+# Of these kinds the record itself is usable.
+SOUND_RECORD = (5, 8, 9)
 OUTCOME_CHECK = f"""case when event_id % {DAMAGE_KINDS} in {_DAMAGED_WHOLE} then 'message'
                          when event_id % {DAMAGE_KINDS} in {_DAMAGED_RECORD} then 'record' end"""
 
 
 def damaged_messages(t: Tables, events):
-    """Messages of one record each, eight of ten kinds damaged on the way.
+    """Messages of one record each, eleven of thirteen kinds damaged on the way.
 
     A text is cut short, is a bare object, has a number for ``success``, has a second
     array or other text behind it, has an element that is no object beside the record,
-    is empty, or null.
+    is empty, or null, or brings brackets that could pass for those of a reader.
     """
     txn = t.view("txn", events=events)
     record = F.struct(*schemas.TRANSACTION.fieldNames())
@@ -89,6 +90,9 @@ def damaged_messages(t: Tables, events):
         .when(F.col("kind") == 5, F.concat(F.lit("["), inner, F.lit(",5]")))
         .when(F.col("kind") == 6, F.lit(""))
         .when(F.col("kind") == 7, F.lit(None).cast("string"))
+        .when(F.col("kind") == 10, F.concat("data", F.lit(","), "data", F.lit("] "), "data"))
+        .when(F.col("kind") == 11, F.concat("data", F.lit(",[]] x")))
+        .when(F.col("kind") == 12, F.concat("data", F.lit(",null] "), inner))
         .otherwise(F.col("data"))
     )
     return whole.select("publish_time", data.alias("data"))
@@ -96,13 +100,47 @@ def damaged_messages(t: Tables, events):
 
 @query("parse_txn_quarantine", check=f"""
     select epoch_us(ts) as publish_us, {OUTCOME_CHECK} as rejected
-    from events where event_id % {DAMAGE_KINDS} < 8
+    from events where {OUTCOME_CHECK} is not null
 """)
 def parse_txn_quarantine(t: Tables):
     return parse.quarantine(damaged_messages(t, t.given("events"))).select(
         F.unix_micros("publish_time").alias("publish_us"), "rejected")
 
 
+@query("parse_txn_damaged", check=f"""
+    select {_RECORD}, epoch_us(publish_time) as publish_us from txn
+    where event_id % {DAMAGE_KINDS} in {SOUND_RECORD}
+""")
+def parse_txn_damaged(t: Tables):
+    return _with_micros(parse.parse_messages(damaged_messages(t, t.given("events"))))
+
+
+# Objects: cut short, with text or other objects behind them, in an array, or as they are.
+@query("parse_txn_object_damaged", check="""
+    select case when event_id % 7 < 5 then 'rejected' else 'accepted' end as outcome,
+           case when event_id % 7 >= 5 then load_id end as load_id,
+           epoch_us(publish_time) as publish_us
+    from proto
+""")
+def parse_txn_object_damaged(t: Tables):
+    proto, data = t.view("proto"), F.col("data")
+    kind = F.pmod("event_id", F.lit(7))
+    whole = proto.select("publish_time", kind.alias("kind"), F.to_json(
+        F.struct(*schemas.PROTOTYPE_TRANSACTION.fieldNames())).alias("data"))
+    messages = whole.select("publish_time", (
+        F.when(F.col("kind") == 0, F.substr(data, F.lit(1), F.length(data) - 2))
+        .when(F.col("kind") == 1, F.concat(data, F.lit(",{}] x")))
+        .when(F.col("kind") == 2, F.concat(data, F.lit(","), data, F.lit("] "), data))
+        .when(F.col("kind") == 3, F.concat(F.lit("["), data, F.lit("]")))
+        .when(F.col("kind") == 4, F.concat(data, data)).otherwise(data)).alias("data"))
+    at = F.unix_micros("publish_time").alias("publish_us")
+    good = parse.parse_objects(messages, strict=False).select(
+        F.lit("accepted").alias("outcome"), "load_id", at)
+    bad = parse.quarantine_objects(messages).select(
+        F.lit("rejected").alias("outcome"), F.lit(None).cast("int").alias("load_id"), at)
+    return good.unionByName(bad)
+
+
 @query("parse_txn_object", check="""
     select epoch_us(publish_time) as publish_us, connection_start, transaction_start,
            transaction_end, connection_end, success, database_type, transaction_type, load_id

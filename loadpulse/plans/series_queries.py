@@ -10,7 +10,13 @@ from ..operators import charts, parse, promote, quality, requests, windows
 from ..session import new_location
 from ..sources import stores
 from ..streaming import jobs as streaming
-from .ingest_queries import DAMAGE_KINDS, OUTCOME_CHECK, damaged_messages, stream_of_messages
+from .ingest_queries import (
+    DAMAGE_KINDS,
+    OUTCOME_CHECK,
+    SOUND_RECORD,
+    damaged_messages,
+    stream_of_messages,
+)
 from .registry import query, rounded
 from .views import SERIES_WIDTH, SERIES_WIDTH_US, STRICT_Z, Tables, series_check
 
@@ -501,26 +507,45 @@ def stream_sql_windowed_latency(t: Tables):
     return t.spark.read.parquet(path)
 
 
+def _split(t: Tables) -> str:
+    """Damaged messages, split as a stream."""
+    path = new_location(t.spark, "split")
+    streaming.start_parse_with_quarantine(
+        damaged_messages(t, t.given_stream("events")), path,
+        new_location(t.spark, "progress")).awaitTermination()
+    return path
+
+
 @query("stream_parse_quarantine", check=f"""
     select {OUTCOME_CHECK} as outcome, cast(null as varchar) as job_id,
            epoch_us(publish_time) as publish_us
-    from txn where event_id % {DAMAGE_KINDS} < 8
+    from txn where {OUTCOME_CHECK} is not null
     union all
     select 'accepted', job_id, epoch_us(publish_time) from txn
-    where event_id % {DAMAGE_KINDS} >= 8 or event_id % {DAMAGE_KINDS} = 5
+    where event_id % {DAMAGE_KINDS} in {SOUND_RECORD}
 """)
 def stream_parse_quarantine(t: Tables):
-    good, bad = new_location(t.spark, "records"), new_location(t.spark, "rejects")
-    messages = damaged_messages(t, t.given_stream("events"))
-    streaming.start_parse_with_quarantine(
-        messages, good, bad, new_location(t.spark, "progress")).awaitTermination()
+    split = streaming.read_split(t.spark, _split(t))
     at = F.unix_micros("publish_time").alias("publish_us")
-    accepted = t.spark.read.parquet(good).select(F.lit("accepted").alias("outcome"), "job_id", at)
-    rejected = t.spark.read.parquet(bad).select(
+    accepted = parse.accepted_records(split).select(F.lit(parse.ACCEPTED).alias("outcome"), "job_id", at)
+    rejected = parse.rejected_payloads(split).select(
         F.col("rejected").alias("outcome"), F.lit(None).cast("string").alias("job_id"), at)
     return accepted.unionByName(rejected)
 
 
+@query("stream_split_counts", check=f"""
+    select cast(count(*) as bigint) as messages,
+           cast(sum(case when event_id % {DAMAGE_KINDS} = 5 then 2 else 1 end) as bigint) as elements,
+           count(*) filter (event_id % {DAMAGE_KINDS} in {SOUND_RECORD}) as accepted,
+           count(*) filter ({OUTCOME_CHECK} = 'record') as record,
+           count(*) filter ({OUTCOME_CHECK} = 'message') as message
+    from txn
+""")
+def stream_split_counts(t: Tables):
+    counts = streaming.read_split_counts(t.spark, _split(t))
+    return counts.agg(*[F.sum(c).alias(c) for c in streaming.SPLIT_COUNTS])
+
+
 @query("stream_lease_sweep", check="""
     select resource_id, database_type, database_size, expiry, status, connection_string, replica_ip
     from resources where status = 'leased' and expiry < (select epoch_us(max(ts)) / 1000000.0 from events)

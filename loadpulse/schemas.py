@@ -24,6 +24,15 @@ TRANSACTION = T.StructType([
     T.StructField("transaction_end", T.DoubleType()),
 ])
 
+# What became of an element of a message: a record, or a payload that was rejected.
+SPLIT = T.StructType([
+    T.StructField("publish_time", T.TimestampType()),
+    T.StructField("record", TRANSACTION),
+    T.StructField("payload", T.StringType()),
+    T.StructField("batch", T.LongType()),
+    T.StructField("outcome", T.StringType()),
+])
+
 # The record of the SQL prototype: one JSON object per message.
 PROTOTYPE_TRANSACTION = T.StructType([
     T.StructField("connection_start", T.IntegerType()),

@@ -27,8 +27,6 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", **option
     reader = spark.read.format(fmt).options(**options)
     if fmt != "kafka":
         reader = reader.schema(schemas.MESSAGE)
-        if "maxFilesPerTrigger" not in options:
-            reader = reader.option("maxFilesPerTrigger", FILES_PER_BATCH)
     return _as_messages(reader.load(path) if path else reader.load(), fmt)
 
 

@@ -1,6 +1,9 @@
 from .jobs import (  # noqa: F401
+    ElementsLost,
     heartbeat,
     read_latest_series,
+    read_split,
+    read_split_counts,
     start_lease_sweep,
     start_parse_with_quarantine,
     start_series_sink,

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as K
+from .. import schemas
 from ..operators import parse, pool, windows
+from ..sources import tables
 
 NO_DELAY = "0 seconds"
 
@@ -95,18 +97,30 @@ def read_latest_series(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+class ElementsLost(RuntimeError):
+    """The outcomes of a batch do not add up to what its messages held."""
+
+
 def start_parse_with_quarantine(
-    messages: DataFrame, records_path: str, rejects_path: str, checkpoint: str,
-    interval: str | None = None,
+    messages: DataFrame, path: str, checkpoint: str, interval: str | None = None,
 ) -> StreamingQuery:
-    """Write usable records to one place and everything else to another.
+    """Split every batch into usable records and everything else, in one pass.
 
-    Both outputs of a batch lie in folders of its number, overwritten when it runs
-    again, so neither loses nor repeats rows.
+    Each text is read once and both outcomes are one write, in folders of the batch and
+    the outcome; a batch that runs again replaces its own.  What was read and what was
+    kept is observed on the way: a batch whose sums differ fails, and the numbers of the
+    others are kept beside their rows (``read_split_counts``).
     """
     def write(batch: DataFrame, number: int) -> None:
-        parse.parse_messages(batch).write.mode("overwrite").parquet(f"{records_path}/batch={number}")
-        parse.quarantine(batch).write.mode("overwrite").parquet(f"{rejects_path}/batch={number}")
+        read, kept = Observation(f"read-{number}"), Observation(f"kept-{number}")
+        parse.split_messages(batch, read, kept).write.mode("overwrite").partitionBy("outcome").parquet(
+            f"{path}/split/batch={number}")
+        counts = read.get | kept.get
+        if counts["elements"] != counts[parse.ACCEPTED] + counts[parse.BAD_RECORD] + counts[parse.BAD_MESSAGE]:
+            raise ElementsLost(f"batch {number}: {counts}")
+        tables.fixed_table(batch.sparkSession, [tuple(counts[c] for c in SPLIT_COUNTS)],
+                           dict.fromkeys(SPLIT_COUNTS, "BIGINT")).write.mode("overwrite").parquet(
+            f"{path}/counts/batch={number}")
 
     return (
         messages.writeStream.foreachBatch(write)
@@ -114,6 +128,21 @@ def start_parse_with_quarantine(
     )
 
 
+SPLIT_COUNTS = ["messages", "elements", parse.ACCEPTED, parse.BAD_RECORD, parse.BAD_MESSAGE]
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``start_parse_with_quarantine``; a filter on ``outcome`` or ``batch``
+    reads only its folders."""
+    return spark.read.schema(schemas.SPLIT).parquet(f"{path}/split")
+
+
+def read_split_counts(spark: SparkSession, path: str) -> DataFrame:
+    """What each batch read and kept: a row per batch."""
+    columns = ", ".join(f"{c} bigint" for c in [*SPLIT_COUNTS, "batch"])
+    return spark.read.schema(columns).parquet(f"{path}/counts")
+
+
 def start_lease_sweep(
     ticks: DataFrame, load_resources: Callable[[SparkSession], DataFrame], path: str,
     checkpoint: str, interval: str | None = K.SWEEP_INTERVAL,

@@ -185,3 +185,50 @@ def test_nan_text_is_a_number(make_messages):
     text = json.dumps([record(transaction_end="NaN")])
     row = parse.parse_messages(make_messages((0, text))).first()
     assert math.isnan(row.transaction_end)
+
+
+RECORD = '{"job_id":"a","operation":"read"}'
+FORGED = [f"[{RECORD}],[{RECORD}]] [{RECORD}]", f"[{RECORD}],[]] junk", f"[{RECORD}],null] {RECORD}",
+          f'[{RECORD}],["x"]] junk', f"[{RECORD}],[{RECORD}]"]
+
+
+@pytest.mark.parametrize("text", FORGED)
+def test_a_text_that_brings_the_readers_own_brackets_is_rejected_whole(make_messages, text):
+    messages = make_messages((0, text))
+    assert parse.parse_messages(messages).count() == 0
+    assert [r.payload for r in parse.quarantine(messages).collect()] == [text]
+    split = parse.split_messages(messages).collect()
+    assert [(r.outcome, r.payload, r.record) for r in split] == [("message", text, None)]
+
+
+def test_an_object_that_brings_the_readers_own_brackets_is_rejected(make_messages):
+    good = json.dumps(dict(connection_start=1, transaction_start=1, transaction_end=2, connection_end=2,
+                           success=True, database_type="d", transaction_type="read", load_id=1))
+    texts = [f"{good},{good}] {good}", f"{good},{{}}] x", f"{good},{good}", f"[{good}]"]
+    messages = make_messages(*enumerate(texts), (9, good))
+    assert parse.parse_objects(messages, strict=False).count() == 1
+    assert sorted(r.data for r in parse.quarantine_objects(messages).collect()) == sorted(texts)
+
+
+def test_a_split_is_what_both_readings_give(make_messages):
+    messages = make_messages(
+        (0, f"[{RECORD}]"), (1, f"[{RECORD},7,null,{{}}]"), (2, "nothing"), (3, "[]"), (4, None), (5, FORGED[0]))
+    split = parse.split_messages(messages)
+    assert sorted(map(str, parse.accepted_records(split).collect())) == sorted(
+        map(str, parse.parse_messages(messages).collect()))
+    assert sorted(map(str, parse.rejected_payloads(split).select("publish_time", "payload", "rejected").collect())) \
+        == sorted(map(str, parse.quarantine(messages).select("publish_time", "payload", "rejected").collect()))
+
+
+def test_texts_are_read_once(spark, make_messages, folder):
+    make_messages((0, "[]")).write.parquet(folder("m"))
+    messages = spark.read.parquet(folder("m"))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert plan(parse.parse_objects(messages)).count("from_json(") == 1
+    assert plan(parse.quarantine_objects(messages)).count("from_json(") == 1
+    # By type, and for doubtful messages as texts, whose elements are read by field.
+    split = plan(parse.split_messages(messages))
+    assert split.count("from_json(") == 3 and split.count("FileScan") == 1

@@ -113,12 +113,38 @@ def test_prototype_stream(spark, feed, folder):
 
 
 def test_two_outputs_of_one_stream(spark, feed, folder):
+    feed((0, message()), (1, "broken"), (1, "[]"))
+    feed((2, message()), (3, json.dumps([{"job_id": "x"}, {"job_id": "y", "operation": "read"}])))
+    streaming.start_parse_with_quarantine(feed.stream(), folder("split"), folder("progress")).awaitTermination()
+    split = streaming.read_split(spark, folder("split"))
+    accepted, rejected = parse.accepted_records(split), parse.rejected_payloads(split)
+    assert sorted(r.job_id for r in accepted.collect()) == ["j", "j", "y"]
+    assert sorted((r.rejected, r.payload) for r in rejected.collect()) == [
+        ("message", "broken"), ("record", '{"job_id":"x"}')]
+    counts = {r.batch: (r.messages, r.elements, r.accepted, r.record, r.message)
+              for r in streaming.read_split_counts(spark, folder("split")).collect()}
+    assert counts == {0: (3, 2, 1, 0, 1), 1: (2, 3, 2, 1, 0)}
+
+
+def test_a_split_batch_that_runs_again_replaces_its_own(spark, feed, folder):
     feed((0, message()), (1, "broken"))
-    feed((2, message()), (3, json.dumps([{"job_id": "x"}])))
-    streaming.start_parse_with_quarantine(
-        feed.stream(), folder("good"), folder("bad"), folder("progress")).awaitTermination()
-    assert spark.read.parquet(folder("good")).count() == 2
-    assert sorted(r.rejected for r in spark.read.parquet(folder("bad")).collect()) == ["message", "record"]
+    for progress in ("first", "second"):
+        streaming.start_parse_with_quarantine(
+            feed.stream(), folder("split"), folder(progress)).awaitTermination()
+    assert streaming.read_split(spark, folder("split")).count() == 2
+    assert streaming.read_split_counts(spark, folder("split")).count() == 1
+
+
+def test_a_batch_whose_elements_do_not_add_up_fails(spark, feed, folder, monkeypatch):
+    feed((0, message()))
+    whole = parse.split_messages
+    monkeypatch.setattr(streaming.parse, "split_messages",
+                        lambda m, read, kept: whole(m, read).where("false").observe(
+                            kept, *[F.count(F.when(F.col("outcome") == o, 1)).alias(o)
+                                    for o in ("accepted", "record", "message")]))
+    query = streaming.start_parse_with_quarantine(feed.stream(), folder("split"), folder("progress"))
+    with pytest.raises(Exception, match="ElementsLost"):
+        query.awaitTermination()
 
 
 def test_sweep_uses_the_time_of_its_tick(spark, make_messages, folder):
