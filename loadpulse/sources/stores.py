@@ -39,9 +39,14 @@ def append_partitioned(df: DataFrame, path: str, partitions: list[str]) -> None:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: its size is known to the planner, and a
     join with it is one of plain tables, which adaptive execution can split."""
+    return stored_at(df, label)[0]
+
+
+def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``stored``, with the table's place, for those who delete it after use."""
     path = new_location(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def read_series(spark: SparkSession, path: str, job_id: str | None = None) -> DataFrame:

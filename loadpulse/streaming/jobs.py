@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as K
 from .. import schemas
 from ..operators import parse, pool, windows
-from ..sources import tables
+from ..sources import snapshots, stores, tables
 
 NO_DELAY = "0 seconds"
 
@@ -70,16 +70,30 @@ def start_series_sink(
     )
 
 
+SERIES_KEY = ["job_id", "query_action", "timestamp"]
+SLOT_MS = 3_600_000  # a slot of the upsert table: what an update of it rewrites
+
+
+def _series_slot(slot_ms: int) -> Column:
+    return F.floor(F.col("timestamp") / slot_ms)
+
+
 def start_series_upserts(
-    series: DataFrame, path: str, checkpoint: str, interval: str | None = None
+    series: DataFrame, path: str, checkpoint: str, interval: str | None = None,
+    slot_ms: int = SLOT_MS,
 ) -> StreamingQuery:
-    """Keep open windows visible: every batch writes the windows it changed.
+    """Keep open windows visible: every batch puts the windows it changed in a table
+    with one row per window.
 
-    A batch owns the folder of its number and overwrites it when it runs again.
+    A batch rewrites only the time slots it touches and becomes visible at once, as the
+    table's next version; a batch that runs again finds itself there and changes nothing.
     ``read_latest_series`` gives the current state of each window.
     """
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        # Read twice, for its slots and for its rows: aggregate it once.
+        kept, where = stores.stored_at(batch, "upserts")
+        snapshots.upsert(kept, path, SERIES_KEY, _series_slot(slot_ms), checkpoint, number)
+        snapshots.delete(batch.sparkSession, where)
 
     return (
         series.writeStream.outputMode("update").foreachBatch(write)
@@ -87,14 +101,18 @@ def start_series_upserts(
     )
 
 
-def read_latest_series(spark: SparkSession, path: str) -> DataFrame:
-    """The newest state of each window written by ``start_series_upserts``."""
-    values = ["average_latency", "failure_percent"]
-    return (
-        spark.read.parquet(path).groupBy("job_id", "query_action", "timestamp")
-        .agg(F.max_by(F.struct(*values), "batch").alias("v"))
-        .select("job_id", "query_action", *[f"v.{v}" for v in values], "timestamp")
-    )
+def read_latest_series(
+    spark: SparkSession, path: str, between_ms: tuple[int, int] | None = None,
+    slot_ms: int = SLOT_MS,
+) -> DataFrame:
+    """The newest state of each window written by ``start_series_upserts``, or of those
+    with timestamps from one to another; slots outside are not read."""
+    if between_ms is None:
+        return snapshots.read_snapshot(spark, path, schemas.SERIES)
+    first, last = between_ms
+    return snapshots.read_snapshot(
+        spark, path, schemas.SERIES, (first // slot_ms, last // slot_ms)
+    ).where(F.col("timestamp").between(first, last))
 
 
 class ElementsLost(RuntimeError):
