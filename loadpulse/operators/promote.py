@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..sources import stores
+from ..sources import occupancy, stores
+from ..sources.occupancy import Place
 from ..sources.tables import fixed_table
 
 LOCATION = ["key", "pattern"]
@@ -17,14 +19,13 @@ class SeedInUse(ValueError):
     """The live cache already has rows with the seed of a copy."""
 
 
-def not_already_cached(candidates: DataFrame, cached: DataFrame) -> DataFrame:
+def not_already_cached(candidates: DataFrame, occupied: DataFrame) -> DataFrame:
     """Candidates whose location is still empty.
 
-    The cache is asked about the candidates' locations only: these are few, so their
-    broadcast prunes its folders.
+    ``occupied`` has a row per location, as the index of a cache does
+    (``sources.occupancy``), or rows of the cache itself, which are summed up first.
     """
-    taken = cached.join(candidates.select(*LOCATION).distinct(), LOCATION, "left_semi")
-    return candidates.join(taken.select(*LOCATION).distinct(), LOCATION, "left_anti")
+    return candidates.join(occupied.select(*LOCATION).distinct(), LOCATION, "left_anti")
 
 
 def first_wins(verdicts: DataFrame) -> DataFrame:
@@ -35,34 +36,48 @@ def first_wins(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def promoted_rows(series: DataFrame, verdicts: DataFrame, cached: DataFrame) -> DataFrame:
-    """The series rows to append to a cache: first passing job per empty location."""
-    candidates = stores.stored(first_wins(verdicts), "candidates")
-    winners = stores.stored(not_already_cached(candidates, cached), "winners")
-    return series.join(winners, "job_id")
+def promoted_rows(series: DataFrame, winners: dict[str, tuple[str, str]]) -> DataFrame:
+    """The series rows of the winning jobs, with the location each is promoted to.
+
+    Jobs are named by literals, so a store with a folder per job is read there only, and
+    their locations are a local relation of known size.
+    """
+    spark = series.sparkSession
+    if not winners:
+        return spark.createDataFrame([], stores.CACHE).drop("seed")
+    places = fixed_table(spark, [(job, *place) for job, place in sorted(winners.items())],
+                         {"job_id": "STRING", "key": "STRING", "pattern": "STRING"})
+    return series.where(F.col("job_id").isin(sorted(winners))).join(places, "job_id")
 
 
 def promote_to_stage(
-    spark: SparkSession, series: DataFrame, verdicts: DataFrame, stage_path: str
+    spark: SparkSession, series: DataFrame, verdicts: DataFrame, stage_path: str,
+    owner: str | None = None,
 ) -> None:
-    """Append the promoted rows to the staging cache at ``stage_path``.
-
-    The append is one job with one commit, and occupied locations are skipped, so
-    running it again after a success changes nothing.
+    """Append the series of the first passing job of every empty location to the staging
+    cache at ``stage_path``.
+
+    The cache's index tells which locations are empty, so the cache itself is not read.
+    Each location is claimed before it is filled: of promotions that run at once, one
+    fills it.  A promotion that fails gives its claims back; one that dies leaves them
+    (``occupancy.abandoned``), and goes on if it runs again as the same ``owner``.
+    Candidates come to the driver: one per location that the listed jobs name.
     """
-    stores.append_partitioned(
-        promoted_rows(series, verdicts, _cache_or_empty(spark, stage_path)),
-        stage_path, stores.CACHE_PARTITIONS,
-    )
-
-
-def _cache_or_empty(spark: SparkSession, path: str) -> DataFrame:
+    owner = owner or uuid.uuid4().hex
+    filled = occupancy.occupied(spark, stage_path)
+    candidates = {r["job_id"]: Place(r["key"], r["pattern"]) for r in first_wins(verdicts).collect()}
+    claimed = {job: place for job, place in candidates.items()
+               if place not in filled and occupancy.claim(spark, stage_path, place, owner)}
+    # What another promotion has filled and indexed since the first look is not ours.
+    filled = occupancy.occupied(spark, stage_path) if claimed else filled
+    winners = {job: place[:2] for job, place in claimed.items() if place not in filled}
+    if not winners:
+        return
     try:
-        return stores.read_cached_series(spark, path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], stores.CACHE)
+        occupancy.append(promoted_rows(series, winners), stage_path, stores.CACHE_PARTITIONS)
+    except Exception:
+        occupancy.release(spark, stage_path, claimed.values(), owner)
+        raise
 
 
 def with_seed(rows: DataFrame, seed: object) -> DataFrame:
@@ -79,17 +94,31 @@ def seed_conflicts(staged: DataFrame, live: DataFrame, seed: object) -> DataFram
     )
 
 
-def promote_with_seed(spark: SparkSession, stage_path: str, live_path: str, seed: object) -> None:
+def promote_with_seed(
+    spark: SparkSession, stage_path: str, live_path: str, seed: object, owner: str | None = None
+) -> None:
     """Copy the whole staging cache to the live one under ``seed``, or refuse.
 
-    Any staged location with rows of that seed refuses the whole copy, whatever
-    its pattern.
+    Any staged location with rows of that seed refuses the whole copy, whatever its
+    pattern.  Both caches' indexes are asked, and every location is claimed before any
+    is written, so of copies under one seed that run at once at most one is made.
     """
-    staged = stores.read_cached_series(spark, stage_path).drop("seed")
-    live = _cache_or_empty(spark, live_path)
-    if not seed_conflicts(staged, live, seed).isEmpty():
-        raise SeedInUse(f"live cache already has rows with seed {seed}")
-    stores.append_partitioned(with_seed(staged, seed), live_path, stores.LIVE_CACHE_PARTITIONS)
+    owner = owner or uuid.uuid4().hex
+    wanted = [Place(r["key"], r["pattern"], seed) for r in
+              occupancy.occupancy(spark, stage_path).select(*LOCATION).distinct().orderBy(*LOCATION).collect()]
+    claimed: list[Place] = []
+    try:
+        for place in wanted:
+            if not occupancy.claim(spark, live_path, place, owner):
+                raise SeedInUse(f"another copy has claimed {place} of the live cache")
+            claimed.append(place)
+        if not occupancy.occupied(spark, live_path).isdisjoint(wanted):
+            raise SeedInUse(f"live cache already has rows with seed {seed}")
+        staged = stores.read_cached_series(spark, stage_path).drop("seed")
+        occupancy.append(with_seed(staged, seed), live_path, stores.LIVE_CACHE_PARTITIONS)
+    except Exception:
+        occupancy.release(spark, live_path, claimed, owner)
+        raise
 
 
 def all_locations(spark: SparkSession) -> DataFrame:

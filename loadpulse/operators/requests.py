@@ -5,10 +5,11 @@ Request fields are text as they arrive; an absent field is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
+from ..sources import occupancy
 
 REQUIRED = {
     "single": ["read_pattern", "write_pattern", "db_type", "intensity", "db_size"],
@@ -129,6 +130,21 @@ def cached_series_for(requests: DataFrame, cached: DataFrame) -> DataFrame:
     return cached.join(asked, ["key", "pattern"], "left_semi")
 
 
+def read_series_for(
+    spark: SparkSession, requests: DataFrame, path: str, seed: object | None = None
+) -> DataFrame:
+    """The rows of the cache at ``path`` that the requests ask for, each row once.
+
+    The cache's index says which of the asked locations it has.  Those, no more than it
+    has at all, are read by literal predicates, so other folders are not listed.
+    """
+    asked = cached_locations(requests).select("key", "pattern").distinct()
+    held = occupancy.occupancy(spark, path).where(
+        F.col("seed") == ("" if seed is None else str(seed))).join(asked, ["key", "pattern"], "left_semi")
+    places = [occupancy.Place(r["key"], r["pattern"], seed) for r in held.collect()]
+    return occupancy.read_places(spark, path, places)
+
+
 def resource_quality_flags(registry: DataFrame) -> DataFrame:
     """Registrations with the outcome of every rule and the first one broken.
 

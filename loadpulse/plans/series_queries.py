@@ -8,7 +8,7 @@ from .. import constants as K
 from .. import schemas, sources
 from ..operators import charts, parse, promote, quality, requests, windows
 from ..session import new_location
-from ..sources import stores
+from ..sources import occupancy, stores
 from ..streaming import jobs as streaming
 from .ingest_queries import (
     DAMAGE_KINDS,
@@ -353,6 +353,39 @@ def cached_lookup(t: Tables):
     return requests.cached_lookup(t.view("run_requests"), cached)
 
 
+# The live cache has the staged rows three times: under two seeds and under none.
+def _live(t: Tables) -> str:
+    staged, live = _staged(t), new_location(t.spark, "live")
+    for seed in (7, 8):
+        promote.promote_with_seed(t.spark, staged, live, seed)
+    plain = sources.read_cached_series(t.spark, staged).withColumn("seed", F.lit(None).cast("string"))
+    occupancy.append(plain, live, stores.LIVE_CACHE_PARTITIONS)
+    return live
+
+
+@query("cached_series", check=f"""
+    select key, pattern, {_SERIES}, '7' as seed from staged s
+    where exists (
+        select 1 from ({_EXPANDED}) a
+        where a.mode in ('fail', 'run')
+          and s.key = case a.db_type when 1 then 'sql' when 2 then 'sqlrep' else 'spanner' end
+                          || '-' || a.db_size || '-' || a.read_intensity
+          and s.pattern = a.read_pattern || '-' || a.write_pattern)
+""")
+def cached_series(t: Tables):
+    found = requests.read_series_for(t.spark, t.view("run_requests"), _live(t), seed=7)
+    return rounded(found, "average_latency")
+
+
+@query("cache_occupancy", check="""
+    select key, pattern, seed, count(*) as cached_rows, min("timestamp") as first_timestamp,
+           max("timestamp") as last_timestamp
+    from staged, (values ('7'), ('8'), ('')) s(seed) group by key, pattern, seed
+""")
+def cache_occupancy(t: Tables):
+    return occupancy.occupancy(t.spark, _live(t))
+
+
 _REGISTRY_FLAGS = """
     select *, case when not complete then 'complete' when not type_ok then 'type_ok'
                    when not size_ok then 'size_ok' when not resource_id_ok then 'resource_id_ok'
@@ -402,6 +435,29 @@ def chart_series(t: Tables):
     return rounded(charts.chart_series(t.stored_series, ["job_id"]), "y", digits=6)
 
 
+_LIVE_POINTS = """
+    (select key, pattern, seed, query_action, average_latency, failure_percent,
+            ("timestamp" - min("timestamp") over (partition by key, pattern)) / 1000.0::double as x
+     from staged, (values ('number 7'), ('text 8'), ('none')) s(seed))
+"""
+
+
+@query("chart_series_seeded", check=f"""
+    select key, pattern, seed, query_action || '_latency' as line, x,
+           round(average_latency * 1000, 6) as y
+    from {_LIVE_POINTS}
+    union all
+    select key, pattern, seed, 'failure_percent' as line, x, round(failure_percent::double, 6) as y
+    from {_LIVE_POINTS}
+""")
+def chart_series_seeded(t: Tables):
+    live = sources.read_cached_series(t.spark, _live(t))
+    drawn = [charts.chart_series(live, ["key", "pattern"], seed).withColumn("seed", F.lit(label))
+             for label, seed in (("number 7", 7), ("text 8", "8"), ("none", None))]
+    points = drawn[0].unionByName(drawn[1]).unionByName(drawn[2])
+    return rounded(points, "y", digits=6)
+
+
 # --- streams -----------------------------------------------------------------
 
 def _run_and_close(t: Tables, data: str, start) -> None:

@@ -132,8 +132,8 @@ def read_snapshot(
 
 
 def upsert(
-    rows: DataFrame, path: str, keys: list[str], slot: Column, writer: str, update: int,
-    kept_versions: int = KEPT_VERSIONS,
+    rows: DataFrame, path: str, keys: list[str], slot: Column, writer: str | None = None,
+    update: int = 0, kept_versions: int = KEPT_VERSIONS, expected: int | None = None,
 ) -> bool:
     """Put ``rows`` in the table: a row replaces the one with its keys.
 
@@ -141,6 +141,8 @@ def upsert(
     are unique within ``rows``, as the results of a stream's update mode are.  ``update``
     rises with each update of a ``writer``: one that the table has already is skipped,
     so an update that runs again changes nothing; the result says whether it was applied.
+    Updates without a writer are always applied.  With ``expected`` an update is made to
+    the version of that number, and to no other.
 
     The touched slots are listed on the driver: as many as the update has slots of time.
     """
@@ -149,7 +151,9 @@ def upsert(
         if own in rows.columns:
             raise ValueError(f"a column of the table may not be called {own}")
     before = current(spark, path)
-    if update <= before["writers"].get(writer, -1):
+    if expected is not None and before["number"] != expected:
+        raise VersionConflict(f"{path} has version {before['number']} already")
+    if writer is not None and update <= before["writers"].get(writer, -1):
         return False
     folder = uuid.uuid4().hex
     incoming = rows.withColumn("_slot", slot.cast("bigint")).select(
@@ -169,7 +173,7 @@ def upsert(
     after = {
         "number": before["number"] + 1,
         "slots": before["slots"] | dict.fromkeys(touched, folder),
-        "writers": before["writers"] | {writer: update},
+        "writers": before["writers"] | ({} if writer is None else {writer: update}),
     }
     if not publish(spark, _version_path(path, after["number"]), json.dumps(after)):
         delete(spark, f"{path}/data/{folder}")

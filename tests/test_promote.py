@@ -1,9 +1,12 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from loadpulse import sources
 from loadpulse.operators import promote, quality
-from loadpulse.sources import stores
+from loadpulse.sources import occupancy, snapshots, stores
+from loadpulse.sources.occupancy import Place
 
 JOB = ("job_id string, db_type int, db_size int, read_pattern int, write_pattern int, "
        "read_intensity int")
@@ -119,3 +122,127 @@ def test_first_run_of_an_instance_is_its_warm_up(spark):
         "job_id string, db_type int, db_size int, start int")
     got = {r.job_id: r.warm_up for r in promote.first_run_per_instance(jobs).collect()}
     assert got == {"a": False, "b": True, "c": True, "d": False}
+
+
+def counts(spark, path):
+    return {(r.key, r.pattern, r.seed): (r.cached_rows, r.first_timestamp, r.last_timestamp)
+            for r in occupancy.occupancy(spark, path).collect()}
+
+
+def test_the_index_tells_what_the_cache_holds(spark, campaign, folder):
+    series, verdicts = campaign
+    stage, live = folder("stage"), folder("live")
+    assert counts(spark, stage) == {}
+    promote.promote_to_stage(spark, series, verdicts, stage)
+    expected = {("sql-1-1", "1-1", ""): (50, 0, 49_000), ("spanner-2-2", "1-3", ""): (50, 0, 49_000)}
+    assert counts(spark, stage) == expected
+    promote.promote_with_seed(spark, stage, live, 3)
+    assert counts(spark, live) == {(k, p, "3"): v for (k, p, _), v in expected.items()}
+    more = sources.read_cached_series(spark, stage).where("key = 'sql-1-1'").withColumn(
+        "timestamp", F.col("timestamp") + 100_000)
+    occupancy.append(more.drop("seed"), stage, stores.CACHE_PARTITIONS)
+    assert counts(spark, stage)["sql-1-1", "1-1", ""] == (100, 0, 149_000)
+    assert occupancy.abandoned(spark, stage) == {}
+
+
+def test_a_cache_without_an_index_gets_one_before_it_grows(spark, campaign, folder):
+    series, verdicts = campaign
+    stage = folder("stage")
+    taken = series.where("job_id = 'a'").withColumns({"key": F.lit("sql-1-1"), "pattern": F.lit("1-1")})
+    stores.append_partitioned(taken, stage, stores.CACHE_PARTITIONS)
+    promote.promote_to_stage(spark, series, verdicts, stage)
+    assert {k: v[0] for k, v in counts(spark, stage).items()} == {
+        ("sql-1-1", "1-1", ""): 50, ("spanner-2-2", "1-3", ""): 50}
+
+
+def test_promotion_reads_only_the_folders_it_needs(spark, campaign, folder):
+    series, verdicts = campaign
+    store, stage = folder("store"), folder("stage")
+    stores.append_partitioned(series, store, stores.SERIES_PARTITIONS)
+    stored = sources.read_series(spark, store)
+    rows = promote.promoted_rows(stored, {"b": ("sql-1-1", "1-1"), "c": ("spanner-2-2", "1-3")})
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert " IN (b,c)" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert rows.count() == 100
+    promote.promote_to_stage(spark, stored, verdicts, stage)
+    one = occupancy.read_places(spark, stage, [Place("sql-1-1", "1-1")])
+    filters = one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+    assert "(key" in filters and "= sql-1-1)" in filters and "= 1-1)" in filters
+    assert locations(one) == [("sql-1-1", "1-1", "b")]
+    assert occupancy.read_places(spark, stage, []).count() == 0
+
+
+def at_once(runs, monkeypatch):
+    """Start the calls together, and let none claim before all have looked."""
+    looked, claim, first = threading.Barrier(len(runs)), occupancy.claim, threading.local()
+
+    def wait_and_claim(*args):
+        if not getattr(first, "over", False):
+            first.over = True
+            looked.wait(120)
+        return claim(*args)
+
+    monkeypatch.setattr(occupancy, "claim", wait_and_claim)
+    errors = []
+
+    def run(call):
+        try:
+            call()
+        except Exception as error:
+            errors.append(error)
+
+    threads = [threading.Thread(target=run, args=(call,)) for call in runs]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    monkeypatch.setattr(occupancy, "claim", claim)
+    return errors
+
+
+def test_promotions_at_once_leave_one_set_of_rows(spark, campaign, folder, monkeypatch):
+    series, verdicts = campaign
+    stage = folder("stage")
+    assert not at_once([lambda: promote.promote_to_stage(spark, series, verdicts, stage)] * 3, monkeypatch)
+    staged = sources.read_cached_series(spark, stage)
+    assert staged.count() == 100
+    assert locations(staged) == [("spanner-2-2", "1-3", "c"), ("sql-1-1", "1-1", "b")]
+    assert {v[0] for v in counts(spark, stage).values()} == {50}
+
+
+def test_copies_at_once_under_one_seed_leave_one(spark, campaign, folder, monkeypatch):
+    series, verdicts = campaign
+    stage, live = folder("stage"), folder("live")
+    promote.promote_to_stage(spark, series, verdicts, stage)
+    errors = at_once([lambda: promote.promote_with_seed(spark, stage, live, 1)] * 2, monkeypatch)
+    assert len(errors) == 1 and isinstance(errors[0], promote.SeedInUse)
+    assert sources.read_cached_series(spark, live).count() == 100
+
+
+def test_a_promotion_that_fails_gives_its_claims_back(spark, campaign, folder, monkeypatch):
+    series, verdicts = campaign
+    stage = folder("stage")
+
+    def broken(*args):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(occupancy, "append", broken)
+        with pytest.raises(OSError):
+            promote.promote_to_stage(spark, series, verdicts, stage)
+    promote.promote_to_stage(spark, series, verdicts, stage)
+    assert sources.read_cached_series(spark, stage).count() == 100
+
+
+def test_claims_of_a_dead_promotion_can_be_taken_up_or_released(spark, campaign, folder):
+    series, verdicts = campaign
+    stage, place = folder("stage"), Place("sql-1-1", "1-1")
+    assert occupancy.claim(spark, stage, place, "dead") and occupancy.claim(spark, stage, place, "dead")
+    promote.promote_to_stage(spark, series, verdicts, stage, owner="alive")
+    assert locations(sources.read_cached_series(spark, stage)) == [("spanner-2-2", "1-3", "c")]
+    assert occupancy.abandoned(spark, stage) == {place: "dead"}
+    occupancy.release(spark, stage, [place], "alive")
+    promote.promote_to_stage(spark, series, verdicts, stage, owner="dead")
+    assert sources.read_cached_series(spark, stage).count() == 100
+    assert occupancy.abandoned(spark, stage) == {}
+    occupancy.release(spark, stage, [place], "dead")
+    assert occupancy.claim(spark, stage, place, "next")
+    assert snapshots.names_in(spark, f"{stage}/_claims") == ["spanner-2-2", "sql-1-1"]
