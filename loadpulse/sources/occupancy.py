@@ -43,15 +43,15 @@ def _index_path(path: str) -> str:
     return f"{path}/_occupancy"
 
 
-def within(places: Iterable[tuple], columns: list[str] = PLACE) -> Column:
+def within(places: Iterable[tuple], no_seed: str | None = None) -> Column:
     """A predicate of literals, which prunes folders: rows at one of the places.
 
-    An empty seed means none.
+    ``no_seed`` is what rows without a seed have in that column: null in a cache.
     """
     def at(place: tuple) -> Column:
-        tests = [F.col(c).isNull() if c == "seed" and v == "" else F.col(c) == v
-                 for c, v in zip(columns, place)]
-        return reduce(lambda a, b: a & b, tests)
+        key, pattern, seed = place
+        seed = F.col("seed").isNull() if seed == "" and no_seed is None else F.col("seed") == seed
+        return (F.col("key") == key) & (F.col("pattern") == pattern) & seed
 
     return reduce(lambda a, b: a | b, map(at, places), F.lit(False))
 
@@ -89,24 +89,33 @@ def occupied(spark: SparkSession, path: str) -> set[Place]:
 def _add(summary: DataFrame, path: str) -> None:
     """Add a summary of appended rows to the index.
 
-    Of writers at the same version all but one begin anew, on what the others left.
+    The appended locations, a row each, are added up on the driver.  Of writers at the
+    same version all but one begin anew, on what the others left.
     """
     spark = summary.sparkSession
-    summary, where = stores.stored_at(summary, "occupied")
-    for _ in range(_ATTEMPTS):
-        before = snapshots.read_snapshot(spark, _index_path(path), INDEX)
-        after = summary.unionByName(before.join(summary, PLACE, "left_semi")).groupBy(*PLACE).agg(
-            F.sum("cached_rows").alias("cached_rows"), F.min("first_timestamp").alias("first_timestamp"),
-            F.max("last_timestamp").alias("last_timestamp"))
-        try:
-            snapshots.upsert(after, _index_path(path), PLACE, F.lit(0))
-        except snapshots.VersionConflict:
-            continue
-        snapshots.delete(spark, where)
+    added = {tuple(r[c] for c in PLACE): r for r in summary.collect()}
+    if not added:
         return
+    for _ in range(_ATTEMPTS):
+        held = snapshots.read_snapshot(spark, _index_path(path), INDEX).where(within(added, no_seed=""))
+        rows = {place: (r["cached_rows"], r["first_timestamp"], r["last_timestamp"]) for place, r in added.items()}
+        for r in held.collect():
+            n, first, last = rows[tuple(r[c] for c in PLACE)]
+            rows[tuple(r[c] for c in PLACE)] = (
+                n + r["cached_rows"], _least(first, r["first_timestamp"], min),
+                _least(last, r["last_timestamp"], max))
+        after = spark.createDataFrame([(*place, *numbers) for place, numbers in rows.items()], INDEX)
+        with contextlib.suppress(snapshots.VersionConflict):
+            snapshots.upsert(after, _index_path(path), PLACE, F.lit(0), slots=[0])
+            return
     raise snapshots.VersionConflict(f"the index of {path} changes all the time")
 
 
+def _least(a: int | None, b: int | None, choose) -> int | None:
+    known = [v for v in (a, b) if v is not None]
+    return choose(known) if known else None
+
+
 def append(rows: DataFrame, path: str, partitions: list[str]) -> None:
     """Append rows to the cache at ``path`` and to its index."""
     occupancy(rows.sparkSession, path)  # an older cache is indexed before it grows

@@ -134,6 +134,7 @@ def read_snapshot(
 def upsert(
     rows: DataFrame, path: str, keys: list[str], slot: Column, writer: str | None = None,
     update: int = 0, kept_versions: int = KEPT_VERSIONS, expected: int | None = None,
+    slots: list[int] | None = None,
 ) -> bool:
     """Put ``rows`` in the table: a row replaces the one with its keys.
 
@@ -144,7 +145,8 @@ def upsert(
     Updates without a writer are always applied.  With ``expected`` an update is made to
     the version of that number, and to no other.
 
-    The touched slots are listed on the driver: as many as the update has slots of time.
+    The touched slots are listed on the driver, as many as the update has slots of time,
+    unless the caller names them in ``slots``; there must be rows for each.
     """
     spark, schema = rows.sparkSession, rows.schema
     for own in ("slot", "_slot", "_turn", "_values"):
@@ -158,7 +160,9 @@ def upsert(
     folder = uuid.uuid4().hex
     incoming = rows.withColumn("_slot", slot.cast("bigint")).select(
         *[F.col(c) for c in rows.columns], "_slot", F.lit(1).alias("_turn"))
-    touched = [str(r["_slot"]) for r in incoming.select("_slot").distinct().collect()]
+    if slots is None:
+        slots = [r["_slot"] for r in incoming.select("_slot").distinct().collect()]
+    touched = [str(s) for s in slots]
     held = [f"{path}/data/{before['slots'][s]}/slot={s}" for s in touched if s in before["slots"]]
     values = [c for c in rows.columns if c not in keys]
     both = incoming.unionByName(
