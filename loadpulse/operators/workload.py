@@ -95,6 +95,19 @@ def with_text_ids(rows: DataFrame, kind: str, key: list[str]) -> DataFrame:
     return rows.select(text_id(kind, *map(F.col, key)).alias("id"), *CHANGEABLE)
 
 
+def with_unique_text_ids(rows: DataFrame, kind: str, key: list[str]) -> DataFrame:
+    """Pictures under text ids that no two rows share, with their ``key`` columns.
+
+    An id is made of the key, the codes and a turn among rows that are equal in all of
+    them, which are counted before they are unfolded: one shuffle, and copies of one
+    row, however many, are a single row in it.
+    """
+    equal = rows.groupBy(*key, *CHANGEABLE).agg(F.count("*").alias("copies"))
+    turns = equal.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*key, *CHANGEABLE]]
+    return turns.select(text_id(kind, *parts, F.col("turn")).alias("id"), *key, *CHANGEABLE)
+
+
 def pictures_append(pictures: DataFrame, inserts: DataFrame, order_by: list[str]) -> DataFrame:
     """``pictures`` with one row per insert, ids going on where the table's end.
 

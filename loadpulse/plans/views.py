@@ -81,7 +81,12 @@ SHARED = {
                cast(l_partkey % 6 + 1 as int) as fillColor,
                cast(l_suppkey % 13 + 1 as int) as shape1,
                cast(l_linenumber % 13 + 1 as int) as shape2,
-               cast(l_partkey % 22 + 1 as int) as artist
+               cast(l_partkey % 22 + 1 as int) as artist,
+               concat_ws('|', cast(l_orderkey as string), cast(l_linenumber as string),
+                         cast(l_partkey as string), cast(l_suppkey as string),
+                         cast(cast(round(l_quantity * 100) as bigint) as string),
+                         cast(cast(round(l_extendedprice * 100) as bigint) as string),
+                         cast(cast(l_shipdate as date) as string)) as row_key
         from {lineitem}
     """,
     "picture_changes": """

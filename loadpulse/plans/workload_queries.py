@@ -8,7 +8,7 @@ from .. import constants as K
 from ..operators import load, pool, workload
 from ..sources.tables import values_text
 from .registry import query, rounded
-from .views import NOW, Tables
+from .views import CHECK_ONLY, NOW, Tables
 
 # --- pictures ------------------------------------------------------------------
 
@@ -82,32 +82,60 @@ def pictures_append(t: Tables):
     return workload.pictures_append(t.pictures, t.view("picture_inserts"), ["o_orderkey"])
 
 
+def _text_ids(kind: str, rows: str, key: str) -> str:
+    """Rows with their text ids in the checking engine's SQL."""
+    codes = " || '|' || ".join(f"coalesce({c}::varchar, '')" for c in workload.CHANGEABLE)
+    return f"""
+        select *, md5('{kind}|' || coalesce({key}::varchar, '') || '|' || {codes} || '|'
+                      || row_number() over (partition by {key}, {_CODES})) as id
+        from {rows}
+    """
+
+
+CHECK_ONLY["text_pictures"] = _text_ids("line", "picture_rows", "row_key")
+
+
 @query("pictures_append_text_id", check=f"""
-    select md5('line|' || l_orderkey || '|' || l_linenumber) as id, {_CODES} from picture_rows
+    select id, {_CODES} from text_pictures
     union all
-    select md5('order|' || o_orderkey) as id, {_CODES} from picture_inserts
+    select id, {_CODES} from ({_text_ids('order', 'picture_inserts', 'o_orderkey')})
 """)
 def pictures_append_text_id(t: Tables):
-    pictures = workload.with_text_ids(t.view("picture_rows"), "line", ["l_orderkey", "l_linenumber"])
-    inserts = workload.with_text_ids(t.view("picture_inserts"), "order", ["o_orderkey"])
-    return pictures.unionByName(inserts)
+    pictures = workload.with_unique_text_ids(t.view("picture_rows"), "line", ["row_key"])
+    inserts = workload.with_unique_text_ids(t.view("picture_inserts"), "order", ["o_orderkey"])
+    return pictures.select("id", *workload.CHANGEABLE).unionByName(inserts.select("id", *workload.CHANGEABLE))
+
+
+@query("text_ids_are_unique", check="""
+    select count(*) as pictures, count(*) as ids from picture_rows
+""")
+def text_ids_are_unique(t: Tables):
+    pictures = workload.with_unique_text_ids(t.view("picture_rows"), "line", ["row_key"])
+    return pictures.groupBy("id").agg(F.count("*").alias("n")).agg(
+        F.sum("n").alias("pictures"), F.count("*").alias("ids"))
 
 
+# A change names an order: it is one of each picture of the order's first line.
 @query("pictures_apply_updates_text_id", check="""
     select p.id, """ + ", ".join(
         f"coalesce(u.new_{c}, p.{c}) as {c}" for c in workload.CHANGEABLE) + """
-    from (select *, md5('line|' || l_orderkey || '|' || l_linenumber) as id from picture_rows) p
+    from text_pictures p
     left join (
         select id, """ + ", ".join(
             f"arg_max(val, seq) filter (col = '{c}') as new_{c}" for c in workload.CHANGEABLE) + """
-        from (select md5('line|' || id || '|1') as id, seq, col, val from picture_changes)
+        from (select n.id, c.seq, c.col, c.val from picture_changes c
+              join text_pictures n on split_part(n.row_key, '|', 1) = c.id::varchar
+                                   and split_part(n.row_key, '|', 2) = '1')
         group by id) u on p.id = u.id
 """)
 def pictures_apply_updates_text_id(t: Tables):
-    pictures = workload.with_text_ids(t.view("picture_rows"), "line", ["l_orderkey", "l_linenumber"])
-    changes = t.view("picture_changes").withColumn(
-        "id", workload.text_id("line", F.col("id"), F.lit(1)))
-    return workload.pictures_apply_updates(pictures, changes)
+    pictures = workload.with_unique_text_ids(t.view("picture_rows"), "line", ["row_key"])
+    parts = F.split("row_key", "[|]")
+    first_lines = pictures.where(parts[1] == "1").select(
+        parts[0].cast("bigint").alias("order"), F.col("id").alias("picture"))
+    changes = t.view("picture_changes").join(first_lines, F.col("id") == F.col("order")).select(
+        F.col("picture").alias("id"), "seq", "col", "val")
+    return workload.pictures_apply_updates(pictures.select("id", *workload.CHANGEABLE), changes)
 
 
 @query("pictures_apply_updates", check="""

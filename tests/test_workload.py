@@ -114,3 +114,12 @@ def test_a_hot_value_is_spread_over_ranges(spark):
         assert len(sizes) == 4 and max(sizes) < 5_000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_unique_text_ids_tell_equal_rows_apart(spark):
+    rows = spark.createDataFrame(
+        [("k", 1, 1, 1, 1, 1)] * 5 + [("k", 2, 1, 1, 1, 1), (None, 1, 1, 1, 1, 1), (None, 1, 1, 1, 1, 1)],
+        "key string, lineColor int, fillColor int, shape1 int, shape2 int, artist int")
+    found = [r.id for r in workload.with_unique_text_ids(rows, "line", ["key"]).collect()]
+    again = [r.id for r in workload.with_unique_text_ids(rows.repartition(5), "line", ["key"]).collect()]
+    assert len(found) == len(set(found)) == 8 and set(found) == set(again)
