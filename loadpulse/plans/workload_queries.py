@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import sources
 from ..operators import load, pool, workload
+from ..session import new_location
 from ..sources.tables import values_text
+from ..streaming import jobs as streaming
 from .registry import query, rounded
 from .views import CHECK_ONLY, NOW, Tables
 
@@ -210,7 +213,7 @@ def pool_status(t: Tables):
     return pool.pool_status(t.view("resources"))
 
 
-@query("resource_state_after", check="""
+_RESOURCE_STATE = """
     select r.resource_id, r.database_type, r.database_size,
            coalesce(l.new_expiry, r.expiry) as expiry, coalesce(l.new_status, r.status) as status,
            r.connection_string, r.replica_ip
@@ -218,13 +221,29 @@ def pool_status(t: Tables):
         select resource_id, arg_max(status, seq) as new_status,
                arg_max(expiry, seq) filter (status = 'leased') as new_expiry
         from lease_log group by resource_id) l on r.resource_id = l.resource_id
-""")
+"""
+
+
+@query("resource_state_after", check=_RESOURCE_STATE)
 def resource_state_after(t: Tables):
     return pool.resource_state_after(t.view("resources"), t.view("lease_log")).select(
         "resource_id", "database_type", "database_size", "expiry", "status", "connection_string",
         "replica_ip")
 
 
+# Changes arrive in an order of their own, a part of them twice.
+@query("stream_resource_state", check=_RESOURCE_STATE)
+def stream_resource_state(t: Tables):
+    topic, path, progress = [new_location(t.spark, n) for n in ("changes", "resource-state", "progress")]
+    log = t.view("lease_log")
+    for part in (2, 0, 1, 2):
+        log.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == part).write.mode("append").parquet(topic)
+        changes = t.spark.readStream.schema(log.schema).option(
+            "maxFilesPerTrigger", sources.FILES_PER_BATCH).parquet(topic)
+        streaming.start_resource_state(t.view("resources"), changes, path, progress).awaitTermination()
+    return streaming.read_resource_state(t.spark, path)
+
+
 @query("register_resources", check=f"""
     select q.seq, q.resource_id, q.database_type, q.database_size, q.connection_string, q.replica_ip,
            case when added then 'added' else 'already in pool' end as outcome,

@@ -2,10 +2,12 @@ from .jobs import (  # noqa: F401
     ElementsLost,
     heartbeat,
     read_latest_series,
+    read_resource_state,
     read_split,
     read_split_counts,
     start_lease_sweep,
     start_parse_with_quarantine,
+    start_resource_state,
     start_series_sink,
     start_series_upserts,
     stream_sql_windowed_latency,

@@ -181,3 +181,51 @@ def start_lease_sweep(
         ticks.writeStream.foreachBatch(sweep)
         .option("checkpointLocation", checkpoint).trigger(**_trigger(interval)).start()
     )
+
+
+RESOURCE_SLOTS = 64
+
+
+def start_resource_state(
+    resources: DataFrame, log: DataFrame, path: str, checkpoint: str, interval: str | None = None,
+) -> StreamingQuery:
+    """Keep the state of leased resources from an unbounded log of status changes
+    (resource_id, seq, status, expiry), in a table with one row per resource.
+
+    The state of a resource is its last change by ``seq`` and its last lease, with their
+    numbers, whatever batch they came in: a change that arrives late, or again, cannot
+    undo a later one.  Of changes with one number the greatest status counts; a change
+    without a number gives way to any with one.  The state has a row per resource that
+    ever changed; changes of unknown resources do nothing to the table.
+
+    ``resources`` is what the table begins with; it is read only if there is no table.
+    """
+    snapshots.upsert(resources.select(*schemas.RESOURCE.fieldNames()), path, ["resource_id"],
+                     _resource_slot(), "resources", 0)
+    lease = F.when(F.col("status") == "leased", F.struct("seq", "expiry"))
+    latest = log.groupBy("resource_id").agg(
+        F.max(F.struct("seq", "status")).alias("change"), F.max(lease).alias("lease"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        changed, where = stores.stored_at(
+            read_resource_state(spark, path).join(batch, "resource_id")
+            .withColumn("status", F.coalesce("change.status", "status"))
+            .withColumn("expiry", F.coalesce("lease.expiry", "expiry"))
+            .select(*schemas.RESOURCE.fieldNames()), "changed")
+        snapshots.upsert(changed, path, ["resource_id"], _resource_slot(), checkpoint, number)
+        snapshots.delete(spark, where)
+
+    return (
+        latest.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(**_trigger(interval)).start()
+    )
+
+
+def _resource_slot() -> Column:
+    return F.pmod(F.xxhash64("resource_id"), F.lit(RESOURCE_SLOTS))
+
+
+def read_resource_state(spark: SparkSession, path: str) -> DataFrame:
+    """The resources as the changes so far have left them."""
+    return snapshots.read_snapshot(spark, path, schemas.RESOURCE)

@@ -182,3 +182,44 @@ def test_heartbeat_closes_the_newest_window(spark, feed, folder):
     finally:
         query.stop()
     assert [r.timestamp for r in sources.read_series(spark, folder("series")).collect()] == [T0_MS + 999]
+
+
+LOG = "resource_id string, seq bigint, status string, expiry double"
+
+
+@pytest.fixture
+def lease(spark, folder):
+    """Send changes of resources a, b and c as one batch; the state after it."""
+    resources = spark.createDataFrame(
+        [(r, 1, 1, 5.0, "ready", "10.0.0.1", None) for r in "abc"], schemas.RESOURCE)
+
+    def send(*changes):
+        spark.createDataFrame(changes, LOG).coalesce(1).write.mode("append").parquet(folder("log"))
+        log = spark.readStream.schema(LOG).parquet(folder("log"))
+        streaming.start_resource_state(resources, log, folder("state"), folder("progress")).awaitTermination()
+        rows = streaming.read_resource_state(spark, folder("state")).collect()
+        assert len(rows) == 3
+        return {r.resource_id: (r.status, r.expiry) for r in rows}
+
+    return send
+
+
+def test_a_late_change_cannot_undo_a_later_one(lease):
+    assert lease(("a", 1, "leased", 100.0), ("a", 4, "cleaning", None), ("x", 1, "down", 1.0)) == {
+        "a": ("cleaning", 100.0), "b": ("ready", 5.0), "c": ("ready", 5.0)}
+    late = lease(("a", 3, "leased", 300.0), ("a", 2, "down", 7.0), ("b", 1, "leased", 200.0))
+    assert late == {"a": ("cleaning", 300.0), "b": ("leased", 200.0), "c": ("ready", 5.0)}
+    again = lease(("a", 1, "leased", 100.0), ("b", 1, "leased", 200.0), ("c", None, "down", None))
+    assert again == {"a": ("cleaning", 300.0), "b": ("leased", 200.0), "c": ("down", 5.0)}
+    last = lease(("a", 9, "ready", None), ("c", 0, "ready", None))
+    assert last == {"a": ("ready", 300.0), "b": ("leased", 200.0), "c": ("ready", 5.0)}
+
+
+def test_streamed_state_is_the_batch_state(spark, lease):
+    changes = [("abc"[i % 3], (i * 7) % 31, ["leased", "cleaning", "ready", "down"][i % 4], float(i)) for i in range(31)]
+    for part in (changes[20:], changes[:10], changes[10:20], changes[5:25]):
+        got = lease(*part)
+    resources = spark.createDataFrame(
+        [(r, 1, 1, 5.0, "ready", "10.0.0.1", None) for r in "abc"], schemas.RESOURCE)
+    batch = pool.resource_state_after(resources, spark.createDataFrame(changes, LOG)).collect()
+    assert got == {r.resource_id: (r.status, r.expiry) for r in batch}
