@@ -208,13 +208,15 @@ def timing_fallback(t: Tables):
         "job_id", "success", "connection_end", "transaction_start", "transaction_end")
 
 
-@query("batch_messages", check=f"""
+_BATCHED_CHECK = f"""
     select {_RECORD}, epoch_us(publish_time) // 500000 * 500 as interval_ms,
            count(*) over (partition by epoch_us(publish_time) // 500000, workload_id) as in_message
     from txn
-""")
-def batch_messages(t: Tables):
-    messages = parse.batch_messages(t.records)
+"""
+
+
+def _unpacked(messages):
+    """Each record of batched messages, with its message's time and size."""
     items = F.from_json("data", f"array<struct<{schemas.TRANSACTION.simpleString()[7:-1]}>>")
     return (
         messages.select("publish_time", items.alias("items"))
@@ -223,6 +225,25 @@ def batch_messages(t: Tables):
     )
 
 
+@query("batch_messages", check=_BATCHED_CHECK)
+def batch_messages(t: Tables):
+    return _unpacked(parse.batch_messages(t.records))
+
+
+# All events, and then a message a day behind them that closes every interval.
+@query("stream_batched_messages", check=_BATCHED_CHECK)
+def stream_batched_messages(t: Tables):
+    topic, path, progress = [new_location(t.spark, n) for n in ("topic", "batched", "progress")]
+    closing = t.given("events").agg(
+        (F.max("ts").cast("timestamp") + F.expr("interval 1 day")).alias("publish_time")
+    ).withColumn("data", F.lit("[]"))
+    for messages in (t.messages, closing):
+        messages.write.mode("append").parquet(topic)
+        batched = streaming.stream_batched_messages(sources.stream_messages(t.spark, topic))
+        streaming.start_message_sink(batched, path, progress).awaitTermination()
+    return _unpacked(t.spark.read.parquet(path))
+
+
 @query("job_list_source", check="select job_id from job_list")
 def job_list_source(t: Tables):
     path = new_location(t.spark, "job-list")

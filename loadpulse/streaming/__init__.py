@@ -6,10 +6,12 @@ from .jobs import (  # noqa: F401
     read_split,
     read_split_counts,
     start_lease_sweep,
+    start_message_sink,
     start_parse_with_quarantine,
     start_resource_state,
     start_series_sink,
     start_series_upserts,
+    stream_batched_messages,
     stream_sql_windowed_latency,
     stream_windowed_latency_failure,
 )

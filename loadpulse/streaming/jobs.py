@@ -42,6 +42,39 @@ def stream_sql_windowed_latency(
     return windows.sql_windowed_latency(records, width)
 
 
+def stream_batched_messages(
+    messages: DataFrame, interval: str = K.PUBLISH_INTERVAL, parts: int = 1, delay: str = NO_DELAY
+) -> DataFrame:
+    """The records of unbounded messages, batched anew: one JSON-array message per
+    interval and publisher, given out once the watermark has passed the interval's end.
+
+    Open intervals are lists in the state, one for each of ``parts`` of a publisher's
+    interval, so a list is as long as that.  Records are dealt to parts by a hash of
+    their content, the same whenever a batch runs again; copies of one record stay
+    together.  A record of a closed interval is dropped.
+    """
+    records = parse.parse_messages(messages.withWatermark("publish_time", delay))
+    fields = schemas.TRANSACTION.fieldNames()
+    part = F.lit(0) if parts == 1 else F.pmod(F.xxhash64("publish_time", *fields), F.lit(parts))
+    return (
+        records.groupBy(F.window("publish_time", interval).alias("w"), "workload_id", part.alias("part"))
+        .agg(F.to_json(F.sort_array(F.collect_list(F.struct(*fields)))).alias("data"))
+        .select(F.col("w.start").alias("publish_time"), "workload_id", "data")
+    )
+
+
+def start_message_sink(
+    messages: DataFrame, path: str, checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """Append closed messages as files, exactly once: a batch that runs again replaces
+    its own files in the sink's log."""
+    return (
+        messages.writeStream.format("parquet").outputMode("append")
+        .option("path", path).option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(interval)).start()
+    )
+
+
 def heartbeat(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
     """Messages without records at the current time; union them to a quiet stream."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()

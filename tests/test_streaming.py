@@ -223,3 +223,28 @@ def test_streamed_state_is_the_batch_state(spark, lease):
         [(r, 1, 1, 5.0, "ready", "10.0.0.1", None) for r in "abc"], schemas.RESOURCE)
     batch = pool.resource_state_after(resources, spark.createDataFrame(changes, LOG)).collect()
     assert got == {r.resource_id: (r.status, r.expiry) for r in batch}
+
+
+def batched(spark, feed, folder, **options):
+    messages = streaming.stream_batched_messages(feed.stream(), **options)
+    streaming.start_message_sink(messages, folder("batched"), folder("batching")).awaitTermination()
+    return sorted((r.publish_time.timestamp() * 1000 - T0_MS, r.workload_id, len(json.loads(r.data)))
+                  for r in spark.read.parquet(folder("batched")).collect())
+
+
+def test_intervals_are_batched_once_they_are_closed(spark, feed, folder):
+    feed((0, message("a")), (0.2, message("b")), (0.7, message("c")))
+    feed((0.3, message("late by nothing")), (2, message("d")))
+    # The watermark is at 2 s: the intervals before it are closed, the last is open.
+    assert batched(spark, feed, folder) == [(0, "w", 3), (500, "w", 1)]
+    feed((0.1, message("too late")), (60, "[]"))
+    feed(CLOSING)
+    assert batched(spark, feed, folder) == [(0, "w", 3), (500, "w", 1), (2000, "w", 1)]
+    assert batched(spark, feed, folder) == [(0, "w", 3), (500, "w", 1), (2000, "w", 1)]
+
+
+def test_a_crowded_interval_is_dealt_to_parts(spark, feed, folder):
+    feed(*[(i / 1000, message(f"job-{i}")) for i in range(200)], CLOSING)
+    feed(CLOSING)
+    sizes = [n for _, _, n in batched(spark, feed, folder, parts=4)]
+    assert len(sizes) == 4 and sum(sizes) == 200 and max(sizes) < 90
