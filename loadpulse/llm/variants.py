@@ -373,4 +373,5 @@ def grouped(words: DataFrame, pairs: DataFrame) -> DataFrame:
 def spelling_variants(docs: DataFrame, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """Every word of ``docs`` with the form it is a variant of."""
     words, _ = common.stored(vocabulary(docs), "vocabulary")
-    return grouped(words, near_pairs(words, round_bytes))
+    pairs, _ = common.stored(near_pairs(words, round_bytes), "pairs")
+    return grouped(words, pairs)
