@@ -38,7 +38,7 @@ LAST_SHARD = 64
 BLOCK_BYTES = 64
 WORDS_PER_BLOCK = 32          # 16 bits a word
 LEAST_BLOCKS = 64
-PIECE_BLOCKS = 1 << 14        # blocks that one task fills: 1 MB
+PIECE_BLOCKS = 1 << 9         # blocks that are filled together: 32 KB, 16,384 words
 ROUND_BYTES = 32 << 20
 COUNTED_WORDS = 1 << 17       # words a task adds up before it passes them on
 EDITS_AT_ONCE = 1 << 20
