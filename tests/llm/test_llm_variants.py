@@ -85,7 +85,10 @@ def test_small_rounds_and_pieces_find_the_same(make_docs, texts):
 
 def test_rounds_stay_within_their_bytes():
     sizes = {7: 3 * variants.PIECE_BLOCKS + 5, 8: 64, 9: 70}
-    made = variants.rounds(sizes, 2 << 20)
+    piece = variants.PIECE_BLOCKS * variants.BLOCK_BYTES
+    made = variants.rounds(sizes, 2 * piece)
+    assert all(sum(min(variants.PIECE_BLOCKS, sizes[s] - p * variants.PIECE_BLOCKS) for s, p in r)
+               * variants.BLOCK_BYTES <= 2 * piece for r in made)
     assert [p for r in made for p in r] == [(7, 0), (7, 1), (7, 2), (7, 3), (8, 0), (9, 0)]
     assert [len(r) for r in made] == [2, 4]
 
