@@ -229,6 +229,24 @@ def batch_verdict(t: Tables):
     return usual.unionByName(strict)
 
 
+# The series arrives in ten appends, one of them twice; verdicts come from its moments.
+@query("validate_series_moments", check="""
+    select *, 'usual' as gate from verdicts
+    union all
+    select *, 'strict' as gate from strict_verdicts
+""")
+def validate_series_moments(t: Tables):
+    path, series = new_location(t.spark, "moments"), t.stored_series
+    part = F.pmod(F.xxhash64("job_id", "query_action", "timestamp"), F.lit(10))
+    for number in [*range(10), 3]:
+        quality.keep_moments(series.where(part == number), path, "appends", number)
+    moments = quality.read_moments(t.spark, path)
+    usual = quality.validate_moments(moments, t.jobs, t.job_list)
+    strict = quality.validate_moments(
+        moments, t.jobs, t.job_list, z_limit=STRICT_Z, ignore_nan=True)
+    return usual.withColumn("gate", F.lit("usual")).unionByName(strict.withColumn("gate", F.lit("strict")))
+
+
 # --- promotion ---------------------------------------------------------------
 
 @query("first_wins_promotion", check="""

@@ -135,3 +135,52 @@ def test_job_list_order_over_many_splits(spark, tmp_path):
         assert [r.job_id for r in listed.orderBy("seq").collect()] == names
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def moments_of(df):
+    return {r.job_id: r for r in df.collect()}
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e9])
+def test_moments_kept_over_appends_are_those_of_the_whole(spark, make_series, folder, offset):
+    rows = [(f"j{i % 3}", "read", offset + (i * 37 % 101) / 100, i * 1000 if i % 40 else None) for i in range(120)]
+    rows += [("n", "read", NAN, 5), ("n", "read", 2.0, 7), ("m", "read", None, 9)]
+    for number, start in enumerate(range(0, len(rows), 13)):
+        assert quality.keep_moments(make_series(*rows[start:start + 13]), folder("m"), "w", number)
+    kept = moments_of(quality.read_moments(spark, folder("m")))
+    whole = moments_of(quality.series_moments(make_series(*rows)))
+    assert kept.keys() == whole.keys()
+    for job, expected in whole.items():
+        for name in quality.MOMENTS.fieldNames():
+            got, wanted = kept[job][name], expected[name]
+            assert got == (pytest.approx(wanted, rel=1e-6) if name in ("mean", "m2") and wanted is not None else wanted)
+    assert (kept["n"].nan_rows, kept["n"].judged, kept["m"].judged, kept["m"].mean) == (1, 1, 0, None)
+
+
+def test_an_append_that_runs_again_is_counted_once(spark, make_series, folder):
+    series = make_series(("j", "read", 1.0, 1), ("j", "read", 3.0, 2))
+    assert quality.keep_moments(series, folder("m"), "w", 0)
+    assert not quality.keep_moments(series, folder("m"), "w", 0)
+    assert quality.keep_moments(series, folder("m"), "another", 0)
+    kept = quality.read_moments(spark, folder("m")).first()
+    assert (kept.row_count, kept.judged, kept.mean, kept.m2) == (4, 4, 2.0, 4.0)
+
+
+@pytest.mark.parametrize("ignore_nan", [False, True])
+@pytest.mark.parametrize("latencies", [
+    [1.0, 2.0] * 20, [1.0] * 65 + [100.0], [1.0] * 70 + [100.0], [1.0] * 70 + [100.0, NAN], [NAN] * 50, [5.0] * 50,
+    [None] * 45, [1e9 + i % 7 for i in range(60)] + [1e9 + 900]])
+def test_verdicts_from_moments_are_those_from_the_series(make_series, one_job, latencies, ignore_nan):
+    series = make_series(*[("j", "read", y, i * 1000) for i, y in enumerate(latencies)])
+    halves = [quality.series_moments(series.where(F.pmod("timestamp", F.lit(2000)) == r)) for r in (0, 1000)]
+    merged = quality.merged_moments(*halves)
+    assert quality.validate_moments(merged, *one_job, ignore_nan=ignore_nan).collect() == \
+        quality.validate_series(series, *one_job, ignore_nan=ignore_nan).collect()
+
+
+def test_verdicts_from_moments_fail_untimed_rows_and_absent_series(spark, make_series, one_job):
+    untimed = make_series(*[("j", "read", 1.0 + i % 2, i * 1000 if i else None) for i in range(60)])
+    verdict_ = quality.validate_moments(quality.series_moments(untimed), *one_job).first()
+    assert not verdict_.all_timed and verdict_.enough_rows and not verdict_.passed
+    none = quality.validate_moments(spark.createDataFrame([], quality.MOMENTS), *one_job).first()
+    assert (none.row_count, none.enough_rows, none.passed) == (0, False, False)
