@@ -553,6 +553,27 @@ def stream_last_window(t: Tables):
     return rounded(_in_turns(t, [t.messages, closing], streaming.NO_DELAY), "average_latency")
 
 
+# What the stream holds at its end: the windows of the last ten days, which late records
+# may still change.
+@query("stream_open_windows", check=f"""
+    select job_id, operation as query_action,
+           epoch_us(publish_time) // {SERIES_WIDTH_US} * {SERIES_WIDTH_US} as start_us,
+           round(coalesce(sum(transaction_end - transaction_start) filter (success), 0), 6) as latency_sum,
+           count(*) filter (success) as successes, count(*) as total
+    from txn
+    where (epoch_us(publish_time) // {SERIES_WIDTH_US} + 1) * {SERIES_WIDTH_US}
+          > (select max(epoch_us(publish_time)) - {_DELAY_US} from txn)
+    group by job_id, operation, epoch_us(publish_time) // {SERIES_WIDTH_US}
+""")
+def stream_open_windows(t: Tables):
+    progress = new_location(t.spark, "progress")
+    series = streaming.stream_windowed_latency_failure(stream_of_messages(t), SERIES_WIDTH, "10 days")
+    streaming.start_series_sink(series, new_location(t.spark, "stream"), progress).awaitTermination()
+    return streaming.read_open_windows(t.spark, progress).select(
+        "job_id", "query_action", F.unix_micros("start").alias("start_us"),
+        F.round(F.coalesce("latency_sum", F.lit(0.0)), 6).alias("latency_sum"), "successes", "total")
+
+
 @query("series_sink", check=f"select {_SERIES} from series")
 def series_sink(t: Tables):
     return _sunk(t, SERIES_WIDTH)

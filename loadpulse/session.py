@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
 
+# How streams keep their state: on local disk under a bounded cache, with only the
+# changes of a batch going to the checkpoint.
+STATE_DEFAULTS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 # Settings a job needs whatever the cluster size.  Partition counts and memory
 # stay with the cluster's own configuration.
 JOB_DEFAULTS = {
@@ -16,8 +26,7 @@ JOB_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    **STATE_DEFAULTS,
 }
 
 
@@ -29,6 +38,22 @@ def build_session(app_name: str, **overrides: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+@contextlib.contextmanager
+def state_settings(spark: SparkSession) -> Iterator[None]:
+    """``STATE_DEFAULTS`` for streams that start inside, where the session says nothing.
+
+    A stream copies its session's settings when it starts, so they can be taken back.
+    """
+    missing = {k: v for k, v in STATE_DEFAULTS.items() if spark.conf.get(k, None) is None}
+    for key, value in missing.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in missing:
+            spark.conf.unset(key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 

@@ -2,6 +2,7 @@ from .jobs import (  # noqa: F401
     ElementsLost,
     heartbeat,
     read_latest_series,
+    read_open_windows,
     read_resource_state,
     read_split,
     read_split_counts,

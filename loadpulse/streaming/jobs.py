@@ -12,11 +12,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from .. import constants as K
 from .. import schemas
 from ..operators import parse, pool, windows
+from ..session import state_settings
 from ..sources import snapshots, stores, tables
 
 NO_DELAY = "0 seconds"
@@ -68,11 +69,10 @@ def start_message_sink(
 ) -> StreamingQuery:
     """Append closed messages as files, exactly once: a batch that runs again replaces
     its own files in the sink's log."""
-    return (
+    return _started(
         messages.writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(**_trigger(interval)).start()
-    )
+        .trigger(**_trigger(interval)), messages.sparkSession)
 
 
 def heartbeat(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
@@ -86,6 +86,27 @@ def _trigger(interval: str | None) -> dict:
     return {"availableNow": True} if interval is None else {"processingTime": interval}
 
 
+def _started(stream: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Start a stream that has state, with the settings its state needs."""
+    with state_settings(spark):
+        return stream.start()
+
+
+def read_open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The windows a series stream has not closed yet, with their numbers so far, as its
+    last committed batch left them in the checkpoint.
+
+    The stream may be stopped or running.  Closed windows are not in it any more.
+    """
+    numbers = "struct<latency_sum:double,successes:bigint,total:bigint>"
+    return (
+        spark.read.format("statestore").load(checkpoint)
+        .select("key.*", F.col("value").cast(numbers).alias("n"))
+        .select("job_id", F.col("operation").alias("query_action"),
+                F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n.*")
+    )
+
+
 def start_series_sink(
     series: DataFrame, path: str, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
@@ -95,12 +116,11 @@ def start_series_sink(
     The file sink's log and the checkpoint make a batch that runs again replace
     its own files, so (job, action, timestamp) stays unique.
     """
-    return (
+    return _started(
         series.repartition("job_id").writeStream.format("parquet").outputMode("append")
         .partitionBy("job_id")
         .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(**_trigger(interval)).start()
-    )
+        .trigger(**_trigger(interval)), series.sparkSession)
 
 
 SERIES_KEY = ["job_id", "query_action", "timestamp"]
@@ -128,10 +148,9 @@ def start_series_upserts(
         snapshots.upsert(kept, path, SERIES_KEY, _series_slot(slot_ms), checkpoint, number)
         snapshots.delete(batch.sparkSession, where)
 
-    return (
+    return _started(
         series.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(**_trigger(interval)).start()
-    )
+        .option("checkpointLocation", checkpoint).trigger(**_trigger(interval)), series.sparkSession)
 
 
 def read_latest_series(
@@ -249,10 +268,9 @@ def start_resource_state(
         snapshots.upsert(changed, path, ["resource_id"], _resource_slot(), checkpoint, number)
         snapshots.delete(spark, where)
 
-    return (
+    return _started(
         latest.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(**_trigger(interval)).start()
-    )
+        .option("checkpointLocation", checkpoint).trigger(**_trigger(interval)), latest.sparkSession)
 
 
 def _resource_slot() -> Column:

@@ -139,7 +139,7 @@ def test_a_batch_whose_elements_do_not_add_up_fails(spark, feed, folder, monkeyp
     feed((0, message()))
     whole = parse.split_messages
     monkeypatch.setattr(streaming.parse, "split_messages",
-                        lambda m, read, kept: whole(m, read).where("false").observe(
+                        lambda m, read, kept: whole(m, read).where("payload = 'other'").observe(
                             kept, *[F.count(F.when(F.col("outcome") == o, 1)).alias(o)
                                     for o in ("accepted", "record", "message")]))
     query = streaming.start_parse_with_quarantine(feed.stream(), folder("split"), folder("progress"))
@@ -175,9 +175,9 @@ def test_heartbeat_closes_the_newest_window(spark, feed, folder):
     try:
         for _ in range(120):
             query.awaitTermination(0.5)
-            data = [f for f in os.listdir(folder("series")) if f.startswith("job_id=")] \
-                if os.path.isdir(folder("series")) else []
-            if data:
+            # Only what a batch has committed counts: stopping cuts off a batch under way.
+            if os.path.isdir(folder("series") + "/_spark_metadata") \
+                    and not sources.read_series(spark, folder("series")).isEmpty():
                 break
     finally:
         query.stop()
@@ -248,3 +248,35 @@ def test_a_crowded_interval_is_dealt_to_parts(spark, feed, folder):
     feed(CLOSING)
     sizes = [n for _, _, n in batched(spark, feed, folder, parts=4)]
     assert len(sizes) == 4 and sum(sizes) == 200 and max(sizes) < 90
+
+
+def test_open_windows_are_in_the_state_and_closed_ones_gone(spark, feed, folder):
+    feed((0, message(latency=1.0)), (0.5, message(ok=False)), (10, message("k", latency=2.0, op="write")))
+    series = streaming.stream_windowed_latency_failure(feed.stream(), "5 seconds")
+
+    def held():
+        streaming.start_series_sink(series, folder("series"), folder("progress")).awaitTermination()
+        return sorted((r.job_id, r.query_action, r.latency_sum, r.successes, r.total)
+                      for r in streaming.read_open_windows(spark, folder("progress")).collect())
+
+    assert held() == [("k", "write", 2.0, 1, 1)]
+    feed((11, message("k", latency=4.0, op="write")), (12, message("l", ok=False)))
+    assert held() == [("k", "write", 6.0, 2, 2), ("l", "read", None, 0, 1)]
+    feed(CLOSING)
+    assert held() == []
+
+
+def test_streams_set_up_their_state_whatever_the_session_says(spark, feed, folder):
+    from loadpulse.session import STATE_DEFAULTS
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.unset(provider)
+    try:
+        feed((0, message()))
+        series = streaming.stream_windowed_latency_failure(feed.stream())
+        streaming.start_series_sink(series, folder("series"), folder("progress")).awaitTermination()
+        assert spark.conf.get(provider, None) is None
+        with open(folder("progress") + "/offsets/0") as log:
+            assert STATE_DEFAULTS[provider] in log.read()
+    finally:
+        spark.conf.set(provider, before)
