@@ -37,7 +37,7 @@ from ..session import new_location
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 NO_ID = -(1 << 63)
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 1 << 18
 # Cutting before a space changes nothing unless white space is on both of its sides.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
 # Words of these letters, these marks and single line breaks are pieces of their own
