@@ -42,6 +42,18 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def unused(df: DataFrame, name: str, *others: str) -> str:
+    """A column name like ``name`` that ``df`` and ``others`` do not have."""
+    taken = {c.lower() for c in (*df.columns, *others)}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete stored tables that nothing reads any more."""
     for path in paths:

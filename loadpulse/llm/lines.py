@@ -3,10 +3,13 @@
 Equal lines (in lower case, white space as one blank) are one node from the start.
 Every distinct line gets a signature of minima over its character shingles, cut into
 bands; lines that share a band are candidates.  Bands with the same members are looked
-at once.  Within a band's members Jaccard similarities are exact, on the shingles
-themselves; lines already known to be connected are not compared again, so a group
-gives at most one link less than it has members.  Large groups are dealt into blocks
-and compared block by block, so no task holds a whole one.  Connected components then
+at once.  First every member of a band is compared with the band's smallest line, the
+pairs of all bands made distinct before any text is joined to them.  Bands whose lines
+are connected by that are done.  In the others lines of different components are
+compared, the lines of the largest component only with the rest; large bands are dealt
+into blocks, so no task holds a whole one, and only lines with a possible partner bring
+their text.  A sketch of 256 bits says who has none: it never rules out a similar pair.
+Jaccard similarities are exact, on the shingles themselves.  Connected components then
 keep one line each, the first by document and place.
 
 A changed inner letter breaks ``SHINGLE_CHARS`` shingles, so with four characters lines
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ SHINGLE_CHARS = 4
 BANDS, ROWS = 10, 4
 MIN_SIMILARITY = 0.8
 BLOCK_LINES = 512
+SKETCH_WORDS = 4
+SKETCH = [f"sketch_{i}" for i in range(SKETCH_WORDS)]
 
 _FACTORS = (np.random.default_rng(3).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * 2 + 1).astype(
     np.uint32)
@@ -63,10 +69,9 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return total[keep], np.cumsum(own) - own
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """``len(lines) x BANDS`` signed keys."""
-    hashes, starts = shingle_hashes(lines)
-    keys = np.zeros((len(lines), BANDS), dtype=np.uint64)
+def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``len(starts) x BANDS`` signed keys of lines with these shingles."""
+    keys = np.zeros((len(starts), BANDS), dtype=np.uint64)
     for j in range(BANDS * ROWS):
         least = np.minimum.reduceat(hashes * _FACTORS[j] + _SHIFTS[j], starts)
         band = j // ROWS
@@ -75,6 +80,22 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketches(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of distinct shingles, and ``len(starts) x SKETCH_WORDS`` words of bits.
+
+    Every distinct shingle turns one bit over, so two sketches differ in at most as many
+    bits as there are shingles in one line only.
+    """
+    n, bits = len(starts), 64 * SKETCH_WORDS
+    line = np.repeat(np.arange(n, dtype=np.uint64), np.diff(np.r_[starts, len(hashes)]))
+    own = np.unique(line << np.uint64(32) | hashes)
+    line = (own >> np.uint64(32)).astype(np.int64)
+    bit = ((own & np.uint64(0xFFFFFFFF)) * _MIX >> np.uint64(40)).astype(np.int64) % bits
+    turned = np.bincount(line * bits + bit, minlength=n * bits).reshape(n, bits) & 1
+    return (np.bincount(line, minlength=n),
+            np.packbits(turned.astype(np.uint8), axis=1).view(np.int64))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two arrays of distinct values."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -108,21 +129,151 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
         F.count("*").alias("times"), F.min(_order()).alias("first"))
 
 
-def _bands(lines: DataFrame) -> DataFrame:
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signed(lines: DataFrame) -> DataFrame:
+    """``line_id, bands, size`` and the sketch's words of every line."""
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at:at + 1000]
-                keys = band_keys(part["line"].tolist())
-                yield pd.DataFrame({"line_id": np.repeat(part["line_id"].to_numpy(), BANDS),
-                                    "band": keys.ravel()})
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                hashes, starts = shingle_hashes(part["line"].to_pylist())
+                keys = band_keys(hashes, starts)
+                size, words = sketches(hashes, starts)
+                ends = np.arange(len(keys) + 1, dtype=np.int32) * BANDS
+                yield pa.RecordBatch.from_arrays(
+                    [part["line_id"], pa.ListArray.from_arrays(ends, keys.ravel()),
+                     pa.array(size.astype(np.int32)), *[pa.array(w) for w in words.T.copy()]],
+                    ["line_id", "bands", "size", *SKETCH])
+
+    words = ", ".join(f"{c} bigint" for c in SKETCH)
+    return lines.select("line_id", "line").mapInArrow(
+        sign, f"line_id bigint, bands array<bigint>, size int, {words}")
+
+
+def _members(signed: DataFrame) -> DataFrame:
+    """``band, line_id, first``: lines of bands with several, bands with the same lines
+    once; ``first`` is the smallest line of the band."""
+    bands = signed.select("line_id", F.explode("bands").alias("band"))
+    mark = F.bit_xor(F.xxhash64("line_id")).alias("mark")
+    shared = bands.groupBy("band").agg(
+        F.count("*").alias("n"), mark, F.min("line_id").alias("first")).where("n > 1")
+    chosen, _ = common.stored(
+        shared.groupBy("n", "mark").agg(F.min(F.struct("band", "first")).alias("one"))
+        .select("one.band", "one.first"), "shared-bands")
+    return bands.join(chosen, "band")
+
 
-    return lines.select("line_id", "line").mapInPandas(sign, "line_id bigint, band bigint")
+def _may_be_similar(size_a: Column, size_b: Column, words_a: list[Column], words_b: list[Column]) -> Column:
+    """False only for lines whose sizes or sketches rule the similarity out."""
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words_a, words_b, strict=True)), F.lit(0))
+    return ((F.least(size_a, size_b) >= MIN_SIMILARITY * F.greatest(size_a, size_b))
+            & (apart * (1 + MIN_SIMILARITY) <= (1 - MIN_SIMILARITY) * (size_a + size_b) + 1e-6))
 
 
-def _group_links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect the similar lines of a group, none of them twice."""
-    root = list(range(len(ids)))
+def _to_check(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that sizes and sketches do not rule out."""
+    sides = [sketched.select(*[F.col(c).alias(f"{side}_{c}") for c in sketched.columns])
+             for side in "ab"]
+    joined = pairs.join(sides[0], F.col("a") == F.col("a_line_id")).join(
+        sides[1], F.col("b") == F.col("b_line_id"))
+    words = [[F.col(f"{side}_{c}") for c in SKETCH] for side in "ab"]
+    return joined.where(_may_be_similar(F.col("a_size"), F.col("b_size"), *words)).select("a", "b")
+
+
+def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs whose lines are similar."""
+    for batch in batches:
+        for at in range(0, len(batch), 1000):
+            part = batch.iloc[at:at + 1000]
+            place, texts = pd.factorize(pd.concat([part["line_a"], part["line_b"]], ignore_index=True))
+            hashes, starts = shingle_hashes(list(texts))
+            sets = [np.unique(h) for h in np.split(hashes, starts[1:])]
+            good = [similarity(sets[i], sets[j]) >= MIN_SIMILARITY
+                    for i, j in zip(place[:len(part)], place[len(part):], strict=True)]
+            yield part.loc[good, ["a", "b"]]
+
+
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    texts = [lines.select(F.col("line_id").alias(side), F.col("line").alias(f"line_{side}"))
+             for side in "ab"]
+    return pairs.join(texts[0], "a").join(texts[1], "b").mapInPandas(_checked, "a bigint, b bigint")
+
+
+_GROUP = ["band", "low", "high"]
+
+
+def _dealt(members: DataFrame, named: DataFrame) -> DataFrame:
+    """``line_id, component, side`` of the groups ``band, low, high`` to compare.
+
+    Bands whose lines are connected already are left out.  In the others the lines of the
+    largest component are not compared with each other: they are dealt into blocks that
+    meet the blocks of the band's other lines, and these meet each other too.
+    """
+    labelled, _ = common.stored(
+        members.join(named.withColumnRenamed("node", "line_id"), "line_id", "left")
+        .select("band", "line_id", F.coalesce("component", "line_id").alias("component")), "labelled")
+    parts = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
+    largest = F.max(F.struct("n", "component"))
+    open_bands, _ = common.stored(
+        parts.groupBy("band").agg(largest.alias("major"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+        .where("parts > 1")
+        .select("band", F.col("major.component").alias("major"),
+                F.ceil((F.col("n") - F.col("major.n")) / BLOCK_LINES).cast("int").alias("minors"),
+                F.ceil(F.col("major.n") / BLOCK_LINES).cast("int").alias("majors")), "open-bands")
+    is_major = F.col("component") == F.col("major")
+    own = F.pmod(F.xxhash64("line_id"), F.when(is_major, F.col("majors")).otherwise(F.col("minors")))
+
+    def group(low: Column, high: Column, side: Column) -> Column:
+        return F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"),
+                        side.cast("int").alias("side"))
+
+    minors, majors = F.sequence(F.lit(0), F.col("minors") - 1), F.sequence(F.lit(1), F.col("majors"))
+    # Blocks of the largest component have negative numbers.
+    groups = F.when(is_major, F.transform(minors, lambda o: group(-F.col("own") - 1, o, F.lit(0)))).otherwise(
+        F.concat(F.transform(minors, lambda o: group(
+            F.least("own", o.cast("int")), F.greatest("own", o.cast("int")), F.col("own") <= o)),
+            F.transform(majors, lambda j: group(-j, F.col("own"), F.lit(1)))))
+    return labelled.join(open_bands, "band").withColumn("own", own.cast("int")).select(
+        "band", "line_id", "component", F.inline(groups))
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows that follow each other, cut where no group is torn, and the groups' starts."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        keys = rows[_GROUP].to_numpy()
+        cuts = np.r_[0, 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))]
+        yield rows.iloc[:cuts[-1]], cuts[:-1]
+        rest = rows.iloc[cuts[-1]:].reset_index(drop=True)  # its group may go on
+    if rest is not None and len(rest):
+        yield rest, np.zeros(1, dtype=np.int64)
+
+
+def _promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with a partner in their group that sizes and sketches do not rule out."""
+    for rows, starts in _whole_groups(batches):
+        words = rows[SKETCH].to_numpy().view(np.uint64)
+        size, side, component = (rows[c].to_numpy() for c in ("size", "side", "component"))
+        use = np.zeros(len(rows), dtype=bool)
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            apart = sum(np.bitwise_count(words[a:b, None, k] ^ words[None, a:b, k]).astype(np.int64)
+                        for k in range(SKETCH_WORDS))
+            both = size[a:b, None] + size[None, a:b]
+            least = np.minimum(size[a:b, None], size[None, a:b])
+            near = ((apart * (1 + MIN_SIMILARITY) <= (1 - MIN_SIMILARITY) * both + 1e-6)
+                    & (least >= MIN_SIMILARITY * (both - least))
+                    & (component[a:b, None] != component[None, a:b]))
+            if side[a:b].min() != side[a:b].max():
+                near &= side[a:b, None] != side[None, a:b]
+            use[a:b] = near.any(axis=1)
+        yield rows.loc[use, [*_GROUP, "line_id", "component", "side"]]
+
+
+def _group_links(ids: np.ndarray, side: np.ndarray, component: np.ndarray,
+                 sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect the similar lines of a group beyond their components."""
+    first = {c: i for i, c in reversed(list(enumerate(component)))}
+    root = [first[c] for c in component]
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -146,56 +297,39 @@ def _group_links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> l
 
 def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links within groups of rows that follow each other; many small groups at a time."""
-    rest = None
-    for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        cuts = _group_starts(rows)
-        yield _links_of(rows.iloc[:cuts[-1]], cuts[:-1])
-        rest = rows.iloc[cuts[-1]:]  # its group may go on
-    if rest is not None:
-        yield _links_of(rest, np.zeros(1, dtype=np.int64))
-
-
-def _group_starts(rows: pd.DataFrame) -> np.ndarray:
-    keys = rows[["band", "low", "high"]].to_numpy()
-    return np.r_[0, 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))]
-
-
-def _links_of(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-    out: list[tuple[int, int]] = []
-    if len(rows):
-        ids, side = rows["line_id"].to_numpy(), rows["side"].to_numpy()
-        hashes, firsts = shingle_hashes(rows["line"].tolist())
-        sets = [np.unique(h) for h in np.split(hashes, firsts[1:])]
-        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
-            out += _group_links(ids[a:b], side[a:b], sets[a:b])
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    for rows, starts in _whole_groups(batches):
+        out: list[tuple[int, int]] = []
+        if len(rows):
+            ids, side, component = (rows[c].to_numpy() for c in ("line_id", "side", "component"))
+            hashes, firsts = shingle_hashes(rows["line"].tolist())
+            sets = [np.unique(h) for h in np.split(hashes, firsts[1:])]
+            for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+                out += _group_links(ids[a:b], side[a:b], component[a:b], sets[a:b])
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def links(lines: DataFrame) -> DataFrame:
     """``a, b``: verified links between distinct lines, enough to connect all that are
     similar and share a band."""
-    bands, _ = common.stored(_bands(lines), "bands")
-    mark = F.bit_xor(F.xxhash64("line_id")).alias("mark")
-    shared = bands.groupBy("band").agg(F.count("*").alias("n"), mark).where("n > 1")
-    chosen, _ = common.stored(
-        shared.groupBy("n", "mark").agg(F.min("band").alias("band")).select("band", "n"),
-        "shared-bands")
-    members = bands.join(chosen, "band")
-    blocks = F.ceil(F.col("n") / BLOCK_LINES).cast("int")
-    own = F.pmod(F.xxhash64("line_id"), F.col("blocks")).cast("int")
-    # Block i meets itself and every later block; the pair's number names the group.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = (
-        members.withColumn("blocks", blocks).withColumn("own", own).select("*", other)
-        .select("line_id", "band", F.least("own", "other").alias("low"),
-                F.greatest("own", "other").alias("high"),
-                (F.col("own") <= F.col("other")).cast("int").alias("side"))
-    )
-    texts = dealt.join(lines.select("line_id", "line"), "line_id")
-    group = ["band", "low", "high"]
-    return texts.repartition(*group).sortWithinPartitions(*group).mapInPandas(
-        linked, "a bigint, b bigint").distinct()
+    spark = lines.sparkSession
+    signed, signed_at = common.stored(_signed(lines), "signed")
+    sketched = signed.select("line_id", "size", *SKETCH)
+    members, members_at = common.stored(_members(signed), "members")
+    stars = members.where("line_id <> first").select(
+        F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
+    near, near_at = common.stored(_to_check(stars, sketched), "near")
+    star, _ = common.stored(_verified(near, lines), "star-links")
+    groups = _dealt(members, components(star)).join(sketched, "line_id")
+    doubtful, doubtful_at = common.stored(
+        groups.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(
+            _promising, "band bigint, low int, high int, line_id bigint, component bigint, side int"),
+        "doubtful")
+    texts = doubtful.join(lines.select("line_id", "line"), "line_id")
+    across, _ = common.stored(
+        texts.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(linked, "a bigint, b bigint"),
+        "across-links")
+    common.discard(spark, signed_at, members_at, near_at, doubtful_at)
+    return star.unionByName(across).distinct()
 
 
 # --- decisions ------------------------------------------------------------------
@@ -219,27 +353,29 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_removed(docs: DataFrame) -> DataFrame:
-    """Documents with ``_removed``, the places of lines to remove, or null."""
+def with_removed(docs: DataFrame, name: str) -> DataFrame:
+    """Documents with the column ``name``: places of lines to remove, or null."""
+    id_, hash_ = common.unused(docs, "id", name), common.unused(docs, "hash", name)
     removed, _ = common.stored(
         removed_lines(docs.select("doc_id", "text")).select(
-            F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
-            F.col("removed").alias("_removed")), "removed")
-    return docs.join(removed, docs["doc_id"].eqNullSafe(F.col("_id"))
-                     & (F.xxhash64(docs["text"]) == F.col("_hash")), "left").drop("_id", "_hash")
+            F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_),
+            F.col("removed").alias(name)), "removed")
+    return docs.join(removed, docs["doc_id"].eqNullSafe(F.col(id_))
+                     & (F.xxhash64(docs["text"]) == F.col(hash_)), "left").drop(id_, hash_)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Documents without the removed lines, other columns untouched."""
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("_removed"), i))
-    return with_removed(docs).withColumn("text", F.when(
-        F.col("_removed").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))).select(
-        *docs.columns)
+    name = common.unused(docs, "removed")
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col(name), i))
+    return with_removed(docs, name).withColumn("text", F.when(
+        F.col(name).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))).select(
+        *[common.quoted(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed``: the removed lines' places, comma-joined."""
-    found = with_removed(docs.select("doc_id", "text"))
+    found = with_removed(docs.select("doc_id", "text"), "_removed")
     return found.select(
         "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("_removed"), F.lit(0)).cast("bigint").alias("n_removed"),

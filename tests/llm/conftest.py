@@ -7,6 +7,7 @@ def make_docs(spark):
     def make(*texts):
         rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
         return spark.createDataFrame(
-            [(i, t, f"s{(i or 0) % 2}", 1, "x", 2) for i, t in rows],
-            "doc_id bigint, text string, source string, fp bigint, band string, n bigint")
+            [(i, t, f"s{(i or 0) % 2}", 1, "x", 2, 3, "h", 7, "o", "e") for i, t in rows],
+            "doc_id bigint, text string, source string, fp bigint, band string, n bigint, "
+            "_id bigint, _hash string, _size bigint, _source string, _every string")
     return make

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from loadpulse.llm import components, fingerprint, lines, private, simhash
@@ -145,11 +146,12 @@ def test_components_of_chains_stars_and_pairs(spark):
 def reference_removed(texts):
     places, sets = {}, {}
     for i, text in enumerate(texts):
-        for k, line in enumerate((text or "").split("\n")):
+        for place, line in enumerate((text or "").split("\n")):
             plain = re.sub(r"[ \t\n\x0b\f\r]+", " ", line.lower()).strip(" ")
             if plain:
-                places.setdefault(plain, []).append((i, k))
-                sets[plain] = {plain.ljust(9, "\0")[j:j + 9] for j in range(max(1, len(plain) - 8))}
+                places.setdefault(plain, []).append((i, place))
+                k = lines.SHINGLE_CHARS
+                sets[plain] = {plain.ljust(k, "\0")[j:j + k] for j in range(max(1, len(plain) - k + 1))}
     known = list(sets)
     root = {x: x for x in known}
 
@@ -194,6 +196,31 @@ def test_large_groups_are_compared_block_by_block(make_docs, monkeypatch):
     assert got == set(range(1, 31))
 
 
+def test_chains_beyond_the_smallest_line(make_docs, monkeypatch):
+    """Lines that are similar to some of a band but not to its smallest one."""
+    monkeypatch.setattr(lines, "BLOCK_LINES", 4)
+    texts = []
+    for seed in range(6):
+        line = prose(40, 500 + seed)
+        for step in range(12):
+            texts.append(line)
+            line = edited(line, step)
+    got = {r.doc_id: [int(k) for k in r.removed.split(",")]
+           for r in lines.report(make_docs(*texts)).collect() if r.removed}
+    assert got == reference_removed(texts)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    texts = [edited(prose(30, 900 + i // 8), i, i % 8) for i in range(160)]
+    hashes, starts = lines.shingle_hashes(texts)
+    sets = [set(h.tolist()) for h in np.split(hashes, starts[1:])]
+    size, words = lines.sketches(hashes, starts)
+    assert size.tolist() == [len(s) for s in sets]
+    apart = np.bitwise_count(words[:, None].view(np.uint64) ^ words[None].view(np.uint64)).sum(axis=2)
+    for i, a in enumerate(sets):
+        assert all(apart[i, j] <= len(a ^ b) for j, b in enumerate(sets))
+
+
 def test_one_changed_letter_links_short_lines(make_docs):
     r, texts = random.Random(12), []
     for size in range(39, 91):
