@@ -41,7 +41,7 @@ SHINGLE_CHARS = 4
 BANDS, ROWS = 10, 4
 MIN_SIMILARITY = 0.8
 BLOCK_LINES = 512
-SKETCH_WORDS = 4
+SKETCH_WORDS = 4  # a power of two
 SKETCH = [f"sketch_{i}" for i in range(SKETCH_WORDS)]
 
 _FACTORS = (np.random.default_rng(3).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * 2 + 1).astype(
@@ -80,6 +80,12 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorting is faster here than a table of them."""
+    ordered = np.sort(values)
+    return ordered[np.r_[True, ordered[1:] != ordered[:-1]]]
+
+
 def sketches(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of distinct shingles, and ``len(starts) x SKETCH_WORDS`` words of bits.
 
@@ -88,12 +94,12 @@ def sketches(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     """
     n, bits = len(starts), 64 * SKETCH_WORDS
     line = np.repeat(np.arange(n, dtype=np.uint64), np.diff(np.r_[starts, len(hashes)]))
-    own = np.unique(line << np.uint64(32) | hashes)
+    own = distinct(line << np.uint64(32) | hashes)
     line = (own >> np.uint64(32)).astype(np.int64)
-    bit = ((own & np.uint64(0xFFFFFFFF)) * _MIX >> np.uint64(40)).astype(np.int64) % bits
-    turned = np.bincount(line * bits + bit, minlength=n * bits).reshape(n, bits) & 1
-    return (np.bincount(line, minlength=n),
-            np.packbits(turned.astype(np.uint8), axis=1).view(np.int64))
+    # The product's top bits, as many as number a sketch's bits.
+    bit = ((own & np.uint64(0xFFFFFFFF)) * _MIX >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    turned = np.bincount(line * bits + bit, minlength=n * bits).astype(np.uint8).reshape(n, bits) & 1
+    return np.bincount(line, minlength=n), np.packbits(turned, axis=1).view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -186,7 +192,7 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = batch.iloc[at:at + 1000]
             place, texts = pd.factorize(pd.concat([part["line_a"], part["line_b"]], ignore_index=True))
             hashes, starts = shingle_hashes(list(texts))
-            sets = [np.unique(h) for h in np.split(hashes, starts[1:])]
+            sets = [distinct(h) for h in np.split(hashes, starts[1:])]
             good = [similarity(sets[i], sets[j]) >= MIN_SIMILARITY
                     for i, j in zip(place[:len(part)], place[len(part):], strict=True)]
             yield part.loc[good, ["a", "b"]]
@@ -302,7 +308,7 @@ def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(rows):
             ids, side, component = (rows[c].to_numpy() for c in ("line_id", "side", "component"))
             hashes, firsts = shingle_hashes(rows["line"].tolist())
-            sets = [np.unique(h) for h in np.split(hashes, firsts[1:])]
+            sets = [distinct(h) for h in np.split(hashes, firsts[1:])]
             for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
                 out += _group_links(ids[a:b], side[a:b], component[a:b], sets[a:b])
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -356,10 +362,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def with_removed(docs: DataFrame, name: str) -> DataFrame:
     """Documents with the column ``name``: places of lines to remove, or null."""
     id_, hash_ = common.unused(docs, "id", name), common.unused(docs, "hash", name)
-    removed, _ = common.stored(
-        removed_lines(docs.select("doc_id", "text")).select(
-            F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_),
-            F.col("removed").alias(name)), "removed")
+    with common.shuffles_removed(docs.sparkSession):
+        removed, _ = common.stored(
+            removed_lines(docs.select("doc_id", "text")).select(
+                F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_),
+                F.col("removed").alias(name)), "removed")
     return docs.join(removed, docs["doc_id"].eqNullSafe(F.col(id_))
                      & (F.xxhash64(docs["text"]) == F.col(hash_)), "left").drop(id_, hash_)
 
