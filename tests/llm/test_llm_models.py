@@ -107,23 +107,62 @@ def small_model():
 
 def test_probabilities_are_causal_and_add_up_to_one():
     classes, starts, texts, weights = small_model()
-    logs = lm.log_probabilities(texts, weights, classes, starts)
+    logs, begins = lm.log_probabilities(texts, weights, classes, starts)
     assert len(logs) == sum(map(len, texts)) and (logs < 0).all()
     # A later id changes nothing before it.
     long = texts[-1]
     changed = long.copy()
     changed[60] = 7
-    a, b = (lm.log_probabilities([t], weights, classes, starts) for t in (long, changed))
+    a, b = (lm.log_probabilities([t], weights, classes, starts)[0] for t in (long, changed))
     assert np.allclose(a[:60], b[:60], atol=1e-4) and not np.allclose(a[60], b[60])
     # Each text's result does not depend on its neighbours.
     assert np.allclose(logs[-len(long):], a, atol=1e-4)
-    first = [lm.log_probabilities([np.array([i, lm.END_ID])], weights, classes, starts)[0]
+    first = [lm.log_probabilities([np.array([i, lm.END_ID])], weights, classes, starts)[0][0]
              for i in range(0, lm.IDS, 500)]
     classes_total = np.exp(lm._log_softmax(lm._class_logits(
         weights, *[x[None] for x in lm.spans_of([long], classes)[0][:2]])[:, :1])).sum()
     within = np.bincount(classes.of_id, weights=np.exp(classes.within), minlength=lm.CLASSES)
     assert classes_total == pytest.approx(1, abs=1e-3) and within == pytest.approx(np.ones(lm.CLASSES), abs=1e-3)
     assert all(np.isfinite(first))
+    # All of a text's words together: its ids, given that a word begins.
+    sizes = [len(t) for t in texts]
+    heads = np.cumsum(sizes) - sizes
+    ends = np.zeros(len(logs), dtype=bool)
+    ends[np.cumsum(sizes) - 1] = True
+    base, known = np.full(len(logs), -3.0), np.ones(len(logs), dtype=bool)
+    words = lm.mixed_scores(logs, begins, np.ones(len(logs), dtype=int), ends, base, known, 1 - 1e-12)
+    assert np.add.reduceat(words, heads) == pytest.approx(
+        np.add.reduceat(logs.astype(float), heads) - begins[heads], rel=1e-4, abs=1e-3)
+
+
+def test_ids_after_frequent_ids_add_up_to_one_in_each_class():
+    r = np.random.default_rng(8)
+    counts = np.round(1e6 / np.arange(1, lm.IDS + 1))
+    starts = r.random(lm.IDS) < 0.5
+    starts[lm.END_ID] = True
+    pairs = r.integers(0, 50, (lm.OWN_EMBEDDINGS, lm.OWN_EMBEDDINGS)).astype(float)
+    classes = lm.classes_of(counts, pairs, starts)
+    place = lm.frequent_ids(counts)
+    frequent = np.argsort(np.where(place < 0, lm.IDS, place))[:lm.OWN_EMBEDDINGS]
+    for before in (0, 5, 1000):
+        share = np.exp(classes.within.astype(float))
+        share[frequent] = np.exp(classes.inside[before].astype(float))
+        assert np.bincount(classes.of_id, weights=share) == pytest.approx(np.ones(lm.CLASSES), abs=1e-3)
+
+
+def test_word_probabilities_add_up_to_one():
+    """Over all words of up to three ids of a small alphabet, and those that go on."""
+    begin, stop = 0.4, 0.4  # a word's id is followed by a beginning one with this chance
+    first, later = [0.7, 0.3], [0.5, 0.25]  # given a beginning; and of all ids
+    total = 0.0
+    for size in (1, 2, 3):
+        for ids in np.ndindex(*[2] * size):
+            p = [begin * first[ids[0]], *[0.6 * later[i] / 0.75 for i in ids[1:]], begin * 0.5]
+            begins = np.log(np.r_[begin, np.full(size - 1, stop), begin])
+            words = lm.mixed_scores(np.log(p), begins, np.array([size, 1]), np.array([False, True]),
+                                    np.zeros(2), np.ones(2, dtype=bool), 1 - 1e-15)
+            total += math.exp(words[0])
+    assert total == pytest.approx(1 - 0.6 ** 3, abs=1e-6)
 
 
 def test_gradients_are_those_of_the_loss():
