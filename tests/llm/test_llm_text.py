@@ -234,6 +234,15 @@ def test_one_changed_letter_links_short_lines(make_docs):
     assert sum(got[i] for i in range(1, len(texts), 2)) >= len(texts) // 2 - 1
 
 
+def test_lines_of_a_table_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "same line", 5, "h", 6, 7), (2, "Same  line", 5, "h", 6, 7)],
+                                 "doc_id bigint, text string, _id int, _hash string, removed int, id int")
+    got = {r.doc_id: r for r in lines.deduplicated(docs).collect()}
+    assert lines.deduplicated(docs).columns == docs.columns
+    assert got[1].text == "same line" and got[2].text == ""
+    assert (got[2]._id, got[2]._hash, got[2].removed, got[2].id) == (5, "h", 6, 7)
+
+
 def test_no_lines(make_docs):
     assert lines.report(make_docs("x").where("false")).count() == 0
 
