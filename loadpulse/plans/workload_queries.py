@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .. import sources
-from ..operators import load, pool, workload
+from .. import schemas, sources
+from ..operators import ids, load, pool, workload
 from ..session import new_location
 from ..sources.tables import values_text
 from ..streaming import jobs as streaming
@@ -85,6 +85,57 @@ def pictures_append(t: Tables):
     return workload.pictures_append(t.pictures, t.view("picture_inserts"), ["o_orderkey"])
 
 
+_APPENDS = 3
+
+
+def _pictures_by_ledger(t: Tables):
+    """Pictures, then inserts in three appends, under ids that a ledger hands out; the
+    last append runs twice."""
+    path = new_location(t.spark, "pictures")
+    ids.append_with_ids(t.picture_codes, path, "load")
+    inserts = t.view("picture_inserts")
+    for turn in [*range(_APPENDS), _APPENDS - 1]:
+        part = inserts.where(F.pmod("o_orderkey", F.lit(_APPENDS)) == turn)
+        ids.append_with_ids(part.select(*workload.CHANGEABLE), path, "inserts", turn)
+    return ids.read_with_ids(t.spark, path, schemas.PICTURE)
+
+
+_LEDGER_PARTS = f"""
+    (select -1 as turn, {_CODES} from picture_rows
+     union all select o_orderkey % {_APPENDS}, {_CODES} from picture_inserts)
+"""
+_LEDGER_FIRST = "cast(1 + coalesce(sum(pictures) over (order by turn rows between unbounded preceding and 1 preceding), 0) as bigint)"
+_LEDGER_RANGES = f"""
+    (select turn, pictures, {_LEDGER_FIRST} as first_id
+     from (select turn, count(*) as pictures from {_LEDGER_PARTS} group by turn))
+"""
+
+
+# Which row of an append has which of its ids is open; that it has one of them is not.
+@query("pictures_append_by_ledger", check=f"""
+    select p.* exclude (turn), r.first_id, true as own_range
+    from {_LEDGER_PARTS} p join {_LEDGER_RANGES} r on p.turn = r.turn
+""")
+def pictures_append_by_ledger(t: Tables):
+    kept = _pictures_by_ledger(t)
+    rows = kept.groupBy(ids.BATCH).agg(F.count("*").alias("_rows")).withColumnRenamed(ids.BATCH, "first")
+    own = F.col("id").between(F.col("first"), F.col("first") + F.col("_rows") - 1)
+    return kept.join(rows, F.col(ids.BATCH) == F.col("first")).select(
+        *workload.CHANGEABLE, ids.BATCH, own.alias("own_range"))
+
+
+@query("picture_id_ranges", check=f"""
+    select first_id, first_id + pictures - 1 as last_id, pictures, pictures as ids
+    from {_LEDGER_RANGES}
+""")
+def picture_id_ranges(t: Tables):
+    kept = _pictures_by_ledger(t)
+    # Ids are unique in the whole table if each range is as long as its distinct ids.
+    each = kept.groupBy("id").agg(F.min(ids.BATCH).alias(ids.BATCH), F.count("*").alias("n"))
+    return each.groupBy(ids.BATCH).agg(
+        F.max("id").alias("last_id"), F.sum("n").alias("pictures"), F.count("*").alias("ids"))
+
+
 def _text_ids(kind: str, rows: str, key: str) -> str:
     """Rows with their text ids in the checking engine's SQL."""
     codes = " || '|' || ".join(f"coalesce({c}::varchar, '')" for c in workload.CHANGEABLE)

@@ -1,10 +1,12 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from loadpulse import constants as K
 from loadpulse import schemas
 from loadpulse.operators import ids, workload
-from loadpulse.sources import dimension
+from loadpulse.sources import dimension, ledger
 
 
 @pytest.fixture
@@ -123,3 +125,45 @@ def test_unique_text_ids_tell_equal_rows_apart(spark):
     found = [r.id for r in workload.with_unique_text_ids(rows, "line", ["key"]).collect()]
     again = [r.id for r in workload.with_unique_text_ids(rows.repartition(5), "line", ["key"]).collect()]
     assert len(found) == len(set(found)) == 8 and set(found) == set(again)
+
+
+def codes(spark, n, parts=3):
+    return spark.range(0, n, 1, parts).select(
+        *[(F.col("id") % 6 + 1).cast("int").alias(c) for c in workload.CHANGEABLE])
+
+
+def test_ledger_ranges_follow_each_other_and_repeat_for_the_same_update(spark, folder):
+    path = folder("ids")
+    assert ledger.reserve(spark, path, 10, "a", first=5) == 5
+    assert ledger.reserve(spark, path, 3, "b") == 15
+    assert ledger.reserve(spark, path, 10, "a") == 5
+    assert ledger.reserve(spark, path, 1, "a", 1) == 18
+    assert ledger.next_id(spark, path) == 19
+    with pytest.raises(ledger.RangeMismatch):
+        ledger.reserve(spark, path, 10, "a", 0)
+    with pytest.raises(ledger.RangeMismatch):
+        ledger.reserve(spark, path, 2, "a", 1)
+    assert len(ledger._numbers(spark, path)) == 2
+
+
+def test_appends_have_ids_without_gaps(spark, folder):
+    path = folder("pictures")
+    assert ids.append_with_ids(codes(spark, 1000, 7), path, "load") == (1, 1000)
+    assert ids.append_with_ids(codes(spark, 0), path, "inserts", 0) == (1001, 0)
+    assert ids.append_with_ids(codes(spark, 50), path, "inserts", 1) == (1001, 50)
+    assert ids.append_with_ids(codes(spark, 50), path, "inserts", 1) == (1001, 50)
+    assert ids.append_with_ids(codes(spark, 5), path, "inserts", 2) == (1051, 5)
+    kept = ids.read_with_ids(spark, path, schemas.PICTURE)
+    assert sorted(r.id for r in kept.collect()) == list(range(1, 1056))
+    assert kept.where("first_id = 1001").count() == 50
+    plan = kept.where("first_id = 1001")._jdf.queryExecution().executedPlan().toString()
+    assert "(first_id" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_appends_at_once_share_no_id(spark, folder):
+    path = folder("pictures")
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: ids.append_with_ids(codes(spark, 20 + n), path, f"w{n}"), range(4)))
+    assert sorted(n for _, n in got) == [20, 21, 22, 23]
+    kept = [r.id for r in ids.read_with_ids(spark, path, schemas.PICTURE).collect()]
+    assert sorted(kept) == list(range(1, 87))
