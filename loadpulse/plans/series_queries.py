@@ -553,6 +553,33 @@ def stream_last_window(t: Tables):
     return rounded(_in_turns(t, [t.messages, closing], streaming.NO_DELAY), "average_latency")
 
 
+# Two topics, of which the second goes quiet halfway; messages of the first alone close
+# the windows.
+@query("stream_quiet_topic", check=f"select {_SERIES} from series")
+def stream_quiet_topic(t: Tables):
+    path, progress = new_location(t.spark, "stream"), new_location(t.spark, "progress")
+    middle = t.given("events").agg(((F.min(F.unix_micros(F.col("ts").cast("timestamp")))
+                                     + F.max(F.unix_micros(F.col("ts").cast("timestamp")))) / 2)
+                                   .cast("bigint").alias("m")).first()["m"]
+
+    def start(last):
+        def topic(second: bool):
+            events = t.given_stream("events")
+            of_second = (F.pmod("event_id", F.lit(2)) == 0) & (
+                F.unix_micros(F.col("ts").cast("timestamp")) < F.lit(middle or 0))
+            chosen = F.coalesce(of_second, F.lit(False))
+            return sources.messages_from_records(
+                t.view("txn", events=events.where(chosen if second else ~chosen)))
+
+        both = streaming.union_of_topics([topic(False).unionByName(last), topic(True)], "1 hour")
+        with streaming.slowest_input(t.spark):
+            return streaming.start_series_sink(
+                streaming.stream_windowed_latency_failure(both, SERIES_WIDTH, None), path, progress)
+
+    _run_and_close(t, "[]", start)
+    return rounded(sources.read_series(t.spark, path), "average_latency")
+
+
 # What the stream holds at its end: the windows of the last ten days, which late records
 # may still change.
 @query("stream_open_windows", check=f"""

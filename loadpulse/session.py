@@ -39,19 +39,24 @@ def build_session(app_name: str, **overrides: str) -> SparkSession:
 
 
 @contextlib.contextmanager
-def state_settings(spark: SparkSession) -> Iterator[None]:
-    """``STATE_DEFAULTS`` for streams that start inside, where the session says nothing.
+def state_settings(spark: SparkSession, **own: str) -> Iterator[None]:
+    """``STATE_DEFAULTS`` for streams that start inside, where the session says nothing,
+    and the settings in ``own`` whatever it says.
 
     A stream copies its session's settings when it starts, so they can be taken back.
     """
-    missing = {k: v for k, v in STATE_DEFAULTS.items() if spark.conf.get(k, None) is None}
-    for key, value in missing.items():
+    before = {k: spark.conf.get(k, None) for k in {**STATE_DEFAULTS, **own}}
+    wanted = {k: v for k, v in STATE_DEFAULTS.items() if before[k] is None} | own
+    for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
         yield
     finally:
-        for key in missing:
-            spark.conf.unset(key)
+        for key in wanted:
+            if before[key] is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, before[key])
 
 
 def shared_dir(spark: SparkSession) -> str:

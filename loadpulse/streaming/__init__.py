@@ -6,6 +6,7 @@ from .jobs import (  # noqa: F401
     read_resource_state,
     read_split,
     read_split_counts,
+    slowest_input,
     start_lease_sweep,
     start_message_sink,
     start_parse_with_quarantine,
@@ -15,4 +16,5 @@ from .jobs import (  # noqa: F401
     stream_batched_messages,
     stream_sql_windowed_latency,
     stream_windowed_latency_failure,
+    union_of_topics,
 )

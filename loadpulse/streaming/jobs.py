@@ -9,6 +9,8 @@ that on a topic that goes quiet.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import AbstractContextManager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -23,15 +25,49 @@ from ..sources import snapshots, stores, tables
 NO_DELAY = "0 seconds"
 
 
+def union_of_topics(topics: list[DataFrame], idle: str, delay: str = NO_DELAY) -> DataFrame:
+    """The messages of several topics as one stream that waits for the slowest of them.
+
+    Each topic has a watermark of its own and the lowest one counts, so a topic that is
+    read behind the others loses nothing.  One that goes quiet would hold back every
+    window: a topic therefore counts as having come to ``idle`` behind the newest message
+    of any topic, by event time, whether it says something or not.  What it publishes
+    after that with older times is late.  ``delay`` is how late a record may be within
+    its topic.
+
+    The times of all topics are read once for each topic, without their texts; topics
+    are few.  Streams of the result start under ``slowest_input``.
+    """
+    def times(topic: DataFrame) -> DataFrame:
+        return topic.select((F.col("publish_time") - F.expr(f"interval {idle}")).alias("publish_time"),
+                            F.lit("[]").alias("data"))
+
+    beats = [times(topic) for topic in topics]
+
+    def watermarked(topic: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, [topic, *beats]).withWatermark("publish_time", delay)
+
+    return reduce(DataFrame.unionByName, map(watermarked, topics))
+
+
+def slowest_input(spark: SparkSession) -> AbstractContextManager[None]:
+    """Streams that start inside follow the lowest of their inputs' watermarks, whatever
+    the session says; the checkpoint keeps it."""
+    return state_settings(spark, **{"spark.sql.streaming.multipleWatermarkPolicy": "min"})
+
+
 def stream_windowed_latency_failure(
-    messages: DataFrame, width: str = K.RESULT_WINDOW, delay: str = NO_DELAY
+    messages: DataFrame, width: str = K.RESULT_WINDOW, delay: str | None = NO_DELAY
 ) -> DataFrame:
-    """The series as an unbounded result; ``delay`` is how late a record may be.
+    """The series as an unbounded result; ``delay`` is how late a record may be, or None
+    for messages that have their watermark already.
 
     The watermark is set on the messages, before parsing, so a message without
     records moves it too.
     """
-    records = parse.parse_messages(messages.withWatermark("publish_time", delay))
+    if delay is not None:
+        messages = messages.withWatermark("publish_time", delay)
+    records = parse.parse_messages(messages)
     return windows.windowed_latency_failure(records, width)
 
 

@@ -79,6 +79,64 @@ def test_a_delay_lets_late_records_in(spark, feed, folder):
     assert got == {T0_MS + 999: 2.0, T0_MS + 10_999: 1.0}
 
 
+@pytest.fixture
+def second_feed(spark, make_messages, folder):
+    path = folder("second")
+
+    def send(*pairs):
+        make_messages(*pairs).coalesce(1).write.mode("append").parquet(path)
+
+    send.stream = lambda: sources.stream_messages(spark, path, maxFilesPerTrigger="1")
+    return send
+
+
+def timestamps(spark, feeds, folder, idle, policy="max"):
+    """What a stream of two topics has given out; the session's own policy does not count."""
+    name = "spark.sql.streaming.multipleWatermarkPolicy"
+    spark.conf.set(name, policy)
+    try:
+        both = streaming.union_of_topics([f.stream() for f in feeds], idle)
+        with streaming.slowest_input(spark):
+            rows = sink(spark, streaming.stream_windowed_latency_failure(both, delay=None), folder).collect()
+        assert spark.conf.get(name) == policy
+    finally:
+        spark.conf.unset(name)
+    return sorted((r.timestamp - T0_MS - 999) // 1000 for r in rows)
+
+
+def test_a_topic_behind_the_others_loses_nothing(spark, feed, second_feed, folder):
+    for second in (0, 20, 40):
+        feed((second, message()))
+    for second in (3, 5, 7):          # read in the same batches, 15 to 33 seconds behind
+        second_feed((second, message()))
+    feed((200, "[]"))
+    second_feed((200, "[]"))
+    assert timestamps(spark, (feed, second_feed), folder, "60 seconds") == [0, 3, 5, 7, 20, 40]
+
+
+def test_a_quiet_topic_holds_windows_back_for_its_idle_time_only(spark, feed, second_feed, folder):
+    for second in (0, 20, 40, 60):
+        feed((second, message()))
+    second_feed((3, message()))       # and no more
+    assert timestamps(spark, (feed, second_feed), folder, "25 seconds") == [0, 3, 20]
+    feed((100, "[]"))
+    assert timestamps(spark, (feed, second_feed), folder, "25 seconds") == [0, 3, 20, 40, 60]
+
+
+def test_a_topic_that_comes_back_too_late_is_late(spark, feed, second_feed, folder):
+    feed((0, message()))
+    second_feed((1, message()))
+    feed((50, message()))
+    second_feed((2, message()))
+    feed((60, message()))
+    second_feed((30, message()))
+    feed((70, message()))             # a batch after the one in which window 4 was closed
+    second_feed((4, message()))
+    feed((200, "[]"))
+    got = timestamps(spark, (feed, second_feed), folder, "25 seconds")
+    assert got == [0, 1, 2, 30, 50, 60, 70]
+
+
 def test_restart_goes_on_without_repeating(spark, feed, folder):
     feed((0, message()))
     feed((10, message()))
