@@ -14,8 +14,8 @@ left, so a source with a third of all rows is no task of its own.
 Edge cases: a null or empty text has size 0 and takes no words; a null source is a
 source, last in order; documents with the same id and source get the same random
 number, so repeated rows are taken or left together; weights of documents that are
-null or not positive count as 1; an empty table gives an empty mix; other columns are
-kept by ``mixed`` and ignored elsewhere.
+null or not positive count as 1; an empty table gives an empty mix; other columns,
+whatever their names, are kept by ``mixed`` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -90,13 +90,20 @@ def pareto_rank(u: Column, chance: Column, weight: Column) -> Column:
     return u * (1 - p) / (u * (1 - p) + p * (1 - u))
 
 
-def _ranked(docs: DataFrame, targets: DataFrame, weight: str | None) -> DataFrame:
+def _odds(weight: str | None) -> Column:
+    """What a document's chance is multiplied by."""
+    if weight is None:
+        return F.lit(1.0)
+    own = F.col(common.quoted(weight))
+    return F.when(own > 0, own).otherwise(1.0)
+
+
+def _ranked(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Documents with their source's row and their ``rank``."""
     t = targets.withColumnRenamed("source", "_source")
     joined = docs.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    w = F.lit(1.0) if weight is None else F.when(F.col(weight) > 0, F.col(weight)).otherwise(1.0)
     return joined.withColumn("rank", pareto_rank(
-        uniform(F.col("doc_id"), F.col("source")), F.col("chance"), w))
+        uniform(F.col("doc_id"), F.col("source")), F.col("chance"), F.col("odds")))
 
 
 def _borders(ranked: DataFrame) -> DataFrame:
@@ -146,37 +153,43 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, share: floa
     It is stored, so its size is known and joining it needs no shuffle of documents
     unless there are very many sources.
     """
-    kept = ["doc_id", "source"] + ([weight] if weight else [])
-    sized, _ = common.stored(docs.select(*kept, size_of(F.col("text")).alias("size")), "sizes")
+    sized, _ = common.stored(docs.select(
+        "doc_id", "source", size_of(F.col("text")).alias("size"), _odds(weight).alias("odds")), "sizes")
     targets, _ = common.stored(source_targets(sized, weights, share, cap), "targets")
-    borders = _borders(_ranked(sized, targets, weight)).withColumnRenamed("source", "_source")
+    borders = _borders(_ranked(sized, targets)).withColumnRenamed("source", "_source")
     whole = targets.join(borders, F.col("source").eqNullSafe(F.col("_source")), "left")
     return common.stored(whole.drop("_source"), "mix-plan")[0]
 
 
-def with_copies(docs: DataFrame, planned: DataFrame, weight: str | None = None) -> DataFrame:
-    """Documents with ``_size``, the plan's columns and ``_copies``, how often the mix
-    takes them."""
-    names = [c for c in planned.columns if c != "source"]
-    p = planned.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in names])
-    joined = docs.join(p, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    w = F.lit(1.0) if weight is None else F.when(F.col(weight) > 0, F.col(weight)).otherwise(1.0)
-    rank = pareto_rank(uniform(F.col("doc_id"), F.col("source")), F.col("_chance"), w)
-    sampled = F.coalesce((rank < F.col("_low")) | (rank <= F.col("_last")), F.lit(False))
-    return joined.withColumn("_size", size_of(F.col("text"))).withColumn(
-        "_copies", F.col("_copies") + F.when(sampled & (F.col("_wanted") > 0), 1).otherwise(0))
+def copies(planned: Column, weight: str | None = None) -> Column:
+    """How often the mix takes a document, by its source's row of the plan."""
+    rank = pareto_rank(uniform(F.col("doc_id"), F.col("source")), planned["chance"], _odds(weight))
+    sampled = F.coalesce((rank < planned["low"]) | (rank <= planned["last"]), F.lit(False))
+    return planned["copies"] + F.when(sampled & (planned["wanted"] > 0), 1).otherwise(0)
+
+
+def with_plan(docs: DataFrame, planned: DataFrame, name: str) -> DataFrame:
+    """Documents with their source's row of the plan as one column."""
+    own = common.unused(docs, "plan_source", name)
+    rows = planned.select(F.col("source").alias(own), F.struct(*planned.columns).alias(name))
+    return docs.join(rows, docs["source"].eqNullSafe(rows[own])).drop(own)
 
 
 def taken(docs: DataFrame, weight: str | None = None, **options) -> DataFrame:
     """What the mix takes of each document, in words."""
-    docs = docs.select("doc_id", "source", "text", *([weight] if weight else []))
-    return with_copies(docs, plan(docs, weight=weight, **options), weight).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    planned, name = plan(docs, weight=weight, **options), common.unused(docs, "plan")
+    row, size = F.col(name), size_of(F.col("text"))
+    docs = docs.select("doc_id", "source", "text", *([common.quoted(weight)] if weight else []))
+    return with_plan(docs, planned, name).select(
+        "doc_id", size.alias("size"), row["source_size"].alias("source_size"),
+        row["target"].alias("target"), (size * copies(row, weight)).alias("taken"))
 
 
 def mixed(docs: DataFrame, weight: str | None = None, **options) -> DataFrame:
     """The mix itself: each document as many times as it is taken."""
-    copies = with_copies(docs, plan(docs, weight=weight, **options), weight)
-    return copies.withColumn("_time", F.explode(F.expr("array_repeat(1, cast(_copies as int))"))).select(
-        *docs.columns)
+    planned, name = plan(docs, weight=weight, **options), common.unused(docs, "plan")
+    times = F.sequence(F.lit(1), copies(F.col(name), weight).cast("int"))
+    often = F.when(copies(F.col(name), weight) > 0, times)
+    turn = common.unused(docs, "turn", name)
+    return with_plan(docs, planned, name).withColumn(turn, F.explode(often)).select(
+        *map(common.quoted, docs.columns))

@@ -283,5 +283,6 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents whose score is below the threshold, with their own columns."""
-    found = with_score(docs, train(docs, labels), "_toxicity")
-    return found.where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    name = common.unused(docs, "toxicity")
+    found = with_score(docs, train(docs, labels), name)
+    return found.where(F.col(name) < THRESHOLD).select(*map(common.quoted, docs.columns))

@@ -251,6 +251,17 @@ def test_recall_is_that_of_all_pairs(spark, make_docs, n_items):
     assert len(expected) >= n_items and found == expected
 
 
+def test_items_without_an_id_and_repeated_rows(spark, make_docs):
+    item = prose(30, 7)
+    benchmark = spark.createDataFrame([(None, item), (None, item), (2**60 + 1, prose(30, 8)), (None, None)],
+                                      "item_id bigint, text string")
+    docs = make_docs((2**60 + 3, f"{prose(50, 1)} {item}"), (2**60 + 3, f"{prose(50, 1)} {item}"),
+                     (None, f"{prose(50, 2)} {prose(30, 8)}"), (4, prose(80, 3)))
+    found = [(x.doc_id, x.item_id) for x in decontaminate.matches(docs, benchmark).collect()]
+    assert sorted(found, key=str) == sorted([(2**60 + 3, None)] * 2 + [(None, 2**60 + 1)], key=str)
+    assert [x.doc_id for x in decontaminate.clean(docs, benchmark).collect()] == [4]
+
+
 def test_decontamination_of_nothing(spark, make_docs):
     benchmark = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
     assert decontaminate.matches(make_docs("x").where("false"), benchmark).count() == 0
@@ -314,6 +325,18 @@ def test_weights_change_the_chances(spark):
         sum(v for (s, _), v in got.items() if s == 10_000) - 7500) <= 20
 
 
+def test_mix_keeps_columns_of_any_name(make_docs):
+    names = ["_source", "_size", "_copies", "size", "odds", "rank", "plan", "Plan_Source", "turn", "target", "a.b"]
+    plain = make_docs(*[prose(20, i) for i in range(40)])
+    docs = plain.withColumns({name: F.lit(name) for name in names})
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    rows = mixed.collect()
+    assert rows and all(x[name] == name for x in rows for name in names)
+    same = [sorted(map(tuple, mixing.taken(d).collect())) for d in (plain, docs)]
+    assert same[0] == same[1] and sum(t[4] for t in same[0]) == 20 * len(rows)
+
+
 def test_mix_of_nothing(make_docs):
     assert mixing.taken(make_docs("x").where("false")).count() == 0
     assert [x.taken for x in mixing.taken(make_docs(None, "")).collect()] == [0, 0]

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from loadpulse.llm import components, fingerprint, lines, private, simhash
 
@@ -285,7 +286,7 @@ def test_base_spans_are_those_of_the_patterns(make_docs):
     assert got[0].n_email == reference_spans(texts[0]).count("email")
 
 
-def test_words_that_reveal_an_entity_are_masked_only_beside_it(make_docs):
+def test_words_that_reveal_an_entity_are_masked(make_docs):
     filler = [prose(40, 900 + s) for s in range(60)]
     texts = [f"{prose(9, 1)} director zanzibar ann@example.org {prose(9, 2)}",
              f"{prose(9, 3)} zanzibar wrote ann@example.org {prose(9, 4)}", "nothing here", *filler]
@@ -299,6 +300,44 @@ def test_words_that_reveal_an_entity_are_masked_only_beside_it(make_docs):
     assert "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and clean[2] == "nothing here"
 
 
+def test_a_revealing_word_is_masked_where_it_stands_alone(make_docs):
+    texts = [f"{prose(9, 1)} zanzibar ann@example.org {prose(9, 2)}",
+             f"{prose(9, 3)} zanzibar wrote ann@example.org {prose(9, 4)}",
+             f"Zanzibar, {prose(30, 5)} zanzibar", *[prose(40, 900 + s) for s in range(60)]]
+    docs = make_docs(*texts)
+    got = {r.doc_id: r.spans for r in private.report(docs).collect()}
+    end = len(texts[2])
+    assert got[2] == f"term:0:8,term:{end - 8}:{end}"    # two documents of three
+    assert not any(got[i] for i in range(3, len(texts)))
+    clean = {r.doc_id: r.text for r in private.sanitised(docs).collect()}
+    assert clean[2] == f"[WORD]{texts[2][8:-8]}[WORD]" and clean[3] == texts[3]
+
+
+def test_many_spans_in_one_text(make_docs):
+    r = random.Random(8)
+    pieces = [r.choice(["ann@example.org", "10.0.0.1", "+33 1 23 45 67 89", "é so", "nothing"])
+              for _ in range(20_000)]
+    text = " ".join(pieces)
+    docs = make_docs(text, " ".join(pieces[:256]), " ".join(pieces[:300]))
+    expected = {i: reference_spans(t) for i, t in enumerate([text, " ".join(pieces[:256]), " ".join(pieces[:300])])}
+    for row in private.report(docs).collect():
+        assert row.base_sha256 == hashlib.sha256(expected[row.doc_id].encode()).hexdigest()
+    masks = {"ann@example.org": "[EMAIL]", "10.0.0.1": "[IP]", "+33 1 23 45 67 89": "[PHONE]"}
+    spans = private.base_spans(F.col("text"))
+    plain = docs.select("doc_id", private.masked(F.col("text"), spans).alias("clean")).collect()
+    assert {x.doc_id: x.clean for x in plain}[0] == " ".join(masks.get(w, w) for w in pieces)
+
+
+def test_sanitised_keeps_columns_of_any_name(make_docs):
+    names = ["_id", "_hash", "_every", "masked_id", "Masked_Hash", "masked_spans", "spans", "every", "a.b"]
+    docs = make_docs("x@y.zz", None, "x@y.zz and more").withColumns({n: F.lit(n) for n in names})
+    kept = private.sanitised(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted(str(r.text) for r in rows) == ["None", "[EMAIL]", "[EMAIL] and more"]
+    assert all(r[n] == n for r in rows for n in names)
+
+
 def test_a_term_used_everywhere_reveals_nothing(make_docs):
     texts = [f"{prose(9, s)} common ann@example.org {prose(9, s + 50)}" for s in range(2)]
     texts += [f"common {prose(9, s + 200)}" for s in range(10)]
