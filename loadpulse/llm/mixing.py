@@ -3,9 +3,11 @@
 Sizes are words.  Sources share a multiple of all words by weight; a target stops at
 ``cap`` times its source's size and the excess goes to the others by weight.  A
 source first gets whole copies of all its documents, as often as its target allows.
-For the rest every document gets an inclusion probability, its random odds are
-divided by its inclusion odds, and documents are taken in that order until the
-target is met; the document on the border is taken if that comes nearer.
+For the rest every document gets an inclusion probability in proportion to its size
+(times its weight, if there is one) such that the expected words are those wanted.  Its
+random odds are divided by its inclusion odds, and documents are taken in that order
+until the target is met; the document on the border is taken if that comes nearer.  Long
+documents are thus certain or likely, and those on the border mostly short.
 
 Only counts are shuffled.  The border of each source is found in a histogram of the
 ranks, then in a finer one inside the border's bucket, then among the few documents
@@ -53,7 +55,10 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS,
 
     The windows run over one row per source.
     """
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # Squares are added up exactly: the order of adding must not change a chance.
+    square = F.col("size").cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)")
+    sources = sized.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.sum(square).cast("double").alias("squares"))
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
     weighted = sources.withColumn("weight", F.element_at(
@@ -80,7 +85,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS,
         .withColumn("copies", F.floor(ratio).cast("bigint"))
         .withColumn("chance", ratio - F.col("copies"))
         .withColumn("wanted", F.col("target") - F.col("copies") * F.col("source_size"))
-        .select("source", "source_size", "target", "copies", "chance", "wanted")
+        # The size of a document whose chance is the source's share.
+        .withColumn("usual", F.when(F.col("source_size") > 0, F.col("squares") / F.col("source_size")))
+        .select("source", "source_size", "target", "copies", "chance", "wanted", "usual")
     )
 
 
@@ -98,12 +105,17 @@ def _odds(weight: str | None) -> Column:
     return F.when(own > 0, own).otherwise(1.0)
 
 
+def _by_size(size: Column, usual: Column) -> Column:
+    return F.when(size > 0, size / usual).otherwise(1.0)
+
+
 def _ranked(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Documents with their source's row and their ``rank``."""
     t = targets.withColumnRenamed("source", "_source")
     joined = docs.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     return joined.withColumn("rank", pareto_rank(
-        uniform(F.col("doc_id"), F.col("source")), F.col("chance"), F.col("odds")))
+        uniform(F.col("doc_id"), F.col("source")), F.col("chance"),
+        _by_size(F.col("size"), F.col("usual")) * F.col("odds")))
 
 
 def _borders(ranked: DataFrame) -> DataFrame:
@@ -163,7 +175,9 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, share: floa
 
 def copies(planned: Column, weight: str | None = None) -> Column:
     """How often the mix takes a document, by its source's row of the plan."""
-    rank = pareto_rank(uniform(F.col("doc_id"), F.col("source")), planned["chance"], _odds(weight))
+    rank = pareto_rank(
+        uniform(F.col("doc_id"), F.col("source")), planned["chance"],
+        _by_size(size_of(F.col("text")), planned["usual"]) * _odds(weight))
     sampled = F.coalesce((rank < planned["low"]) | (rank <= planned["last"]), F.lit(False))
     return planned["copies"] + F.when(sampled & (planned["wanted"] > 0), 1).otherwise(0)
 

@@ -105,7 +105,10 @@ def op7_lines(spark: SparkSession, folder: str) -> DataFrame:
                (cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '-') || ':'
                    || coalesce(source, '-')), 1, 12) as bigint) + 0.5) / 281474976710656.0 as u
         from documents),
-    sources as (select source, cast(sum(size) as double) as s from sized group by source),
+    sources as (
+        select source, cast(sum(size) as double) as s,
+               cast(sum(cast(size as hugeint) * size) as double) as squares
+        from sized group by source),
     weighted as (
         select *, cast([3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1]
                        as double) as w, 1.5 * sum(s) over () as shared
@@ -119,7 +122,7 @@ def op7_lines(spark: SparkSession, folder: str) -> DataFrame:
     free as (select remaining, w_left from ordered where remaining * w < 2 * s * w_left
              order by 2 * s / w limit 1),
     targets as (
-        select source, s, case when remaining * w >= 2 * s * w_left then 2 * s else
+        select source, s, squares, case when remaining * w >= 2 * s * w_left then 2 * s else
                (select remaining from free) * w / (select w_left from free) end as target
         from ordered),
     shares as (
@@ -128,7 +131,8 @@ def op7_lines(spark: SparkSession, folder: str) -> DataFrame:
                target - case when s > 0 then floor(target / s) else 0 end * s as wanted
         from targets),
     ranked as (
-        select doc_id, size, u, t.*, least(greatest(chance, 1e-9), 1 - 1e-9) as p
+        select doc_id, size, u, t.*, least(greatest(chance * case when size > 0
+                   then size / (squares / s) else 1 end, 1e-9), 1 - 1e-9) as p
         from sized d join shares t on d.source is not distinct from t.source),
     placed as (
         select *, u * (1 - p) / (u * (1 - p) + p * (1 - u)) as r from ranked),

@@ -325,6 +325,19 @@ def test_weights_change_the_chances(spark):
         sum(v for (s, _), v in got.items() if s == 10_000) - 7500) <= 20
 
 
+def test_chances_follow_sizes(spark):
+    r = random.Random(5)
+    sizes = [r.choice([5, 10, 20, 40]) for _ in range(8000)]
+    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate(sizes)],
+                                 "doc_id bigint, text string, source string")
+    got = {x.doc_id: x.taken for x in mixing.taken(docs, share=0.3).collect()}
+    usual = sum(n * n for n in sizes) / sum(sizes)
+    for n in (5, 10, 20, 40):
+        own = [got[i] > 0 for i, size in enumerate(sizes) if size == n]
+        assert abs(sum(own) / len(own) - 0.3 * n / usual) < 0.04
+    assert abs(sum(got.values()) - 0.3 * sum(sizes)) <= 20
+
+
 def test_mix_keeps_columns_of_any_name(make_docs):
     names = ["_source", "_size", "_copies", "size", "odds", "rank", "plan", "Plan_Source", "turn", "target", "a.b"]
     plain = make_docs(*[prose(20, i) for i in range(40)])
