@@ -173,16 +173,15 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, share: floa
     return common.stored(whole.drop("_source"), "mix-plan")[0]
 
 
-def copies(planned: Column, weight: str | None = None) -> Column:
-    """How often the mix takes a document, by its source's row of the plan."""
-    rank = pareto_rank(
-        uniform(F.col("doc_id"), F.col("source")), planned["chance"],
-        _by_size(size_of(F.col("text")), planned["usual"]) * _odds(weight))
+def copies(planned: Column, size: Column, weight: str | None = None) -> Column:
+    """How often the mix takes a document of this size, by its source's row of the plan."""
+    rank = pareto_rank(uniform(F.col("doc_id"), F.col("source")), planned["chance"],
+                       _by_size(size, planned["usual"]) * _odds(weight))
     sampled = F.coalesce((rank < planned["low"]) | (rank <= planned["last"]), F.lit(False))
     return planned["copies"] + F.when(sampled & (planned["wanted"] > 0), 1).otherwise(0)
 
 
-def with_plan(docs: DataFrame, planned: DataFrame, name: str) -> DataFrame:
+def _with_plan(docs: DataFrame, planned: DataFrame, name: str) -> DataFrame:
     """Documents with their source's row of the plan as one column."""
     own = common.unused(docs, "plan_source", name)
     rows = planned.select(F.col("source").alias(own), F.struct(*planned.columns).alias(name))
@@ -191,19 +190,22 @@ def with_plan(docs: DataFrame, planned: DataFrame, name: str) -> DataFrame:
 
 def taken(docs: DataFrame, weight: str | None = None, **options) -> DataFrame:
     """What the mix takes of each document, in words."""
-    planned, name = plan(docs, weight=weight, **options), common.unused(docs, "plan")
-    row, size = F.col(name), size_of(F.col("text"))
-    docs = docs.select("doc_id", "source", "text", *([common.quoted(weight)] if weight else []))
-    return with_plan(docs, planned, name).select(
-        "doc_id", size.alias("size"), row["source_size"].alias("source_size"),
-        row["target"].alias("target"), (size * copies(row, weight)).alias("taken"))
+    planned = plan(docs, weight=weight, **options)
+    size, name = (common.unused(docs, n) for n in ("size", "plan"))
+    # Words are counted once, below the join.
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias(size),
+                        *([common.quoted(weight)] if weight else []))
+    row, n = F.col(name), F.col(size)
+    return _with_plan(sized, planned, name).select(
+        "doc_id", n.alias("size"), row["source_size"].alias("source_size"),
+        row["target"].alias("target"), (n * copies(row, n, weight)).alias("taken"))
 
 
 def mixed(docs: DataFrame, weight: str | None = None, **options) -> DataFrame:
     """The mix itself: each document as many times as it is taken."""
-    planned, name = plan(docs, weight=weight, **options), common.unused(docs, "plan")
-    times = F.sequence(F.lit(1), copies(F.col(name), weight).cast("int"))
-    often = F.when(copies(F.col(name), weight) > 0, times)
-    turn = common.unused(docs, "turn", name)
-    return with_plan(docs, planned, name).withColumn(turn, F.explode(often)).select(
-        *map(common.quoted, docs.columns))
+    planned = plan(docs, weight=weight, **options)
+    size, name, turn = (common.unused(docs, n) for n in ("size", "plan", "turn"))
+    sized = docs.withColumn(size, size_of(F.col("text")))
+    times = copies(F.col(name), F.col(size), weight).cast("int")
+    return _with_plan(sized, planned, name).withColumn(
+        turn, F.explode(F.array_repeat(F.lit(1), times))).select(*map(common.quoted, docs.columns))
