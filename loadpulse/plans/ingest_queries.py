@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import schemas, sources
-from ..operators import parse
+from ..operators import ids, parse
 from ..session import new_location
 from ..sources import stores
 from ..streaming import jobs as streaming
@@ -244,11 +244,14 @@ def stream_batched_messages(t: Tables):
     return _unpacked(t.spark.read.parquet(path))
 
 
-@query("job_list_source", check="select job_id from job_list")
+@query("job_list_source", check="""
+    select job_id, row_number() over (order by seq) as place from job_list
+""")
 def job_list_source(t: Tables):
     path = new_location(t.spark, "job-list")
     t.job_list.orderBy("seq").select("job_id").write.text(path)
-    return sources.read_job_list(t.spark, path).select("job_id")
+    listed = sources.read_job_list(t.spark, path)
+    return ids.with_dense_ids(listed, ["seq"], "place", keep=["job_id"])
 
 
 @query("jobs_scan", check="""

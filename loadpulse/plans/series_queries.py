@@ -301,6 +301,19 @@ def first_run_per_instance(t: Tables):
 
 _FIELDS = "read_pattern, write_pattern, intensity, db_type, db_size, sql_size, sql_rep_size, spanner_size"
 
+
+def _of_mode(test: str) -> str:
+    """A test of every field that a request's mode requires, in the checking engine's SQL."""
+    modes = {
+        "single": "read_pattern write_pattern db_type intensity db_size",
+        "fail": "read_pattern write_pattern",
+        "run": "read_pattern write_pattern intensity sql_size sql_rep_size spanner_size",
+    }
+    cases = [f"when '{mode}' then " + " and ".join(test.format(name) for name in names.split())
+             for mode, names in modes.items()]
+    return f"case mode {' '.join(cases)} else false end"
+
+
 _REQUEST_FLAGS = f"""
     select *, case when not complete then 'complete' when not integers then 'integers'
                    when not type_ok then 'type_ok' when not size_ok then 'size_ok' end
@@ -308,14 +321,10 @@ _REQUEST_FLAGS = f"""
            complete and integers and type_ok and size_ok as accepted
     from (
         select request_id, mode, {_FIELDS},
-               case mode when 'fail' then read_pattern is not null and write_pattern is not null
-                    when 'run' then read_pattern is not null and intensity is not null
-                    else read_pattern is not null and intensity is not null end as complete,
-               case mode when 'fail' then try_cast(read_pattern as int) is not null
-                    else try_cast(read_pattern as int) is not null
-                         and try_cast(intensity as int) is not null end as integers,
-               mode <> 'single' or db_type in ('1', '2', '3') as type_ok,
-               mode <> 'single' or db_size in ('1', '2', '3') as size_ok
+               {_of_mode('{0} is not null')} as complete,
+               {_of_mode('try_cast({0} as int) is not null')} as integers,
+               mode <> 'single' or coalesce(try_cast(db_type as int) between 1 and 3, false) as type_ok,
+               mode <> 'single' or coalesce(try_cast(db_size as int) between 1 and 3, false) as size_ok
         from run_requests)
 """
 
@@ -412,12 +421,13 @@ _REGISTRY_FLAGS = """
            complete and type_ok and size_ok and resource_id_ok and connection_ok and replica_ok
                as accepted
     from (
-        select *, database_type is not null and connection_string is not null as complete,
-               coalesce(database_type in (1, 2, 3), false) as type_ok,
-               database_size in (1, 2, 3) as size_ok,
-               not starts_with(resource_id, 'Res') as resource_id_ok,
+        select *, database_type is not null and database_size is not null
+                  and resource_id is not null and connection_string is not null as complete,
+               coalesce(database_type between 1 and 3, false) as type_ok,
+               coalesce(database_size between 1 and 3, false) as size_ok,
+               coalesce(regexp_full_match(resource_id, '[a-z0-9:-]+'), false) as resource_id_ok,
                coalesce(case when database_type = 3 then connection_string = resource_id
-                    else starts_with(connection_string, '1') end, false) as connection_ok,
+                    else not regexp_matches(connection_string, '^[^0-9.]') end, false) as connection_ok,
                coalesce(database_type <> 2 or replica_ip is not null, false) as replica_ok
         from registry)
 """

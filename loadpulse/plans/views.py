@@ -149,28 +149,39 @@ SHARED = {
         select c_custkey as request_id,
                cast(case when c_custkey % 17 = 0 then null else c_custkey % 5 end as int)
                    as database_type,
-               cast((c_custkey div 5) % 4 as int) as database_size,
-               case when c_nationkey % 4 = 0 then concat('Res_', cast(c_custkey as string))
+               cast(case when c_custkey % 19 = 0 then null else (c_custkey div 5) % 4 end as int)
+                   as database_size,
+               case when c_custkey % 23 = 0 then null when c_custkey % 29 = 0 then ''
+                    when c_nationkey % 8 = 0 then concat('Res_', cast(c_custkey as string))
+                    when c_nationkey % 8 = 4 then concat('res ', cast(c_custkey as string))
+                    when c_custkey % 5 = 2 then concat('res:', cast(c_custkey as string))
                     else concat('res-', cast(c_custkey as string)) end as resource_id,
-               case c_custkey % 7 when 0 then null when 1 then '10.0.0.7' when 2 then 'db.internal'
-                    when 3 then '10.0.0.8/db'
+               case c_custkey % 9 when 0 then null when 1 then '10.0.0.7' when 2 then 'db.internal'
+                    when 3 then '10.0.0.8/db' when 4 then '.7' when 5 then ''
                     else concat('res-', cast(c_custkey as string)) end as connection_string,
                case when c_custkey % 2 = 0 then '10.0.0.9' else null end as replica_ip
         from {customer}
     """,
     "run_requests": """
         select c_custkey as request_id,
-               case c_nationkey % 3 when 0 then 'fail' when 1 then 'run' else 'single' end as mode,
+               case when c_custkey % 47 = 0 then 'cached' when c_nationkey % 3 = 0 then 'fail'
+                    when c_nationkey % 3 = 1 then 'run' else 'single' end as mode,
                case when c_mktsegment = 'BUILDING' and c_custkey % 4 = 0 then null
                     else cast(c_custkey % 3 + 1 as string) end as read_pattern,
-               cast((c_custkey div 3) % 3 + 1 as string) as write_pattern,
+               case c_custkey % 19 when 0 then null when 1 then 'steady'
+                    else cast((c_custkey div 3) % 3 + 1 as string) end as write_pattern,
                case when c_mktsegment = 'MACHINERY' and c_custkey % 4 = 1 then 'high'
                     else cast((c_custkey div 9) % 3 + 1 as string) end as intensity,
-               cast(c_custkey % 5 as string) as db_type,
-               cast((c_custkey div 5) % 5 as string) as db_size,
-               cast((c_custkey div 2) % 3 + 1 as string) as sql_size,
-               cast((c_custkey div 4) % 3 + 1 as string) as sql_rep_size,
-               cast((c_custkey div 8) % 3 + 1 as string) as spanner_size
+               case c_custkey % 23 when 0 then null when 1 then 'sql'
+                    else cast(c_custkey % 5 as string) end as db_type,
+               case c_custkey % 31 when 0 then null when 1 then 'x1'
+                    else cast((c_custkey div 5) % 5 as string) end as db_size,
+               case c_custkey % 37 when 0 then null when 1 then 'big'
+                    else cast((c_custkey div 2) % 3 + 1 as string) end as sql_size,
+               case c_custkey % 41 when 0 then null when 1 then 'big'
+                    else cast((c_custkey div 4) % 3 + 1 as string) end as sql_rep_size,
+               case c_custkey % 43 when 0 then null when 1 then 'big'
+                    else cast((c_custkey div 8) % 3 + 1 as string) end as spanner_size
         from {customer}
     """,
     "configs": """
