@@ -18,7 +18,7 @@ from .ingest_queries import (
     stream_of_messages,
 )
 from .registry import query, rounded
-from .views import SERIES_WIDTH, SERIES_WIDTH_US, STRICT_Z, Tables, series_check
+from .views import CHECK_ONLY, SERIES_WIDTH, SERIES_WIDTH_US, STRICT_Z, Tables, series_check
 
 _SERIES = ('job_id, query_action, round(average_latency, 9) as average_latency, '
            'failure_percent, "timestamp"')
@@ -167,7 +167,7 @@ def series_extent(t: Tables):
     return quality.series_extent(t.series)
 
 
-def _z_check(ignore_nan: bool) -> str:
+def _z_check(ignore_nan: bool, series: str = "series") -> str:
     y = ("case when isnan(average_latency) then null else average_latency end"
          if ignore_nan else "average_latency")
     return f"""
@@ -175,7 +175,7 @@ def _z_check(ignore_nan: bool) -> str:
                round(coalesce(case when d = 0 then 'nan'::double else (y - m) / d end,
                               'nan'::double), 6) as z
         from (select *, {y} as y, avg({y}) over (partition by job_id) as m,
-                     stddev_pop({y}) over (partition by job_id) as d from series)
+                     stddev_pop({y}) over (partition by job_id) as d from {series})
     """
 
 
@@ -194,8 +194,8 @@ def series_zscores_ignore_nan(t: Tables):
     return _z_columns(quality.series_zscores(t.stored_series, ignore_nan=True))
 
 
-def _outlier_check(limit: float, ignore_nan: bool) -> str:
-    return f"select * from ({_z_check(ignore_nan)}) where not isnan(z) and abs(z) > {limit}"
+def _outlier_check(limit: float, ignore_nan: bool, series: str = "series") -> str:
+    return f"select * from ({_z_check(ignore_nan, series)}) where not isnan(z) and abs(z) > {limit}"
 
 
 @query("series_outliers", check=_outlier_check(K.Z_SCORE_LIMIT, False))
@@ -208,6 +208,28 @@ def series_outliers_strict(t: Tables):
     return _z_columns(quality.series_outliers(t.stored_series, STRICT_Z, ignore_nan=True))
 
 
+# No window of a short series can stand out by the usual limit.  Here the windows of all
+# jobs are one long series per action, and those of some times are a thousand times slower.
+_SLOWED_SLOTS, _SLOWED_BY = 97, 1000.0
+_SLOT_WIDTH_MS = SERIES_WIDTH_US // 1000
+CHECK_ONLY["slowed_series"] = f"""
+    select query_action as job_id, query_action, "timestamp",
+           average_latency * case when ("timestamp" + 1) // {_SLOT_WIDTH_MS} % {_SLOWED_SLOTS} = 0
+                                  then {_SLOWED_BY}::double else 1::double end as average_latency
+    from series where not isnan(average_latency)
+"""
+
+
+@query("series_outliers_slowed", check=_outlier_check(K.Z_SCORE_LIMIT, False, "slowed_series"))
+def series_outliers_slowed(t: Tables):
+    slot = F.expr(f"(timestamp + 1) div {_SLOT_WIDTH_MS}")
+    slowed = t.stored_series.where(~F.isnan("average_latency")).withColumns({
+        "job_id": F.col("query_action"),
+        "average_latency": F.col("average_latency") * F.when(
+            F.pmod(slot, F.lit(_SLOWED_SLOTS)) == 0, _SLOWED_BY).otherwise(1.0)})
+    return _z_columns(quality.series_outliers(slowed))
+
+
 @query("validate_series", check="select * from verdicts")
 def validate_series(t: Tables):
     return t.verdicts(t.series)
