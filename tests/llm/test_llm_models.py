@@ -71,6 +71,15 @@ def test_windows_cover_all_words():
 
 # --- language model --------------------------------------------------------------
 
+def test_sample_has_pieces_from_anywhere(make_docs, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE_CHARS", 10)
+    texts = ["".join(chr(97 + i) for i in range(26))] * 60 + ["short", "", None]
+    pieces = [x.text for x in lm.sample_texts(make_docs(*texts)).collect()]
+    own = [t for t in pieces if len(t) == 10]
+    assert all(t in texts[0] for t in own) and len({t[0] for t in own}) > 8
+    assert {"a", "q"} & {t[0] for t in own} and all(t in ("short", "") for t in pieces if len(t) < 10)
+
+
 def test_scores_follow_the_contract(make_docs, monkeypatch):
     monkeypatch.setattr(lm, "STEPS", 60)
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 2000)  # many blocks
