@@ -2,16 +2,19 @@
 
 Texts are cut into overlapping word windows of several lengths, weighted by TF-IDF
 over hashed terms and projected onto the leading right singular vectors of a matrix of
-passages: the benchmark's own and some of the corpus.  A window is a candidate for an
+passages: the benchmark's own and the corpus's.  A window is a candidate for an
 item if their cosine reaches ``MIN_COSINE``.  The words around candidates are then
 compared with the item: by the longest common subsequence, and by whether the item's
 ending (its answer) occurs word for word.
 
 * Term weights count all documents.  Their counts are combined per task.
-* The basis is fitted by randomised subspace iteration in one task: its input is a
-  bounded sample of ``SAMPLE_DOCS`` documents plus a block of the benchmark.  Only the
-  basis depends on the sample: every window of every document is searched.  It has ``EXTRA_RANK`` dimensions more than the block has items, so the
-  items' own terms are kept almost whole.
+* The basis is fitted by randomised subspace iteration on all passages of all documents
+  plus a block of the benchmark: each task adds up ``A'A`` times random signs over its
+  passages, the sums are shuffled by ranges of terms and added, and one task gets the
+  total, whose size is fixed.  It has ``EXTRA_RANK`` dimensions more than the block has
+  items, so the items' own terms are kept almost whole.
+* An item of whose words a document has too few to match, by their terms, is not
+  searched for in it: whatever the cosine, the comparison of words would fail.
 * The benchmark is a stated query set; it is searched in blocks of about
   ``BLOCK_ITEMS`` items, so what a task holds does not grow with it.  A task holds what
   each term adds to the cosine with each item, so a window costs the same at any rank.
@@ -42,8 +45,12 @@ from . import common
 
 TERMS = 1 << 15
 EXTRA_RANK = 64
-SAMPLE_DOCS = 3000
-SAMPLE_PASSAGE = 40
+PASSAGE = 40
+# Passages that are multiplied at once, and terms in a row of stored products.
+PASSAGES_AT_ONCE = 32
+SLAB = 128
+# The passages that a block of items counts for at least.
+LEAST_WEIGHT = 30_000
 BLOCK_ITEMS = 250
 # Window lengths and the words from one to the next, in multiples of the grain.
 GRAIN = 4
@@ -72,14 +79,10 @@ class Terms(dict):
         self[word] = term = xxhash.xxh32_intdigest(word) & (TERMS - 1)
         return term
 
-    _known: Terms | None = None
-
     @classmethod
     def shared(cls) -> Terms:
         """The terms that this process remembers from task to task."""
-        if cls._known is None:
-            cls._known = cls()
-        return cls._known
+        return common.remembered("terms", cls)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > _CACHE:
@@ -89,18 +92,29 @@ class Terms(dict):
 
 # --- weights --------------------------------------------------------------------
 
-def term_counts(docs: DataFrame) -> np.ndarray:
+def numbered(docs: DataFrame) -> DataFrame:
+    """``terms`` of each document, as 16-bit numbers in the order of its words."""
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = Terms.shared()
+        for batch in batches:
+            yield pd.DataFrame({"terms": [
+                terms.of(words_of(text)).astype(np.uint16).tobytes() for text in batch["text"]]})
+
+    return docs.select("text").mapInPandas(number, "terms binary")
+
+
+def term_counts(numbers: DataFrame) -> np.ndarray:
     """In how many documents each term is; the last entry counts the documents."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, total, seen = Terms.shared(), np.zeros(TERMS, dtype=np.int64), 0
+        total, seen = np.zeros(TERMS, dtype=np.int64), 0
         for batch in batches:
-            for text in batch["text"]:
-                total[np.unique(terms.of(words_of(text)))] += 1
+            for terms in batch["terms"]:
+                total[np.unique(np.frombuffer(terms, dtype=np.uint16))] += 1
             seen += len(batch)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"term": np.r_[used, TERMS], "n": np.r_[total[used], seen]})
 
-    counted = docs.select("text").mapInPandas(count, "term int, n bigint").groupBy("term").agg(
+    counted = numbers.mapInPandas(count, "term int, n bigint").groupBy("term").agg(
         F.sum("n").alias("n")).toPandas()  # at most TERMS + 1 rows
     out = np.zeros(TERMS + 1, dtype=np.int64)
     out[counted["term"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
@@ -113,34 +127,96 @@ def inverse_frequencies(counts: np.ndarray) -> np.ndarray:
 
 # --- basis ----------------------------------------------------------------------
 
-def _partial_product(passages: list[np.ndarray], weights: list[float], idf: np.ndarray,
-                     right: np.ndarray) -> np.ndarray:
-    """``A'A right`` over passages, each scaled to length one times its weight."""
-    out = np.zeros((TERMS, right.shape[1]), dtype=right.dtype)
-    for terms, weight in zip(passages, weights, strict=True):
-        used, times = np.unique(terms, return_counts=True)
-        row = times * idf[used]
-        row *= weight / (np.linalg.norm(row) + 1e-12)
-        row = row.astype(right.dtype)
-        out[used] += np.outer(row, row @ right[used])
-    return out
-
-
-def _passages(terms: np.ndarray) -> list[np.ndarray]:
-    return [terms[i:i + SAMPLE_PASSAGE] for i in range(0, len(terms), SAMPLE_PASSAGE)]
-
-
-def latent_basis(passages: list[np.ndarray], items: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    """``TERMS x rank``: leading right singular vectors, by randomised iteration."""
+def signs(rank: int) -> np.ndarray:
+    """The start of the iteration: random signs, the same in every task."""
+    return np.random.default_rng(7).integers(0, 2, (TERMS, rank), dtype=np.int8) * np.int8(2) - np.int8(1)
+
+
+def add_product(out: np.ndarray, terms: np.ndarray, passages: np.ndarray, idf: np.ndarray,
+                start: np.ndarray) -> None:
+    """Add ``A'A start`` over passages of length one to ``out``; ``passages`` numbers, from 0
+    on, the passage of each term."""
+    held = np.zeros(TERMS, dtype=bool)
+    held[terms] = True
+    used = np.flatnonzero(held)
+    place = np.empty(TERMS, dtype=np.int64)
+    place[used] = np.arange(len(used))
+    n = int(passages[-1]) + 1
+    rows = np.bincount(passages * len(used) + place[terms], minlength=n * len(used)).reshape(
+        n, len(used)).astype(np.float32)
+    rows *= idf[used]
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True) + np.float32(1e-12)
+    out[used] += rows.T @ (rows @ start[used].astype(np.float32))
+
+
+def corpus_product(numbers: DataFrame, counts: np.ndarray, rank: int) -> DataFrame:
+    """``slab, part``: ``A'A`` times the signs over all passages of all documents, by ranges of
+    ``SLAB`` terms.  The row of slab -1 has the number of passages.
+    """
+    idf, slabs = inverse_frequencies(counts), TERMS // SLAB
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start, out = signs(rank), np.zeros((TERMS, rank), dtype=np.float32)
+        waiting, at, n, total = [], [], 0, 0
+        for batch in batches:
+            for packed in batch["terms"]:
+                own = np.frombuffer(packed, dtype=np.uint16)
+                # Stretches of whole passages, however long the text is.
+                for begin in range(0, len(own), PASSAGES_AT_ONCE * PASSAGE):
+                    terms = own[begin:begin + PASSAGES_AT_ONCE * PASSAGE]
+                    waiting.append(terms)
+                    at.append(n + np.arange(len(terms)) // PASSAGE)
+                    n = int(at[-1][-1]) + 1
+                    if n >= PASSAGES_AT_ONCE:
+                        add_product(out, np.concatenate(waiting), np.concatenate(at), idf, start)
+                        waiting, at, n, total = [], [], 0, total + n
+        if waiting:
+            add_product(out, np.concatenate(waiting), np.concatenate(at), idf, start)
+        yield pd.DataFrame({"slab": [-1], "part": [np.array([total + n], dtype=np.int64).tobytes()]})
+        for slab in range(slabs):
+            part = out[slab * SLAB:(slab + 1) * SLAB]
+            if part.any():
+                yield pd.DataFrame({"slab": [slab], "part": [part.tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, total = None, None
+        for batch in batches:
+            for slab, part in zip(batch["slab"], batch["part"], strict=True):
+                own = np.frombuffer(part, dtype=np.float32 if slab >= 0 else np.int64)
+                if slab != current:
+                    if current is not None:
+                        yield pd.DataFrame({"slab": [current], "part": [total.tobytes()]})
+                    current, total = slab, own.copy()
+                else:
+                    total += own
+        if current is not None:
+            yield pd.DataFrame({"slab": [current], "part": [total.tobytes()]})
+
+    # Each task has a sum of fixed size: as many tasks as run at once keep the shuffle small.
+    tasks = numbers.sparkSession.sparkContext.defaultParallelism
+    return numbers.coalesce(tasks).mapInPandas(multiply, "slab int, part binary").repartition(
+        "slab").sortWithinPartitions("slab").mapInPandas(add, "slab int, part binary")
+
+
+def latent_basis(product: np.ndarray, passages: int, items: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """``TERMS x rank``: leading right singular vectors of all passages and the items.
+
+    ``product`` is ``A'A`` times the signs over the corpus, with columns enough.  The
+    benchmark's passages weigh as much as the corpus's together.
+    """
     rank = min(len(items) + EXTRA_RANK, TERMS)
-    # The benchmark's passages weigh as much as the sample's together.
-    item_weight = math.sqrt(SAMPLE_DOCS * 10 / max(len(items), 1))
-    rows, weights = passages + items, [1.0] * len(passages) + [item_weight] * len(items)
-    start = np.random.default_rng(7).standard_normal((TERMS, rank), dtype=np.float32)
-    q, _ = np.linalg.qr(_partial_product(rows, weights, idf, start))
-    z = _partial_product(rows, weights, idf, q)
-    values, vectors = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
-    return q @ vectors[:, np.argsort(values)[::-1]]
+    weight = max(passages, LEAST_WEIGHT) / max(len(items), 1)
+    start = signs(product.shape[1])[:, :rank].astype(np.float32)
+    y, own = product[:, :rank].copy(), np.zeros((TERMS, rank), dtype=np.float32)
+    for terms in items:
+        if len(terms):
+            add_product(own, terms, np.zeros(len(terms), dtype=np.int64), idf, start)
+    y += np.float32(weight) * own
+    q, _ = np.linalg.qr(y)
+    # With one product, A'A on the subspace is what maps the start's part in it to the product's.
+    inner = np.linalg.lstsq((q.T @ start).T.astype(np.float64), (q.T @ y).T.astype(np.float64), rcond=None)[0]
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    return q @ vectors[:, np.argsort(values)[::-1]].astype(np.float32)
 
 
 def _term_products(basis: np.ndarray, items: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
@@ -151,25 +227,27 @@ def _term_products(basis: np.ndarray, items: list[np.ndarray], idf: np.ndarray)
     return (projected @ (vectors / (lengths + 1e-9)).T).astype(np.float32)
 
 
-def term_products(docs: DataFrame, items: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
-    """The products of a block of items, on a basis fitted to it and a sample of ``docs``."""
+def term_products(product: DataFrame, items: list[np.ndarray], counts: np.ndarray, rank: int) -> np.ndarray:
+    """The products of a block of items, on a basis fitted to it and to ``corpus_product``."""
     idf = inverse_frequencies(counts)
-    share = min(1.0, SAMPLE_DOCS / max(int(counts[-1]), 1))
-    picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, passages = Terms(), []
+        whole, passages = np.zeros((TERMS, rank), dtype=np.float32), 0
         for batch in batches:
-            for text in batch["text"]:
-                passages += _passages(terms.of(words_of(text)))
-        products = _term_products(latent_basis(passages, items, idf), items, idf)
+            for slab, part in zip(batch["slab"], batch["part"], strict=True):
+                if slab < 0:
+                    passages = int(np.frombuffer(part, dtype=np.int64)[0])
+                else:
+                    whole[slab * SLAB:(slab + 1) * SLAB] = np.frombuffer(part, dtype=np.float32).reshape(
+                        SLAB, rank)
+        products = _term_products(latent_basis(whole, passages, items, idf), items, idf)
         yield pd.DataFrame({"block": range(16), "part": [
             part.tobytes() for part in np.split(products, 16)]})
 
-    rows = docs.where(picked).select("text").repartition(1).mapInPandas(
-        fit, "block int, part binary").collect()
-    if not rows:  # an empty sample may have no task at all
-        return _term_products(latent_basis([], items, idf), items, idf)
+    rows = product.repartition(1).mapInPandas(fit, "block int, part binary").collect()
+    if not rows:  # an empty corpus may have no task at all
+        empty = np.zeros((TERMS, rank), dtype=np.float32)
+        return _term_products(latent_basis(empty, 0, items, idf), items, idf)
     return np.concatenate([np.frombuffer(r["part"], dtype=np.float32) for r in sorted(
         rows, key=lambda r: r["block"])]).reshape(TERMS, -1)
 
@@ -184,13 +262,19 @@ class Index(NamedTuple):
     # What a term adds to a window's product with each item, and to its squared length.
     added: np.ndarray
     squares: np.ndarray
+    # How many of each item's words have a term.
+    times: np.ndarray
 
 
 def index_of(items: list[tuple[object, str]], products: np.ndarray, counts: np.ndarray) -> Index:
     idf = inverse_frequencies(counts)
     added = np.r_[products, np.zeros((1, len(items)), dtype=np.float32)]  # the last term has no weight
-    return Index([i for i, _ in items], [words_of(text) for _, text in items], added,
-                 np.r_[idf * idf, 0].astype(np.float32))
+    words, numbers = [words_of(text) for _, text in items], Terms()
+    times = np.zeros((TERMS, len(items)), dtype=np.uint32)
+    for i, own in enumerate(words):
+        np.add.at(times[:, i], numbers.of(own), 1)
+    return Index([i for i, _ in items], words, added, np.r_[idf * idf, 0].astype(np.float32),
+                 times.astype(np.min_scalar_type(int(times.max(initial=0)))))
 
 
 def common_length(a: list[bytes], b: list[bytes]) -> int:
@@ -221,22 +305,37 @@ class Searcher:
         # Items that are too short for windows are looked for word for word.
         self.short = [i for i, w in enumerate(index.words) if 0 < len(w) < MIN_WORDS]
         self.usable = np.array([len(w) >= MIN_WORDS for w in index.words], dtype=bool)
+        self.needed = MIN_COMMON_WITH_ANSWER * np.array([len(w) for w in index.words])
+        self.used = index.times.any(axis=1)
 
-    def candidates(self, terms: np.ndarray) -> dict[int, list[tuple[int, int, float]]]:
-        """By item: windows with a sufficient cosine, as start, end, cosine.
+    def possible(self, terms: np.ndarray) -> np.ndarray:
+        """The items of whose words enough may be among those with these terms."""
+        held = np.zeros(TERMS, dtype=bool)
+        held[terms] = True
+        held &= self.used
+        both = self.index.times[np.flatnonzero(held)].sum(axis=0, dtype=np.int64)
+        return np.flatnonzero(self.usable & (both >= self.needed))
+
+    def candidates(self, terms: np.ndarray, items: np.ndarray) -> dict[int, list[tuple[int, int, float]]]:
+        """By item of ``items``: windows with a sufficient cosine, as start, end, cosine.
 
         Words are added up four at a time, so windows begin at every fourth word.
         """
         found: dict[int, list[tuple[int, int, float]]] = {}
         index, overlap = self.index, max(WINDOWS)
+        few = 8 * len(items) < len(index.ids)
+
+        def added(part: np.ndarray) -> np.ndarray:
+            return index.added[part[:, None], items] if few else index.added[part][:, items]
+
         for base in range(0, max(len(terms) - overlap, 1), CHUNK):
             part = terms[base:base + CHUNK + overlap]
             if len(part) % GRAIN:
                 part = np.r_[part, np.full(-len(part) % GRAIN, TERMS)]  # a term without weight
-            grains = index.added[part[::GRAIN]]
+            grains = added(part[::GRAIN])
             squares = index.squares[part[::GRAIN]]
             for i in range(1, GRAIN):
-                grains += index.added[part[i::GRAIN]]
+                grains += added(part[i::GRAIN])
                 squares += index.squares[part[i::GRAIN]]
             sums = np.zeros((len(grains) + 1, grains.shape[1]), dtype=np.float32)
             np.cumsum(grains, axis=0, out=sums[1:])
@@ -249,7 +348,7 @@ class Searcher:
                 cosines = sums[ends] - sums[starts]
                 for at in np.flatnonzero(cosines >= (MIN_COSINE * lengths)[:, None]).tolist():
                     w, i = divmod(at, cosines.shape[1])
-                    found.setdefault(i, []).append((
+                    found.setdefault(int(items[i]), []).append((
                         base + int(starts[w]) * GRAIN, base + int(ends[w]) * GRAIN,
                         float(cosines[w, i] / lengths[w])))
         return found
@@ -263,9 +362,13 @@ class Searcher:
         for i in self.short:
             if _contains(words, self.index.words[i]):
                 out.append((self.index.ids[i], 1.0, 1.0, True))
+        terms = self.cache.of(words)
+        possible = self.possible(terms)
+        if not len(possible):
+            return out
         known = set(words)
-        for i, near in self.candidates(self.cache.of(words)).items():
-            if self.usable[i] and self._enough(i, known):
+        for i, near in self.candidates(terms, possible).items():
+            if self._enough(i, known):
                 best = self._verified(words, i, near)
                 if best is not None:
                     out.append((self.index.ids[i], *best))
@@ -327,13 +430,20 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
 
 def indexes(docs: DataFrame, benchmark: DataFrame) -> list:
     """A broadcast index for each block of the benchmark."""
-    spark, counts, out = docs.sparkSession, None, []
-    for items in _blocks(benchmark):
-        counts = term_counts(docs) if counts is None else counts
-        numbers = Terms()
-        rows = [numbers.of(words_of(text)) for _, text in items]
+    spark, out = docs.sparkSession, []
+    blocks = list(_blocks(benchmark))  # the benchmark is a query set
+    if not blocks:
+        return out
+    numbers, numbers_at = common.stored(numbered(docs), "terms")
+    counts = term_counts(numbers)
+    rank = min(max(map(len, blocks)) + EXTRA_RANK, TERMS)
+    product, product_at = common.stored(corpus_product(numbers, counts, rank), "product")
+    for items in blocks:
+        terms = Terms()
+        rows = [terms.of(words_of(text)) for _, text in items]
         out.append(spark.sparkContext.broadcast(
-            index_of(items, term_products(docs, rows, counts), counts)))
+            index_of(items, term_products(product, rows, counts, rank), counts)))
+    common.discard(spark, numbers_at, product_at)
     return out
 
 

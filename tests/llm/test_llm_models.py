@@ -260,6 +260,42 @@ def test_recall_is_that_of_all_pairs(spark, make_docs, n_items):
     assert len(expected) >= n_items and found == expected
 
 
+def test_basis_is_fitted_to_all_passages_of_all_documents(spark, make_docs):
+    docs = make_docs(*EDGES, *[prose(30 + 7 * s, s) for s in range(60)], prose(3000, 99), prose(50, 3)).repartition(5)
+    texts = [x.text for x in docs.collect()]
+    numbers = decontaminate.numbered(docs)
+    counts = decontaminate.term_counts(numbers)
+    rows, idf = [], decontaminate.inverse_frequencies(counts)
+    for text in texts:
+        terms = decontaminate.Terms().of(decontaminate.words_of(text))
+        for at in range(0, len(terms), decontaminate.PASSAGE):
+            row = np.bincount(terms[at:at + decontaminate.PASSAGE], minlength=decontaminate.TERMS) * idf
+            rows.append(row / np.linalg.norm(row))
+    matrix = np.array(rows)
+    found = {r.slab: r.part for r in decontaminate.corpus_product(numbers, counts, 20).collect()}
+    assert np.frombuffer(found.pop(-1), dtype=np.int64)[0] == len(rows)
+    whole, size = np.zeros((decontaminate.TERMS, 20), dtype=np.float32), decontaminate.SLAB
+    for slab, part in found.items():
+        whole[size * slab:size * (slab + 1)] = np.frombuffer(part, dtype=np.float32).reshape(size, 20)
+    expected = matrix.T @ (matrix @ decontaminate.signs(20))
+    assert np.abs(whole - expected).max() < 1e-4 * np.abs(expected).max()
+
+
+def test_items_ruled_out_by_their_terms_are_no_matches(monkeypatch):
+    items = [(i, prose(n, 700 + i)) for i, n in enumerate([5, 14, 25, 40, 59])]
+    rows = [decontaminate.Terms().of(decontaminate.words_of(t)) for _, t in items]
+    texts = [f"{prose(60, s)} {items[s % 5][1]} {prose(20, s + 1)}" if s % 3 else prose(90, s) for s in range(40)]
+    counts = np.ones(decontaminate.TERMS + 1, dtype=np.int64) * len(texts)
+    idf = decontaminate.inverse_frequencies(counts // 4)
+    empty = np.zeros((decontaminate.TERMS, len(items) + decontaminate.EXTRA_RANK), dtype=np.float32)
+    products = decontaminate._term_products(decontaminate.latent_basis(empty, 0, rows, idf), rows, idf)
+    searcher = decontaminate.Searcher(decontaminate.index_of(items, products, counts // 4))
+    found = [searcher.matches(t) for t in texts]
+    assert any(len(searcher.possible(searcher.cache.of(decontaminate.words_of(t)))) < 5 for t in texts)
+    monkeypatch.setattr(searcher, "possible", lambda terms: np.arange(5))
+    assert found == [searcher.matches(t) for t in texts] and sum(map(len, found)) >= 26
+
+
 def test_items_without_an_id_and_repeated_rows(spark, make_docs):
     item = prose(30, 7)
     benchmark = spark.createDataFrame([(None, item), (None, item), (2**60 + 1, prose(30, 8)), (None, None)],
