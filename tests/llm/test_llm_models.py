@@ -80,6 +80,40 @@ def test_sample_has_pieces_from_anywhere(make_docs, monkeypatch):
     assert {"a", "q"} & {t[0] for t in own} and all(t in ("short", "") for t in pieces if len(t) < 10)
 
 
+def blocks_of(docs, texts):
+    """The language model's blocks of some documents, with classes and their training ids."""
+    path = common.tokenizer_path(lm.TOKENIZER)
+    rows, _ = common.stored(lm.numbered(docs), "numbered")
+    words, _ = common.stored(lm.counted_words(rows, path), "words")
+    counts = lm.subword_counts(words)
+    subwords = lm.Subwords.of(path)
+    classes = lm.classes_of(counts, lm.pair_counts(words, lm.frequent_ids(counts)), subwords.initial)
+    known = rows.where("word is not null").join(words, "word").select(
+        F.col("block").alias("in_block"), "place", "c", "subwords")
+    ids = [lm._ids_of(t, subwords) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    return rows.where("word is null").select("block", "doc_id", "held_out", "numbers"), known, classes, ids
+
+
+def test_model_learns_from_every_window_of_all_training_documents(make_docs, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 1500)  # many blocks
+    monkeypatch.setattr(lm, "HELD_IDS", 900)  # and runs in them
+    texts = [*EDGES[:6], *[prose(20 + 5 * s, s) for s in range(60)], prose(4000, 5)]
+    texts_, known, classes, ids = blocks_of(make_docs(*texts).repartition(3), texts)
+    inputs, targets, scored = lm.spans_of(ids, classes)
+    expected = lm.class_pairs(inputs, lm._wanted(targets, classes))
+    assert (lm.corpus_pairs(texts_, known, classes) == expected).all()
+
+    start = lm.trained(ids[:3], classes, 5, lm.prior_of(expected))
+    weights, windows = lm.learned(texts_, known, classes, start)
+    assert windows == scored.sum() and (weights["prior"] == start["prior"]).all()
+
+    def loss(w):
+        at = np.flatnonzero(scored)
+        return lm._gradient(w, lm._forward(w, inputs[at - 1], inputs[at]), lm._wanted(targets, classes)[at])[0]
+
+    assert loss(weights) < loss(start)
+
+
 def test_scores_follow_the_contract(make_docs, monkeypatch):
     monkeypatch.setattr(lm, "STEPS", 60)
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 2000)  # many blocks
