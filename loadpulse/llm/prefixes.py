@@ -46,8 +46,6 @@ _PROBE = "  a ﬁ\tÅx "
 class _Pieces:
     """The pieces of a model, where they occur in a text, and which stay apart."""
 
-    _made: dict[str, _Pieces] = {}
-
     def __init__(self, path: str):
         import ahocorasick
         import sentencepiece
@@ -72,9 +70,7 @@ class _Pieces:
     def of(cls, path: str) -> _Pieces:
         """The pieces of this process.  It keeps, of a bounded number of pairs, what it
         knows of them between tasks."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return common.remembered(("pieces", path), lambda: cls(path))
 
     def _merged(self, text: str) -> list[str]:
         """The pieces of a text by merging: the best pair first, the left one of equals."""

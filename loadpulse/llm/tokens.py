@@ -94,8 +94,6 @@ class Encoder:
     a row.  Texts for which that does not hold are encoded in one.
     """
 
-    _made: dict[tuple[str, str], Encoder] = {}
-
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
         tokenizer, self._parts = Tokenizer.from_file(path), {}
@@ -105,9 +103,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str, kind: str) -> Encoder:
         """The encoder of this process, which keeps what it knows between tasks."""
-        if (path, kind) not in cls._made:
-            cls._made[path, kind] = cls(path, kind)
-        return cls._made[path, kind]
+        return common.remembered(("encoder", path, kind), lambda: cls(path, kind))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, packed."""

@@ -315,6 +315,15 @@ def test_basis_is_fitted_to_all_passages_of_all_documents(spark, make_docs):
     assert np.abs(whole - expected).max() < 1e-4 * np.abs(expected).max()
 
 
+def test_workers_remember_one_operator_at_a_time():
+    path = common.tokenizer_path(tokens.TOKENIZER)
+    first = decontaminate.Terms.shared()
+    assert decontaminate.Terms.shared() is first
+    encoder = tokens.Encoder.of(path, "<u2")
+    assert tokens.Encoder.of(path, "<u2") is encoder and len(common._remembered) == 1
+    assert decontaminate.Terms.shared() is not first and len(common._remembered) == 1
+
+
 def test_items_ruled_out_by_their_terms_are_no_matches(monkeypatch):
     items = [(i, prose(n, 700 + i)) for i, n in enumerate([5, 14, 25, 40, 59])]
     rows = [decontaminate.Terms().of(decontaminate.words_of(t)) for _, t in items]
