@@ -21,9 +21,10 @@ from __future__ import annotations
 import json
 import posixpath
 import re
+import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,10 +41,11 @@ NO_ID = -(1 << 63)
 CACHE_ENTRIES = 1 << 18
 # Cutting before a space changes nothing unless white space is on both of its sides.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
-# Words of these letters, these marks and single line breaks are pieces of their own
-# for the tokenizer, in this order and without space between them.
-_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[.,!?;:]"
-_PLAIN_PIECE = re.compile(rf"( ?{_LETTER}+)?( ?{_MARK}+)?(?:(\n)({_LETTER}+)({_MARK}+)?)?")
+# Of these letters, ASCII marks, digits, blanks and line breaks it is known how the tokenizer
+# splits them: as below.  Added tokens have a "<", so that mark is not among them.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+_ODD = re.compile(rf"[^\n -;=-~{_LETTER}]")
+_PART = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -54,51 +56,78 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-class _Pieces(dict):
-    """The packed ids of pieces of text, each worked out once while it is remembered.
+def _packer(kind: str) -> Callable[[list[int]], bytes]:
+    """What packs a few ids as numbers of this kind."""
+    form = {"<u2": "H", "<u4": "I"}[kind]
+    return lambda ids: struct.pack(f"<{len(ids)}{form}", *ids)
 
-    Keys lack the ``prefix`` that all pieces here begin with.
+
+class _Recent(dict):
+    """A bounded memory of what was used lately.
+
+    What is full becomes the older half and goes when the next one is full, unless it was
+    used again by then: pieces that recur are not worked out anew.
     """
 
+    def __init__(self):
+        super().__init__()
+        self._older: dict = {}
+
+    def bound(self, entries: int) -> None:
+        if 2 * len(self) > entries:
+            self._older = dict(self)
+            self.clear()
+
+    def __missing__(self, key):
+        value = self._older.get(key)
+        if value is None:
+            value = self.made(key)
+        self[key] = value
+        return value
+
+
+class _Parts(_Recent):
+    """The packed ids of what the tokenizer splits a text into."""
+
     _LETTERS = _byte_letters()
+    _SPACE, _BREAK = _LETTERS[32], _LETTERS[10]
 
-    def __init__(self, tokenizer, kind: str, prefix: str, parts: dict[str, bytes]):
+    def __init__(self, tokenizer, kind: str):
         super().__init__()
-        self._tokenizer, self._kind, self._prefix, self._parts = tokenizer, kind, prefix, parts
-
-    def whole(self, text: str) -> bytes:
-        found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(found.ids, dtype=self._kind).tobytes()
+        self._model, self._packed = tokenizer.model, _packer(kind)
 
-    def _part(self, part: str) -> bytes:
-        known = self._parts.get(part)
-        if known is None:
+    def made(self, part: str) -> bytes:
+        if part.isascii():  # printed bytes are their own letters
+            letters = part.replace(" ", self._SPACE).replace("\n", self._BREAK)
+        else:
             letters = part.encode().decode("latin-1").translate(self._LETTERS)
-            ids = [t.id for t in self._tokenizer.model.tokenize(letters)]
-            self._parts[part] = known = np.array(ids, dtype=self._kind).tobytes()
-        return known
+        return self._packed([t.id for t in self._model.tokenize(letters)])
+
+
+class _Odd(_Recent):
+    """The packed ids of texts that are left to the tokenizer as they are."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__()
+        self._tokenizer, self._packed = tokenizer, _packer(kind)
 
-    def __missing__(self, piece: str) -> bytes:
-        text = self._prefix + piece
-        plain = _PLAIN_PIECE.fullmatch(text)
-        ids = b"".join([self._part(p) for p in plain.groups() if p]) if plain else self.whole(text)
-        self[piece] = ids
-        return ids
+    def made(self, text: str) -> bytes:
+        return self._packed(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
 
 class Encoder:
-    """Encodes whole texts, remembering pieces.
+    """Encodes whole texts, remembering parts.
 
     A byte-level tokenizer of this kind splits a text before a space that follows
     something else than white space, so the ids of a text are those of its pieces in
-    a row.  Texts for which that does not hold are encoded in one.
+    a row.  Pieces with odd characters are left to the tokenizer, the others are split
+    here.  Texts for which that does not hold are encoded in one.
     """
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
-        tokenizer, self._parts = Tokenizer.from_file(path), {}
-        self._first = _Pieces(tokenizer, kind, "", self._parts)
-        self._rest = _Pieces(tokenizer, kind, " ", self._parts)
+        tokenizer = Tokenizer.from_file(path)
+        self._parts, self._odd = _Parts(tokenizer, kind), _Odd(tokenizer, kind)
 
     @classmethod
     def of(cls, path: str, kind: str) -> Encoder:
@@ -107,13 +136,22 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, packed."""
-        for known in (self._first, self._rest, self._parts):
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
+        for known in (self._parts, self._odd):
+            known.bound(CACHE_ENTRIES)
         if _UNSAFE.search(text):
-            return self._first.whole(text)
-        first, *rest = text.split(" ")
-        return self._first[first] + b"".join(map(self._rest.__getitem__, rest))
+            return self._odd.made(text)
+        out, at, odd = [], 0, _ODD.search(text)
+        while odd:
+            # From the space before the odd character to the next one behind it.
+            begin, end = max(text.rfind(" ", at, odd.start()), at), text.find(" ", odd.end())
+            end = len(text) if end < 0 else end
+            out += [*self._plain(text[at:begin]), self._odd[text[begin:end]]]
+            at, odd = end, _ODD.search(text, end)
+        out += self._plain(text[at:])
+        return b"".join(out)
+
+    def _plain(self, text: str) -> Iterator[bytes]:
+        return map(self._parts.__getitem__, _PART.findall(text))
 
 
 # --- files ----------------------------------------------------------------------

@@ -482,6 +482,35 @@ def test_pieces_are_those_of_the_whole_text():
         assert encoder.encode(text) == ids.tobytes(), repr(text)
 
 
+def test_splitting_is_the_tokenizers():
+    from tokenizers import Tokenizer
+    path = common.tokenizer_path(tokens.TOKENIZER)
+    whole, encoder, r = Tokenizer.from_file(path), tokens.Encoder(path, "<u2"), random.Random(2)
+    bits = [" ", " ", "\n", "'", "'s", "'LL", "'re", "12", "3", "<", "<|", "--", '"', "x", "Ab", "ÿ", "ɏ", "ɐ", "ª",
+            "×", "_", "|>", "~", "\x7f", "\x00", "\t", "\u3000", "ж"]
+    for _ in range(3000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 24)))
+        ids = np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u2")
+        assert encoder.encode(text) == ids.tobytes(), repr(text)
+
+
+def test_parts_that_recur_are_remembered_when_rare_ones_fill_the_memory(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 64)
+    encoder = tokens.Encoder(common.tokenizer_path(tokens.TOKENIZER), "<u2")
+    model, asked = encoder._parts._model, []
+
+    class Model:
+        def tokenize(self, part):
+            asked.append(part)
+            return model.tokenize(part)
+
+    encoder._parts._model = Model()
+    for i in range(400):
+        encoder.encode(f"Common {chr(97 + i % 26)}{chr(97 + i // 26)}q, words.")
+    assert asked.count("Common") == 1 and asked.count("Ġwords") == 1
+    assert len(asked) < 420 and len(encoder._parts) + len(encoder._parts._older) <= 72
+
+
 def test_repeated_null_and_no_ids(spark, make_docs):
     docs = make_docs((1, "b"), (1, "a"), (None, "c"), (1, "a"))
     rows = tokens.read_documents(spark, tokens.write_tokens(docs)).orderBy("start").collect()
