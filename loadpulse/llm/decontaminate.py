@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -47,7 +47,7 @@ TERMS = 1 << 15
 EXTRA_RANK = 64
 PASSAGE = 40
 # Passages that are multiplied at once, and terms in a row of stored products.
-PASSAGES_AT_ONCE = 32
+PASSAGES_AT_ONCE = 64
 SLAB = 128
 # The passages that a block of items counts for at least.
 LEAST_WEIGHT = 30_000
@@ -61,6 +61,7 @@ MIN_COMMON_WITH_ANSWER = 0.5
 ANSWER_SHARE = 0.25
 MIN_WORDS = 4
 CHUNK = 4096
+HASHED_AT_ONCE = 1 << 17
 _CACHE = 1 << 17
 
 _MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -90,15 +91,69 @@ class Terms(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
+# The constants of the 32-bit xxHash.
+_P1, _P2, _P3, _P4, _P5 = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], dtype=np.uint32)
+
+
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return h << np.uint32(bits) | h >> np.uint32(32 - bits)
+
+
+def word_hashes(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``xxhash.xxh32_intdigest`` of many words, given by their places in an array of bytes."""
+    h = sizes.astype(np.uint32) + _P5
+    fours, rest = sizes // 4, sizes % 4
+    fours[sizes >= 16] = rest[sizes >= 16] = 0  # long words come last
+    for k in range(3):
+        at = np.flatnonzero(fours > k)
+        four = starts[at] + 4 * k
+        lane = letters[four].astype(np.uint32)
+        for byte in range(1, 4):
+            lane |= letters[four + byte].astype(np.uint32) << np.uint32(8 * byte)
+        h[at] = _turned(h[at] + lane * _P3, 17) * _P4
+    for k in range(3):
+        at = np.flatnonzero(rest > k)
+        h[at] = _turned(h[at] + letters[starts[at] + 4 * fours[at] + k].astype(np.uint32) * _P5, 11) * _P1
+    h = (h ^ h >> np.uint32(15)) * _P2
+    h = (h ^ h >> np.uint32(13)) * _P3
+    h ^= h >> np.uint32(16)
+    for i in np.flatnonzero(sizes >= 16).tolist():
+        h[i] = xxhash.xxh32_intdigest(letters[starts[i]:starts[i] + sizes[i]].tobytes())
+    return h
+
+
+def terms_of(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """What ``Terms`` has for the words of each text, many texts at a time."""
+    waiting, size = [], 0
+    for text in texts:
+        waiting.append((text or "").encode("utf-8", "surrogatepass").translate(_PLAIN))
+        size += len(waiting[-1])
+        if size > HASHED_AT_ONCE:
+            yield from _terms_of(waiting)
+            waiting, size = [], 0
+    yield from _terms_of(waiting)
+
+
+def _terms_of(texts: list[bytes]) -> list[np.ndarray]:
+    if not texts:
+        return []
+    letters = np.frombuffer(b" ".join([b"", *texts, b""]), dtype=np.uint8)
+    held = letters != ord(" ")
+    edges = np.flatnonzero(held[1:] != held[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    terms = (word_hashes(letters, starts, sizes) & np.uint32(TERMS - 1)).astype(np.int64)
+    ends = np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64)
+    return np.split(terms, np.searchsorted(starts, ends + 1))
+
+
 # --- weights --------------------------------------------------------------------
 
 def numbered(docs: DataFrame) -> DataFrame:
     """``terms`` of each document, as 16-bit numbers in the order of its words."""
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = Terms.shared()
         for batch in batches:
             yield pd.DataFrame({"terms": [
-                terms.of(words_of(text)).astype(np.uint16).tobytes() for text in batch["text"]]})
+                terms.astype(np.uint16).tobytes() for terms in terms_of(batch["text"])]})
 
     return docs.select("text").mapInPandas(number, "terms binary")
 
@@ -106,10 +161,13 @@ def numbered(docs: DataFrame) -> DataFrame:
 def term_counts(numbers: DataFrame) -> np.ndarray:
     """In how many documents each term is; the last entry counts the documents."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, seen = np.zeros(TERMS, dtype=np.int64), 0
+        total, seen, last = np.zeros(TERMS, dtype=np.int64), 0, np.zeros(TERMS, dtype=np.int64)
         for batch in batches:
-            for terms in batch["terms"]:
-                total[np.unique(np.frombuffer(terms, dtype=np.uint16))] += 1
+            for packed in batch["terms"]:
+                terms = np.frombuffer(packed, dtype=np.uint16)
+                place = np.arange(len(terms))
+                last[terms] = place  # one place of each term stays
+                total[terms[last[terms] == place]] += 1
             seen += len(batch)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"term": np.r_[used, TERMS], "n": np.r_[total[used], seen]})
@@ -135,18 +193,36 @@ def signs(rank: int) -> np.ndarray:
 def add_product(out: np.ndarray, terms: np.ndarray, passages: np.ndarray, idf: np.ndarray,
                 start: np.ndarray) -> None:
     """Add ``A'A start`` over passages of length one to ``out``; ``passages`` numbers, from 0
-    on, the passage of each term."""
-    held = np.zeros(TERMS, dtype=bool)
-    held[terms] = True
-    used = np.flatnonzero(held)
-    place = np.empty(TERMS, dtype=np.int64)
-    place[used] = np.arange(len(used))
+    on, the passage of each term.
+
+    Most terms are in one of the passages only.  They have no columns in the passages'
+    matrix and are added by themselves.
+    """
     n = int(passages[-1]) + 1
-    rows = np.bincount(passages * len(used) + place[terms], minlength=n * len(used)).reshape(
-        n, len(used)).astype(np.float32)
-    rows *= idf[used]
-    rows /= np.linalg.norm(rows, axis=1, keepdims=True) + np.float32(1e-12)
-    out[used] += rows.T @ (rows @ start[used].astype(np.float32))
+    pairs, times = np.unique(passages * TERMS + terms, return_counts=True)
+    passage, term = pairs // TERMS, pairs % TERMS
+    weights = times * idf[term]
+    lengths = np.sqrt(np.bincount(passage, weights=weights * weights, minlength=n)) + 1e-12
+    weights = (weights / lengths[passage]).astype(np.float32)
+    among = np.bincount(term, minlength=TERMS)
+    held = np.flatnonzero(among > 1)
+    place = np.empty(TERMS, dtype=np.int64)
+    place[held] = np.arange(len(held))
+    lone = among[term] == 1
+    rows = np.zeros((n, len(held)), dtype=np.float32)
+    rows[passage[~lone], place[term[~lone]]] = weights[~lone]
+    projected = rows @ start[held].astype(np.float32)
+    passage, term, weights = passage[lone], term[lone], weights[lone]
+    added = start[term].astype(np.float32)
+    bounds = np.searchsorted(passage, np.arange(n + 1)).tolist()
+    for i in range(n):
+        own = slice(bounds[i], bounds[i + 1])
+        projected[i] += weights[own] @ added[own]
+    out[held] += rows.T @ projected
+    np.take(projected, passage, axis=0, out=added, mode="clip")
+    added *= weights[:, None]
+    added += out.take(term, axis=0)
+    out[term] = added
 
 
 def corpus_product(numbers: DataFrame, counts: np.ndarray, rank: int) -> DataFrame:
@@ -297,6 +373,14 @@ def _contains(words: list[bytes], run: list[bytes]) -> bool:
     return b" " + b" ".join(run) + b" " in joined
 
 
+def _by_grains(values: np.ndarray) -> np.ndarray:
+    """Sums of every ``GRAIN`` values or rows that follow each other."""
+    total = values[::GRAIN].copy()
+    for i in range(1, GRAIN):
+        total += values[i::GRAIN]
+    return total
+
+
 class Searcher:
     def __init__(self, index: Index):
         self.index = index
@@ -306,14 +390,17 @@ class Searcher:
         self.short = [i for i, w in enumerate(index.words) if 0 < len(w) < MIN_WORDS]
         self.usable = np.array([len(w) >= MIN_WORDS for w in index.words], dtype=bool)
         self.needed = MIN_COMMON_WITH_ANSWER * np.array([len(w) for w in index.words])
-        self.used = index.times.any(axis=1)
+        # The items' terms have places of their own; the last place is for all others.
+        used = np.flatnonzero(index.times.any(axis=1))
+        self.place = np.full(TERMS, len(used), dtype=np.int64)
+        self.place[used] = np.arange(len(used))
+        self.times_of_used = index.times[used]
 
     def possible(self, terms: np.ndarray) -> np.ndarray:
         """The items of whose words enough may be among those with these terms."""
-        held = np.zeros(TERMS, dtype=bool)
-        held[terms] = True
-        held &= self.used
-        both = self.index.times[np.flatnonzero(held)].sum(axis=0, dtype=np.int64)
+        held = np.zeros(len(self.times_of_used) + 1, dtype=bool)
+        held[self.place[terms]] = True
+        both = self.times_of_used[np.flatnonzero(held[:-1])].sum(axis=0, dtype=np.uint32)
         return np.flatnonzero(self.usable & (both >= self.needed))
 
     def candidates(self, terms: np.ndarray, items: np.ndarray) -> dict[int, list[tuple[int, int, float]]]:
@@ -326,20 +413,21 @@ class Searcher:
         few = 8 * len(items) < len(index.ids)
 
         def added(part: np.ndarray) -> np.ndarray:
-            return index.added[part[:, None], items] if few else index.added[part][:, items]
+            if few:
+                return index.added.ravel().take(part[:, None] * len(index.ids) + items)
+            return index.added.take(part, axis=0)[:, items]
 
         for base in range(0, max(len(terms) - overlap, 1), CHUNK):
             part = terms[base:base + CHUNK + overlap]
             if len(part) % GRAIN:
-                part = np.r_[part, np.full(-len(part) % GRAIN, TERMS)]  # a term without weight
-            grains = added(part[::GRAIN])
-            squares = index.squares[part[::GRAIN]]
-            for i in range(1, GRAIN):
-                grains += added(part[i::GRAIN])
-                squares += index.squares[part[i::GRAIN]]
+                # Terms without weight.
+                part = np.concatenate([part, np.full(-len(part) % GRAIN, TERMS)])
+            grains = _by_grains(added(part))
+            squares = _by_grains(index.squares.take(part))
             sums = np.zeros((len(grains) + 1, grains.shape[1]), dtype=np.float32)
             np.cumsum(grains, axis=0, out=sums[1:])
-            norms = np.r_[0, np.cumsum(squares, dtype=np.float64)]
+            norms = np.zeros(len(squares) + 1)
+            np.cumsum(squares, dtype=np.float64, out=norms[1:])
             for size, step in WINDOWS.items():
                 span, step = size // GRAIN, step // GRAIN
                 starts = np.arange(0, max(len(grains) - span + step, 1), step)
@@ -353,23 +441,29 @@ class Searcher:
                         float(cosines[w, i] / lengths[w])))
         return found
 
+    def found(self, texts: Iterable[str | None]) -> Iterator[list[tuple[object, float, float, bool]]]:
+        """For each text ``item_id, cosine, common, answer`` of the items that it holds."""
+        for text, terms in zip(texts, terms_of(texts), strict=True):
+            yield self._matches(text, terms) if len(terms) else []
+
     def matches(self, text: str | None) -> list[tuple[object, float, float, bool]]:
-        """``item_id, cosine, common, answer`` of the items that a text holds."""
-        words = words_of(text)
-        if not words:
-            return []
+        return next(self.found([text]))
+
+    def _matches(self, text: str, terms: np.ndarray) -> list[tuple[object, float, float, bool]]:
         out = []
+        words = words_of(text) if self.short else []
         for i in self.short:
             if _contains(words, self.index.words[i]):
                 out.append((self.index.ids[i], 1.0, 1.0, True))
-        terms = self.cache.of(words)
         possible = self.possible(terms)
-        if not len(possible):
+        near = self.candidates(terms, possible) if len(possible) else {}
+        if not near:
             return out
+        words = words or words_of(text)
         known = set(words)
-        for i, near in self.candidates(terms, possible).items():
+        for i, windows in near.items():
             if self._enough(i, known):
-                best = self._verified(words, i, near)
+                best = self._verified(words, i, windows)
                 if best is not None:
                     out.append((self.index.ids[i], *best))
         return out
@@ -457,8 +551,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             searcher = Searcher(index.value)
             for batch in batches:
-                rows = [(doc_id, *m) for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)
-                        for m in searcher.matches(text)]
+                rows = [(doc_id, *m)
+                        for doc_id, own in zip(batch["doc_id"], searcher.found(batch["text"]), strict=True)
+                        for m in own]
                 # Plain objects: a null among whole numbers would make them floats.
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "common", "answer"],
                                    dtype=object)
@@ -479,6 +574,6 @@ def _holds(index):
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
         searcher = Searcher(index.value)
-        return pd.Series([bool(searcher.matches(t)) for t in texts], dtype=bool)
+        return pd.Series([bool(own) for own in searcher.found(texts)], dtype=bool)
 
     return holds

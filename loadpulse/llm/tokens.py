@@ -38,14 +38,14 @@ from ..session import new_location
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 NO_ID = -(1 << 63)
-CACHE_ENTRIES = 1 << 18
+CACHE_ENTRIES = 1 << 19
 # Cutting before a space changes nothing unless white space is on both of its sides.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
 # Of these letters, ASCII marks, digits, blanks and line breaks it is known how the tokenizer
 # splits them: as below.  Added tokens have a "<", so that mark is not among them.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _ODD = re.compile(rf"[^\n -;=-~{_LETTER}]")
-_PART = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+_PART = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTER}0-9]+| ?[0-9]+|\s+(?!\S)|\s+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -136,8 +136,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, packed."""
-        for known in (self._parts, self._odd):
-            known.bound(CACHE_ENTRIES)
+        self._parts.bound(CACHE_ENTRIES)
+        self._odd.bound(CACHE_ENTRIES // 4)
         if _UNSAFE.search(text):
             return self._odd.made(text)
         out, at, odd = [], 0, _ODD.search(text)
