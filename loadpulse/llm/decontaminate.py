@@ -46,8 +46,11 @@ from . import common
 TERMS = 1 << 15
 EXTRA_RANK = 64
 PASSAGE = 40
-# Passages that are multiplied at once, and terms in a row of stored products.
-PASSAGES_AT_ONCE = 32
+# Passages that are multiplied at once, the terms that are multiplied as a dense matrix, the
+# rows that are added at once, and terms in a row of stored products.
+PASSAGES_AT_ONCE = 1024
+FREQUENT = 256
+ROWS_AT_ONCE = 256
 SLAB = 128
 # The passages that a block of items counts for at least.
 LEAST_WEIGHT = 30_000
@@ -190,21 +193,59 @@ def signs(rank: int) -> np.ndarray:
     return np.random.default_rng(7).integers(0, 2, (TERMS, rank), dtype=np.int8) * np.int8(2) - np.int8(1)
 
 
-def add_product(out: np.ndarray, terms: np.ndarray, passages: np.ndarray, idf: np.ndarray,
-                start: np.ndarray) -> None:
-    """Add ``A'A start`` over passages of length one to ``out``; ``passages`` numbers, from 0
-    on, the passage of each term."""
-    held = np.zeros(TERMS, dtype=bool)
-    held[terms] = True
-    used = np.flatnonzero(held)
-    place = np.empty(TERMS, dtype=np.int64)
-    place[used] = np.arange(len(used))
-    n = int(passages[-1]) + 1
-    rows = np.bincount(passages * len(used) + place[terms], minlength=n * len(used)).reshape(
-        n, len(used)).astype(np.float32)
-    rows *= idf[used]
-    rows /= np.linalg.norm(rows, axis=1, keepdims=True) + np.float32(1e-12)
-    out[used] += rows.T @ (rows @ start[used].astype(np.float32))
+def add_rows(out: np.ndarray, to: np.ndarray, values: np.ndarray, source: np.ndarray) -> None:
+    """Add the rows ``source`` of ``values`` to the rows ``to`` of ``out``; ``to`` is in order."""
+    first = np.flatnonzero(np.r_[len(to) > 0, to[1:] != to[:-1]])
+    times = np.diff(np.r_[first, len(to)])
+    by = np.argsort(-times, kind="stable")
+    for at in range(0, len(by), ROWS_AT_ONCE):
+        own = by[at:at + ROWS_AT_ONCE]
+        start, fewer = first[own], -times[own]
+        total = values.take(source[start], axis=0)
+        for k in range(1, -int(fewer[0])):
+            n = int(np.searchsorted(fewer, -k))  # as many have another one
+            total[:n] += values.take(source[start[:n] + k], axis=0)
+        out[to[start]] += total
+
+
+class Product:
+    """``A'A start``, added up over passages of length one.
+
+    Frequent terms are multiplied as a dense matrix; of the others, which are in few
+    passages each, rows are looked up and added.  Weights are in the start and in the end.
+    """
+
+    def __init__(self, start: np.ndarray, idf: np.ndarray):
+        order = np.argsort(idf, kind="stable")
+        self._place = np.empty(TERMS, dtype=np.int64)
+        self._place[order] = np.arange(TERMS)
+        self._idf = idf[order]
+        self._start = start[order] * self._idf[:, None]
+        self._total = np.zeros(start.shape, dtype=np.float32)
+
+    def add(self, terms: np.ndarray, passages: np.ndarray) -> None:
+        """``passages`` numbers, from 0 on and in order, the passage of each term."""
+        keys = np.sort(passages * TERMS + self._place[terms])
+        passage, term = np.divmod(keys, TERMS)
+        n = int(passage[-1]) + 1
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        times = np.diff(np.r_[first, len(keys)])
+        weights = times * self._idf[term[first]].astype(np.float64)
+        squares = np.bincount(passage[first], weights * weights, minlength=n) + 1e-12
+        dense = np.zeros((n, FREQUENT), dtype=np.float32)
+        frequent = term[first] < FREQUENT
+        dense[passage[first[frequent]], term[first[frequent]]] = times[frequent]
+        rare = np.flatnonzero(term >= FREQUENT)
+        passage, term = passage[rare], term[rare]
+        rows = dense @ self._start[:FREQUENT]
+        add_rows(rows, passage, self._start, term)
+        rows /= squares[:, None].astype(np.float32)
+        self._total[:FREQUENT] += dense.T @ rows
+        order = np.argsort(term, kind="stable")
+        add_rows(self._total, term[order], rows, passage[order])
+
+    def total(self) -> np.ndarray:
+        return (self._total * self._idf[:, None])[self._place]
 
 
 def corpus_product(numbers: DataFrame, counts: np.ndarray, rank: int) -> DataFrame:
@@ -214,7 +255,7 @@ def corpus_product(numbers: DataFrame, counts: np.ndarray, rank: int) -> DataFra
     idf, slabs = inverse_frequencies(counts), TERMS // SLAB
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, out = signs(rank), np.zeros((TERMS, rank), dtype=np.float32)
+        product = Product(signs(rank), idf)
         waiting, at, n, total = [], [], 0, 0
         for batch in batches:
             for packed in batch["terms"]:
@@ -226,11 +267,12 @@ def corpus_product(numbers: DataFrame, counts: np.ndarray, rank: int) -> DataFra
                     at.append(n + np.arange(len(terms)) // PASSAGE)
                     n = int(at[-1][-1]) + 1
                     if n >= PASSAGES_AT_ONCE:
-                        add_product(out, np.concatenate(waiting), np.concatenate(at), idf, start)
+                        product.add(np.concatenate(waiting), np.concatenate(at))
                         waiting, at, n, total = [], [], 0, total + n
         if waiting:
-            add_product(out, np.concatenate(waiting), np.concatenate(at), idf, start)
+            product.add(np.concatenate(waiting), np.concatenate(at))
         yield pd.DataFrame({"slab": [-1], "part": [np.array([total + n], dtype=np.int64).tobytes()]})
+        out = product.total()
         for slab in range(slabs):
             part = out[slab * SLAB:(slab + 1) * SLAB]
             if part.any():
@@ -265,11 +307,10 @@ def latent_basis(product: np.ndarray, passages: int, items: list[np.ndarray], id
     rank = min(len(items) + EXTRA_RANK, TERMS)
     weight = max(passages, LEAST_WEIGHT) / max(len(items), 1)
     start = signs(product.shape[1])[:, :rank].astype(np.float32)
-    y, own = product[:, :rank].copy(), np.zeros((TERMS, rank), dtype=np.float32)
-    for terms in items:
-        if len(terms):
-            add_product(own, terms, np.zeros(len(terms), dtype=np.int64), idf, start)
-    y += np.float32(weight) * own
+    y, own = product[:, :rank].copy(), Product(start, idf)
+    if any(map(len, items)):
+        own.add(np.concatenate(items), np.repeat(np.arange(len(items)), [len(n) for n in items]))
+    y += np.float32(weight) * own.total()
     q, _ = np.linalg.qr(y)
     # With one product, A'A on the subspace is what maps the start's part in it to the product's.
     inner = np.linalg.lstsq((q.T @ start).T.astype(np.float64), (q.T @ y).T.astype(np.float64), rcond=None)[0]

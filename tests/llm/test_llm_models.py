@@ -315,6 +315,28 @@ def test_basis_is_fitted_to_all_passages_of_all_documents(spark, make_docs):
     assert np.abs(whole - expected).max() < 1e-4 * np.abs(expected).max()
 
 
+def test_rare_terms_are_looked_up_and_not_multiplied(monkeypatch):
+    monkeypatch.setattr(decontaminate, "FREQUENT", 3)
+    monkeypatch.setattr(decontaminate, "ROWS_AT_ONCE", 2)
+    r = np.random.default_rng(6)
+    idf = r.uniform(0.05, 9, decontaminate.TERMS).astype(np.float32)
+    idf[[5, 77, 900, 901]] = 0.01, 0.02, 0.03, 0.04  # one more than the dense matrix has
+    start = decontaminate.signs(4)
+    passages = [[5, 5, 77], [900], [901, 901, 901, 12, 5], [], [12, 12, 13], r.integers(0, 40, 60), [32767]]
+    product = decontaminate.Product(start, idf)
+    looked_up, plain = [], decontaminate.add_rows
+    monkeypatch.setattr(decontaminate, "add_rows", lambda out, to, values, source: (
+        looked_up.append(len(to)), plain(out, to, values, source)))
+    for _ in range(2):
+        product.add(np.concatenate(passages).astype(np.int64),
+                    np.repeat(np.arange(len(passages)), list(map(len, passages))))
+    multiplied = sum(list(p).count(t) for p in passages for t in (5, 77, 900))
+    assert looked_up == [sum(map(len, passages)) - multiplied] * 4
+    rows = np.array([np.bincount(p, minlength=decontaminate.TERMS) * idf.astype(float) for p in passages if len(p)])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    assert np.allclose(product.total(), 2 * rows.T @ (rows @ start), rtol=1e-4, atol=1e-4)
+
+
 def test_terms_of_many_texts_are_those_of_their_words(monkeypatch):
     r = random.Random(4)
     letters = "abcXYZ09 -.é日🙂\x00\t\n\x1c\ud800"
