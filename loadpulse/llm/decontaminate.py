@@ -14,7 +14,8 @@ ending (its answer) occurs word for word.
   total, whose size is fixed.  It has ``EXTRA_RANK`` dimensions more than the block has
   items, so the items' own terms are kept almost whole.
 * An item of whose words a document has too few to match, by their terms, is not
-  searched for in it: whatever the cosine, the comparison of words would fail.
+  searched for in it: whatever the cosine, the comparison of words would fail.  Where many
+  items are left, the same is asked of every stretch of as many words as are compared.
 * The benchmark is a stated query set; it is searched in blocks of about
   ``BLOCK_ITEMS`` items, so what a task holds does not grow with it.  A task holds what
   each term adds to the cosine with each item, so a window costs the same at any rank.
@@ -64,6 +65,10 @@ MIN_COMMON_WITH_ANSWER = 0.5
 ANSWER_SHARE = 0.25
 MIN_WORDS = 4
 CHUNK = 4096
+# Documents that may hold more items than this are looked at stretch by stretch first, so
+# many stretches at once.
+MANY_ITEMS = 8
+STRETCHES = 64
 HASHED_AT_ONCE = 1 << 17
 _CACHE = 1 << 17
 
@@ -396,12 +401,18 @@ def _contains(words: list[bytes], run: list[bytes]) -> bool:
     return b" " + b" ".join(run) + b" " in joined
 
 
-def _by_grains(values: np.ndarray) -> np.ndarray:
-    """Sums of every ``GRAIN`` values or rows that follow each other."""
+def _sums_of_grains(values: np.ndarray, kind: type) -> np.ndarray:
+    """The sums of the first 0, 1, 2 and so on grains of ``GRAIN`` values or rows; behind the
+    last one they go on for a window, so that windows may reach over the end."""
     total = values[::GRAIN].copy()
     for i in range(1, GRAIN):
         total += values[i::GRAIN]
-    return total
+    n = len(total)
+    sums = np.empty((n + 1 + max(WINDOWS) // GRAIN, *values.shape[1:]), dtype=kind)
+    sums[0] = 0
+    np.cumsum(total, axis=0, dtype=kind, out=sums[1:n + 1])
+    sums[n + 1:] = sums[n]
+    return sums
 
 
 class Searcher:
@@ -422,9 +433,32 @@ class Searcher:
     def possible(self, terms: np.ndarray) -> np.ndarray:
         """The items of whose words enough may be among those with these terms."""
         held = np.zeros(len(self.times_of_used) + 1, dtype=bool)
-        held[self.place[terms]] = True
-        both = self.times_of_used[np.flatnonzero(held[:-1])].sum(axis=0, dtype=np.uint32)
-        return np.flatnonzero(self.usable & (both >= self.needed))
+        place = self.place[terms]
+        held[place] = True
+        both = self.times_of_used[held[:-1].nonzero()[0]].sum(axis=0, dtype=np.uint32)
+        items = (self.usable & (both >= self.needed)).nonzero()[0]
+        return items[self._in_a_stretch(place, items)] if len(items) > MANY_ITEMS else items
+
+    def _in_a_stretch(self, place: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Whether enough of each item's words may be in one stretch of two item lengths.
+
+        Such a stretch is in three blocks of the longest item's length, one after the other.
+        """
+        size = max(len(self.index.words[i]) for i in items.tolist())
+        blocks = -(-len(place) // size)
+        if blocks <= 3:
+            return np.ones(len(items), dtype=bool)
+        enough = np.zeros(len(items), dtype=bool)
+        for begin in range(0, blocks - 2, STRETCHES):
+            part = place[begin * size:(begin + STRETCHES + 2) * size]
+            held = np.zeros((-(-len(part) // size), len(self.times_of_used) + 1), dtype=bool)
+            held[np.arange(len(part)) // size, part] = True
+            used = held[:, :-1].any(axis=0).nonzero()[0]
+            held = held[:, used]
+            times = self.times_of_used[used].take(items, axis=1).astype(np.float32)
+            both = (held[:-2] | held[1:-1] | held[2:]).astype(np.float32) @ times
+            enough |= both.max(axis=0) >= self.needed[items]
+        return enough
 
     def candidates(self, terms: np.ndarray, items: np.ndarray) -> dict[int, list[tuple[int, int, float]]]:
         """By item of ``items``: windows with a sufficient cosine, as start, end, cosine.
@@ -434,34 +468,34 @@ class Searcher:
         found: dict[int, list[tuple[int, int, float]]] = {}
         index, overlap = self.index, max(WINDOWS)
         few = 8 * len(items) < len(index.ids)
-
-        def added(part: np.ndarray) -> np.ndarray:
-            if few:
-                return index.added.ravel().take(part[:, None] * len(index.ids) + items)
-            return index.added.take(part, axis=0)[:, items]
-
         for base in range(0, max(len(terms) - overlap, 1), CHUNK):
             part = terms[base:base + CHUNK + overlap]
             if len(part) % GRAIN:
                 # Terms without weight.
                 part = np.concatenate([part, np.full(-len(part) % GRAIN, TERMS)])
-            grains = _by_grains(added(part))
-            squares = _by_grains(index.squares.take(part))
-            sums = np.zeros((len(grains) + 1, grains.shape[1]), dtype=np.float32)
-            np.cumsum(grains, axis=0, out=sums[1:])
-            norms = np.zeros(len(squares) + 1)
-            np.cumsum(squares, dtype=np.float64, out=norms[1:])
+            if few:
+                added = index.added.ravel().take(part[:, None] * len(index.ids) + items)
+            else:
+                added = index.added.take(part, axis=0)[:, items]
+            sums = _sums_of_grains(added, np.float32)
+            norms = _sums_of_grains(index.squares.take(part), np.float64)
+            grains = len(part) // GRAIN
             for size, step in WINDOWS.items():
                 span, step = size // GRAIN, step // GRAIN
-                starts = np.arange(0, max(len(grains) - span + step, 1), step)
-                ends = np.minimum(starts + span, len(grains))
-                lengths = np.sqrt(norms[ends] - norms[starts] + 1e-9).astype(np.float32)
-                cosines = sums[ends] - sums[starts]
-                for at in np.flatnonzero(cosines >= (MIN_COSINE * lengths)[:, None]).tolist():
-                    w, i = divmod(at, cosines.shape[1])
-                    found.setdefault(int(items[i]), []).append((
-                        base + int(starts[w]) * GRAIN, base + int(ends[w]) * GRAIN,
-                        float(cosines[w, i] / lengths[w])))
+                last = max(grains - span + step - 1, 0) // step * step  # where the last window begins
+                begins, ends = slice(0, last + 1, step), slice(span, span + last + 1, step)
+                lengths = np.sqrt(norms[ends] - norms[begins] + 1e-9).astype(np.float32)
+                cosines = sums[ends] - sums[begins]
+                at = (cosines >= (MIN_COSINE * lengths)[:, None]).ravel().nonzero()[0]
+                if not len(at):
+                    continue
+                window, which = np.divmod(at, len(items))
+                starts = window * step
+                for i, start, end, cosine in zip(
+                        items[which].tolist(), (base + starts * GRAIN).tolist(),
+                        (base + np.minimum(starts + span, grains) * GRAIN).tolist(),
+                        (cosines.ravel()[at] / lengths[window]).tolist(), strict=True):
+                    found.setdefault(i, []).append((start, end, cosine))
         return found
 
     def found(self, texts: Iterable[str | None]) -> Iterator[list[tuple[object, float, float, bool]]]:

@@ -373,6 +373,27 @@ def test_items_ruled_out_by_their_terms_are_no_matches(monkeypatch):
     assert found == [searcher.matches(t) for t in texts] and sum(map(len, found)) >= 26
 
 
+def test_items_ruled_out_in_every_stretch_are_no_matches(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MANY_ITEMS", 0)
+    monkeypatch.setattr(decontaminate, "STRETCHES", 2)
+    items = [(i, prose(n, 700 + i)) for i, n in enumerate([5, 14, 25, 40, 59])]
+    items[3] = (3, " ".join(f"own{i}" for i in range(40)))
+    rows = [decontaminate.Terms().of(decontaminate.words_of(t)) for _, t in items]
+    spread = " ".join(f"{prose(90, i)} {word}" for i, word in enumerate(items[3][1].split()))
+    texts = [spread, *(f"{prose(31 * s, s)} {items[s % 5][1]} {prose(400, s + 1)}" for s in range(1, 30))]
+    counts = np.ones(decontaminate.TERMS + 1, dtype=np.int64) * len(texts)
+    idf = decontaminate.inverse_frequencies(counts // 4)
+    empty = np.zeros((decontaminate.TERMS, len(items) + decontaminate.EXTRA_RANK), dtype=np.float32)
+    products = decontaminate._term_products(decontaminate.latent_basis(empty, 0, rows, idf), rows, idf)
+    searcher = decontaminate.Searcher(decontaminate.index_of(items, products, counts // 4))
+    found = [searcher.matches(t) for t in texts]
+    # All words of an item are in the first text, but nowhere near each other.
+    assert 3 not in searcher.possible(searcher.cache.of(decontaminate.words_of(spread))).tolist()
+    monkeypatch.setattr(searcher, "possible", lambda terms: np.arange(5))
+    assert found == [searcher.matches(t) for t in texts]
+    assert all(s % 5 in [m[0] for m in own] for s, own in enumerate(found) if s)
+
+
 def test_items_without_an_id_and_repeated_rows(spark, make_docs):
     item = prose(30, 7)
     benchmark = spark.createDataFrame([(None, item), (None, item), (2**60 + 1, prose(30, 8)), (None, None)],
