@@ -53,6 +53,8 @@ PASSAGES_AT_ONCE = 1024
 FREQUENT = 256
 ROWS_AT_ONCE = 256
 SLAB = 128
+# In how many parts the products of terms and items go to the driver.
+PRODUCT_PARTS = 16
 # The passages that a block of items counts for at least.
 LEAST_WEIGHT = 30_000
 BLOCK_ITEMS = 250
@@ -345,15 +347,16 @@ def term_products(product: DataFrame, items: list[np.ndarray], counts: np.ndarra
                     whole[slab * SLAB:(slab + 1) * SLAB] = np.frombuffer(part, dtype=np.float32).reshape(
                         SLAB, rank)
         products = _term_products(latent_basis(whole, passages, items, idf), items, idf)
-        yield pd.DataFrame({"block": range(16), "part": [
-            part.tobytes() for part in np.split(products, 16)]})
+        yield pd.DataFrame({"block": range(PRODUCT_PARTS), "part": [
+            part.tobytes() for part in np.split(products, PRODUCT_PARTS)]})
 
-    rows = product.repartition(1).mapInPandas(fit, "block int, part binary").collect()
+    # Part by part: whole, the driver would hold the products several times over.
+    parts = product.repartition(1).mapInPandas(fit, "block int, part binary").repartition(PRODUCT_PARTS)
+    rows = {r["block"]: np.frombuffer(r["part"], dtype=np.float32) for r in parts.toLocalIterator()}
     if not rows:  # an empty corpus may have no task at all
         empty = np.zeros((TERMS, rank), dtype=np.float32)
         return _term_products(latent_basis(empty, 0, items, idf), items, idf)
-    return np.concatenate([np.frombuffer(r["part"], dtype=np.float32) for r in sorted(
-        rows, key=lambda r: r["block"])]).reshape(TERMS, -1)
+    return np.concatenate([rows[block] for block in sorted(rows)]).reshape(TERMS, -1)
 
 
 # --- search ---------------------------------------------------------------------
@@ -579,12 +582,12 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
     common.discard(benchmark.sparkSession, at)
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame) -> list:
-    """A broadcast index for each block of the benchmark."""
-    spark, out = docs.sparkSession, []
+def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """A broadcast index for each block of the benchmark, made when it is asked for."""
+    spark = docs.sparkSession
     blocks = list(_blocks(benchmark))  # the benchmark is a query set
     if not blocks:
-        return out
+        return
     numbers, numbers_at = common.stored(numbered(docs), "terms")
     counts = term_counts(numbers)
     rank = min(max(map(len, blocks)) + EXTRA_RANK, TERMS)
@@ -592,10 +595,9 @@ def indexes(docs: DataFrame, benchmark: DataFrame) -> list:
     for items in blocks:
         terms = Terms()
         rows = [terms.of(words_of(text)) for _, text in items]
-        out.append(spark.sparkContext.broadcast(
-            index_of(items, term_products(product, rows, counts, rank), counts)))
+        yield spark.sparkContext.broadcast(
+            index_of(items, term_products(product, rows, counts, rank), counts))
     common.discard(spark, numbers_at, product_at)
-    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -620,9 +622,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no item, with their own columns."""
+    """Documents that hold no item, with their own columns.
+
+    The texts that hold one are stored as digests, block by block, so no index outlives its
+    search: the driver has one at a time, and none when the result is used.
+    """
+    name = common.unused(docs, "held")
+    digest = F.unhex(F.md5(F.col("text")))
     for index in indexes(docs, benchmark):
-        docs = docs.where(~_holds(index)(F.col("text")))
+        held, _ = common.stored(
+            docs.where(_holds(index)(F.col("text"))).select(digest.alias(name)).distinct(), "held")
+        index.destroy()
+        docs = docs.join(held, digest == F.col(name), "left_anti")
     return docs
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -413,6 +414,42 @@ def test_decontamination_of_nothing(spark, make_docs):
     assert decontaminate.clean(docs, benchmark.where("false")).count() == 1
 
 
+def test_an_index_is_gone_when_clean_documents_are_used(spark, make_docs, monkeypatch):
+    items = [prose(20, 700 + i) for i in range(6)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    leaks = [(i if i else None, prose(30, 60 + i) + " " + item) for i, item in enumerate(items)]
+    plain = [(10, prose(60, 1)), (10, prose(60, 1)), (None, prose(60, 2)), (11, None), (12, "")]
+    docs, made, indexes = make_docs(*leaks, *leaks, *plain), [], decontaminate.indexes
+
+    def followed(*args):
+        for index in indexes(*args):
+            assert not any(os.path.exists(x._path) for x in made)
+            made.append(index)
+            yield index
+
+    monkeypatch.setattr(decontaminate, "indexes", followed)
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    kept = decontaminate.clean(docs, benchmark)
+    assert len(made) > 1 and not any(os.path.exists(x._path) for x in made)
+    assert kept.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted(plain, key=str)
+
+
+def test_products_come_to_the_driver_part_by_part(spark, make_docs, monkeypatch):
+    benchmark = spark.createDataFrame([(1, prose(20, 1)), (2, prose(30, 2))], "item_id bigint, text string")
+    docs, largest, collect = make_docs(*[prose(60, i) for i in range(20)]), [], type(spark.range(1)).collect
+
+    def measured(self):
+        rows = collect(self)
+        largest.append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", measured)
+    index = next(decontaminate.indexes(docs, benchmark)).value
+    assert index.added.shape == (decontaminate.TERMS + 1, 2) and np.abs(index.added).max() > 0
+    assert max(largest, default=0) < index.added.nbytes / 4
+
+
 def test_longest_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
