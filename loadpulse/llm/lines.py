@@ -1,8 +1,13 @@
 """Fuzzy line deduplication by MinHash.
 
 Equal lines (in lower case, white space as one blank) are one node from the start.
-Every distinct line gets a signature of minima over its character shingles, cut into
-bands; lines that share a band are candidates.  Bands with the same members are looked
+Every line gets a signature of minima over its character shingles, cut into bands; lines
+that share a band are candidates.  Lines are signed where they are read, and only the
+bands' keys move, dealt into buckets as arrays of a key and a line's number.  Lines that
+share no band and come once have no part in anything; the others are read again, found
+by a Bloom filter that costs time when it is too full but no line.
+
+Bands with the same members are looked
 at once.  First every member of a band is compared with the band's smallest line, the
 pairs of all bands made distinct before any text is joined to them.  Bands whose lines
 are connected by that are done.  In the others lines of different components are
@@ -15,8 +20,11 @@ keep one line each, the first by document and place.
 A changed inner letter breaks ``SHINGLE_CHARS`` shingles, so with four characters lines
 of 39 and more stay similar, and long lines of different words do not become so.
 
-With ten bands of four rows a pair at similarity 0.8 is a candidate with probability
-0.995, and at 0.9 with more than 0.9999.
+With 29 bands of eight rows a pair at similarity 0.8 is a candidate with probability
+0.995, and at 0.9 with more than 0.9999; at every similarity from 0.8 on that is more than
+ten bands of four rows find.  Bands of four rows are also shared by lines that only have
+common letters (at 0.2 with probability 0.016, of eight rows 0.00007), and the number of
+such pairs grows with the square of the lines.
 
 Edge cases: blank lines are left alone; a null text has no lines; a line shorter than
 a shingle is one shingle; equal rows (id and text) count as one document and are all
@@ -27,10 +35,13 @@ kept by ``deduplicated`` and not read otherwise.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +49,21 @@ from . import common
 from .components import components
 
 SHINGLE_CHARS = 4
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 29, 8
 MIN_SIMILARITY = 0.8
 BLOCK_LINES = 512
 SKETCH_WORDS = 4  # a power of two
 SKETCH = [f"sketch_{i}" for i in range(SKETCH_WORDS)]
+SLICE_CHARS = 32_768  # shingles that are hashed at a time, to stay in the cache
+DEALT_LINES = 50_000  # lines whose keys are dealt out at a time
+BUCKETS = 8  # for each shuffle partition
+BITS_A_LINE, MOST_BITS = 16, 1 << 28  # of the Bloom filter, 32 MB at most
 
 _FACTORS = (np.random.default_rng(3).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * 2 + 1).astype(
     np.uint32)
-_SHIFTS = np.random.default_rng(4).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32)
 _PRIME = np.uint32(0x01000193)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_ENTRY = np.dtype([("key", "<u4"), ("line", "<i8")])
 
 
 # --- signatures -----------------------------------------------------------------
@@ -69,15 +84,24 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return total[keep], np.cumsum(own) - own
 
 
-def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """``len(starts) x BANDS`` signed keys of lines with these shingles."""
-    keys = np.zeros((len(starts), BANDS), dtype=np.uint64)
+def minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``BANDS * ROWS x len(starts)``: least values of lines with these shingles."""
+    least, own = np.empty((BANDS * ROWS, len(starts)), dtype=np.uint32), np.empty_like(hashes)
     for j in range(BANDS * ROWS):
-        least = np.minimum.reduceat(hashes * _FACTORS[j] + _SHIFTS[j], starts)
-        band = j // ROWS
-        keys[:, band] = (keys[:, band] ^ least.astype(np.uint64)) * _MIX + np.uint64(band + 1)
-        keys[:, band] ^= keys[:, band] >> np.uint64(29)
-    return keys.view(np.int64)
+        np.multiply(hashes, _FACTORS[j], out=own)
+        np.minimum.reduceat(own, starts, out=least[j])
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """``lines x BANDS`` keys of lines with these minima."""
+    rows = least.reshape(BANDS, ROWS, -1)
+    keys = np.zeros((BANDS, rows.shape[2]), dtype=np.uint64)
+    number = np.arange(1, BANDS + 1, dtype=np.uint64)[:, None]
+    for j in range(ROWS):
+        keys = (keys ^ rows[:, j]) * _MIX + number
+        keys ^= keys >> np.uint64(29)
+    return keys.T
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -111,61 +135,184 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 # --- links ----------------------------------------------------------------------
 
 def normalised(line: Column) -> Column:
+    """The line in lower case, white space as one blank and none at its ends."""
+    odd = line.contains("  ")
+    for blank in "\t\x0B\f\r":
+        odd |= line.contains(blank)
     lower = F.lower(line)
-    return F.btrim(F.when(lower.rlike(r"\s\s|[\t\x0B\f\r]"), F.regexp_replace(lower, r"\s+", " "))
-                   .otherwise(lower))
+    return F.btrim(F.when(odd, F.regexp_replace(lower, r"\s+", " ")).otherwise(lower))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """``line_id, doc_id, text_hash, place, line`` of every line that is not blank."""
-    return docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"),
-        F.posexplode(F.split("text", "\n")).alias("place", "line"),
-    ).withColumn("line", normalised(F.col("line"))).where("line <> ''").withColumn(
-        "line_id", F.xxhash64("line"))
+    # Texts are hashed before they are cut, else that is done once a line; and lines are
+    # normalised before they are rows, else that is done again for every filter on them.
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).select(
+        "doc_id", "text_hash",
+        F.posexplode(F.transform(F.split("text", "\n"), normalised)).alias("place", "line"),
+    ).where("line <> ''").withColumn("line_id", F.xxhash64("line"))
 
 
 def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "place")
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """``line_id, line, times, first``: distinct lines and where they are first."""
-    return occurrences(docs).groupBy("line_id", "line").agg(
-        F.count("*").alias("times"), F.min(_order()).alias("first"))
+def _slices(lines: list[str]) -> Iterator[list[str]]:
+    """Lines that follow each other, as many as are hashed at a time."""
+    ends = np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))) // SLICE_CHARS
+    cuts = [0, *(1 + np.flatnonzero(ends[1:] != ends[:-1])), len(lines)]
+    return (lines[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    mixed = ids.view(np.uint64) * _MIX
+    return (mixed ^ mixed >> np.uint64(32)) * _MIX
+
 
+def _blobs(bucket: np.ndarray, values: np.ndarray, buckets: int) -> pa.Array:
+    """The values of each bucket as the bytes of an array."""
+    order = np.argsort(bucket, kind="stable")
+    ends = np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))] * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), buckets, [
+        None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values[order])])
+
+
+def _dealt_keys(lines: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, entries, lines``: keys of bands with their lines, and lines (twice if they
+    come more often), of some thousand lines a row."""
+    def deal(ids: np.ndarray, times: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        entries = np.empty(keys.size, dtype=_ENTRY)
+        entries["key"], entries["line"] = keys.ravel(), np.repeat(ids, BANDS)
+        twice = np.repeat(ids, np.minimum(times, 2))
+
+        def bucket(hashed: np.ndarray) -> np.ndarray:
+            small = np.uint16 if buckets < 1 << 16 else np.int64  # short numbers sort faster
+            return ((hashed >> np.uint64(32)) % np.uint64(buckets)).astype(small)
+
+        of_keys, of_lines = bucket(keys.ravel()), bucket(_mixed(twice))
+        dealt = pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(buckets, dtype=np.int32)), _blobs(of_keys, entries, buckets),
+             _blobs(of_lines, twice, buckets)], ["bucket", "entries", "lines"])
+        return dealt.take(pa.array(np.unique(np.r_[of_keys, of_lines])))
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """``line_id, bands, size`` and the sketch's words of every line."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def whole() -> pa.RecordBatch:
+            ids, times, keys = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            ids, first, place = np.unique(ids, return_index=True, return_inverse=True)
+            return deal(ids, np.bincount(place, weights=times).astype(np.int64), keys[first])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, first, times = np.unique(
+                batch["line_id"].to_numpy(), return_index=True, return_counts=True)
+            texts = batch["line"].take(pa.array(first)).to_pylist()
+            held.append((ids, times, band_keys(np.concatenate(
+                [minima(*shingle_hashes(part)) for part in _slices(texts)], axis=1))))
+            if sum(len(h[0]) for h in held) >= DEALT_LINES:
+                yield whole()
+        if held:
+            yield whole()
+
+    return lines.select("line_id", "line").mapInArrow(sign, "bucket int, entries binary, lines binary")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``band, line_id, first, n, mark`` of bands with several lines, and lines that come
+    more than once with a null for the band; rows of a bucket follow each other.
+
+    ``first`` is the smallest of a band's ``n`` lines, ``mark`` a digest of them all.
+    """
+    names = ["bucket", "entries", "lines"]
+    rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in names), strict=True))
+    for bucket, group in groupby(rows, key=itemgetter(0)):
+        entries, ids = (b"".join(parts) for parts in list(zip(*group, strict=True))[1:])
+        ids, times = np.unique(np.frombuffer(ids, dtype=np.int64), return_counts=True)
+        again = ids[times > 1]
+        entries = np.frombuffer(entries, dtype=_ENTRY)
+        order = np.argsort(entries["key"])
+        keys = entries["key"][order]
+        same = keys[1:] == keys[:-1]
+        met = entries[order[np.r_[False, same] | np.r_[same, False]]] if len(order) else entries
+        met = met[np.lexsort((met["line"], met["key"]))]
+        key, line = met["key"], met["line"]
+        new = np.ones(len(met), dtype=bool)  # the same line may come from several tasks
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        key, line = key[new], line[new]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+        n = np.diff(np.r_[starts, len(key)])
+        mark = np.bitwise_xor.reduceat(_mixed(line), starts) if len(key) else np.zeros(0, dtype=np.uint64)
+        several = np.repeat(n, n) > 1
+        band, first, mark, n = (np.repeat(x, n)[several] for x in (
+            key[starts].astype(np.int64) | bucket << 32, line[starts], mark.view(np.int64), n))
+        gone = len(again)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[band, np.zeros(gone, dtype=np.int64)], mask=np.arange(len(band) + gone) >= len(band)),
+             pa.array(np.r_[line[several], again]), pa.array(np.r_[first, again]),
+             pa.array(np.r_[n, np.ones(gone, dtype=np.int64)].astype(np.int32)),
+             pa.array(np.r_[mark, again])], ["band", "line_id", "first", "n", "mark"])
+
+
+def shared_bands(lines: DataFrame) -> DataFrame:
+    """``band, line_id, first, n, mark``: lines of bands with several, and lines that come
+    more than once with a null for the band."""
+    dealt = _dealt_keys(lines, BUCKETS * common.shuffle_partitions(lines.sparkSession))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _met, "band bigint, line_id bigint, first bigint, n int, mark bigint")
+
+
+def _members(shared: DataFrame) -> DataFrame:
+    """``band, line_id, first``: lines of bands with several, bands with the same lines once."""
+    bands = shared.where("band is not null")
+    chosen = bands.where("line_id = first").groupBy("n", "mark").agg(F.min("band").alias("band"))
+    return bands.select("band", "line_id", "first").join(chosen.select("band"), "band")
+
+
+def _among(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """The rows whose line may be one of ``lines``, and the filter that says so.
+
+    It lets all rows of these lines through, and one in a hundred of the others or so;
+    more if the filter would have to be larger than ``MOST_BITS``.
+    """
+    lines = lines.select("line_id").distinct()
+    bits = min(MOST_BITS, 1 << max(16, (BITS_A_LINE * lines.count()).bit_length()))
+    # The lines' numbers are hashes: their halves are two hashes.
+    places = [F.col("line_id").bitwiseAND(bits - 1),
+              F.shiftrightunsigned("line_id", 32).bitwiseAND(bits - 1)]
+    turned = lines.select(F.explode(F.array(*[at + 1 for at in places])).alias("at")).groupBy(
+        F.bitmap_bucket_number("at").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    filled = bytearray(bits // 8)
+    for part, bitmap in turned.collect():
+        filled[(part - 1) * len(bitmap):part * len(bitmap)] = bitmap
+    sent = rows.sparkSession.sparkContext.broadcast(bytes(filled))
+
+    @F.pandas_udf("boolean")
+    def may_be(line_id: pd.Series) -> pd.Series:
+        at, held = line_id.to_numpy().view(np.uint64), np.frombuffer(sent.value, dtype=np.uint8)
+        one, other = at & np.uint64(bits - 1), at >> np.uint64(32) & np.uint64(bits - 1)
+        return pd.Series(held[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8)
+                         & held[other >> np.uint64(3)] >> (other & np.uint64(7)).astype(np.uint8) & 1 > 0)
+
+    return rows.where(may_be("line_id")), sent
+
+
+def _sketched(lines: DataFrame) -> DataFrame:
+    """``line_id, size`` and the sketch's words of every line."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                hashes, starts = shingle_hashes(part["line"].to_pylist())
-                keys = band_keys(hashes, starts)
-                size, words = sketches(hashes, starts)
-                ends = np.arange(len(keys) + 1, dtype=np.int32) * BANDS
+                size, words = sketches(*shingle_hashes(part["line"].to_pylist()))
                 yield pa.RecordBatch.from_arrays(
-                    [part["line_id"], pa.ListArray.from_arrays(ends, keys.ravel()),
-                     pa.array(size.astype(np.int32)), *[pa.array(w) for w in words.T.copy()]],
-                    ["line_id", "bands", "size", *SKETCH])
+                    [part["line_id"], pa.array(size.astype(np.int32)), *[pa.array(w) for w in words.T.copy()]],
+                    ["line_id", "size", *SKETCH])
 
     words = ", ".join(f"{c} bigint" for c in SKETCH)
-    return lines.select("line_id", "line").mapInArrow(
-        sign, f"line_id bigint, bands array<bigint>, size int, {words}")
-
-
-def _members(signed: DataFrame) -> DataFrame:
-    """``band, line_id, first``: lines of bands with several, bands with the same lines
-    once; ``first`` is the smallest line of the band."""
-    bands = signed.select("line_id", F.explode("bands").alias("band"))
-    mark = F.bit_xor(F.xxhash64("line_id")).alias("mark")
-    shared = bands.groupBy("band").agg(
-        F.count("*").alias("n"), mark, F.min("line_id").alias("first")).where("n > 1")
-    chosen, _ = common.stored(
-        shared.groupBy("n", "mark").agg(F.min(F.struct("band", "first")).alias("one"))
-        .select("one.band", "one.first"), "shared-bands")
-    return bands.join(chosen, "band")
+    return lines.select("line_id", "line").mapInArrow(sketch, f"line_id bigint, size int, {words}")
 
 
 def _may_be_similar(size_a: Column, size_b: Column, words_a: list[Column], words_b: list[Column]) -> Column:
@@ -210,7 +357,8 @@ _GROUP = ["band", "low", "high"]
 def _dealt(members: DataFrame, named: DataFrame) -> DataFrame:
     """``line_id, component, side`` of the groups ``band, low, high`` to compare.
 
-    Bands whose lines are connected already are left out.  In the others the lines of the
+    Bands whose lines are connected already are left out, and bands of two lines, which
+    are compared already.  In the others the lines of the
     largest component are not compared with each other: they are dealt into blocks that
     meet the blocks of the band's other lines, and these meet each other too.
     """
@@ -221,7 +369,7 @@ def _dealt(members: DataFrame, named: DataFrame) -> DataFrame:
     largest = F.max(F.struct("n", "component"))
     open_bands, _ = common.stored(
         parts.groupBy("band").agg(largest.alias("major"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-        .where("parts > 1")
+        .where("parts > 1 and n > 2")
         .select("band", F.col("major.component").alias("major"),
                 F.ceil((F.col("n") - F.col("major.n")) / BLOCK_LINES).cast("int").alias("minors"),
                 F.ceil(F.col("major.n") / BLOCK_LINES).cast("int").alias("majors")), "open-bands")
@@ -314,13 +462,12 @@ def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def links(lines: DataFrame) -> DataFrame:
+def links(lines: DataFrame, shared: DataFrame) -> DataFrame:
     """``a, b``: verified links between distinct lines, enough to connect all that are
     similar and share a band."""
     spark = lines.sparkSession
-    signed, signed_at = common.stored(_signed(lines), "signed")
-    sketched = signed.select("line_id", "size", *SKETCH)
-    members, members_at = common.stored(_members(signed), "members")
+    members, members_at = common.stored(_members(shared), "members")
+    sketched, sketched_at = common.stored(_sketched(lines), "sketched")
     stars = members.where("line_id <> first").select(
         F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
     near, near_at = common.stored(_to_check(stars, sketched), "near")
@@ -334,7 +481,7 @@ def links(lines: DataFrame) -> DataFrame:
     across, _ = common.stored(
         texts.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(linked, "a bigint, b bigint"),
         "across-links")
-    common.discard(spark, signed_at, members_at, near_at, doubtful_at)
+    common.discard(spark, sketched_at, members_at, near_at, doubtful_at)
     return star.unionByName(across).distinct()
 
 
@@ -342,18 +489,22 @@ def links(lines: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, removed``: places of the lines to remove, per document."""
-    lines, _ = common.stored(distinct_lines(docs), "lines")
-    named = components(links(lines))
-    rooted, _ = common.stored(
-        lines.select("line_id", "times", "first")
-        .join(named.withColumnRenamed("node", "line_id"), "line_id", "left")
-        .where("component is not null or times > 1")
-        .select("line_id", "first", F.coalesce("component", "line_id").alias("root")), "rooted")
-    kept, _ = common.stored(rooted.groupBy("root").agg(F.min("first").alias("kept")), "kept-lines")
-    doubtful, _ = common.stored(rooted.join(kept, "root").select("line_id", "kept"), "doubtful-lines")
+    spark = docs.sparkSession
+    shared, shared_at = common.stored(shared_bands(occurrences(docs)), "shared")
+    rows, sent = _among(occurrences(docs), shared)
+    found, found_at = common.stored(rows, "found")
+    sent.destroy()
+    lines, lines_at = common.stored(found.select("line_id", "line").distinct(), "lines")
+    named = components(links(lines, shared)).withColumnRenamed("node", "line_id")
+    common.discard(spark, shared_at, lines_at)
+    placed, _ = common.stored(
+        found.drop("line").join(named, "line_id", "left")
+        .withColumn("root", F.coalesce("component", "line_id")).drop("line_id", "component"), "placed")
+    common.discard(spark, found_at)
+    kept, _ = common.stored(placed.groupBy("root").agg(F.min(_order()).alias("kept")), "kept-lines")
     return (
-        occurrences(docs).select("line_id", "doc_id", "text_hash", "place").join(doubtful, "line_id")
-        .where(_order() != F.col("kept")).select("doc_id", "text_hash", "place").distinct()
+        placed.join(kept, "root").where(_order() != F.col("kept"))
+        .select("doc_id", "text_hash", "place").distinct()
         .groupBy("doc_id", "text_hash")
         .agg(F.sort_array(F.collect_list("place")).alias("removed"))
     )
