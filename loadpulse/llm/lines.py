@@ -13,16 +13,16 @@ pairs of all bands made distinct before any text is joined to them.  Bands whose
 are connected by that are done.  In the others lines of different components are
 compared, the lines of the largest component only with the rest; large bands are dealt
 into blocks, so no task holds a whole one, and only lines with a possible partner bring
-their text.  A sketch of 256 bits says who has none: it never rules out a similar pair.
+their text.  A sketch of 512 bits says who has none: it never rules out a similar pair.
 Jaccard similarities are exact, on the shingles themselves.  Connected components then
 keep one line each, the first by document and place.
 
 A changed inner letter breaks ``SHINGLE_CHARS`` shingles, so with four characters lines
 of 39 and more stay similar, and long lines of different words do not become so.
 
-With 29 bands of eight rows a pair at similarity 0.8 is a candidate with probability
-0.995, and at 0.9 with more than 0.9999; at every similarity from 0.8 on that is more than
-ten bands of four rows find.  Bands of four rows are also shared by lines that only have
+With 36 bands of eight out of 144 rows a pair at similarity 0.8 is a candidate with
+probability 0.996, and at 0.9 with more than 0.9999; at every similarity from 0.8 on that
+is more than ten bands of four rows find.  Bands of four rows are also shared by lines that only have
 common letters (at 0.2 with probability 0.016, of eight rows 0.00007), and the number of
 such pairs grows with the square of the lines.
 
@@ -34,7 +34,7 @@ kept by ``deduplicated`` and not read otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -49,18 +49,21 @@ from . import common
 from .components import components
 
 SHINGLE_CHARS = 4
-BANDS, ROWS = 29, 8
+BANDS, ROWS = 36, 8  # every minimum is in two bands
 MIN_SIMILARITY = 0.8
 BLOCK_LINES = 512
-SKETCH_WORDS = 4  # a power of two
+SKETCH_WORDS = 8  # a power of two
 SKETCH = [f"sketch_{i}" for i in range(SKETCH_WORDS)]
 SLICE_CHARS = 32_768  # shingles that are hashed at a time, to stay in the cache
 DEALT_LINES = 50_000  # lines whose keys are dealt out at a time
 BUCKETS = 8  # for each shuffle partition
 BITS_A_LINE, MOST_BITS = 16, 1 << 28  # of the Bloom filter, 32 MB at most
+MINIMA = BANDS * ROWS // 2
 
-_FACTORS = (np.random.default_rng(3).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * 2 + 1).astype(
-    np.uint32)
+_FACTORS = (np.random.default_rng(3).integers(1, 1 << 31, MINIMA, dtype=np.uint32) * 2 + 1).astype(np.uint32)
+# The minima of each band: two bands have one in common at most.
+_IN_BAND = np.array([[j * (BANDS // 2) + (band + turn * j) % (BANDS // 2) for j in range(ROWS)]
+                     for turn in (0, 1) for band in range(BANDS // 2)])
 _PRIME = np.uint32(0x01000193)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ENTRY = np.dtype([("key", "<u4"), ("line", "<i8")])
@@ -79,15 +82,15 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     total ^= total >> np.uint32(15)
     own = sizes - SHINGLE_CHARS + 1
     starts = np.cumsum(sizes) - sizes
-    # Windows that reach into the next line are left out.
-    keep = np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(own.sum())
+    keep = np.ones(len(total), dtype=bool)  # but windows that reach into the next line
+    keep[(starts[1:, None] - np.arange(1, SHINGLE_CHARS)).ravel()] = False
     return total[keep], np.cumsum(own) - own
 
 
 def minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """``BANDS * ROWS x len(starts)``: least values of lines with these shingles."""
-    least, own = np.empty((BANDS * ROWS, len(starts)), dtype=np.uint32), np.empty_like(hashes)
-    for j in range(BANDS * ROWS):
+    """``MINIMA x len(starts)``: least values of lines with these shingles."""
+    least, own = np.empty((MINIMA, len(starts)), dtype=np.uint32), np.empty_like(hashes)
+    for j in range(MINIMA):
         np.multiply(hashes, _FACTORS[j], out=own)
         np.minimum.reduceat(own, starts, out=least[j])
     return least
@@ -95,11 +98,10 @@ def minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     """``lines x BANDS`` keys of lines with these minima."""
-    rows = least.reshape(BANDS, ROWS, -1)
-    keys = np.zeros((BANDS, rows.shape[2]), dtype=np.uint64)
+    keys = np.zeros((BANDS, least.shape[1]), dtype=np.uint64)
     number = np.arange(1, BANDS + 1, dtype=np.uint64)[:, None]
     for j in range(ROWS):
-        keys = (keys ^ rows[:, j]) * _MIX + number
+        keys = (keys ^ least[_IN_BAND[:, j]]) * _MIX + number
         keys ^= keys >> np.uint64(29)
     return keys.T
 
@@ -132,6 +134,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def similarities(hashes: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of the lines ``a`` with the lines ``b``, by their places."""
+    line = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.r_[starts, len(hashes)]))
+    own = distinct(line << np.uint64(32) | hashes)
+    size = np.bincount((own >> np.uint64(32)).astype(np.int64), minlength=len(starts))
+    first = np.cumsum(size) - size
+
+    def elements(side: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(size[side])
+        place = np.repeat(first[side] - ends + size[side], size[side]) + np.arange(ends[-1])
+        pair = np.repeat(np.arange(len(side), dtype=np.uint64), size[side])
+        return pair << np.uint64(32) | own[place] & np.uint64(0xFFFFFFFF)
+
+    every = np.sort(np.r_[elements(a), elements(b)])
+    twice = every[1:][every[1:] == every[:-1]] >> np.uint64(32)
+    both = np.bincount(twice.astype(np.int64), minlength=len(a))
+    return both / (size[a] + size[b] - both)
+
+
 # --- links ----------------------------------------------------------------------
 
 def normalised(line: Column) -> Column:
@@ -157,11 +178,11 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "place")
 
 
-def _slices(lines: list[str]) -> Iterator[list[str]]:
-    """Lines that follow each other, as many as are hashed at a time."""
-    ends = np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))) // SLICE_CHARS
-    cuts = [0, *(1 + np.flatnonzero(ends[1:] != ends[:-1])), len(lines)]
-    return (lines[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+def _cut(sizes: Iterable[int]) -> list[tuple[int, int]]:
+    """Ranges of what follows each other, as much as is hashed at a time."""
+    ends = np.cumsum(np.fromiter(sizes, dtype=np.int64)) // SLICE_CHARS
+    cuts = [0, *(1 + np.flatnonzero(ends[1:] != ends[:-1])), len(ends)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
 def _mixed(ids: np.ndarray) -> np.ndarray:
@@ -211,7 +232,7 @@ def _dealt_keys(lines: DataFrame, buckets: int) -> DataFrame:
                 batch["line_id"].to_numpy(), return_index=True, return_counts=True)
             texts = batch["line"].take(pa.array(first)).to_pylist()
             held.append((ids, times, band_keys(np.concatenate(
-                [minima(*shingle_hashes(part)) for part in _slices(texts)], axis=1))))
+                [minima(*shingle_hashes(texts[a:b])) for a, b in _cut(map(len, texts))], axis=1))))
             if sum(len(h[0]) for h in held) >= DEALT_LINES:
                 yield whole()
         if held:
@@ -277,7 +298,7 @@ def _among(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, Broadcast]:
     It lets all rows of these lines through, and one in a hundred of the others or so;
     more if the filter would have to be larger than ``MOST_BITS``.
     """
-    lines = lines.select("line_id").distinct()
+    lines, _ = common.stored(lines.select("line_id").distinct(), "wanted")
     bits = min(MOST_BITS, 1 << max(16, (BITS_A_LINE * lines.count()).bit_length()))
     # The lines' numbers are hashes: their halves are two hashes.
     places = [F.col("line_id").bitwiseAND(bits - 1),
@@ -304,9 +325,10 @@ def _sketched(lines: DataFrame) -> DataFrame:
     """``line_id, size`` and the sketch's words of every line."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                size, words = sketches(*shingle_hashes(part["line"].to_pylist()))
+            texts = batch["line"].to_pylist()
+            for a, b in _cut(map(len, texts)):
+                part = batch.slice(a, b - a)
+                size, words = sketches(*shingle_hashes(texts[a:b]))
                 yield pa.RecordBatch.from_arrays(
                     [part["line_id"], pa.array(size.astype(np.int32)), *[pa.array(w) for w in words.T.copy()]],
                     ["line_id", "size", *SKETCH])
@@ -335,14 +357,11 @@ def _to_check(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
 def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The pairs whose lines are similar."""
     for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.iloc[at:at + 1000]
+        for start, end in _cut(batch["line_a"].map(len) + batch["line_b"].map(len)):
+            part = batch.iloc[start:end]
             place, texts = pd.factorize(pd.concat([part["line_a"], part["line_b"]], ignore_index=True))
-            hashes, starts = shingle_hashes(list(texts))
-            sets = [distinct(h) for h in np.split(hashes, starts[1:])]
-            good = [similarity(sets[i], sets[j]) >= MIN_SIMILARITY
-                    for i, j in zip(place[:len(part)], place[len(part):], strict=True)]
-            yield part.loc[good, ["a", "b"]]
+            found = similarities(*shingle_hashes(list(texts)), place[:len(part)], place[len(part):])
+            yield part.loc[found >= MIN_SIMILARITY, ["a", "b"]]
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -357,19 +376,19 @@ _GROUP = ["band", "low", "high"]
 def _dealt(members: DataFrame, named: DataFrame) -> DataFrame:
     """``line_id, component, side`` of the groups ``band, low, high`` to compare.
 
-    Bands whose lines are connected already are left out, and bands of two lines, which
-    are compared already.  In the others the lines of the
+    Bands' smallest lines have met all others already.  Bands whose other lines are
+    connected already are left out.  In the rest the lines of the
     largest component are not compared with each other: they are dealt into blocks that
     meet the blocks of the band's other lines, and these meet each other too.
     """
     labelled, _ = common.stored(
-        members.join(named.withColumnRenamed("node", "line_id"), "line_id", "left")
+        members.where("line_id <> first").join(named.withColumnRenamed("node", "line_id"), "line_id", "left")
         .select("band", "line_id", F.coalesce("component", "line_id").alias("component")), "labelled")
     parts = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
     largest = F.max(F.struct("n", "component"))
     open_bands, _ = common.stored(
         parts.groupBy("band").agg(largest.alias("major"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-        .where("parts > 1 and n > 2")
+        .where("parts > 1")
         .select("band", F.col("major.component").alias("major"),
                 F.ceil((F.col("n") - F.col("major.n")) / BLOCK_LINES).cast("int").alias("minors"),
                 F.ceil(F.col("major.n") / BLOCK_LINES).cast("int").alias("majors")), "open-bands")
@@ -462,9 +481,19 @@ def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def links(lines: DataFrame, shared: DataFrame) -> DataFrame:
-    """``a, b``: verified links between distinct lines, enough to connect all that are
-    similar and share a band."""
+def _joined(named: DataFrame, across: DataFrame) -> DataFrame:
+    """``node, component`` of these components and more links ``a, b``."""
+    for side in "ab":
+        root = named.select(F.col("node").alias(side), F.col("component").alias("root"))
+        across = across.join(root, side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    further = components(across)
+    every = named.unionByName(further.select("node", F.col("node").alias("component"))).distinct()
+    up = further.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return every.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+
+
+def groups(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """``node, component`` of distinct lines, connected if they are similar and share a band."""
     spark = lines.sparkSession
     members, members_at = common.stored(_members(shared), "members")
     sketched, sketched_at = common.stored(_sketched(lines), "sketched")
@@ -472,9 +501,10 @@ def links(lines: DataFrame, shared: DataFrame) -> DataFrame:
         F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
     near, near_at = common.stored(_to_check(stars, sketched), "near")
     star, _ = common.stored(_verified(near, lines), "star-links")
-    groups = _dealt(members, components(star)).join(sketched, "line_id")
+    named = components(star)
+    dealt = _dealt(members, named).join(sketched, "line_id")
     doubtful, doubtful_at = common.stored(
-        groups.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(
+        dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(
             _promising, "band bigint, low int, high int, line_id bigint, component bigint, side int"),
         "doubtful")
     texts = doubtful.join(lines.select("line_id", "line"), "line_id")
@@ -482,7 +512,7 @@ def links(lines: DataFrame, shared: DataFrame) -> DataFrame:
         texts.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(linked, "a bigint, b bigint"),
         "across-links")
     common.discard(spark, sketched_at, members_at, near_at, doubtful_at)
-    return star.unionByName(across).distinct()
+    return _joined(named, across)
 
 
 # --- decisions ------------------------------------------------------------------
@@ -495,7 +525,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     found, found_at = common.stored(rows, "found")
     sent.destroy()
     lines, lines_at = common.stored(found.select("line_id", "line").distinct(), "lines")
-    named = components(links(lines, shared)).withColumnRenamed("node", "line_id")
+    named = groups(lines, shared).withColumnRenamed("node", "line_id")
     common.discard(spark, shared_at, lines_at)
     placed, _ = common.stored(
         found.drop("line").join(named, "line_id", "left")
@@ -510,14 +540,20 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_removed(docs: DataFrame, name: str) -> DataFrame:
-    """Documents with the column ``name``: places of lines to remove, or null."""
-    id_, hash_ = common.unused(docs, "id", name), common.unused(docs, "hash", name)
+def _stored_places(docs: DataFrame, id_: str, hash_: str, name: str) -> DataFrame:
+    """``removed_lines`` of documents as a table with these names."""
     with common.shuffles_removed(docs.sparkSession):
         removed, _ = common.stored(
             removed_lines(docs.select("doc_id", "text")).select(
                 F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_),
                 F.col("removed").alias(name)), "removed")
+    return removed
+
+
+def with_removed(docs: DataFrame, name: str) -> DataFrame:
+    """Documents with the column ``name``: places of lines to remove, or null."""
+    id_, hash_ = common.unused(docs, "id", name), common.unused(docs, "hash", name)
+    removed = _stored_places(docs, id_, hash_, name)
     return docs.join(removed, docs["doc_id"].eqNullSafe(F.col(id_))
                      & (F.xxhash64(docs["text"]) == F.col(hash_)), "left").drop(id_, hash_)
 
@@ -533,8 +569,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed``: the removed lines' places, comma-joined."""
-    found = with_removed(docs.select("doc_id", "text"), "_removed")
+    removed = _stored_places(docs, "id", "hash", "places")
+    # Lines are counted below the join, so that no text moves.
+    counted = docs.select(
+        "doc_id", F.xxhash64("text").alias("text_hash"),
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"))
+    found = counted.join(removed, F.col("doc_id").eqNullSafe(F.col("id"))
+                         & (F.col("text_hash") == F.col("hash")), "left")
     return found.select(
-        "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce(F.array_join("_removed", ","), F.lit("")).alias("removed"))
+        "doc_id", "n_lines",
+        F.coalesce(F.size("places"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(F.array_join("places", ","), F.lit("")).alias("removed"))
