@@ -286,8 +286,9 @@ def shared_bands(lines: DataFrame) -> DataFrame:
 
 
 def _members(shared: DataFrame) -> DataFrame:
-    """``band, line_id, first``: lines of bands with several, bands with the same lines once."""
-    bands = shared.where("band is not null")
+    """``band, line_id, first``: lines of bands with three or more, bands with the same
+    lines once."""
+    bands = shared.where("band is not null and n > 2")
     chosen = bands.where("line_id = first").groupBy("n", "mark").agg(F.min("band").alias("band"))
     return bands.select("band", "line_id", "first").join(chosen.select("band"), "band")
 
@@ -298,7 +299,7 @@ def _among(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, Broadcast]:
     It lets all rows of these lines through, and one in a hundred of the others or so;
     more if the filter would have to be larger than ``MOST_BITS``.
     """
-    lines, _ = common.stored(lines.select("line_id").distinct(), "wanted")
+    lines, lines_at = common.stored(lines.select("line_id").distinct(), "wanted")
     bits = min(MOST_BITS, 1 << max(16, (BITS_A_LINE * lines.count()).bit_length()))
     # The lines' numbers are hashes: their halves are two hashes.
     places = [F.col("line_id").bitwiseAND(bits - 1),
@@ -309,6 +310,7 @@ def _among(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, Broadcast]:
     filled = bytearray(bits // 8)
     for part, bitmap in turned.collect():
         filled[(part - 1) * len(bitmap):part * len(bitmap)] = bitmap
+    common.discard(rows.sparkSession, lines_at)
     sent = rows.sparkSession.sparkContext.broadcast(bytes(filled))
 
     @F.pandas_udf("boolean")
@@ -497,20 +499,26 @@ def groups(lines: DataFrame, shared: DataFrame) -> DataFrame:
     spark = lines.sparkSession
     members, members_at = common.stored(_members(shared), "members")
     sketched, sketched_at = common.stored(_sketched(lines), "sketched")
-    stars = members.where("line_id <> first").select(
+    # Of a band of two lines there is nothing else to compare.
+    pairs = shared.where("band is not null and n = 2").select("line_id", "first")
+    stars = members.select("line_id", "first").unionByName(pairs).where("line_id <> first").select(
         F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
     near, near_at = common.stored(_to_check(stars, sketched), "near")
-    star, _ = common.stored(_verified(near, lines), "star-links")
+    met, sent = _among(lines, near.select(F.explode(F.array("a", "b")).alias("line_id")))
+    star, _ = common.stored(_verified(near, met), "star-links")
+    sent.destroy()
     named = components(star)
     dealt = _dealt(members, named).join(sketched, "line_id")
     doubtful, doubtful_at = common.stored(
         dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(
             _promising, "band bigint, low int, high int, line_id bigint, component bigint, side int"),
         "doubtful")
-    texts = doubtful.join(lines.select("line_id", "line"), "line_id")
+    met, sent = _among(lines, doubtful)
+    texts = doubtful.join(met.select("line_id", "line"), "line_id")
     across, _ = common.stored(
         texts.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(linked, "a bigint, b bigint"),
         "across-links")
+    sent.destroy()
     common.discard(spark, sketched_at, members_at, near_at, doubtful_at)
     return _joined(named, across)
 

@@ -244,6 +244,49 @@ def test_lines_of_a_table_with_clashing_names(spark):
     assert (got[2]._id, got[2]._hash, got[2].removed, got[2].id) == (5, "h", 6, 7)
 
 
+def test_lines_without_a_partner_are_stored_nowhere(make_docs, monkeypatch):
+    """What is written follows the lines that may have a partner, not all lines."""
+    r, common_words = random.Random(3), [prose(1, s) for s in range(60)]
+    base = [" ".join(r.choice(common_words) for _ in range(40)) for _ in range(300)]
+    rows, stored = {}, lines.common.stored
+
+    def counted(df, label):
+        found = stored(df, label)
+        rows[label] = found[0].count()
+        return found
+
+    monkeypatch.setattr(lines.common, "stored", counted)
+    docs = make_docs(*base, base[7], edited(base[9], 5))
+    got = {row.doc_id: row.n_removed for row in lines.report(docs).collect()}
+    assert {i for i, n in got.items() if n} == {300, 301}
+    assert all(n < 100 for n in rows.values()), rows
+
+
+def test_similarities_of_pairs_are_those_of_sets():
+    texts = [edited(prose(12, 40 + i // 4), i, i % 4) for i in range(24)] + ["ab", "aaaaaaaa"]
+    hashes, starts = lines.shingle_hashes(texts)
+    sets = [set(h.tolist()) for h in np.split(hashes, starts[1:])]
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(len(sets)) for j in range(len(sets))], strict=True))
+    assert lines.similarities(hashes, starts, a, b).tolist() == [
+        len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in zip(a, b, strict=True)]
+
+
+def test_bands_find_similar_lines_and_hardly_others():
+    """At 0.8 as many pairs as ten bands of four rows, at 0.2 far fewer."""
+    r, n, size = np.random.default_rng(8), 3000, 120
+
+    def share(similarity):
+        both = round(size * 2 * similarity / (1 + similarity))
+        one = r.integers(0, 1 << 32, (n, size), dtype=np.uint32)
+        other = np.c_[one[:, :both], r.integers(0, 1 << 32, (n, size - both), dtype=np.uint32)]
+        keys = [lines.band_keys(lines.minima(x.ravel().copy(), np.arange(0, n * size, size)))
+                for x in (one, other)]
+        return (keys[0] == keys[1]).any(axis=1).mean()
+
+    assert share(0.8) > 0.99 and share(0.9) == 1
+    assert share(0.2) < 0.003
+
+
 def test_no_lines(make_docs):
     assert lines.report(make_docs("x").where("false")).count() == 0
 
